@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.windows import by_ticker
 from ..operators import bars as B
 from ..operators.features import DEFAULT_BUILDERS, compute_features
 from ..sources.adapters import bars_from_orders
@@ -111,3 +112,182 @@ def _feature_query(name: str) -> Query:
 
 for _name in DEFAULT_BUILDERS:
     query(f"feat_{_name}", S.feature_sql(_name))(_feature_query(_name))
+
+
+# ---- F0a-F0f, X2-X4: feature engine ---------------------------------------------------------------
+
+from ..operators import features as FE  # noqa: E402
+from ..functions import indicators as IND  # noqa: E402
+
+
+def _shown_all(df: DataFrame, names: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+    return df.select("Ticker", "Date", *extra, *[shown(n, F.col(n)) for n in names])
+
+
+def _features_oracle(names: list[str], bars_where: str | None = None, out_where: str | None = None) -> str:
+    prefix, _ = S.features_sql(names, bars_where)
+    where = f" WHERE {out_where}" if out_where else ""
+    return prefix + f'SELECT feat."Ticker", feat."Date", {S.shown_list(names)} FROM feat{where}'
+
+
+ALL = list(DEFAULT_BUILDERS)
+
+
+@query("features_default", _features_oracle(FE.DEFAULT_FEATURES))
+def features_default(spark, sf_dir):
+    return _shown_all(compute_features(bars(spark, sf_dir), FE.DEFAULT_FEATURES), FE.DEFAULT_FEATURES)
+
+
+@query("features_all", _features_oracle(ALL))
+def features_all(spark, sf_dir):
+    return _shown_all(compute_features(bars(spark, sf_dir)), ALL)
+
+
+RANGE_START, RANGE_END = "1997-01-01", "1998-12-31"
+RANGE_TICKERS = ("1-URGENT", "2-HIGH", "3-MEDIUM")
+_tick_sql = ", ".join(f"'{t}'" for t in RANGE_TICKERS)
+
+
+@query("features_range_slice", _features_oracle(
+    FE.DEFAULT_FEATURES,
+    bars_where=f"\"Ticker\" IN ({_tick_sql}) AND \"Date\" >= DATE '{RANGE_START}' AND \"Date\" <= DATE '{RANGE_END}'"))
+def features_range_slice(spark, sf_dir):
+    f = FE.compute_for_range(bars(spark, sf_dir), RANGE_TICKERS, RANGE_START, RANGE_END,
+                             FE.DEFAULT_FEATURES, warmup="slice")
+    return _shown_all(f, FE.DEFAULT_FEATURES)
+
+
+@query("features_range_history", _features_oracle(
+    FE.DEFAULT_FEATURES, bars_where=f"\"Ticker\" IN ({_tick_sql}) AND \"Date\" <= DATE '{RANGE_END}'",
+    out_where=f"feat.\"Date\" >= DATE '{RANGE_START}'"))
+def features_range_history(spark, sf_dir):
+    f = FE.compute_for_range(bars(spark, sf_dir), RANGE_TICKERS, RANGE_START, RANGE_END,
+                             FE.DEFAULT_FEATURES, warmup="history")
+    return _shown_all(f, FE.DEFAULT_FEATURES)
+
+
+def _bbands(ctx):
+    """Multi-output feature: one builder, three columns."""
+    return {"upper": IND.bb_upper(20, 2.0)(ctx), "middle": IND.bb_middle(20, 2.0)(ctx),
+            "lower": IND.bb_lower(20, 2.0)(ctx)}
+
+
+MULTI_COLS = ["bbands_upper", "bbands_middle", "bbands_lower"]
+S.PRICE_LIKE.update(MULTI_COLS)
+
+
+@query("features_multi", S.with_bars() + 'SELECT "Ticker", "Date", '
+       + ", ".join([S.shown("bbands_upper", S.PLAIN["bb_upper"]), S.shown("bbands_middle", S.PLAIN["bb_middle"]),
+                    S.shown("bbands_lower", S.PLAIN["bb_lower"])]) + " FROM b")
+def features_multi(spark, sf_dir):
+    reg = FE.DEFAULT_REGISTRY.child()
+    reg.register("bbands", _bbands, {"length": 20, "std": 2.0})
+    return _shown_all(compute_features(bars(spark, sf_dir), ["bbands"], registry=reg), MULTI_COLS)
+
+
+# custom features: a column expression, a parametrised built-in, a recursive built-in
+CUSTOM = ["typical_price", "sma_7", "ema_9"]
+S.PRICE_LIKE.update(CUSTOM)
+
+
+def custom_registry():
+    reg = FE.get_registry().child()
+    reg.register("typical_price", lambda ctx: (ctx.c("High") + ctx.c("Low") + ctx.c("Close")) / 3.0)
+    reg.register("sma_7", IND.sma(7), {"length": 7})
+    reg.register("ema_9", IND.ema(9), {"length": 9})
+    return reg
+
+
+@query("feature_custom", S.with_bars(S.ema_cte("e9", 9)) + 'SELECT b."Ticker", b."Date", '
+       + S.shown("typical_price", '(b."High" + b."Low" + b."Close") / 3.0') + ", "
+       + S.shown("sma_7", 'CASE WHEN b.i >= 6 THEN avg(b."Close") OVER (PARTITION BY b."Ticker" ORDER BY b."Date" '
+                 'ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END') + ", "
+       + S.shown("ema_9", "e9.y") + ' FROM b LEFT JOIN e9 ON e9."Ticker" = b."Ticker" AND e9.i = b.i')
+def feature_custom(spark, sf_dir):
+    return _shown_all(compute_features(bars(spark, sf_dir), CUSTOM, registry=custom_registry()), CUSTOM)
+
+
+def _rolling_median_5(pdf):
+    """Tier 3 example: an arbitrary pandas series function (per ticker)."""
+    return pdf["Close"].rolling(5).median()
+
+
+S.PRICE_LIKE.add("median_5")
+
+
+@query("feature_custom_pandas", S.with_bars() + 'SELECT "Ticker", "Date", '
+       + S.shown("median_5", S.guard(4, f'median("Close") OVER {S.trail(5)}')) + " FROM b")
+def feature_custom_pandas(spark, sf_dir):
+    reg = FE.get_registry().child()
+    reg.register("median_5", FE.SeriesFeature(_rolling_median_5))
+    return _shown_all(compute_features(bars(spark, sf_dir), ["median_5"], registry=reg), ["median_5"])
+
+
+def _catalog_sql() -> str:
+    prefix, _ = S.features_sql(ALL)
+    groups = {n: g for g, ns in FE.FEATURE_GROUPS.items() for n in ns}
+    vals = ", ".join(f"('{n}', {k}, '{groups.get(n, '')}')" for k, n in enumerate(ALL))
+    unp = ", ".join(ALL)
+    return prefix + f"""SELECT r.name, r.position, r.feature_group,
+  CAST(coalesce(c.n_values, 0) AS BIGINT) AS n_values, c.first_defined
+FROM (VALUES {vals}) AS r(name, position, feature_group)
+LEFT JOIN (SELECT feature, count(*) AS n_values, min(i) AS first_defined
+           FROM (UNPIVOT (SELECT i, {unp} FROM feat) ON {unp} INTO NAME feature VALUE value)
+           GROUP BY feature) c ON c.feature = r.name"""
+
+
+@query("feature_catalog", _catalog_sql())
+def feature_catalog(spark, sf_dir):
+    """F0e: registered features with their group and position, plus coverage
+    over the bars: number of defined values and the first defined row."""
+    names = FE.get_registry().list_features()
+    groups = {n: g for g, ns in FE.FEATURE_GROUPS.items() for n in ns}
+    reg = spark.createDataFrame([(n, k, groups.get(n, "")) for k, n in enumerate(names)],
+                                "name string, position int, feature_group string")
+    f = compute_features(bars(spark, sf_dir), names, keep=())
+    f = f.select("Ticker", "Date", F.row_number().over(by_ticker()).alias("_rn"), *names)
+    long = f.unpivot(["Ticker", "Date", "_rn"], names, "feature", "value").where(F.col("value").isNotNull())
+    cov = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_values"),
+                                      (F.min("_rn") - 1).alias("first_defined"))
+    return reg.join(cov, reg.name == cov.feature, "left").select(
+        "name", "position", "feature_group", F.coalesce("n_values", F.lit(0)).cast("bigint").alias("n_values"),
+        F.col("first_defined").cast("bigint").alias("first_defined"))
+
+
+MIN_ROWS_START, MIN_ROWS_END = "1997-01-01", "1997-03-12"
+MR_NAMES = ["sma_20", "returns"]
+
+
+@query("features_min_rows", _features_oracle(
+    MR_NAMES, bars_where=f"\"Date\" >= DATE '{MIN_ROWS_START}' AND \"Date\" <= DATE '{MIN_ROWS_END}'",
+    out_where=f"feat.\"Ticker\" IN (SELECT \"Ticker\" FROM bars WHERE \"Date\" >= DATE '{MIN_ROWS_START}' "
+              f"AND \"Date\" <= DATE '{MIN_ROWS_END}' GROUP BY 1 HAVING count(*) >= {FE.MIN_ROWS})"))
+def features_min_rows(spark, sf_dir):
+    f = FE.compute_for_range(bars(spark, sf_dir), None, MIN_ROWS_START, MIN_ROWS_END, MR_NAMES)
+    return _shown_all(FE.min_rows(f, FE.MIN_ROWS), MR_NAMES)
+
+
+FILL_NAMES = ["sma_50", "returns", "volatility_20"]
+_W = 'PARTITION BY "Ticker" ORDER BY "Date"'
+_FILL_SQL = {
+    "forward": lambda c: f"last_value(feat.{c} IGNORE NULLS) OVER ({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "backward": lambda c: f"first_value(feat.{c} IGNORE NULLS) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)",
+    "zero": lambda c: f"coalesce(feat.{c}, 0)",
+    "mean": lambda c: f'coalesce(feat.{c}, avg(feat.{c}) OVER (PARTITION BY "Ticker"))',
+}
+
+
+def _fill_query(method: str):
+    def run(spark, sf_dir):
+        f = compute_features(bars(spark, sf_dir), FILL_NAMES)
+        return _shown_all(FE.fill_missing(f, method), FILL_NAMES)
+    run.__name__ = f"fill_{method}"
+    prefix, _ = S.features_sql(FILL_NAMES)
+    sql = prefix + 'SELECT "Ticker", "Date", ' + ", ".join(S.shown(c, _FILL_SQL[method](c)) for c in FILL_NAMES) \
+        + " FROM feat"
+    return run, sql
+
+
+for _m in FE.FILL_METHODS:
+    _fn, _sql = _fill_query(_m)
+    query(f"fill_{_m}", _sql)(_fn)

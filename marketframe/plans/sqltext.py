@@ -93,45 +93,73 @@ def with_bars(*ctes: str, bars: str = BARS_ORDERS) -> str:
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n"
 
 
-def recursive_feature_sql(name: str) -> str:
-    """Full oracle statement for one recursive feature, output (Ticker, Date, name)."""
-    tail = 'SELECT b."Ticker", b."Date", {col} FROM b {joins}'
-    if name in ("ema_12", "ema_26"):
-        n = int(name.split("_")[1])
-        body = with_bars(ema_cte("e", n))
-        return body + tail.format(col=shown(name, "e.y"),
-                                  joins='LEFT JOIN e ON e."Ticker" = b."Ticker" AND e.i = b.i')
-    if name in ("macd", "macd_signal", "macd_histogram"):
-        ctes = [ema_cte("f", 12), ema_cte("s", 26),
-                """m AS (SELECT b."Ticker", b.i, f.y - s.y AS macd FROM b
-                  LEFT JOIN f ON f."Ticker" = b."Ticker" AND f.i = b.i
-                  LEFT JOIN s ON s."Ticker" = b."Ticker" AND s.i = b.i)""",
-                ema_cte("g", 9, src="m", x="macd", first_valid=25)]
-        expr = {"macd": "m.macd", "macd_signal": "g.y", "macd_histogram": "m.macd - g.y"}[name]
-        return with_bars(*ctes) + tail.format(
-            col=shown(name, expr),
-            joins='LEFT JOIN m ON m."Ticker" = b."Ticker" AND m.i = b.i '
-                  'LEFT JOIN g ON g."Ticker" = b."Ticker" AND g.i = b.i')
-    if name == "rsi_14":
-        ctes = [wilder_cte("up", 'greatest("Close" - pc, 0)', 14),
-                wilder_cte("dn", 'greatest(pc - "Close", 0)', 14)]
-        expr = "CASE WHEN b.i >= 14 THEN 100 * up.m / NULLIF(up.m + dn.m, 0) END"
-        return with_bars(*ctes) + tail.format(
-            col=shown(name, expr),
-            joins='LEFT JOIN up ON up."Ticker" = b."Ticker" AND up.i = b.i '
-                  'LEFT JOIN dn ON dn."Ticker" = b."Ticker" AND dn.i = b.i')
-    if name == "atr_14":
-        tr = 'greatest("High" - "Low", abs("High" - pc), abs("Low" - pc))'
-        ctes = [wilder_cte("t", tr, 14)]
-        expr = "CASE WHEN b.i >= 14 THEN t.m END"
-        return with_bars(*ctes) + tail.format(
-            col=shown(name, expr), joins='LEFT JOIN t ON t."Ticker" = b."Ticker" AND t.i = b.i')
-    raise KeyError(name)
-
-
-def plain_feature_sql(name: str) -> str:
-    return with_bars() + f'SELECT "Ticker", "Date", {shown(name, PLAIN[name])} FROM b'
+# Recursive features: the CTEs each needs (name -> SQL) and their value expression
+# over the joined CTE aliases (pf = plain-feature row with index i).
+def _rec_ctes(src: str) -> dict[str, str]:
+    return {
+        "r_e12": ema_cte("r_e12", 12, src=src),
+        "r_e26": ema_cte("r_e26", 26, src=src),
+        "r_m": f"""r_m AS (SELECT {src}."Ticker", {src}.i, r_e12.y - r_e26.y AS macd FROM {src}
+                  LEFT JOIN r_e12 ON r_e12."Ticker" = {src}."Ticker" AND r_e12.i = {src}.i
+                  LEFT JOIN r_e26 ON r_e26."Ticker" = {src}."Ticker" AND r_e26.i = {src}.i)""",
+        "r_g": ema_cte("r_g", 9, src="r_m", x="macd", first_valid=25),
+        "r_up": wilder_cte("r_up", 'greatest("Close" - pc, 0)', 14, src=src),
+        "r_dn": wilder_cte("r_dn", 'greatest(pc - "Close", 0)', 14, src=src),
+        "r_tr": wilder_cte("r_tr", 'greatest("High" - "Low", abs("High" - pc), abs("Low" - pc))', 14, src=src),
+    }
+
+
+REC_NEEDS = {
+    "ema_12": ["r_e12"], "ema_26": ["r_e26"],
+    "macd": ["r_e12", "r_e26", "r_m"], "macd_signal": ["r_e12", "r_e26", "r_m", "r_g"],
+    "macd_histogram": ["r_e12", "r_e26", "r_m", "r_g"],
+    "rsi_14": ["r_up", "r_dn"], "atr_14": ["r_tr"],
+}
+REC_EXPR = {
+    "ema_12": "r_e12.y", "ema_26": "r_e26.y", "macd": "r_m.macd", "macd_signal": "r_g.y",
+    "macd_histogram": "r_m.macd - r_g.y",
+    "rsi_14": "CASE WHEN pf.i >= 14 THEN 100 * r_up.m / NULLIF(r_up.m + r_dn.m, 0) END",
+    "atr_14": "CASE WHEN pf.i >= 14 THEN r_tr.m END",
+}
+JOIN_OF = {"r_e12", "r_e26", "r_m", "r_g", "r_up", "r_dn", "r_tr"}
+
+
+def features_sql(names: list[str], bars_where: str | None = None, raw: bool = False,
+                 keep: tuple[str, ...] = (), bars: str = BARS_ORDERS) -> tuple[str, str]:
+    """(WITH-prefix defining CTE ``feat``, column list) for a set of default features.
+
+    ``feat`` has Ticker, Date, i, the ``keep`` bar columns and one column per
+    name, unrounded. ``bars_where`` filters the bars before the indicators
+    (slice warm-up).
+    """
+    src = "bars" if bars_where is None else "bars_f"
+    ctes = [bars]
+    if bars_where is not None:
+        ctes.append(f"bars_f AS (SELECT * FROM bars WHERE {bars_where})")
+    ctes.append(f"""b AS (SELECT *, row_number() OVER ({W}) - 1 AS i,
+                    lag("Close") OVER ({W}) AS pc FROM {src})""")
+    plain = [n for n in names if n in PLAIN]
+    rec = [n for n in names if n in REC_EXPR]
+    plain_cols = ", ".join(f"{PLAIN[n]} AS {n}" for n in plain)
+    ctes.append(f"pf AS (SELECT *{', ' + plain_cols if plain_cols else ''} FROM b)")
+    rc = _rec_ctes("b")
+    need = []
+    for n in rec:
+        for c in REC_NEEDS[n]:
+            if c not in need:
+                need.append(c)
+    ctes += [rc[c] for c in need]
+    joins = " ".join(f'LEFT JOIN {c} ON {c}."Ticker" = pf."Ticker" AND {c}.i = pf.i' for c in need)
+    cols = ", ".join([f"pf.{n}" for n in plain] + [f"{REC_EXPR[n]} AS {n}" for n in rec])
+    keep_cols = "".join(f', pf."{k}"' for k in keep)
+    ctes.append(f'feat AS (SELECT pf."Ticker", pf."Date", pf.i{keep_cols}{", " + cols if cols else ""} FROM pf {joins})')
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n", ", ".join(n for n in names)
+
+
+def shown_list(names: list[str], table: str = "feat") -> str:
+    return ", ".join(shown(n, f"{table}.{n}") for n in names)
 
 
 def feature_sql(name: str) -> str:
-    return plain_feature_sql(name) if name in PLAIN else recursive_feature_sql(name)
+    prefix, _ = features_sql([name])
+    return prefix + f'SELECT feat."Ticker", feat."Date", {shown(name, "feat." + name)} FROM feat'
