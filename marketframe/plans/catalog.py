@@ -291,3 +291,233 @@ def _fill_query(method: str):
 for _m in FE.FILL_METHODS:
     _fn, _sql = _fill_query(_m)
     query(f"fill_{_m}", _sql)(_fn)
+
+
+# ---- T1-T6, J1-J2: training sets ---------------------------------------------------------------
+
+from ..operators import dataset as DS  # noqa: E402
+from ..operators import metrics as MET  # noqa: E402
+from ..operators import models as MOD  # noqa: E402
+from ..operators import scoring as SCO  # noqa: E402
+
+S.DIGITS.update({"target": 8, "Close_c": 2})
+
+
+def _feat_prefix(names, keep=("Close",)):
+    prefix, _ = S.features_sql(names, keep=keep)
+    return prefix
+
+
+_WT = 'PARTITION BY "Ticker" ORDER BY "Date"'
+
+
+@query("target_returns", _feat_prefix(["sma_20", "returns"]) + f"""SELECT "Ticker", "Date",
+  {S.shown("sma_20", "sma_20")}, {S.shown("returns", "returns")},
+  {S.shown("target", f"lead(returns, 1) OVER ({_WT})")} FROM feat""")
+def target_returns(spark, sf_dir):
+    """target = the returns feature one bar ahead."""
+    f = compute_features(bars(spark, sf_dir), ["sma_20", "returns"])
+    t = DS.add_target(f, "returns", 1)
+    return _shown_all(t, ["sma_20", "returns", "target"])
+
+
+@query("target_returns_derived", _feat_prefix(["sma_20", "rsi_14"]) + f"""SELECT "Ticker", "Date",
+  {S.shown("sma_20", "sma_20")}, {S.shown("rsi_14", "rsi_14")}, round("Close" / 100, 2) AS "Close",
+  {S.shown("returns", "r")}, {S.shown("target", f"lead(r, 1) OVER ({_WT})")}
+FROM (SELECT *, "Close" / NULLIF(lag("Close") OVER ({_WT}), 0) - 1 AS r FROM feat)""")
+def target_returns_derived(spark, sf_dir):
+    """Returns not requested -> derived from the carried Close."""
+    f = compute_features(bars(spark, sf_dir), ["sma_20", "rsi_14"], keep=["Close"])
+    t = DS.add_target(f, "returns", 1)
+    return _shown_all(t, ["sma_20", "rsi_14", "returns", "target"],
+                      extra=(F.round(F.col("Close") / 100.0, 2).alias("Close"),))
+
+
+FWD_K = 5
+
+
+@query("target_forward_return", _feat_prefix(["sma_20"]) + f"""SELECT "Ticker", "Date",
+  {S.shown("sma_20", "sma_20")}, round("Close" / 100, 2) AS "Close",
+  {S.shown("target", f'lead("Close", {FWD_K}) OVER ({_WT}) / NULLIF("Close", 0) - 1')} FROM feat""")
+def target_forward_return(spark, sf_dir):
+    """Price target -> forward k-bar return."""
+    f = compute_features(bars(spark, sf_dir), ["sma_20"], keep=["Close"])
+    t = DS.add_target(f, "Close", FWD_K)
+    return _shown_all(t, ["sma_20", "target"], extra=(F.round(F.col("Close") / 100.0, 2).alias("Close"),))
+
+
+TRAIN_NAMES = ["sma_20", "rsi_14", "returns", "volume_ratio"]
+
+
+def _training_sql(names, tail: str) -> str:
+    """Training rows: features + target = lead(returns), rows with any null dropped."""
+    prefix = _feat_prefix(names)
+    not_null = " AND ".join(f"{c} IS NOT NULL" for c in [*names, "target", '"Close"'])
+    return prefix + f"""tr AS (SELECT * FROM (SELECT *, lead(returns, 1) OVER ({_WT}) AS target FROM feat)
+       WHERE {not_null})
+{tail}"""
+
+
+@query("training_rows", _training_sql(TRAIN_NAMES, f"""SELECT "Ticker", "Date", {", ".join(S.shown(n, n) for n in TRAIN_NAMES)},
+  {S.shown("target", "target")} FROM tr""").replace("WITH RECURSIVE", "WITH RECURSIVE", 1).replace("\ntr AS", ",\ntr AS"))
+def training_rows(spark, sf_dir):
+    """T4/T5: null rows dropped after the lead; model inputs exclude the target's name."""
+    ts = DS.prepare(bars(spark, sf_dir), TRAIN_NAMES, "returns", 1)
+    return _shown_all(ts.frame, [*TRAIN_NAMES, "target"])
+
+
+TEST_SIZE = 0.2
+
+
+@query("train_test_split", _training_sql(TRAIN_NAMES, f"""SELECT "Ticker", "Date", {S.shown("target", "target")},
+  CASE WHEN row_number() OVER ({_WT}) <= floor(count(*) OVER (PARTITION BY "Ticker") * CAST(1 - {TEST_SIZE} AS DOUBLE))
+       THEN 'train' ELSE 'test' END AS split FROM tr""").replace("\ntr AS", ",\ntr AS"))
+def train_test_split(spark, sf_dir):
+    """Chronological per-ticker split after the null drop."""
+    ts = DS.prepare(bars(spark, sf_dir), TRAIN_NAMES, "returns", 1)
+    s = DS.split(ts.frame, TEST_SIZE)
+    return s.select("Ticker", "Date", shown("target", F.col("target")), "split")
+
+
+@query("train_join_close", WITH_BARS.replace("WITH ", "WITH RECURSIVE ", 1).rstrip("\n") + ",\n"
+       + _feat_prefix(["sma_20"], keep=()).replace("WITH RECURSIVE ", "", 1).replace(S.BARS_ORDERS + ",\n", "", 1)
+       + f"""SELECT f."Ticker", f."Date", {S.shown("sma_20", "f.sma_20")}, round(b2."Close" / 100, 2) AS "Close"
+FROM feat f JOIN bars b2 ON b2."Ticker" = f."Ticker" AND b2."Date" = f."Date\"""")
+def train_join_close(spark, sf_dir):
+    """Features joined to Close on (Ticker, Date)."""
+    bs = bars(spark, sf_dir)
+    j = DS.join_price(compute_features(bs, ["sma_20"]), bs, "Close")
+    return _shown_all(j, ["sma_20"], extra=(F.round(F.col("Close") / 100.0, 2).alias("Close"),))
+
+
+@query("train_join_target", _feat_prefix(["sma_20"], keep=()) + f"""SELECT f."Ticker", f."Date", {S.shown("sma_20", "f.sma_20")},
+  round(b2."High" / 100, 2) AS "High",
+  {S.shown("target", f'lead(b2."High", 1) OVER (PARTITION BY f."Ticker" ORDER BY f."Date") / NULLIF(b2."High", 0) - 1')}
+FROM feat f JOIN bars b2 ON b2."Ticker" = f."Ticker" AND b2."Date" = f."Date\"""")
+def train_join_target(spark, sf_dir):
+    """Features joined to a target price column, forward return on it."""
+    bs = bars(spark, sf_dir)
+    j = DS.add_target(DS.join_price(compute_features(bs, ["sma_20"]), bs, "High"), "High", 1)
+    return _shown_all(j, ["sma_20", "target"], extra=(F.round(F.col("High") / 100.0, 2).alias("High"),))
+
+
+# ---- A8, M1, P1-P5, S15: per-ticker linear model ------------------------------------------------------
+
+OLS_X = "high_low_ratio"
+
+
+def _ols_frame(spark, sf_dir):
+    ts = DS.prepare(bars(spark, sf_dir), [OLS_X], "returns", 1)
+    return DS.split(ts.frame, TEST_SIZE), ts.feature_cols
+
+
+def _ols_sql_prefix() -> str:
+    prefix = _feat_prefix([OLS_X])
+    return prefix + f""",
+tr0 AS (SELECT * FROM (SELECT *, "Close" / NULLIF(lag("Close") OVER ({_WT}), 0) - 1 AS returns FROM feat)),
+tr1 AS (SELECT * FROM (SELECT *, lead(returns, 1) OVER ({_WT}) AS target FROM tr0)
+        WHERE {OLS_X} IS NOT NULL AND returns IS NOT NULL AND target IS NOT NULL AND "Close" IS NOT NULL),
+tr AS (SELECT *, CASE WHEN row_number() OVER ({_WT}) <= floor(count(*) OVER (PARTITION BY "Ticker") * CAST(1 - {TEST_SIZE} AS DOUBLE))
+       THEN 'train' ELSE 'test' END AS split FROM tr1),
+co AS (SELECT "Ticker", count(*) AS n, regr_intercept(target, {OLS_X}) AS intercept, regr_slope(target, {OLS_X}) AS coef_0
+       FROM tr WHERE split = 'train' GROUP BY 1)
+""".replace("\n,\ntr0", ",\ntr0")
+
+
+def _fix(sql: str) -> str:
+    return sql.replace("\n,\ntr0", ",\ntr0")
+
+
+@query("ols_fit", _fix(_ols_sql_prefix() + """SELECT "Ticker", n, round(intercept, 6) AS intercept,
+  round(coef_0, 6) AS coef_0 FROM co"""))
+def ols_fit(spark, sf_dir):
+    """M1 per ticker by normal equations (one aggregation + tiny solve)."""
+    df, cols = _ols_frame(spark, sf_dir)
+    co = MOD.ols_fit(df.where(F.col("split") == "train"), cols)
+    return co.select("Ticker", "n", F.round("intercept", 6).alias("intercept"), F.round("coef_0", 6).alias("coef_0"))
+
+
+@query("regression_metrics", _fix(_ols_sql_prefix() + f""", pr AS (SELECT tr.*, co.intercept + co.coef_0 * tr.{OLS_X} AS prediction
+  FROM tr JOIN co ON co."Ticker" = tr."Ticker")
+SELECT "Ticker", split, count(*) AS n, round(avg(abs(target - prediction)), 6) AS mae,
+  round(avg((target - prediction) * (target - prediction)), 6) AS mse,
+  round(sqrt(avg((target - prediction) * (target - prediction))), 6) AS rmse,
+  round(CASE WHEN var_pop(target) * count(*) > 0
+        THEN 1 - sum((target - prediction) * (target - prediction)) / (var_pop(target) * count(*))
+        WHEN sum((target - prediction) * (target - prediction)) = 0 THEN 1.0 ELSE 0.0 END, 6) AS r2
+FROM pr GROUP BY 1, 2""").replace("co.coef_0 * tr.", "co.coef_0 * tr.").replace('\n, pr AS', ',\npr AS'))
+def regression_metrics(spark, sf_dir):
+    """MAE, MSE, RMSE, R² per (Ticker, split) of the per-ticker linear model."""
+    df, cols = _ols_frame(spark, sf_dir)
+    co = MOD.ols_fit(df.where(F.col("split") == "train"), cols)
+    m = MET.regression_metrics(MOD.ols_predict(df, co, cols), by=("Ticker", "split"))
+    return m.select("Ticker", "split", "n", *[F.round(c, 6).alias(c) for c in ("mae", "mse", "rmse", "r2")])
+
+
+BD_SHIFTS = (1, 3, 7)
+
+
+def _bd_sql(d: str, n: int) -> str:
+    wd = f"(isodow({d}) - 1)"
+    k = f"(least({wd}, 4) + {n})"
+    return f"CAST({d} - CAST({wd} AS INTEGER) + CAST(floor({k} / 5) * 7 + {k} % 5 AS INTEGER) AS DATE)"
+
+
+@query("business_day_shift", WITH_BARS + 'SELECT "Ticker", "Date", '
+       + ", ".join(f'{_bd_sql(chr(34) + "Date" + chr(34), n)} AS bd_{n}' for n in BD_SHIFTS) + " FROM bars")
+def business_day_shift(spark, sf_dir):
+    """Bar date + n business days (Mon-Fri)."""
+    b = bars(spark, sf_dir)
+    return b.select("Ticker", "Date", *[SCO.business_day_shift(F.col("Date"), n).alias(f"bd_{n}") for n in BD_SHIFTS])
+
+
+def _predictions(spark, sf_dir):
+    df, cols = _ols_frame(spark, sf_dir)
+    co = MOD.ols_fit(df.where(F.col("split") == "train"), cols)
+    feats = compute_features(bars(spark, sf_dir), cols)
+    return SCO.dated_predictions(MOD.ols_predict(feats, co, cols), 1)
+
+
+_PRED_SQL = _fix(_ols_sql_prefix() + f""", pr AS (SELECT feat."Ticker", feat."Date" AS feature_date,
+   co.intercept + co.coef_0 * feat.{OLS_X} AS prediction FROM feat LEFT JOIN co ON co."Ticker" = feat."Ticker")
+""").replace('\n, pr AS', ',\npr AS')
+
+
+@query("predict_linear", _PRED_SQL + f"""SELECT round(prediction, 6) AS prediction, {_bd_sql("feature_date", 1)} AS "Date",
+  feature_date, "Ticker" FROM pr""")
+def predict_linear(spark, sf_dir):
+    """Every feature row scored, dated one business day ahead."""
+    p = _predictions(spark, sf_dir)
+    return p.select(F.round("prediction", 6).alias("prediction"), "Date", "feature_date", "Ticker")
+
+
+LATEST_PRED = 5
+
+
+@query("predict_latest", _PRED_SQL + f"""SELECT round(prediction, 6) AS prediction, {_bd_sql("feature_date", 1)} AS "Date",
+  feature_date, "Ticker" FROM (SELECT *, row_number() OVER (PARTITION BY "Ticker" ORDER BY feature_date DESC) AS rk FROM pr)
+WHERE rk <= {LATEST_PRED}""")
+def predict_latest(spark, sf_dir):
+    """P5: the latest predictions of every ticker."""
+    p = SCO.latest(_predictions(spark, sf_dir), LATEST_PRED)
+    return p.select(F.round("prediction", 6).alias("prediction"), "Date", "feature_date", "Ticker")
+
+
+@query("runs_compare", _fix(_ols_sql_prefix() + f""", pr AS (SELECT tr.*, co.intercept + co.coef_0 * tr.{OLS_X} AS prediction
+  FROM tr JOIN co ON co."Ticker" = tr."Ticker")
+SELECT "Ticker" || '_linear_regression_returns' AS run_name,
+  round(CASE WHEN var_pop(target) * count(*) > 0
+        THEN 1 - sum((target - prediction) * (target - prediction)) / (var_pop(target) * count(*))
+        WHEN sum((target - prediction) * (target - prediction)) = 0 THEN 1.0 ELSE 0.0 END, 6) AS test_r2,
+  round(sqrt(avg((target - prediction) * (target - prediction))), 6) AS test_rmse
+FROM pr WHERE split = 'test' GROUP BY "Ticker\"""").replace('\n, pr AS', ',\npr AS'))
+def runs_compare(spark, sf_dir):
+    """One run per ticker (per-ticker linear fits), test R² and RMSE side by side."""
+    df, cols = _ols_frame(spark, sf_dir)
+    co = MOD.ols_fit(df.where(F.col("split") == "train"), cols)
+    m = MET.regression_metrics(MOD.ols_predict(df, co, cols), by=("Ticker", "split"))
+    runs = m.where(F.col("split") == "test").select(
+        F.concat("Ticker", F.lit("_linear_regression_returns")).alias("run_name"),
+        F.create_map(F.lit("test_r2"), F.col("r2"), F.lit("test_rmse"), F.col("rmse")).alias("metrics"))
+    return runs.select("run_name", F.round(F.col("metrics")["test_r2"], 6).alias("test_r2"),
+                       F.round(F.col("metrics")["test_rmse"], 6).alias("test_rmse"))
