@@ -521,3 +521,306 @@ def runs_compare(spark, sf_dir):
         F.create_map(F.lit("test_r2"), F.col("r2"), F.lit("test_rmse"), F.col("rmse")).alias("metrics"))
     return runs.select("run_name", F.round(F.col("metrics")["test_r2"], 6).alias("test_r2"),
                        F.round(F.col("metrics")["test_rmse"], 6).alias("test_rmse"))
+
+
+# ---- S3-S6, S11-S12, I1-I2: sources, store, ingest -----------------------------------------------------
+
+from ..operators import ingest as ING  # noqa: E402
+from ..schema import violations as _violations  # noqa: E402
+from ..sources import readers as RD  # noqa: E402
+from ..sources import store as ST  # noqa: E402
+
+VENDOR_TICKER = "3-MEDIUM"
+
+
+@query("bars_normalise", WITH_BARS + f"""SELECT {BAR_COLS_SQL} FROM (
+  SELECT CAST(CAST("Date" AS TIMESTAMP) AS DATE) AS "Date", '{VENDOR_TICKER}' AS "Ticker", "Open", "High", "Low", "Close", "Volume"
+  FROM bars WHERE "Ticker" = '{VENDOR_TICKER}')""")
+def bars_normalise(spark, sf_dir):
+    """S3: a vendor-shaped frame (timestamp index, no ticker) -> bar schema."""
+    b = bars(spark, sf_dir).where(F.col("Ticker") == VENDOR_TICKER)
+    vendor = b.select(F.col("Date").cast("timestamp").alias("Date"), "Open", "High", "Low", "Close", "Volume")
+    return _bar_cols_spark(RD.normalise(vendor, VENDOR_TICKER))
+
+
+REQUESTED = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE", "0-TEST")
+MISS_START, MISS_END = "1996-01-01", "1996-12-31"
+
+
+@query("missing_tickers", WITH_BARS + f"""SELECT r."Ticker" FROM (VALUES {", ".join(f"('{t}')" for t in REQUESTED)}) AS r("Ticker")
+WHERE r."Ticker" NOT IN (SELECT DISTINCT "Ticker" FROM bars WHERE "Date" BETWEEN DATE '{MISS_START}' AND DATE '{MISS_END}')""")
+def missing_tickers(spark, sf_dir):
+    """Requested tickers without bars in the range."""
+    b = RD.date_range(bars(spark, sf_dir), MISS_START, MISS_END)
+    return RD.missing_tickers(spark, REQUESTED, b)
+
+
+# an existing table (up to 2000-06-30) and a corrected batch overlapping it from 2000-01-01
+UPSERT_CUT, UPSERT_FROM = "2000-06-30", "2000-01-01"
+
+
+def _existing_new(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    existing = b.where(F.col("Date") <= F.to_date(F.lit(UPSERT_CUT)))
+    new = b.where(F.col("Date") >= F.to_date(F.lit(UPSERT_FROM))) \
+        .withColumn("Close", F.col("Close") + 1.0)
+    return existing, new
+
+
+_EXISTING_NEW_SQL = WITH_BARS.rstrip("\n") + f""",
+existing AS (SELECT * FROM bars WHERE "Date" <= DATE '{UPSERT_CUT}'),
+new AS (SELECT "Date", "Ticker", "Open", "High", "Low", "Close" + 1 AS "Close", "Volume" FROM bars WHERE "Date" >= DATE '{UPSERT_FROM}')
+"""
+
+
+@query("bars_violations", _EXISTING_NEW_SQL + """SELECT "Ticker", "Date", 'duplicate key' AS reason, count(*) AS n
+FROM (SELECT * FROM existing UNION ALL SELECT * FROM new) GROUP BY 1, 2 HAVING count(*) > 1""")
+def bars_violations(spark, sf_dir):
+    """Contract check on a naive append of the batch (duplicate keys, nulls)."""
+    existing, new = _existing_new(spark, sf_dir)
+    return _violations(existing.unionByName(new))
+
+
+@query("bars_upsert", _EXISTING_NEW_SQL + f"""SELECT {BAR_COLS_SQL} FROM (
+  SELECT * FROM existing e WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n."Ticker" = e."Ticker" AND n."Date" = e."Date")
+  UNION ALL SELECT * FROM new)""")
+def bars_upsert(spark, sf_dir):
+    """Table after the upsert (replaced keys take the batch's values)."""
+    existing, new = _existing_new(spark, sf_dir)
+    return _bar_cols_spark(B.merged_table(existing, new))
+
+
+INGEST_START = "2000-03-01"
+
+
+@query("incremental_bars", _EXISTING_NEW_SQL + f"""SELECT {BAR_COLS_SQL} FROM (
+  SELECT b.* FROM bars b LEFT JOIN (SELECT "Ticker", max("Date") AS latest FROM existing GROUP BY 1) l USING ("Ticker")
+  WHERE b."Date" >= greatest(coalesce(l.latest, DATE '{INGEST_START}'), DATE '{INGEST_START}'))""")
+def incremental_bars(spark, sf_dir):
+    """Fetch from max(latest stored, window start); the latest day is re-read."""
+    existing, _ = _existing_new(spark, sf_dir)
+    return _bar_cols_spark(ING.incremental(bars(spark, sf_dir), existing, INGEST_START))
+
+
+def _event_bars_sql() -> str:
+    return """bars AS (
+  SELECT CAST(ts AS DATE) AS "Date", event_type AS "Ticker", arg_min(value, ts) AS "Open", max(value) AS "High",
+         min(value) AS "Low", arg_max(value, ts) AS "Close", CAST(count(*) AS BIGINT) AS "Volume"
+  FROM events GROUP BY 1, 2)"""
+
+
+_BAD_SQL = "WITH " + _event_bars_sql() + """,
+bad AS (SELECT "Ticker", min(reason) AS reason FROM (
+  SELECT "Ticker", CASE WHEN NOT ("Open" > 0 AND "High" > 0 AND "Low" > 0 AND "Close" > 0) THEN 'non-positive price'
+                        WHEN "High" < "Low" THEN 'high below low' END AS reason FROM bars) WHERE reason IS NOT NULL GROUP BY 1)
+"""
+
+
+def _event_batch(spark, sf_dir):
+    from ..sources.adapters import bars_from_events
+    return bars_from_events(spark, sf_dir)
+
+
+@query("ingest_accepted", _BAD_SQL + """SELECT "Ticker", "Date", "Open", "High", "Low", "Close", "Volume" FROM bars
+WHERE "Ticker" NOT IN (SELECT "Ticker" FROM bad)""")
+def ingest_accepted(spark, sf_dir):
+    """Bars of tickers that passed validation (event-log ticks as the source)."""
+    acc, _ = ING.split_batch(_event_batch(spark, sf_dir))
+    return acc.select("Ticker", "Date", "Open", "High", "Low", "Close", "Volume")
+
+
+@query("ingest_rejected", _BAD_SQL + 'SELECT "Ticker", reason FROM bad')
+def ingest_rejected(spark, sf_dir):
+    """Tickers set aside, with the reason; they do not stop the others."""
+    _, bad = ING.split_batch(_event_batch(spark, sf_dir))
+    return bad
+
+
+REC_NAMES = ["sma_20", "rsi_14", "returns"]
+
+
+@query("feature_records", _feat_prefix(REC_NAMES, keep=()) + """SELECT "Ticker", "Date",
+  MAP(['sma_20', 'rsi_14', 'returns'], [round(sma_20 / 100, 4), round(rsi_14, 4), round(returns, 8)]) AS features FROM feat""")
+def feature_records(spark, sf_dir):
+    """One record per (Ticker, Date) with a feature -> value map (null when undefined)."""
+    f = compute_features(bars(spark, sf_dir), REC_NAMES)
+    shown_cols = [shown(n, F.col(n)) for n in REC_NAMES]
+    m = F.create_map(*[x for n, c in zip(REC_NAMES, shown_cols) for x in (F.lit(n), c)])
+    return f.select("Ticker", "Date", m.alias("features"))
+
+
+STORE_NAMES = FE.DEFAULT_FEATURES
+
+
+@query("feature_store_put", _feat_prefix(STORE_NAMES, keep=()) + f"""SELECT "Ticker", "Date", feature, value FROM (
+  UNPIVOT (SELECT "Ticker", "Date", {", ".join(S.shown(n, n) for n in STORE_NAMES)} FROM feat)
+  ON {", ".join(STORE_NAMES)} INTO NAME feature VALUE value)""")
+def feature_store_put(spark, sf_dir):
+    """S12 set: long-form rows written to the feature table (nulls not stored)."""
+    f = _shown_all(compute_features(bars(spark, sf_dir), STORE_NAMES), STORE_NAMES)
+    return ST.to_long(f).where(F.col("value").isNotNull()).drop("computed_at")
+
+
+GET_TICKERS = ("2-HIGH", "4-NOT SPECIFIED")
+GET_START, GET_END = "1998-01-01", "1999-12-31"
+GET_NAMES = ["sma_20", "rsi_14", "macd"]
+
+
+@query("feature_store_get", _feat_prefix(STORE_NAMES, keep=()) + f"""SELECT "Ticker", "Date", {", ".join(S.shown(n, n) for n in GET_NAMES)}
+FROM feat WHERE "Ticker" IN ({", ".join(f"'{t}'" for t in GET_TICKERS)}) AND "Date" BETWEEN DATE '{GET_START}' AND DATE '{GET_END}'
+  AND ({" OR ".join(f"{n} IS NOT NULL" for n in GET_NAMES)})""")
+def feature_store_get(spark, sf_dir):
+    """S12 get: stored long rows -> scan (tickers, range, names) -> pivot back."""
+    stored = feature_store_put(spark, sf_dir)
+    df = stored.where(F.col("Ticker").isin(list(GET_TICKERS)) & F.col("feature").isin(GET_NAMES))
+    return ST.to_wide(RD.date_range(df, GET_START, GET_END), GET_NAMES).select("Ticker", "Date", *GET_NAMES)
+
+
+# ---- D1-D7: drift ------------------------------------------------------------------------------------------
+
+from ..operators import drift as DR  # noqa: E402
+
+DRIFT_NAMES = ["sma_20", "rsi_14", "macd", "volatility_20", "returns", "volume_ratio", "high_low_ratio"]
+REF = ("1997-01-01", "1997-12-31")
+CUR = ("1998-01-01", "1998-12-31")
+THRESHOLD = 0.05
+_PRICE_FEATS = [n for n in DRIFT_NAMES if n in S.PRICE_LIKE]
+
+
+def _scaled(col):
+    """Feature-unit statistic shown like its feature: price-like in currency."""
+    return F.when(F.col("feature").isin(_PRICE_FEATS), F.round(col / 100.0, 2)).otherwise(F.round(col, 6))
+
+
+def _scaled_sql(expr: str) -> str:
+    fl = ", ".join(f"'{n}'" for n in _PRICE_FEATS)
+    return f"CASE WHEN feature IN ({fl}) THEN round(({expr}) / 100, 2) ELSE round({expr}, 6) END"
+
+
+def _drift_frames(spark, sf_dir):
+    return DR.detect(bars(spark, sf_dir), DRIFT_NAMES, *REF, *CUR, threshold=THRESHOLD)
+
+
+def _drift_sql_prefix() -> str:
+    def period(p, rng):
+        w = f"\"Date\" >= DATE '{rng[0]}' AND \"Date\" <= DATE '{rng[1]}'"
+        return S.features_ctes(DRIFT_NAMES, bars_where=w, suffix=f"_{p}")
+    cols = ", ".join(DRIFT_NAMES)
+
+    def stats(p):
+        f = f"FILTER (WHERE period = '{p}')"
+        return (f"count(value) {f} AS {p}_n, avg(value) {f} AS {p}_mean, stddev_samp(value) {f} AS {p}_std, "
+                f"quantile_cont(value, 0.25) {f} AS {p}_p25, quantile_cont(value, 0.5) {f} AS {p}_p50, "
+                f"quantile_cont(value, 0.75) {f} AS {p}_p75")
+    eps = DR.EPS
+    return "WITH RECURSIVE " + S.BARS_ORDERS + ",\n" + period("ref", REF) + ",\n" + period("cur", CUR) + f""",
+long AS (
+  SELECT "Ticker", 'ref' AS period, feature, value FROM (UNPIVOT (SELECT "Ticker", {cols} FROM feat_ref) ON {cols} INTO NAME feature VALUE value)
+  UNION ALL
+  SELECT "Ticker", 'cur' AS period, feature, value FROM (UNPIVOT (SELECT "Ticker", {cols} FROM feat_cur) ON {cols} INTO NAME feature VALUE value)),
+prof AS (SELECT "Ticker", feature, {stats("ref")}, {stats("cur")} FROM long GROUP BY 1, 2),
+prof2 AS (SELECT * FROM prof WHERE ref_n > 0 AND cur_n > 0),
+rep0 AS (SELECT "Ticker", feature,
+  CASE WHEN abs(ref_mean) > {eps} THEN abs((cur_mean - ref_mean) / ref_mean) ELSE abs(cur_mean - ref_mean) END AS mean_shift,
+  CASE WHEN ref_std > {eps} THEN abs((cur_std - ref_std) / ref_std) ELSE abs(cur_std - ref_std) END AS std_shift,
+  ((abs((cur_p25 - ref_p25) / (ref_p25 + {eps})) + abs((cur_p50 - ref_p50) / (ref_p50 + {eps})))
+    + abs((cur_p75 - ref_p75) / (ref_p75 + {eps}))) / 3.0 AS percentile_shift,
+  ref_mean AS reference_mean, cur_mean AS current_mean, ref_std AS reference_std, cur_std AS current_std FROM prof2),
+rep AS (SELECT *, greatest(mean_shift, std_shift, percentile_shift) AS max_shift,
+  greatest(mean_shift, std_shift, percentile_shift) > {THRESHOLD} AS drift_detected FROM rep0)
+"""
+
+
+@query("drift_profile", _drift_sql_prefix() + "SELECT \"Ticker\", feature, ref_n, cur_n, " + ", ".join(
+    f"{_scaled_sql(f'{p}_{s}')} AS {p}_{s}" for p in ("ref", "cur") for s in ("mean", "std", "p25", "p50", "p75"))
+    + " FROM prof2")
+def drift_profile(spark, sf_dir):
+    """Per (Ticker, feature) count, mean, std and quartiles of both periods."""
+    b = bars(spark, sf_dir)
+    ref = FE.compute_for_range(b, None, *REF, DRIFT_NAMES)
+    cur = FE.compute_for_range(b, None, *CUR, DRIFT_NAMES)
+    p = DR.profile(ref, cur, DRIFT_NAMES)
+    cols = []
+    for per in ("ref", "cur"):
+        cols += [_scaled(F.col(f"{per}_mean")).alias(f"{per}_mean"), _scaled(F.col(f"{per}_std")).alias(f"{per}_std")]
+        cols += [_scaled(F.col(f"{per}_q")[k]).alias(f"{per}_{n}") for k, n in enumerate(("p25", "p50", "p75"))]
+    return p.select("Ticker", "feature", "ref_n", "cur_n", *cols)
+
+
+@query("drift_report", _drift_sql_prefix() + f"""SELECT "Ticker", feature, round(mean_shift, 6) AS mean_shift,
+  round(std_shift, 6) AS std_shift, round(percentile_shift, 6) AS percentile_shift, round(max_shift, 6) AS max_shift,
+  drift_detected, {_scaled_sql("reference_mean")} AS reference_mean, {_scaled_sql("current_mean")} AS current_mean,
+  {_scaled_sql("reference_std")} AS reference_std, {_scaled_sql("current_std")} AS current_std, {THRESHOLD} AS threshold
+FROM rep""")
+def drift_report(spark, sf_dir):
+    """Shifts, max and the strict threshold flag per (Ticker, feature)."""
+    rep, _ = _drift_frames(spark, sf_dir)
+    return rep.select("Ticker", "feature", *[F.round(c, 6).alias(c) for c in
+                                              ("mean_shift", "std_shift", "percentile_shift", "max_shift")],
+                      "drift_detected", *[_scaled(F.col(c)).alias(c) for c in
+                                          ("reference_mean", "current_mean", "reference_std", "current_std")],
+                      "threshold")
+
+
+@query("drift_summary", _drift_sql_prefix() + """SELECT t."Ticker", coalesce(bool_or(drift_detected), false) AS drift_detected,
+  CAST(count(*) FILTER (WHERE drift_detected) AS BIGINT) AS n_drifted, CAST(count(feature) AS BIGINT) AS n_features,
+  CASE WHEN bool_or(drift_detected) THEN 'Drift detected in ' || CAST(count(*) FILTER (WHERE drift_detected) AS VARCHAR)
+       || '/' || CAST(count(feature) AS VARCHAR) || ' features'
+       WHEN count(feature) = 0 THEN 'Insufficient data for drift detection' ELSE 'No significant drift detected' END AS message
+FROM (SELECT DISTINCT "Ticker" FROM bars) t LEFT JOIN rep USING ("Ticker") GROUP BY 1""")
+def drift_summary(spark, sf_dir):
+    """Per ticker, any drift and "k/n features"."""
+    _, summ = _drift_frames(spark, sf_dir)
+    return summ
+
+
+@query("drift_flagged", _drift_sql_prefix() + f"""SELECT "Ticker", feature, round(max_shift * 100, 4) AS max_shift_pct,
+  round(mean_shift * 100, 4) AS mean_shift_pct, round(std_shift * 100, 4) AS std_shift_pct,
+  {_scaled_sql("current_mean")} AS current_mean, {_scaled_sql("reference_mean")} AS reference_mean
+FROM rep WHERE drift_detected""")
+def drift_flagged(spark, sf_dir):
+    """Drifted features with shifts in percent."""
+    rep, _ = _drift_frames(spark, sf_dir)
+    fl = DR.flagged(rep)
+    return fl.select("Ticker", "feature", *[F.round(c, 4).alias(c) for c in
+                                              ("max_shift_pct", "mean_shift_pct", "std_shift_pct")],
+                     *[_scaled(F.col(c)).alias(c) for c in ("current_mean", "reference_mean")])
+
+
+# ---- A5-A7: request latency histogram (event log as the request log) ------------------------------------------
+
+def request_log(spark, sf_dir):
+    """Each event is a request: endpoint = event type, latency = value in ms."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select(F.col("event_type").alias("endpoint"), (F.col("value") / 1000.0).alias("latency_s"))
+
+
+def _bucket_sql(x: str) -> str:
+    parts = " ".join(f"WHEN {x} <= {b} THEN {b}" for b in MET.LATENCY_BUCKETS)
+    return f"CASE {parts} ELSE CAST('inf' AS DOUBLE) END"
+
+
+_LOG_SQL = f"""WITH lg AS (SELECT event_type AS endpoint, value / 1000.0 AS latency_s FROM events),
+bk AS (SELECT {_bucket_sql("latency_s")} AS le, count(*) AS n FROM lg GROUP BY 1),
+cb AS (SELECT le, n, sum(n) OVER (ORDER BY le ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cumulative FROM bk)
+"""
+
+
+@query("latency_buckets", _LOG_SQL + "SELECT le, n, CAST(cumulative AS BIGINT) AS cumulative FROM cb")
+def latency_buckets(spark, sf_dir):
+    """A5: requests per latency bucket (raw counts) and the running total."""
+    return MET.latency_buckets(request_log(spark, sf_dir))
+
+
+@query("request_counts", _LOG_SQL + "SELECT endpoint, count(*) AS requests FROM lg GROUP BY 1")
+def request_counts(spark, sf_dir):
+    """Requests per endpoint."""
+    return MET.request_counts(request_log(spark, sf_dir))
+
+
+@query("latency_quantile", _LOG_SQL + """SELECT """ + ", ".join(
+    f"min(le) FILTER (WHERE cumulative >= {q} * (SELECT sum(n) FROM bk)) * 1000.0 AS p{round(q * 100)}_ms"
+    for q in MET.QUANTILES) + " FROM cb")
+def latency_quantile(spark, sf_dir):
+    """First bucket whose running count reaches q of all requests, in ms."""
+    return MET.latency_quantiles(MET.latency_buckets(request_log(spark, sf_dir)))

@@ -156,6 +156,23 @@ def features_sql(names: list[str], bars_where: str | None = None, raw: bool = Fa
     return "WITH RECURSIVE " + ",\n".join(ctes) + "\n", ", ".join(n for n in names)
 
 
+_CTE_NAMES = ("bars_f", "b", "pf", "feat", "r_e12_in", "r_e26_in", "r_g_in", "r_up_in", "r_dn_in", "r_tr_in",
+              "r_e12", "r_e26", "r_m", "r_g", "r_up", "r_dn", "r_tr")
+
+
+def features_ctes(names: list[str], bars_where: str | None = None, suffix: str = "",
+                  keep: tuple[str, ...] = ()) -> str:
+    """The feature CTEs of :func:`features_sql` without the WITH and bars parts,
+    every CTE name suffixed (so several feature sets can live in one query)."""
+    import re
+    prefix, _ = features_sql(names, bars_where, keep=keep)
+    body = prefix[len("WITH RECURSIVE "):].replace(BARS_ORDERS + ",\n", "", 1)
+    if suffix:
+        pat = re.compile(r"\b(" + "|".join(_CTE_NAMES) + r")\b")
+        body = pat.sub(lambda m: m.group(1) + suffix, body)
+    return body.rstrip("\n")
+
+
 def shown_list(names: list[str], table: str = "feat") -> str:
     return ", ".join(shown(n, f"{table}.{n}") for n in names)
 
