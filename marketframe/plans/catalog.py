@@ -824,3 +824,76 @@ def request_counts(spark, sf_dir):
 def latency_quantile(spark, sf_dir):
     """First bucket whose running count reaches q of all requests, in ms."""
     return MET.latency_quantiles(MET.latency_buckets(request_log(spark, sf_dir)))
+
+
+# ---- M2-M4, T7, S13-S14, I3: rows-only (model fits, writes, streaming) ------------------------------------------
+
+from . import training as TR  # noqa: E402
+
+POOLED_NAMES = ["sma_20", "rsi_14", "volume_ratio", "high_low_ratio"]
+
+
+def _pooled_metrics(spark, sf_dir, model_type):
+    _, _, scored = TR.scored_splits(bars(spark, sf_dir), model_type, POOLED_NAMES)
+    m = MET.regression_metrics(scored, by=["split"])
+    return m.select(F.lit(model_type).alias("model_type"), "split", "n",
+                    *[F.round(c, 6).alias(c) for c in ("mae", "mse", "rmse", "r2")])
+
+
+@query("forest_metrics")
+def forest_metrics(spark, sf_dir):
+    """M2: random forest (100 trees, depth 10, seed 42), pooled over tickers."""
+    return _pooled_metrics(spark, sf_dir, "random_forest")
+
+
+@query("gbt_metrics")
+def gbt_metrics(spark, sf_dir):
+    """M3/M4: gradient-boosted trees (100 rounds, depth 6, step 0.1, seed 42)."""
+    return _pooled_metrics(spark, sf_dir, "xgboost")
+
+
+_SUMMARY_SCHEMA = ("run_name string, model_type string, n_features int, n_train_samples long, "
+                   "n_test_samples long, train_r2 double, test_r2 double, train_rmse double, test_rmse double")
+
+
+def _summary_df(spark, s: dict):
+    p, tm, te = s["params"], s["train_metrics"], s["test_metrics"]
+    row = (s["run_name"], s["model_type"], int(p["n_features"]), int(p["n_train_samples"]),
+           int(p["n_test_samples"]), tm["train_r2"], te["test_r2"], tm["train_rmse"], te["test_rmse"])
+    return spark.createDataFrame([row], _SUMMARY_SCHEMA)
+
+
+@query("train_summary")
+def train_summary(spark, sf_dir):
+    """End-to-end training of a pooled linear model; the run summary as a row."""
+    s = TR.train(bars(spark, sf_dir), "linear_regression", POOLED_NAMES)
+    return _summary_df(spark, s)
+
+
+def _scratch(spark, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory of the session."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("runs_append")
+def runs_append(spark, sf_dir):
+    """Train, save the model, append the run row; read the run back."""
+    log = ST.RunLog(spark, _scratch(spark, "runs"))
+    s = TR.train(bars(spark, sf_dir), "linear_regression", POOLED_NAMES, runlog=log)
+    runs = log.runs()
+    return ST.compare_runs(runs).join(runs.select("run_id", "params"), "run_id")
+
+
+@query("ingest_stream")
+def ingest_stream(spark, sf_dir):
+    """Two landings (a table and an overlapping corrected batch) ingested by
+    the streaming job; the stored table equals the batch upsert (bars_upsert)."""
+    from ..streaming.ingest_stream import run_available
+    root = _scratch(spark, "ingest")
+    existing, new = _existing_new(spark, sf_dir)
+    existing.write.parquet(f"{root}/landing/batch=0001")
+    new.write.parquet(f"{root}/landing/batch=0002")
+    run_available(spark, f"{root}/landing", f"{root}/bars", f"{root}/checkpoint")
+    return _bar_cols_spark(ST.BarStore(spark, f"{root}/bars").read())
