@@ -897,3 +897,30 @@ def ingest_stream(spark, sf_dir):
     new.write.parquet(f"{root}/landing/batch=0002")
     run_available(spark, f"{root}/landing", f"{root}/bars", f"{root}/checkpoint")
     return _bar_cols_spark(ST.BarStore(spark, f"{root}/bars").read())
+
+
+# ---- bars with more tickers: part brands from lineitem ---------------------------------------------------
+
+BARS_LINEITEM = """bars AS (
+  SELECT CAST(l.l_shipdate AS DATE) AS "Date", p.p_brand AS "Ticker",
+         arg_min(l.l_extendedprice / l.l_quantity, (l.l_orderkey, l.l_linenumber, l.l_extendedprice / l.l_quantity)) AS "Open",
+         max(l.l_extendedprice / l.l_quantity) AS "High", min(l.l_extendedprice / l.l_quantity) AS "Low",
+         arg_max(l.l_extendedprice / l.l_quantity, (l.l_orderkey, l.l_linenumber, l.l_extendedprice / l.l_quantity)) AS "Close",
+         CAST(sum(l.l_quantity) AS BIGINT) AS "Volume"
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2)"""
+BRAND_NAMES = ["sma_20", "ema_12", "rsi_14", "macd_signal", "bb_upper", "volatility_20", "atr_14", "returns"]
+_BRAND_DIGITS = {n: 6 for n in BRAND_NAMES}
+
+
+def _brand_sql() -> str:
+    prefix, _ = S.features_sql(BRAND_NAMES, bars=BARS_LINEITEM)
+    return prefix + 'SELECT feat."Ticker", feat."Date", ' + ", ".join(
+        f"round(feat.{n}, 6) AS {n}" for n in BRAND_NAMES) + " FROM feat"
+
+
+@query("features_brands", _brand_sql())
+def features_brands(spark, sf_dir):
+    """Indicators over unit-price bars of every part brand (lineitem ⋈ part)."""
+    from ..sources.adapters import bars_from_lineitem
+    f = compute_features(bars_from_lineitem(spark, sf_dir), BRAND_NAMES)
+    return f.select("Ticker", "Date", *[F.round(n, 6).alias(n) for n in BRAND_NAMES])
