@@ -5,9 +5,9 @@ Two ways to fit:
 * pooled: one ``pyspark.ml`` Pipeline (VectorAssembler + estimator) over the
   rows of all selected tickers - MLlib distributes the fit;
 * per ticker, linear only: normal equations as ONE grouped aggregation
-  (sums of x_i x_j, x_i y, x_i, y and n per ticker, computed map-side), then
-  a (p+1)x(p+1) solve per ticker on the aggregated rows (tiny; one row per
-  ticker). No per-ticker driver loop, no per-ticker model objects.
+  (means and co-variances of x and y per ticker, merged map-side), then a
+  p x p solve per ticker on the aggregated rows (tiny; one row per ticker).
+  No per-ticker driver loop, no per-ticker model objects.
 """
 
 from __future__ import annotations
@@ -104,10 +104,31 @@ def deterministic_input(df: DataFrame, partitions: int) -> DataFrame:
     return df.repartition(partitions, "Ticker", "Date").sortWithinPartitions("Ticker", "Date")
 
 
+def mark_validation(train: DataFrame, fraction: float, col: str = "is_validation") -> DataFrame:
+    """Flag the chronologically last ``fraction`` of each ticker's training
+    rows as the validation set (windowed count and row number, one pass)."""
+    from pyspark.sql import Window
+    n = F.count(F.lit(1)).over(Window.partitionBy("Ticker"))
+    rn = F.row_number().over(Window.partitionBy("Ticker").orderBy("Date"))
+    return train.withColumn(col, rn > F.floor(n * F.lit(1.0 - fraction)))
+
+
 def fit(train: DataFrame, model_type: str, feature_cols: list[str], label: str = "target",
-        partitions: int | None = None, **params) -> PipelineModel:
-    data = train if partitions is None else deterministic_input(train, partitions)
-    return pipeline(model_type, feature_cols, label, **params).fit(data)
+        partitions: int | None = None, validation_fraction: float | None = None,
+        validation_tol: float = 0.01, **params) -> PipelineModel:
+    """Fit the pipeline. With ``validation_fraction`` (boosted trees only) the
+    last rows of each ticker's training span drive early stopping (X6)."""
+    p = pipeline(model_type, feature_cols, label, **params)
+    data = train
+    if validation_fraction:
+        est = p.getStages()[-1]
+        if not isinstance(est, GBTRegressor):
+            raise ValueError("validation_fraction applies to boosted-tree models")
+        est.setParams(validationIndicatorCol="is_validation", validationTol=validation_tol)
+        data = mark_validation(train, validation_fraction)
+    if partitions is not None:
+        data = deterministic_input(data, partitions)
+    return p.fit(data)
 
 
 def score(model: PipelineModel, df: DataFrame, feature_cols: list[str]) -> DataFrame:

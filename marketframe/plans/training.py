@@ -87,3 +87,42 @@ def predict_latest(bars: DataFrame, runlog: RunLog, run_id: str, n: int = 1,
     """P5: last n predictions per ticker, with indicators warmed up on history."""
     preds = predict(bars, runlog, run_id, tickers, feature_names, warmup="history")
     return SC.latest(preds, n)
+
+
+# ---- X7: a training job from a configuration mapping ------------------------------------------
+
+CONFIG_KEYS = ("model_type", "features", "model_params", "target", "lookback_days", "test_size",
+               "start_date", "end_date", "tickers", "run_name", "validation_fraction")
+
+
+def train_from_config(bars: DataFrame, config: dict, runlog: RunLog | None = None) -> dict:
+    """Run :func:`train` from a mapping (e.g. a parsed YAML/JSON job file).
+
+    Accepts ``{"model": {"type", "params"}, "data": {...}, "features": [...]}``
+    nesting or flat keys; unknown keys raise ``ValueError``.
+    """
+    flat = dict(config)
+    model = flat.pop("model", None)
+    if isinstance(model, dict):
+        flat.setdefault("model_type", model.get("type"))
+        flat.setdefault("model_params", model.get("params", {}))
+    data = flat.pop("data", None)
+    if isinstance(data, dict):
+        for k, v in data.items():
+            flat.setdefault(k, v)
+    if "ticker" in flat:
+        t = flat.pop("ticker")
+        flat.setdefault("tickers", [t] if isinstance(t, str) else t)
+    unknown = set(flat) - set(CONFIG_KEYS)
+    if unknown:
+        raise ValueError(f"unknown config keys: {sorted(unknown)}")
+    if not flat.get("model_type") or not flat.get("features"):
+        raise ValueError("config needs model type and features")
+    params = dict(flat.get("model_params") or {})
+    if flat.get("validation_fraction"):
+        params["validation_fraction"] = flat["validation_fraction"]
+    return train(bars, flat["model_type"], list(flat["features"]), params,
+                 target=flat.get("target", "returns"), lookback=int(flat.get("lookback_days", 1)),
+                 test_size=float(flat.get("test_size", 0.2)), start=flat.get("start_date"),
+                 end=flat.get("end_date"), tickers=flat.get("tickers"), run_name=flat.get("run_name"),
+                 runlog=runlog)

@@ -113,3 +113,18 @@ def test_train_log_predict_latest(spark, tmp):
         log.params("missing")
     with pytest.raises(ValueError, match="Model not found"):
         log.load_model("missing")
+
+
+def test_validation_fraction_and_config(spark):
+    b = ramp(spark, 200)
+    m = MO.mark_validation(DS.prepare(b, ["sma_20"]).frame, 0.25)
+    assert m.where("is_validation").count() == 45
+    s = TR.train_from_config(b, {"model": {"type": "xgboost", "params": {"n_estimators": 5, "max_depth": 2}},
+                                 "features": ["sma_20", "rsi_14"], "data": {"test_size": 0.25},
+                                 "validation_fraction": 0.2})
+    assert s["params"]["n_test_samples"] == 45 and s["model_type"] == "xgboost"
+    with pytest.raises(ValueError, match="unknown config keys"):
+        TR.train_from_config(b, {"model_type": "xgboost", "features": ["sma_20"], "colour": "red"})
+    with pytest.raises(ValueError, match="boosted-tree"):
+        TR.train_from_config(b, {"model_type": "linear_regression", "features": ["sma_20"],
+                                 "validation_fraction": 0.1})
