@@ -76,9 +76,30 @@ def choose_block(qs: list[float], block: int | None = None) -> list[tuple[int, l
     return out
 
 
+def common_block(qs: list[float], block: int | None = None) -> int | None:
+    """One block size admissible for every ratio in ``qs`` (None if there is none).
+
+    With a shared block size, all recurrences of a feature set - and every
+    other window of it - can be ordered by (block, index): one sort.
+    """
+    qs = [q for q in qs if q > 0.0]
+    if not qs:
+        return None
+    ranges = [block_range(q) for q in qs]
+    lo, hi = max(r[0] for r in ranges), min(r[1] for r in ranges)
+    if lo > hi:
+        return None
+    return hi if block is None else min(max(block, lo), hi)
+
+
 def linear_scan(df: DataFrame, recs: list[Recurrence], *, index: str = "_i",
-                part: str = TICKER, block: int | None = None) -> DataFrame:
-    """Add one column per recurrence. ``index`` is 0..n-1, contiguous per ``part``."""
+                part: str = TICKER, block: int | None = None, blk_col: str | None = None) -> DataFrame:
+    """Add one column per recurrence. ``index`` is 0..n-1, contiguous per ``part``.
+
+    With ``blk_col`` the caller has already cut the series into blocks of
+    ``block`` rows (column = index div block) and ordered its own windows by
+    (blk_col, index); every recurrence then shares that block size.
+    """
     if not recs:
         return df
     for r in recs:
@@ -90,6 +111,13 @@ def linear_scan(df: DataFrame, recs: list[Recurrence], *, index: str = "_i",
     if trivial:
         df = df.select("*", *[r.u.alias(r.out) for r in trivial])
         keep += [r.out for r in trivial]
+    if blk_col is not None:
+        if block is None or common_block([r.q for r in scans], block) != block:
+            raise ValueError("blk_col needs a block size admissible for every recurrence")
+        if scans:
+            df = _scan_pass(df, scans, index, part, block, blk_col)
+            keep += [r.out for r in scans]
+        return df.select(*keep)
     for b, members in choose_block([r.q for r in scans], block):
         group = [scans[k] for k in members]
         df = _scan_pass(df, group, index, part, b)
@@ -97,11 +125,15 @@ def linear_scan(df: DataFrame, recs: list[Recurrence], *, index: str = "_i",
     return df.select(*keep)
 
 
-def _scan_pass(df: DataFrame, recs: list[Recurrence], index: str, part: str, b: int) -> DataFrame:
+def _scan_pass(df: DataFrame, recs: list[Recurrence], index: str, part: str, b: int,
+               blk_col: str | None = None) -> DataFrame:
     i = F.col(index)
-    blk = F.floor(i / F.lit(b)).cast("long")
-    d = df.select("*", *[r.u.cast("double").alias(f"_u_{r.out}") for r in recs]) \
-          .withColumn("_blk", blk).withColumn("_j", i - F.col("_blk") * F.lit(b))
+    d = df.select("*", *[r.u.cast("double").alias(f"_u_{r.out}") for r in recs])
+    if blk_col is None:
+        d = d.withColumn("_blk", F.floor(i / F.lit(b)).cast("long"))
+    elif blk_col != "_blk":
+        d = d.withColumn("_blk", F.col(blk_col))
+    d = d.withColumn("_j", i - F.col("_blk") * F.lit(b))
     j = F.col("_j")
     in_block = Window.partitionBy(part, "_blk").orderBy(index) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions import indicators as ind
 from ..functions.indicators import Ctx
-from ..functions.scan import linear_scan
+from ..functions.scan import common_block, linear_scan
 from ..functions.windows import by_ticker, row_index
 from ..schema import BAR_COLUMNS, OHLCV_COLUMNS, require_columns
 
@@ -167,14 +167,41 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
     names = list(reg.list_features() if feature_names is None else feature_names)
     keep = [c for c in keep if c not in ("Date", "Ticker")]
 
-    ctx = Ctx()
+    ctx, plain, recursive, series = _build(reg, names, ("Date",), on_error, warn=True)
+    qs = [r.q for _, r in ctx.recurrences.values()]
+    blocked = common_block(qs, block)
+    if blocked is not None:
+        # one block size fits every recurrence: order all windows by (block, row)
+        # so that the plain windows, both scan passes and the seeds share one sort
+        ctx, plain, recursive, series = _build(reg, names, ("_blk", "_i"), on_error, warn=False)
+
+    src = bars.select(*[c for c in dict.fromkeys((*BAR_COLUMNS, *keep)) if c in bars.columns])
+    try:
+        df = _assemble(src, ctx, plain, recursive, keep, block, blocked)
+        df.schema  # analysis only, no job
+    except AnalysisException:
+        if on_error == "raise":
+            raise
+        plain, recursive = _drop_failing(src, ctx, plain, recursive, keep, block, blocked)
+        df = _assemble(src, ctx, plain, recursive, keep, block, blocked)
+    if series:
+        df = _join_series(df, src, series)
+    order = [n for n in names if n in df.columns] + \
+        [c for c in df.columns if c not in names and c not in ("Date", "Ticker", *keep)]
+    return df.select("Date", "Ticker", *keep, *order)
+
+
+def _build(reg, names, order, on_error, warn):
+    """Call the builders of ``names`` against a fresh context."""
+    ctx = Ctx(order=order)
     plain: dict[str, Column] = {}
     recursive: dict[str, Column] = {}
     series: dict[str, SeriesFeature] = {}
     for name in names:
         func = reg.get(name)
         if func is None:
-            warnings.warn(f"Feature {name} not found, skipping", stacklevel=2)
+            if warn:
+                warnings.warn(f"Feature {name} not found, skipping", stacklevel=3)
             continue
         if isinstance(func, SeriesFeature):
             series[name] = func
@@ -185,7 +212,8 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
         except Exception as e:  # noqa: BLE001 - a bad builder must not stop the others
             if on_error == "raise":
                 raise
-            log.error("Error computing feature %s: %s", name, e)
+            if warn:
+                log.error("Error computing feature %s: %s", name, e)
             continue
         target = recursive if ctx.level > 0 else plain
         if isinstance(out, dict):            # multi-output feature -> name_part columns
@@ -193,31 +221,22 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
                 target[f"{name}_{part}"] = col
         else:
             target[name] = out
-
-    src = bars.select(*[c for c in dict.fromkeys((*BAR_COLUMNS, *keep)) if c in bars.columns])
-    try:
-        df = _assemble(src, ctx, plain, recursive, keep, block)
-        df.schema  # analysis only, no job
-    except AnalysisException:
-        if on_error == "raise":
-            raise
-        plain, recursive = _drop_failing(src, ctx, plain, recursive, keep, block)
-        df = _assemble(src, ctx, plain, recursive, keep, block)
-    if series:
-        df = _join_series(df, src, series)
-    order = [n for n in names if n in df.columns] + \
-        [c for c in df.columns if c not in names and c not in ("Date", "Ticker", *keep)]
-    return df.select("Date", "Ticker", *keep, *order)
+    return ctx, plain, recursive, series
 
 
-def _assemble(src, ctx, plain, recursive, keep, block) -> DataFrame:
+def _assemble(src, ctx, plain, recursive, keep, block, blocked=None) -> DataFrame:
     df = src.select("*", row_index().alias("_i"))
+    if blocked is not None:
+        df = df.withColumn("_blk", F.floor(F.col("_i") / F.lit(blocked)).cast("long"))
     df = df.select("*", *[c.alias(n) for n, c in plain.items()])
     levels = sorted({lvl for lvl, _ in ctx.recurrences.values()})
     needed = _needed_recurrences(ctx, recursive)
     for lvl in levels:
         recs = [r for out, (lv, r) in ctx.recurrences.items() if lv == lvl and out in needed]
-        df = linear_scan(df, recs, block=block)
+        if blocked is not None:
+            df = linear_scan(df, recs, block=blocked, blk_col="_blk")
+        else:
+            df = linear_scan(df, recs, block=block)
     return df.select("Date", "Ticker", *keep, *plain.keys(),
                      *[c.alias(n) for n, c in recursive.items()])
 
@@ -229,17 +248,17 @@ def _needed_recurrences(ctx, recursive) -> set[str]:
     return set(ctx.recurrences) if recursive else set()
 
 
-def _drop_failing(src, ctx, plain, recursive, keep, block):
+def _drop_failing(src, ctx, plain, recursive, keep, block, blocked=None):
     ok_plain, ok_rec = {}, {}
     for name, col in plain.items():
         try:
-            _assemble(src, ctx, {name: col}, {}, keep, block).schema
+            _assemble(src, ctx, {name: col}, {}, keep, block, blocked).schema
             ok_plain[name] = col
         except AnalysisException as e:
             log.error("Error computing feature %s: %s", name, e)
     for name, col in recursive.items():
         try:
-            _assemble(src, ctx, {}, {name: col}, keep, block).schema
+            _assemble(src, ctx, {}, {name: col}, keep, block, blocked).schema
             ok_rec[name] = col
         except AnalysisException as e:
             log.error("Error computing feature %s: %s", name, e)
