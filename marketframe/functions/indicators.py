@@ -22,7 +22,7 @@ from .windows import TICKER
 class Ctx:
     """What a builder may use: bar columns, the row index, windows, recurrences."""
 
-    part: str = TICKER
+    part: tuple = (TICKER,)
     order: tuple = ("Date",)
     index: str = "_i"
     recurrences: dict = field(default_factory=dict)   # out name -> (level, Recurrence)
@@ -38,7 +38,7 @@ class Ctx:
 
     # --- windows -----------------------------------------------------------
     def w(self):
-        return Window.partitionBy(self.part).orderBy(*self.order)
+        return Window.partitionBy(*self.part).orderBy(*self.order)
 
     def trailing(self, n: int):
         return self.w().rowsBetween(-(n - 1), Window.currentRow)

@@ -93,7 +93,7 @@ def common_block(qs: list[float], block: int | None = None) -> int | None:
 
 
 def linear_scan(df: DataFrame, recs: list[Recurrence], *, index: str = "_i",
-                part: str = TICKER, block: int | None = None, blk_col: str | None = None) -> DataFrame:
+                part: str | tuple = TICKER, block: int | None = None, blk_col: str | None = None) -> DataFrame:
     """Add one column per recurrence. ``index`` is 0..n-1, contiguous per ``part``.
 
     With ``blk_col`` the caller has already cut the series into blocks of
@@ -135,9 +135,10 @@ def _scan_pass(df: DataFrame, recs: list[Recurrence], index: str, part: str, b:
         d = d.withColumn("_blk", F.col(blk_col))
     d = d.withColumn("_j", i - F.col("_blk") * F.lit(b))
     j = F.col("_j")
-    in_block = Window.partitionBy(part, "_blk").orderBy(index) \
+    parts = [part] if isinstance(part, str) else list(part)
+    in_block = Window.partitionBy(*parts, "_blk").orderBy(index) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(part).orderBy("_blk", index) \
+    before = Window.partitionBy(*parts).orderBy("_blk", index) \
         .rowsBetween(Window.unboundedPreceding, -1)
     locs = [
         (F.pow(F.lit(r.q), j) * F.sum(F.col(f"_u_{r.out}") * F.pow(F.lit(r.q), -j)).over(in_block))

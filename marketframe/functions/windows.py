@@ -17,21 +17,25 @@ TICKER = "Ticker"
 DATE = "Date"
 
 
-def by_ticker(part: str = TICKER, order: str = DATE) -> WindowSpec:
-    """w: every row of a ticker, in date order (default frame)."""
-    return Window.partitionBy(part).orderBy(order)
+def _cols(part) -> list[str]:
+    return [part] if isinstance(part, str) else list(part)
 
 
-def trailing(n: int, part: str = TICKER, order: str = DATE) -> WindowSpec:
+def by_ticker(part: str | tuple = TICKER, order: str = DATE) -> WindowSpec:
+    """w: every row of a ticker (or of a ticker and a tag), in date order."""
+    return Window.partitionBy(*_cols(part)).orderBy(order)
+
+
+def trailing(n: int, part: str | tuple = TICKER, order: str = DATE) -> WindowSpec:
     """wN: the current row and the n-1 rows before it."""
     return by_ticker(part, order).rowsBetween(-(n - 1), Window.currentRow)
 
 
-def running(part: str = TICKER, order: str = DATE) -> WindowSpec:
+def running(part: str | tuple = TICKER, order: str = DATE) -> WindowSpec:
     return by_ticker(part, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def row_index(part: str = TICKER, order: str = DATE) -> Column:
+def row_index(part: str | tuple = TICKER, order: str = DATE) -> Column:
     """0-based position of the row in its ticker's series."""
     return F.row_number().over(by_ticker(part, order)) - 1
 

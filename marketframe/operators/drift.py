@@ -15,36 +15,29 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import compute_for_range
+from .features import compute_features, compute_for_range
 
 EPS = 1e-6            # fixed value: "near zero" threshold and percentile guard
 QS = (0.25, 0.5, 0.75)
 
 
-def _long(features: DataFrame, names: list[str], period: str) -> DataFrame:
+def _long(features: DataFrame, names: list[str], period: str | None = None) -> DataFrame:
+    """(Ticker, period, feature, value) rows without nulls/NaN. ``period`` tags an
+    untagged frame; otherwise the frame's own ``period`` column is used."""
     present = [n for n in names if n in features.columns]
     if not present:
         return None
-    long = features.select("Ticker", "Date", *[F.col(n).cast("double").alias(n) for n in present]) \
-        .unpivot(["Ticker", "Date"], present, "feature", "value")
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value")) \
-        .withColumn("period", F.lit(period))
+    tag = F.lit(period) if period is not None else F.col("period")
+    long = features.select("Ticker", tag.alias("period"), *[F.col(n).cast("double").alias(n) for n in present]) \
+        .unpivot(["Ticker", "period"], present, "feature", "value")
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def _when(period: str) -> Column:
     return F.when(F.col("period") == period, F.col("value"))
 
 
-def profile(ref: DataFrame, cur: DataFrame, names: Iterable[str], exact: bool = True) -> DataFrame:
-    """Per (Ticker, feature): count, mean, sample std and quartiles of each period.
-
-    Features absent or empty in either period are left out (as in the reference).
-    """
-    names = list(names)
-    parts = [p for p in (_long(ref, names, "ref"), _long(cur, names, "cur")) if p is not None]
-    if len(parts) < 2:
-        return None
-    long = parts[0].unionByName(parts[1])
+def _profile_long(long: DataFrame, exact: bool) -> DataFrame:
     pct = (lambda c: F.percentile(c, list(QS))) if exact else \
         (lambda c: F.percentile_approx(c, list(QS), 10000))
     aggs = []
@@ -56,6 +49,24 @@ def profile(ref: DataFrame, cur: DataFrame, names: Iterable[str], exact: bool =
     return g.where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
 
 
+def profile(ref: DataFrame, cur: DataFrame, names: Iterable[str], exact: bool = True) -> DataFrame:
+    """Per (Ticker, feature): count, mean, sample std and quartiles of each period.
+
+    Features absent or empty in either period are left out (as in the reference).
+    """
+    names = list(names)
+    parts = [p for p in (_long(ref, names, "ref"), _long(cur, names, "cur")) if p is not None]
+    if len(parts) < 2:
+        return None
+    return _profile_long(parts[0].unionByName(parts[1]), exact)
+
+
+def profile_tagged(features: DataFrame, names: Iterable[str], exact: bool = True) -> DataFrame:
+    """D1 on one feature frame holding both periods (column ``period``)."""
+    long = _long(features, list(names))
+    return None if long is None else _profile_long(long, exact)
+
+
 def _shift(cur: Column, ref: Column) -> Column:
     """abs((cur - ref) / ref) when |ref| > EPS, else abs(cur - ref)."""
     return F.when(F.abs(ref) > EPS, F.abs((cur - ref) / ref)).otherwise(F.abs(cur - ref))
@@ -119,13 +130,34 @@ def flagged(rep: DataFrame) -> DataFrame:
     )
 
 
+def periods(bars: DataFrame, ref: tuple[str, str], cur: tuple[str, str],
+            tickers: Iterable[str] | None = None) -> DataFrame:
+    """Bars of both periods stacked, tagged ``period`` in {ref, cur}. Periods may
+    overlap: a day in both appears once per period."""
+    from ..sources.readers import date_range
+    b = bars if tickers is None else bars.where(F.col("Ticker").isin(list(tickers)))
+    return date_range(b, *ref).withColumn("period", F.lit("ref")) \
+        .unionByName(date_range(b, *cur).withColumn("period", F.lit("cur")))
+
+
 def detect(bars: DataFrame, names: list[str], ref_start: str, ref_end: str, cur_start: str, cur_end: str,
            threshold: float = 0.05, tickers: Iterable[str] | None = None, warmup: str = "slice",
            exact: bool = True, **kw) -> tuple[DataFrame, DataFrame]:
-    """Full drift check for all (or the given) tickers: (report, summary)."""
-    ref = compute_for_range(bars, tickers, ref_start, ref_end, names, warmup=warmup, **kw)
-    cur = compute_for_range(bars, tickers, cur_start, cur_end, names, warmup=warmup, **kw)
-    prof = profile(ref, cur, names, exact=exact)
+    """Full drift check for all (or the given) tickers: (report, summary).
+
+    With the reference's slice warm-up, both periods go through ONE feature
+    plan keyed by (Ticker, period), so each period warms up on its own rows
+    and the bars are shuffled once. ``warmup="history"`` computes features on
+    the whole history once and cuts both periods from it.
+    """
+    if warmup == "slice":
+        feats = compute_features(periods(bars, (ref_start, ref_end), (cur_start, cur_end), tickers),
+                                 names, by=("Ticker", "period"), **kw)
+    else:
+        end = max(ref_end, cur_end)
+        full = compute_for_range(bars, tickers, None, end, names, warmup="history", **kw)
+        feats = periods(full, (ref_start, ref_end), (cur_start, cur_end))
+    prof = profile_tagged(feats, names, exact=exact)
     rep = report(prof, threshold)
     t = bars if tickers is None else bars.where(F.col("Ticker").isin(list(tickers)))
     return rep, summary(rep, t.select("Ticker").distinct())

@@ -154,46 +154,54 @@ def group(name: str) -> list[str]:
 
 def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None, *,
                      registry: FeatureRegistry | None = None, keep: Iterable[str] = (),
-                     on_error: str = "skip", block: int | None = None) -> DataFrame:
+                     on_error: str = "skip", block: int | None = None,
+                     by: Iterable[str] = ("Ticker",)) -> DataFrame:
     """Date, Ticker (+ ``keep``) and one column per feature, all tickers, one plan.
 
     Unknown names are skipped with a warning; a builder that fails (or whose
     expression does not analyse) is dropped when ``on_error="skip"`` and
-    raises when ``on_error="raise"``. Row count is preserved.
+    raises when ``on_error="raise"``. Row count is preserved. ``by`` is the
+    series key (Ticker, optionally with a tag such as a period: each tagged
+    copy of a ticker's bars is then an independent series in the same plan).
     """
     require_columns(bars, OHLCV_COLUMNS)
     require_columns(bars, ("Date", "Ticker"))
     reg = registry or get_registry()
     names = list(reg.list_features() if feature_names is None else feature_names)
-    keep = [c for c in keep if c not in ("Date", "Ticker")]
+    by = tuple(by)
+    if by[0] != "Ticker":
+        raise ValueError("series key must start with Ticker")
+    keep = [c for c in dict.fromkeys((*by[1:], *keep)) if c not in ("Date", "Ticker")]
 
-    ctx, plain, recursive, series = _build(reg, names, ("Date",), on_error, warn=True)
+    ctx, plain, recursive, series = _build(reg, names, ("Date",), on_error, warn=True, by=by)
     qs = [r.q for _, r in ctx.recurrences.values()]
     blocked = common_block(qs, block)
     if blocked is not None:
         # one block size fits every recurrence: order all windows by (block, row)
         # so that the plain windows, both scan passes and the seeds share one sort
-        ctx, plain, recursive, series = _build(reg, names, ("_blk", "_i"), on_error, warn=False)
+        ctx, plain, recursive, series = _build(reg, names, ("_blk", "_i"), on_error, warn=False, by=by)
 
     src = bars.select(*[c for c in dict.fromkeys((*BAR_COLUMNS, *keep)) if c in bars.columns])
     try:
-        df = _assemble(src, ctx, plain, recursive, keep, block, blocked)
+        df = _assemble(src, ctx, plain, recursive, keep, block, blocked, by)
         df.schema  # analysis only, no job
     except AnalysisException:
         if on_error == "raise":
             raise
-        plain, recursive = _drop_failing(src, ctx, plain, recursive, keep, block, blocked)
-        df = _assemble(src, ctx, plain, recursive, keep, block, blocked)
+        plain, recursive = _drop_failing(src, ctx, plain, recursive, keep, block, blocked, by)
+        df = _assemble(src, ctx, plain, recursive, keep, block, blocked, by)
     if series:
+        if len(by) > 1:
+            raise ValueError("per-ticker pandas features need by=('Ticker',)")
         df = _join_series(df, src, series)
     order = [n for n in names if n in df.columns] + \
         [c for c in df.columns if c not in names and c not in ("Date", "Ticker", *keep)]
     return df.select("Date", "Ticker", *keep, *order)
 
 
-def _build(reg, names, order, on_error, warn):
+def _build(reg, names, order, on_error, warn, by=("Ticker",)):
     """Call the builders of ``names`` against a fresh context."""
-    ctx = Ctx(order=order)
+    ctx = Ctx(order=order, part=tuple(by))
     plain: dict[str, Column] = {}
     recursive: dict[str, Column] = {}
     series: dict[str, SeriesFeature] = {}
@@ -224,8 +232,8 @@ def _build(reg, names, order, on_error, warn):
     return ctx, plain, recursive, series
 
 
-def _assemble(src, ctx, plain, recursive, keep, block, blocked=None) -> DataFrame:
-    df = src.select("*", row_index().alias("_i"))
+def _assemble(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker",)) -> DataFrame:
+    df = src.select("*", row_index(tuple(by)).alias("_i"))
     if blocked is not None:
         df = df.withColumn("_blk", F.floor(F.col("_i") / F.lit(blocked)).cast("long"))
     df = df.select("*", *[c.alias(n) for n, c in plain.items()])
@@ -234,9 +242,9 @@ def _assemble(src, ctx, plain, recursive, keep, block, blocked=None) -> DataFram
     for lvl in levels:
         recs = [r for out, (lv, r) in ctx.recurrences.items() if lv == lvl and out in needed]
         if blocked is not None:
-            df = linear_scan(df, recs, block=blocked, blk_col="_blk")
+            df = linear_scan(df, recs, block=blocked, blk_col="_blk", part=tuple(by))
         else:
-            df = linear_scan(df, recs, block=block)
+            df = linear_scan(df, recs, block=block, part=tuple(by))
     return df.select("Date", "Ticker", *keep, *plain.keys(),
                      *[c.alias(n) for n, c in recursive.items()])
 
@@ -248,17 +256,17 @@ def _needed_recurrences(ctx, recursive) -> set[str]:
     return set(ctx.recurrences) if recursive else set()
 
 
-def _drop_failing(src, ctx, plain, recursive, keep, block, blocked=None):
+def _drop_failing(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker",)):
     ok_plain, ok_rec = {}, {}
     for name, col in plain.items():
         try:
-            _assemble(src, ctx, {name: col}, {}, keep, block, blocked).schema
+            _assemble(src, ctx, {name: col}, {}, keep, block, blocked, by).schema
             ok_plain[name] = col
         except AnalysisException as e:
             log.error("Error computing feature %s: %s", name, e)
     for name, col in recursive.items():
         try:
-            _assemble(src, ctx, {}, {name: col}, keep, block, blocked).schema
+            _assemble(src, ctx, {}, {name: col}, keep, block, blocked, by).schema
             ok_rec[name] = col
         except AnalysisException as e:
             log.error("Error computing feature %s: %s", name, e)

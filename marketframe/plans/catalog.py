@@ -736,10 +736,8 @@ rep AS (SELECT *, greatest(mean_shift, std_shift, percentile_shift) AS max_shift
     + " FROM prof2")
 def drift_profile(spark, sf_dir):
     """Per (Ticker, feature) count, mean, std and quartiles of both periods."""
-    b = bars(spark, sf_dir)
-    ref = FE.compute_for_range(b, None, *REF, DRIFT_NAMES)
-    cur = FE.compute_for_range(b, None, *CUR, DRIFT_NAMES)
-    p = DR.profile(ref, cur, DRIFT_NAMES)
+    feats = compute_features(DR.periods(bars(spark, sf_dir), REF, CUR), DRIFT_NAMES, by=("Ticker", "period"))
+    p = DR.profile_tagged(feats, DRIFT_NAMES)
     cols = []
     for per in ("ref", "cur"):
         cols += [_scaled(F.col(f"{per}_mean")).alias(f"{per}_mean"), _scaled(F.col(f"{per}_std")).alias(f"{per}_std")]
