@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,9 +193,98 @@ def ols_solve(stats: DataFrame, p: int, by: str = "Ticker") -> DataFrame:
     return stats.groupBy(by).applyInPandas(solve, schema)
 
 
+PINV_RCOND = 1e-15   # fixed value: relative cut-off of the pseudo-inverse (numpy's default)
+
+
+def _closed_form(p: int, n: Column, my: Column, mx: list[Column], cxx: dict, cxy: list[Column]):
+    """Intercept and slopes of OLS from moments, as Column expressions (p <= 2).
+
+    Same answer as ``solve`` / ``pinv`` on the p x p covariance system: the
+    inverse when the system is well conditioned, the pseudo-inverse (rank-1
+    part, or zero) when it is not.
+    """
+    if p == 1:
+        a = cxx[(0, 0)]
+        b0 = F.when(a > 0, cxy[0] / a).otherwise(F.lit(0.0))
+        return my - b0 * mx[0], [b0]
+    a, b, c = cxx[(0, 0)], cxx[(0, 1)], cxx[(1, 1)]
+    y0, y1 = cxy
+    disc = F.sqrt(((a - c) / 2.0) * ((a - c) / 2.0) + b * b)
+    lmax = (a + c) / 2.0 + disc                      # eigenvalues of the 2x2 covariance
+    det = a * c - b * b
+    lmin = F.when(lmax > 0, det / lmax)              # stable form of the small eigenvalue
+    full_rank = lmin > lmax * PINV_RCOND             # numpy: solve, or pinv inverting both
+    l2 = lmax * lmax
+    # rank one: pseudo-inverse = M / lmax^2; rank zero: 0
+    b0 = F.when(full_rank, (c * y0 - b * y1) / det).when(lmax > 0, (a * y0 + b * y1) / l2).otherwise(F.lit(0.0))
+    b1 = F.when(full_rank, (a * y1 - b * y0) / det).when(lmax > 0, (b * y0 + c * y1) / l2).otherwise(F.lit(0.0))
+    return my - (b0 * mx[0] + b1 * mx[1]), [b0, b1]
+
+
+def _moment_exprs(xs, y, agg_over=None):
+    """n, mean y, mean x_i, cov(x_i, x_j), cov(x_i, y) as aggregate Columns."""
+    o = (lambda c: c.over(agg_over)) if agg_over is not None else (lambda c: c)
+    p = len(xs)
+    n = o(F.count(y))
+    my = o(F.avg(y))
+    mx = [o(F.avg(x)) for x in xs]
+    cxx = {(i, j): o(F.covar_pop(xs[i], xs[j])) for i in range(p) for j in range(i, p)}
+    cxy = [o(F.covar_pop(x, y)) for x in xs]
+    return n, my, mx, cxx, cxy
+
+
 def ols_fit(df: DataFrame, feature_cols: list[str], label: str = "target", by: str = "Ticker") -> DataFrame:
-    """M1 per ticker: (Ticker, n, intercept, coef_0..coef_p-1)."""
-    return ols_solve(ols_stats(df, feature_cols, label, by), len(feature_cols), by)
+    """M1 per ticker: (Ticker, n, intercept, coef_0..coef_p-1).
+
+    One grouped aggregation of moments (partial aggregation map-side); up to
+    two features the solve is a column expression, beyond it a p x p numpy
+    solve on the one-row-per-ticker result.
+    """
+    p = len(feature_cols)
+    if p > 2:
+        return ols_solve(ols_stats(df, feature_cols, label, by), p, by)
+    xs = [F.col(c).cast("double") for c in feature_cols]
+    y = F.col(label).cast("double")
+    ok = y.isNotNull()
+    for x in xs:
+        ok = ok & x.isNotNull()
+    n, my, mx, cxx, cxy = _moment_exprs(xs, y)
+    names = ["n", "my"] + [f"mx_{i}" for i in range(p)] + [f"cxx_{i}_{j}" for (i, j) in cxx] + \
+        [f"cxy_{i}" for i in range(p)]
+    g = df.where(ok).groupBy(by).agg(*[e.alias(a) for e, a in zip([n, my, *mx, *cxx.values(), *cxy], names)])
+    icpt, coefs = _closed_form(p, F.col("n"), F.col("my"), [F.col(f"mx_{i}") for i in range(p)],
+                               {k: F.col(f"cxx_{k[0]}_{k[1]}") for k in cxx}, [F.col(f"cxy_{i}") for i in range(p)])
+    return g.select(by, "n", icpt.alias("intercept"), *[c.alias(f"coef_{i}") for i, c in enumerate(coefs)])
+
+
+def ols_fit_predict(df: DataFrame, feature_cols: list[str], fit_rows: Column, label: str = "target",
+                    by: str = "Ticker") -> DataFrame:
+    """Fit per ticker on the rows where ``fit_rows`` holds and predict every row.
+
+    Up to two features this is one pass: the moments are window aggregates
+    over the ticker partition (no join back, no second scan of the input),
+    the solve a column expression. More features: grouped fit + join.
+    Rows with a missing input get a null prediction.
+    """
+    p = len(feature_cols)
+    xs = [F.col(c).cast("double") for c in feature_cols]
+    if p > 2:
+        co = ols_fit(df.where(fit_rows), feature_cols, label, by)
+        return ols_predict(df, co, feature_cols, by)
+    y = F.col(label).cast("double")
+    ok = fit_rows & y.isNotNull()
+    for x in xs:
+        ok = ok & x.isNotNull()
+    fx = [F.when(ok, x) for x in xs]
+    fy = F.when(ok, y)
+    from pyspark.sql import Window
+    w = Window.partitionBy(by)
+    n, my, mx, cxx, cxy = _moment_exprs(fx, fy, agg_over=w)
+    icpt, coefs = _closed_form(p, n, my, mx, cxx, cxy)
+    pred = icpt
+    for c, x in zip(coefs, xs):
+        pred = pred + c * x
+    return df.withColumn("prediction", F.when(n > 0, pred))
 
 
 def ols_predict(df: DataFrame, coefs: DataFrame, feature_cols: list[str], by: str = "Ticker") -> DataFrame:

@@ -449,8 +449,8 @@ FROM pr GROUP BY 1, 2""").replace("co.coef_0 * tr.", "co.coef_0 * tr.").replace(
 def regression_metrics(spark, sf_dir):
     """MAE, MSE, RMSE, R² per (Ticker, split) of the per-ticker linear model."""
     df, cols = _ols_frame(spark, sf_dir)
-    co = MOD.ols_fit(df.where(F.col("split") == "train"), cols)
-    m = MET.regression_metrics(MOD.ols_predict(df, co, cols), by=("Ticker", "split"))
+    scored = MOD.ols_fit_predict(df, cols, F.col("split") == "train")
+    m = MET.regression_metrics(scored, by=("Ticker", "split"))
     return m.select("Ticker", "split", "n", *[F.round(c, 6).alias(c) for c in ("mae", "mse", "rmse", "r2")])
 
 
@@ -472,10 +472,12 @@ def business_day_shift(spark, sf_dir):
 
 
 def _predictions(spark, sf_dir):
-    df, cols = _ols_frame(spark, sf_dir)
-    co = MOD.ols_fit(df.where(F.col("split") == "train"), cols)
-    feats = compute_features(bars(spark, sf_dir), cols)
-    return SCO.dated_predictions(MOD.ols_predict(feats, co, cols), 1)
+    """Every feature row scored by its ticker's model, fitted on the train rows
+    of the same frame (one pass: flags instead of a filtered copy + join)."""
+    ts = DS.prepare(bars(spark, sf_dir), [OLS_X], "returns", 1, drop=False)
+    df = DS.split(ts.frame, TEST_SIZE, among="complete")
+    scored = MOD.ols_fit_predict(df, ts.feature_cols, F.col("split") == "train")
+    return SCO.dated_predictions(scored, 1)
 
 
 _PRED_SQL = _fix(_ols_sql_prefix() + f""", pr AS (SELECT feat."Ticker", feat."Date" AS feature_date,
@@ -514,8 +516,7 @@ FROM pr WHERE split = 'test' GROUP BY "Ticker\"""").replace('\n, pr AS', ',\npr
 def runs_compare(spark, sf_dir):
     """One run per ticker (per-ticker linear fits), test R² and RMSE side by side."""
     df, cols = _ols_frame(spark, sf_dir)
-    co = MOD.ols_fit(df.where(F.col("split") == "train"), cols)
-    m = MET.regression_metrics(MOD.ols_predict(df, co, cols), by=("Ticker", "split"))
+    m = MET.regression_metrics(MOD.ols_fit_predict(df, cols, F.col("split") == "train"), by=("Ticker", "split"))
     runs = m.where(F.col("split") == "test").select(
         F.concat("Ticker", F.lit("_linear_regression_returns")).alias("run_name"),
         F.create_map(F.lit("test_r2"), F.col("r2"), F.lit("test_rmse"), F.col("rmse")).alias("metrics"))

@@ -128,3 +128,22 @@ def test_validation_fraction_and_config(spark):
     with pytest.raises(ValueError, match="boosted-tree"):
         TR.train_from_config(b, {"model_type": "linear_regression", "features": ["sma_20"],
                                  "validation_fraction": 0.1})
+
+
+@pytest.mark.parametrize("p", [1, 2, 3])
+def test_ols_paths_agree_with_numpy(spark, p):
+    rng = np.random.default_rng(p)
+    n = 300
+    X = rng.normal(size=(n, p)) * [1.0, 50.0, 0.01][:p] + [3.0, -2.0, 100.0][:p]
+    y = X @ np.array([0.5, -0.02, 7.0][:p]) + rng.normal(size=n) * 0.1
+    pdf = pd.DataFrame(X, columns=[f"x{i}" for i in range(p)])
+    pdf["target"], pdf["Ticker"] = y, "T"
+    pdf["fit"] = np.arange(n) < 200
+    df = spark.createDataFrame(pdf)
+    cols = [f"x{i}" for i in range(p)]
+    A = np.c_[np.ones(200), X[:200]]
+    beta = np.linalg.lstsq(A, y[:200], rcond=None)[0]
+    co = MO.ols_fit(df.where("fit"), cols).collect()[0]
+    np.testing.assert_allclose([co.intercept, *[co[f"coef_{i}"] for i in range(p)]], beta, rtol=1e-8, atol=1e-10)
+    pred = MO.ols_fit_predict(df, cols, F.col("fit")).toPandas()
+    np.testing.assert_allclose(pred["prediction"], np.c_[np.ones(n), X] @ beta, rtol=1e-8, atol=1e-8)
