@@ -155,7 +155,7 @@ def group(name: str) -> list[str]:
 def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None, *,
                      registry: FeatureRegistry | None = None, keep: Iterable[str] = (),
                      on_error: str = "skip", block: int | None = None,
-                     by: Iterable[str] = ("Ticker",)) -> DataFrame:
+                     by: Iterable[str] = ("Ticker",), shared_order: bool = False) -> DataFrame:
     """Date, Ticker (+ ``keep``) and one column per feature, all tickers, one plan.
 
     Unknown names are skipped with a warning; a builder that fails (or whose
@@ -163,6 +163,12 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
     raises when ``on_error="raise"``. Row count is preserved. ``by`` is the
     series key (Ticker, optionally with a tag such as a period: each tagged
     copy of a ticker's bars is then an independent series in the same plan).
+
+    ``shared_order=True`` orders every window by (block, row) so the whole
+    feature set needs two sorts instead of up to four; measured on local[8]
+    with in-memory partitions it was ~15% slower than date order (the extra
+    sorts are cheaper than two-key window ordering there), so it is meant for
+    partitions large enough to spill, where each avoided sort is a disk pass.
     """
     require_columns(bars, OHLCV_COLUMNS)
     require_columns(bars, ("Date", "Ticker"))
@@ -175,7 +181,7 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
 
     ctx, plain, recursive, series = _build(reg, names, ("Date",), on_error, warn=True, by=by)
     qs = [r.q for _, r in ctx.recurrences.values()]
-    blocked = common_block(qs, block)
+    blocked = common_block(qs, block) if shared_order else None
     if blocked is not None:
         # one block size fits every recurrence: order all windows by (block, row)
         # so that the plain windows, both scan passes and the seeds share one sort

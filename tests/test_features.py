@@ -232,3 +232,12 @@ def test_min_rows_and_fill(spark):
     assert fm["sma_20"].notna().all()
     with pytest.raises(ValueError):
         FE.fill_missing(f, "sideways")
+
+
+def test_shared_order_same_values(spark):
+    b = bars_from_orders(spark, SF001)
+    names = ["sma_20", "ema_12", "rsi_14", "macd_signal", "atr_14"]
+    a = compute_features(b, names).orderBy("Ticker", "Date").toPandas()
+    s = compute_features(b, names, shared_order=True).orderBy("Ticker", "Date").toPandas()
+    for c in names:
+        np.testing.assert_allclose(a[c], s[c], rtol=1e-11, atol=1e-6, err_msg=c)
