@@ -90,7 +90,7 @@ MODELS.register("random_forest", _forest)
 MODELS.register("linear_regression", _linear)
 
 
-def pipeline(model_type: str, feature_cols: list[str], label: str = "target", **params) -> Pipeline:
+def estimator_pipeline(model_type: str, feature_cols: list[str], label: str = "target", **params) -> Pipeline:
     est = MODELS.create(model_type, **params)
     est = est.setFeaturesCol("features").setLabelCol(label).setPredictionCol("prediction")
     return Pipeline(stages=[VectorAssembler(inputCols=feature_cols, outputCol="features",
@@ -118,7 +118,7 @@ def fit(train: DataFrame, model_type: str, feature_cols: list[str], label: str =
         validation_tol: float = 0.01, **params) -> PipelineModel:
     """Fit the pipeline. With ``validation_fraction`` (boosted trees only) the
     last rows of each ticker's training span drive early stopping (X6)."""
-    p = pipeline(model_type, feature_cols, label, **params)
+    p = estimator_pipeline(model_type, feature_cols, label, **params)
     data = train
     if validation_fraction:
         est = p.getStages()[-1]
