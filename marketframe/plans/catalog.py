@@ -908,13 +908,13 @@ BARS_LINEITEM = """bars AS (
          CAST(sum(l.l_quantity) AS BIGINT) AS "Volume"
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2)"""
 BRAND_NAMES = ["sma_20", "ema_12", "rsi_14", "macd_signal", "bb_upper", "volatility_20", "atr_14", "returns"]
-_BRAND_DIGITS = {n: 6 for n in BRAND_NAMES}
+BRAND_DIGITS = 4   # unit prices in currency: 1/100 of a cent
 
 
 def _brand_sql() -> str:
     prefix, _ = S.features_sql(BRAND_NAMES, bars=BARS_LINEITEM)
     return prefix + 'SELECT feat."Ticker", feat."Date", ' + ", ".join(
-        f"round(feat.{n}, 6) AS {n}" for n in BRAND_NAMES) + " FROM feat"
+        f"round(feat.{n}, {BRAND_DIGITS}) AS {n}" for n in BRAND_NAMES) + " FROM feat"
 
 
 @query("features_brands", _brand_sql())
@@ -922,4 +922,4 @@ def features_brands(spark, sf_dir):
     """Indicators over unit-price bars of every part brand (lineitem ⋈ part)."""
     from ..sources.adapters import bars_from_lineitem
     f = compute_features(bars_from_lineitem(spark, sf_dir), BRAND_NAMES)
-    return f.select("Ticker", "Date", *[F.round(n, 6).alias(n) for n in BRAND_NAMES])
+    return f.select("Ticker", "Date", *[F.round(n, BRAND_DIGITS).alias(n) for n in BRAND_NAMES])

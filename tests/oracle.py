@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import sys
 import time
 
@@ -76,7 +77,7 @@ def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
     return res
 
 
-def main(keys=None, sf_dir="/root/testdata/sf0.01"):
+def main(keys=None, sf_dir=os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")):
     sys.path.insert(0, "/root/repo")
     import __spark_entry__ as E
     from marketframe.session import local_session
