@@ -28,23 +28,36 @@ class Ctx:
     recurrences: dict = field(default_factory=dict)   # out name -> (level, Recurrence)
     level: int = 0                                      # highest recurrence level used so far
 
+    memo: dict = field(default_factory=dict)          # shared Column / WindowSpec objects
+
+    def _m(self, key, make):
+        """Build each distinct expression once: every Column or WindowSpec is a
+        JVM object, and feature sets reuse the same ones many times."""
+        if key not in self.memo:
+            self.memo[key] = make()
+        return self.memo[key]
+
     # --- columns -----------------------------------------------------------
     def c(self, name: str) -> Column:
-        return F.col(name)
+        return self._m(("col", name), lambda: F.col(name))
 
     @property
     def i(self) -> Column:
-        return F.col(self.index)
+        return self.c(self.index)
 
     # --- windows -----------------------------------------------------------
     def w(self):
-        return Window.partitionBy(*self.part).orderBy(*self.order)
+        return self._m(("w",), lambda: Window.partitionBy(*self.part).orderBy(*self.order))
 
     def trailing(self, n: int):
-        return self.w().rowsBetween(-(n - 1), Window.currentRow)
+        return self._m(("trail", n), lambda: self.w().rowsBetween(-(n - 1), Window.currentRow))
+
+    def lag(self, col: str, k: int = 1) -> Column:
+        return self._m(("lag", col, k), lambda: F.lag(col, k).over(self.w()))
 
-    def lag(self, col: Column | str, k: int = 1) -> Column:
-        return F.lag(col, k).over(self.w())
+    def rolling(self, fn: str, col: str, n: int) -> Column:
+        """Trailing aggregate ``fn`` (avg, stddev_pop, ...) of a bar column over n rows."""
+        return self._m(("roll", fn, col, n), lambda: getattr(F, fn)(self.c(col)).over(self.trailing(n)))
 
     def guard(self, first_row: int, value: Column) -> Column:
         """Null before ``first_row`` (0-based): the warm-up rule."""
@@ -90,7 +103,7 @@ def _wilder(ctx: Ctx, key: str, x: Column, n: int) -> Column:
 
 def sma(n: int, col: str = "Close"):
     def build(ctx: Ctx) -> Column:
-        return ctx.guard(n - 1, F.avg(ctx.c(col)).over(ctx.trailing(n)))
+        return ctx.guard(n - 1, ctx.rolling("avg", col, n))
     return build
 
 
@@ -141,11 +154,10 @@ def rsi(n: int = 14):
 
 def _bands(n: int, k: float, sign: int):
     def build(ctx: Ctx) -> Column:
-        w = ctx.trailing(n)
-        mid = F.avg(ctx.c("Close")).over(w)
+        mid = ctx.rolling("avg", "Close", n)
         if sign == 0:
             return ctx.guard(n - 1, mid)
-        return ctx.guard(n - 1, mid + sign * k * F.stddev_pop(ctx.c("Close")).over(w))
+        return ctx.guard(n - 1, mid + sign * k * ctx.rolling("stddev_pop", "Close", n))
     return build
 
 
@@ -191,7 +203,7 @@ def ratio(num: str, den: str):
 
 def volatility(n: int = 20, col: str = "Close"):
     def build(ctx: Ctx) -> Column:
-        return ctx.guard(n - 1, F.stddev_samp(ctx.c(col)).over(ctx.trailing(n)))
+        return ctx.guard(n - 1, ctx.rolling("stddev_samp", col, n))
     return build
 
 

@@ -128,12 +128,10 @@ def linear_scan(df: DataFrame, recs: list[Recurrence], *, index: str = "_i",
 def _scan_pass(df: DataFrame, recs: list[Recurrence], index: str, part: str, b: int,
                blk_col: str | None = None) -> DataFrame:
     i = F.col(index)
-    d = df.select("*", *[r.u.cast("double").alias(f"_u_{r.out}") for r in recs])
-    if blk_col is None:
-        d = d.withColumn("_blk", F.floor(i / F.lit(b)).cast("long"))
-    elif blk_col != "_blk":
-        d = d.withColumn("_blk", F.col(blk_col))
-    d = d.withColumn("_j", i - F.col("_blk") * F.lit(b))
+    blk = F.floor(i / F.lit(b)).cast("long") if blk_col is None else F.col(blk_col)
+    extra = [] if blk_col == "_blk" else [blk.alias("_blk")]
+    d = df.select("*", *[r.u.cast("double").alias(f"_u_{r.out}") for r in recs], *extra,
+                  (i - blk * F.lit(b)).alias("_j"))
     j = F.col("_j")
     parts = [part] if isinstance(part, str) else list(part)
     in_block = Window.partitionBy(*parts, "_blk").orderBy(index) \
