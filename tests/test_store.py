@@ -136,3 +136,18 @@ def test_stream_equals_batch(spark, tmp):
     batch = C.bars_upsert(spark, SF001)
     assert stream.count() == batch.count()
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
+
+
+def test_stream_repeat_is_noop_and_new_landing_applies(spark, tmp):
+    from marketframe.streaming.ingest_stream import run_available
+    land, store, ck = f"{tmp}/landing", f"{tmp}/bars", f"{tmp}/ck"
+    bars_of(spark, aapl(3)).write.parquet(f"{land}/batch=0001")
+    run_available(spark, land, store, ck)
+    first = sorted(BarStore(spark, store).read().collect())
+    run_available(spark, land, store, ck)                      # nothing new landed
+    assert sorted(BarStore(spark, store).read().collect()) == first
+    fix = [(D(2024, 1, 3), "AAPL", 1.0, 2.0, 0.5, 1.5, 7), (D(2024, 1, 4), "AAPL", 2.0, 3.0, 1.5, 2.5, 8)]
+    bars_of(spark, fix).write.parquet(f"{land}/batch=0002")
+    run_available(spark, land, store, ck, rejected_path=f"{tmp}/rejected")
+    rows = {r.Date: r.Close for r in BarStore(spark, store).read().collect()}
+    assert rows == {D(2024, 1, 1): 100.5, D(2024, 1, 2): 101.5, D(2024, 1, 3): 1.5, D(2024, 1, 4): 2.5}
