@@ -63,8 +63,9 @@ class BarStore:
         if not B.duplicate_keys(batch).isEmpty():
             raise ValueError("duplicate (Ticker, Date) keys in batch")
         changed = B.upsert_result(self.read(), batch)
-        # one task per touched ticker partition: a ticker holds at most one row per day
-        (changed.repartition("Ticker").write.mode("overwrite")
+        # one task per touched ticker partition (a ticker holds at most one row
+        # per day); files sorted by Date so row-group statistics prune date ranges
+        (changed.repartition("Ticker").sortWithinPartitions("Ticker", "Date").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("Ticker").parquet(self.path))
         return n
 
@@ -141,7 +142,8 @@ class FeatureStore:
         key = ["Ticker", "Date", "feature"]
         touched = new.select("Ticker").distinct()
         kept = self._read().join(touched, "Ticker", "left_semi").join(new.select(*key), key, "left_anti")
-        (kept.unionByName(new).repartition("Ticker").write.mode("overwrite")
+        (kept.unionByName(new).repartition("Ticker").sortWithinPartitions("Ticker", "Date", "feature")
+         .write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("Ticker").parquet(self.path))
 
     def get(self, tickers: Iterable[str] | None, names: Iterable[str], start: str | None = None,
