@@ -41,8 +41,14 @@ class Ctx:
     def c(self, name: str) -> Column:
         return self._m(("col", name), lambda: F.col(name))
 
+    inline_index: bool = False                          # row index as a window expression
+
     @property
     def i(self) -> Column:
+        """0-based row position. Inline (a row_number window of the same spec as
+        the other windows) in the first projection, the ``_i`` column after it."""
+        if self.inline_index:
+            return self._m(("rn",), lambda: F.row_number().over(self.w()) - 1)
         return self.c(self.index)
 
     # --- windows -----------------------------------------------------------

@@ -144,14 +144,11 @@ def _scan_pass(df: DataFrame, recs: list[Recurrence], index: str, part: str, b:
         for r in recs
     ]
     d = d.select("*", *locs)
-    ends = [
-        F.last(F.when(j == b - 1, F.col(f"_loc_{r.out}")), ignorenulls=True).over(before)
-        .alias(f"_end_{r.out}")
-        for r in recs
-    ]
-    d = d.select("*", *ends)
+    # value leaving the previous block, carried into this one (one projection:
+    # the window result is used inside the arithmetic directly)
     outs = [
-        (F.col(f"_loc_{r.out}") + F.pow(F.lit(r.q), j + 1) * F.coalesce(F.col(f"_end_{r.out}"), F.lit(0.0)))
+        (F.col(f"_loc_{r.out}") + F.pow(F.lit(r.q), j + 1) * F.coalesce(
+            F.last(F.when(j == b - 1, F.col(f"_loc_{r.out}")), ignorenulls=True).over(before), F.lit(0.0)))
         .alias(r.out)
         for r in recs
     ]

@@ -206,8 +206,13 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
 
 
 def _build(reg, names, order, on_error, warn, by=("Ticker",)):
-    """Call the builders of ``names`` against a fresh context."""
+    """Call the builders of ``names`` against a fresh context.
+
+    Plain (non-recursive) features are built with the row index inline so
+    they share the first projection with it; recursive ones refer to ``_i``.
+    """
     ctx = Ctx(order=order, part=tuple(by))
+    ictx = Ctx(order=order, part=tuple(by), inline_index=True) if order == ("Date",) else ctx
     plain: dict[str, Column] = {}
     recursive: dict[str, Column] = {}
     series: dict[str, SeriesFeature] = {}
@@ -221,15 +226,21 @@ def _build(reg, names, order, on_error, warn, by=("Ticker",)):
             series[name] = func
             continue
         try:
-            ctx.level = 0
-            out = func(ctx)
+            ictx.level = 0
+            if ictx is not ctx:
+                ictx.recurrences = {}
+            out = func(ictx)
+            is_recursive = ictx.level > 0
+            if is_recursive and ictx is not ctx:      # rebuild on the ``_i`` column
+                ctx.level = 0
+                out = func(ctx)
         except Exception as e:  # noqa: BLE001 - a bad builder must not stop the others
             if on_error == "raise":
                 raise
             if warn:
                 log.error("Error computing feature %s: %s", name, e)
             continue
-        target = recursive if ctx.level > 0 else plain
+        target = recursive if is_recursive else plain
         if isinstance(out, dict):            # multi-output feature -> name_part columns
             for part, col in out.items():
                 target[f"{name}_{part}"] = col
@@ -239,10 +250,15 @@ def _build(reg, names, order, on_error, warn, by=("Ticker",)):
 
 
 def _assemble(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker",)) -> DataFrame:
-    df = src.select("*", row_index(tuple(by)).alias("_i"))
-    if blocked is not None:
-        df = df.withColumn("_blk", F.floor(F.col("_i") / F.lit(blocked)).cast("long"))
-    df = df.select("*", *[c.alias(n) for n, c in plain.items()])
+    if blocked is not None or not plain:
+        df = src.select("*", row_index(tuple(by)).alias("_i"))
+        if blocked is not None:
+            df = df.withColumn("_blk", F.floor(F.col("_i") / F.lit(blocked)).cast("long"))
+        df = df.select("*", *[c.alias(n) for n, c in plain.items()])
+    else:
+        # plain features were built with an inline row index: one projection
+        # computes the index and every plain window of the same spec
+        df = src.select("*", row_index(tuple(by)).alias("_i"), *[c.alias(n) for n, c in plain.items()])
     levels = sorted({lvl for lvl, _ in ctx.recurrences.values()})
     needed = _needed_recurrences(ctx, recursive)
     for lvl in levels:
