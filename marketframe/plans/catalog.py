@@ -749,7 +749,7 @@ def drift_profile(spark, sf_dir):
 @query("drift_report", _drift_sql_prefix() + f"""SELECT "Ticker", feature, round(mean_shift, 6) AS mean_shift,
   round(std_shift, 6) AS std_shift, round(percentile_shift, 6) AS percentile_shift, round(max_shift, 6) AS max_shift,
   drift_detected, {_scaled_sql("reference_mean")} AS reference_mean, {_scaled_sql("current_mean")} AS current_mean,
-  {_scaled_sql("reference_std")} AS reference_std, {_scaled_sql("current_std")} AS current_std, {THRESHOLD} AS threshold
+  {_scaled_sql("reference_std")} AS reference_std, {_scaled_sql("current_std")} AS current_std, CAST({THRESHOLD} AS DOUBLE) AS threshold
 FROM rep""")
 def drift_report(spark, sf_dir):
     """Shifts, max and the strict threshold flag per (Ticker, feature)."""
