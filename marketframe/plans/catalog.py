@@ -644,9 +644,9 @@ REC_NAMES = ["sma_20", "rsi_14", "returns"]
   MAP(['sma_20', 'rsi_14', 'returns'], [round(sma_20 / 100, 4), round(rsi_14, 4), round(returns, 8)]) AS features FROM feat""")
 def feature_records(spark, sf_dir):
     """One record per (Ticker, Date) with a feature -> value map (null when undefined)."""
+    from ..functions.records import feature_map
     f = compute_features(bars(spark, sf_dir), REC_NAMES)
-    shown_cols = [shown(n, F.col(n)) for n in REC_NAMES]
-    m = F.create_map(*[x for n, c in zip(REC_NAMES, shown_cols) for x in (F.lit(n), c)])
+    m = feature_map(REC_NAMES, {n: shown(n, F.col(n)) for n in REC_NAMES})
     return f.select("Ticker", "Date", m.alias("features"))
 
 

@@ -151,3 +151,16 @@ def test_stream_repeat_is_noop_and_new_landing_applies(spark, tmp):
     run_available(spark, land, store, ck, rejected_path=f"{tmp}/rejected")
     rows = {r.Date: r.Close for r in BarStore(spark, store).read().collect()}
     assert rows == {D(2024, 1, 1): 100.5, D(2024, 1, 2): 101.5, D(2024, 1, 3): 1.5, D(2024, 1, 4): 2.5}
+
+
+def test_record_shaping(spark):
+    from marketframe.functions.records import bar_records, feature_records, to_json_lines
+    b = bars_of(spark, aapl(3))
+    f = compute_features(b, ["sma_5", "returns"])
+    recs = feature_records(f, ["sma_5", "returns"]).orderBy("Date").collect()
+    assert recs[0].features == {"sma_5": None, "returns": None}
+    assert recs[1].features["returns"] == pytest.approx(101.5 / 100.5 - 1)
+    r = bar_records(b).collect()[0]
+    assert r["count"] == 3 and [x.Date for x in r.data] == [D(2024, 1, 1), D(2024, 1, 2), D(2024, 1, 3)]
+    line = to_json_lines(feature_records(f, ["returns"]).orderBy("Date")).collect()[1].value
+    assert '"returns":' in line and '"Ticker":"AAPL"' in line
