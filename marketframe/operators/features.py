@@ -259,10 +259,9 @@ def _assemble(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker
         # plain features were built with an inline row index: one projection
         # computes the index and every plain window of the same spec
         df = src.select("*", row_index(tuple(by)).alias("_i"), *[c.alias(n) for n, c in plain.items()])
-    levels = sorted({lvl for lvl, _ in ctx.recurrences.values()})
-    needed = _needed_recurrences(ctx, recursive)
+    levels = sorted({lvl for lvl, _ in ctx.recurrences.values()}) if recursive else []
     for lvl in levels:
-        recs = [r for out, (lv, r) in ctx.recurrences.items() if lv == lvl and out in needed]
+        recs = [r for lv, r in ctx.recurrences.values() if lv == lvl]
         if blocked is not None:
             df = linear_scan(df, recs, block=blocked, blk_col="_blk", part=tuple(by))
         else:
@@ -271,13 +270,6 @@ def _assemble(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker
                      *[c.alias(n) for n, c in recursive.items()])
 
 
-def _needed_recurrences(ctx, recursive) -> set[str]:
-    """Recurrences referenced by the requested features (directly or through
-    another recurrence). Builders are only called for requested names, so
-    every registered recurrence is needed unless a feature was dropped."""
-    return set(ctx.recurrences) if recursive else set()
-
-
 def _drop_failing(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker",)):
     ok_plain, ok_rec = {}, {}
     for name, col in plain.items():

@@ -10,8 +10,6 @@ half-written table. Nothing here collects data to the driver.
 from __future__ import annotations
 
 import datetime as dt
-import json
-import os
 import uuid
 from collections.abc import Iterable
 
@@ -20,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import bars as B
-from ..schema import BAR_COLUMNS, KEY, OHLCV, conform, require_columns
+from ..schema import BAR_COLUMNS, OHLCV, conform, require_columns
 from .readers import date_range
 
 
@@ -241,15 +239,7 @@ def compare_runs(runs: DataFrame) -> DataFrame:
                        F.col("metrics")["test_rmse"].alias("test_rmse")).orderBy(F.col("test_r2").desc_nulls_last())
 
 
-def params_to_json(params: dict) -> str:
-    return json.dumps(params, sort_keys=True, default=str)
-
-
 def feature_names_from_params(params: dict) -> list[str]:
     """Ordered ``feature_i`` entries of a run's params."""
     n = int(params.get("n_features", 0))
     return [params[f"feature_{i}"] for i in range(n)]
-
-
-__all__ = ["BarStore", "FeatureStore", "RunLog", "compare_runs", "to_long", "to_wide", "cache_key",
-           "feature_names_from_params", "KEY", "os"]
