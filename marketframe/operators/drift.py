@@ -95,8 +95,10 @@ def report(prof: DataFrame, threshold: float = 0.05) -> DataFrame:
 def summary(rep: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
     """Per ticker, any-drift flag and the "k/n features" message.
 
-    ``tickers`` (one column Ticker) lists the tickers asked about; those with
-    no profiled feature get "Insufficient data for drift detection".
+    ``tickers`` has one row per ticker asked about, with ``ref_rows`` and
+    ``cur_rows`` (bars in each period). A ticker with an empty period gets
+    "Insufficient data for drift detection"; one with rows in both periods
+    but no profiled feature is "No significant drift detected" with 0 features.
     """
     g = rep.groupBy("Ticker").agg(
         F.bool_or("drift_detected").alias("drift_detected"),
@@ -110,15 +112,26 @@ def summary(rep: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
     if tickers is None:
         return g
     out = tickers.join(g, "Ticker", "left")
+    empty = (F.coalesce(F.col("ref_rows"), F.lit(0)) == 0) | (F.coalesce(F.col("cur_rows"), F.lit(0)) == 0)
     return out.select(
         "Ticker",
-        F.coalesce("drift_detected", F.lit(False)).alias("drift_detected"),
-        F.coalesce("n_drifted", F.lit(0)).cast("bigint").alias("n_drifted"),
-        F.coalesce("n_features", F.lit(0)).cast("bigint").alias("n_features"),
-        F.coalesce("message", F.lit("Insufficient data for drift detection")).alias("message"),
+        F.when(empty, F.lit(False)).otherwise(F.coalesce("drift_detected", F.lit(False))).alias("drift_detected"),
+        F.when(empty, F.lit(0)).otherwise(F.coalesce("n_drifted", F.lit(0))).cast("bigint").alias("n_drifted"),
+        F.when(empty, F.lit(0)).otherwise(F.coalesce("n_features", F.lit(0))).cast("bigint").alias("n_features"),
+        F.when(empty, F.lit("Insufficient data for drift detection"))
+         .otherwise(F.coalesce("message", F.lit("No significant drift detected"))).alias("message"),
     )
 
 
+def period_rows(tagged_bars: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
+    """Bars per period and ticker (partial aggregation), for the summary's
+    "insufficient data" rule; ``tickers`` adds tickers with no bars at all."""
+    counts = tagged_bars.groupBy("Ticker").agg(
+        F.count_if(F.col("period") == "ref").alias("ref_rows"),
+        F.count_if(F.col("period") == "cur").alias("cur_rows"))
+    return counts if tickers is None else tickers.join(counts, "Ticker", "left")
+
+
 def flagged(rep: DataFrame) -> DataFrame:
     """Drifted features for display, shifts in percent."""
     return rep.where("drift_detected").select(
@@ -150,9 +163,9 @@ def detect(bars: DataFrame, names: list[str], ref_start: str, ref_end: str, cur_
     and the bars are shuffled once. ``warmup="history"`` computes features on
     the whole history once and cuts both periods from it.
     """
+    tagged = periods(bars, (ref_start, ref_end), (cur_start, cur_end), tickers)
     if warmup == "slice":
-        feats = compute_features(periods(bars, (ref_start, ref_end), (cur_start, cur_end), tickers),
-                                 names, by=("Ticker", "period"), **kw)
+        feats = compute_features(tagged, names, by=("Ticker", "period"), **kw)
     else:
         end = max(ref_end, cur_end)
         full = compute_for_range(bars, tickers, None, end, names, warmup="history", **kw)
@@ -160,4 +173,4 @@ def detect(bars: DataFrame, names: list[str], ref_start: str, ref_end: str, cur_
     prof = profile_tagged(feats, names, exact=exact)
     rep = report(prof, threshold)
     t = bars if tickers is None else bars.where(F.col("Ticker").isin(list(tickers)))
-    return rep, summary(rep, t.select("Ticker").distinct())
+    return rep, summary(rep, period_rows(tagged, t.select("Ticker").distinct()))

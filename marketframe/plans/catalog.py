@@ -761,12 +761,20 @@ def drift_report(spark, sf_dir):
                       "threshold")
 
 
-@query("drift_summary", _drift_sql_prefix() + """SELECT t."Ticker", coalesce(bool_or(drift_detected), false) AS drift_detected,
-  CAST(count(*) FILTER (WHERE drift_detected) AS BIGINT) AS n_drifted, CAST(count(feature) AS BIGINT) AS n_features,
-  CASE WHEN bool_or(drift_detected) THEN 'Drift detected in ' || CAST(count(*) FILTER (WHERE drift_detected) AS VARCHAR)
-       || '/' || CAST(count(feature) AS VARCHAR) || ' features'
-       WHEN count(feature) = 0 THEN 'Insufficient data for drift detection' ELSE 'No significant drift detected' END AS message
-FROM (SELECT DISTINCT "Ticker" FROM bars) t LEFT JOIN rep USING ("Ticker") GROUP BY 1""")
+@query("drift_summary", _drift_sql_prefix() + f""", pr AS (SELECT "Ticker",
+    count(*) FILTER (WHERE "Date" BETWEEN DATE '{REF[0]}' AND DATE '{REF[1]}') AS ref_rows,
+    count(*) FILTER (WHERE "Date" BETWEEN DATE '{CUR[0]}' AND DATE '{CUR[1]}') AS cur_rows FROM bars GROUP BY 1),
+  agg AS (SELECT t."Ticker", coalesce(bool_or(drift_detected), false) AS d,
+    count(*) FILTER (WHERE drift_detected) AS k, count(feature) AS n
+    FROM (SELECT DISTINCT "Ticker" FROM bars) t LEFT JOIN rep USING ("Ticker") GROUP BY 1)
+SELECT agg."Ticker",
+  CASE WHEN coalesce(ref_rows, 0) = 0 OR coalesce(cur_rows, 0) = 0 THEN false ELSE d END AS drift_detected,
+  CAST(CASE WHEN coalesce(ref_rows, 0) = 0 OR coalesce(cur_rows, 0) = 0 THEN 0 ELSE k END AS BIGINT) AS n_drifted,
+  CAST(CASE WHEN coalesce(ref_rows, 0) = 0 OR coalesce(cur_rows, 0) = 0 THEN 0 ELSE n END AS BIGINT) AS n_features,
+  CASE WHEN coalesce(ref_rows, 0) = 0 OR coalesce(cur_rows, 0) = 0 THEN 'Insufficient data for drift detection'
+       WHEN d THEN 'Drift detected in ' || CAST(k AS VARCHAR) || '/' || CAST(n AS VARCHAR) || ' features'
+       ELSE 'No significant drift detected' END AS message
+FROM agg LEFT JOIN pr USING ("Ticker")""".replace("\n, pr AS", ",\npr AS"))
 def drift_summary(spark, sf_dir):
     """Per ticker, any drift and "k/n features"."""
     _, summ = _drift_frames(spark, sf_dir)

@@ -38,10 +38,14 @@ def test_summary_insufficient_data(spark):
     ref = _feat(spark, [("A", d0, 1.0), ("B", d0, None)])
     cur = _feat(spark, [("A", d0 + dt.timedelta(days=3), 2.0), ("B", d0 + dt.timedelta(days=3), 2.0)])
     rep = DR.report(DR.profile(ref, cur, ["x"]))
-    tick = spark.createDataFrame([("A",), ("B",)], "Ticker string")
+    tick = spark.createDataFrame([("A", 1, 1), ("B", 1, 1), ("C", 0, 4)], "Ticker string, ref_rows long, cur_rows long")
     s = {r.Ticker: r for r in DR.summary(rep, tick).collect()}
     assert s["A"].drift_detected and s["A"].message == "Drift detected in 1/1 features"
-    assert not s["B"].drift_detected and s["B"].message == "Insufficient data for drift detection"
+    # rows in both periods but no defined value: no drift, zero features
+    assert not s["B"].drift_detected and s["B"].n_features == 0
+    assert s["B"].message == "No significant drift detected"
+    # an empty period
+    assert not s["C"].drift_detected and s["C"].message == "Insufficient data for drift detection"
 
 
 def test_detect_on_bars(spark):
