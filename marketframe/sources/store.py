@@ -29,6 +29,26 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+PRUNE_LIST_MAX = 10_000   # touched tickers listed in the scan filter up to this many
+
+
+def touched_partitions(table: DataFrame, batch: DataFrame, limit: int = PRUNE_LIST_MAX) -> DataFrame:
+    """Rows of ``table`` whose Ticker occurs in ``batch``, reading only those partitions.
+
+    The semi-join alone does not prune Ticker directories (Spark's dynamic
+    pruning does not fire here), so a batch touching a few tickers would scan
+    the whole table. The touched tickers are counted first; up to ``limit``
+    of them (a checked bound) go into an ``isin`` filter, which Spark turns
+    into static partition pruning. Beyond it the batch touches most
+    partitions anyway and the semi-join is used as is.
+    """
+    touched = batch.select("Ticker").distinct()
+    if touched.count() <= limit:
+        names = [r.Ticker for r in touched.collect()]
+        return table.where(F.col("Ticker").isin(names))
+    return table.join(touched, "Ticker", "left_semi")
+
+
 class BarStore:
     """OHLCV table keyed by (Ticker, Date), partitioned by Ticker."""
 
@@ -60,7 +80,7 @@ class BarStore:
             return 0
         if not B.duplicate_keys(batch).isEmpty():
             raise ValueError("duplicate (Ticker, Date) keys in batch")
-        changed = B.upsert_result(self.read(), batch)
+        changed = B.upsert_result(touched_partitions(self.read(), batch), batch)
         # one task per touched ticker partition (a ticker holds at most one row
         # per day); files sorted by Date so row-group statistics prune date ranges
         (changed.repartition("Ticker").sortWithinPartitions("Ticker", "Date").write.mode("overwrite")
@@ -138,8 +158,7 @@ class FeatureStore:
     def set(self, features: DataFrame, computed_at: dt.datetime | None = None) -> None:
         new = to_long(features, computed_at)
         key = ["Ticker", "Date", "feature"]
-        touched = new.select("Ticker").distinct()
-        kept = self._read().join(touched, "Ticker", "left_semi").join(new.select(*key), key, "left_anti")
+        kept = touched_partitions(self._read(), new).join(new.select(*key), key, "left_anti")
         (kept.unionByName(new).repartition("Ticker").sortWithinPartitions("Ticker", "Date", "feature")
          .write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("Ticker").parquet(self.path))
