@@ -187,21 +187,24 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
         # so that the plain windows, both scan passes and the seeds share one sort
         ctx, plain, recursive, series = _build(reg, names, ("_blk", "_i"), on_error, warn=False, by=by)
 
+    if series and len(by) > 1:
+        raise ValueError("per-ticker pandas features need by=('Ticker',)")
     src = bars.select(*[c for c in dict.fromkeys((*BAR_COLUMNS, *keep)) if c in bars.columns])
+    # tier-3 functions see the bars: carry the bar columns through the window plan
+    carry = list(dict.fromkeys((*keep, *([c for c in OHLCV_COLUMNS] if series else ()))))
     try:
-        df = _assemble(src, ctx, plain, recursive, keep, block, blocked, by)
+        df = _assemble(src, ctx, plain, recursive, carry, block, blocked, by)
         df.schema  # analysis only, no job
     except AnalysisException:
         if on_error == "raise":
             raise
-        plain, recursive = _drop_failing(src, ctx, plain, recursive, keep, block, blocked, by)
-        df = _assemble(src, ctx, plain, recursive, keep, block, blocked, by)
+        plain, recursive = _drop_failing(src, ctx, plain, recursive, carry, block, blocked, by)
+        df = _assemble(src, ctx, plain, recursive, carry, block, blocked, by)
     if series:
-        if len(by) > 1:
-            raise ValueError("per-ticker pandas features need by=('Ticker',)")
-        df = _join_series(df, src, series)
+        df = _apply_series(df, series)
+    carried = set(carry) - set(keep)
     order = [n for n in names if n in df.columns] + \
-        [c for c in df.columns if c not in names and c not in ("Date", "Ticker", *keep)]
+        [c for c in df.columns if c not in names and c not in ("Date", "Ticker", *keep) and c not in carried]
     return df.select("Date", "Ticker", *keep, *order)
 
 
@@ -287,25 +290,26 @@ def _drop_failing(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ti
     return ok_plain, ok_rec
 
 
-def _join_series(df: DataFrame, src: DataFrame, series: dict[str, SeriesFeature]) -> DataFrame:
+def _apply_series(df: DataFrame, series: dict[str, SeriesFeature]) -> DataFrame:
+    """Tier 3 in the same plan: one ``applyInPandas`` per ticker over the
+    feature frame (already partitioned by Ticker, so no new exchange) that
+    passes every column through and appends the pandas-computed ones. No join
+    back and no second pass over the bars."""
     names = list(series)
-    schema = T.StructType([T.StructField("Ticker", T.StringType()), T.StructField("Date", T.DateType())]
-                          + [T.StructField(n, T.DoubleType()) for n in names])
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(n, T.DoubleType()) for n in names])
 
     def per_ticker(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("Date").reset_index(drop=True)
-        out = pdf[["Ticker", "Date"]].copy()
         for n in names:
             try:
                 vals = pd.Series(series[n].fn(pdf), index=pdf.index).astype("float64")
-                out[n] = vals.where(vals.notna(), None)
-            except Exception as e:  # noqa: BLE001
+                pdf[n] = vals.where(vals.notna(), None)
+            except Exception as e:  # noqa: BLE001 - a failing feature is dropped to null
                 log.error("Error computing feature %s: %s", n, e)
-                out[n] = None
-        return out
+                pdf[n] = None
+        return pdf
 
-    extra = src.select(*BAR_COLUMNS).groupBy("Ticker").applyInPandas(per_ticker, schema)
-    return df.join(extra, ["Ticker", "Date"], "left")
+    return df.groupBy("Ticker").applyInPandas(per_ticker, schema)
 
 
 # ---- engine-level operators on feature frames (X3, X4, F0b) -----------------------------

@@ -144,7 +144,9 @@ def test_custom_tiers(spark):
         def compute(self, pdf):
             return pdf["Close"].cummax()
     reg.register("cummax", Obj())
-    f = _pdf(compute_features(ramp(spark, 30), ["mid", "range_5", "cummax"], registry=reg))
+    out = compute_features(ramp(spark, 30), ["mid", "range_5", "cummax"], registry=reg)
+    assert out.columns == ["Date", "Ticker", "mid", "range_5", "cummax"]
+    f = _pdf(out)
     close = 100.0 + np.arange(30)
     np.testing.assert_allclose(f["mid"], close)
     assert f["range_5"].iloc[:4].isna().all()
