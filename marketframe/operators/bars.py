@@ -80,10 +80,12 @@ def upsert_result(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merged_table(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Whole table after the upsert: untouched tickers plus :func:`upsert_result`."""
-    touched = new.select("Ticker").distinct()
-    untouched = existing.select(*BAR_COLUMNS).join(touched, "Ticker", "left_anti")
-    return untouched.unionByName(upsert_result(existing, new))
+    """Whole table after the upsert: existing rows minus the replaced keys, plus
+    the batch (one anti join on the key; untouched tickers pass through it)."""
+    require_columns(new, BAR_COLUMNS)
+    new = new.select(*BAR_COLUMNS)
+    kept = existing.select(*BAR_COLUMNS).join(new.select(*KEY), list(KEY), "left_anti")
+    return kept.unionByName(new)
 
 
 def duplicate_keys(batch: DataFrame) -> DataFrame:
