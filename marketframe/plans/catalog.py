@@ -931,3 +931,11 @@ def features_brands(spark, sf_dir):
     from ..sources.adapters import bars_from_lineitem
     f = compute_features(bars_from_lineitem(spark, sf_dir), BRAND_NAMES)
     return f.select("Ticker", "Date", *[F.round(n, BRAND_DIGITS).alias(n) for n in BRAND_NAMES])
+
+
+@query("latency_percentile", _LOG_SQL + """SELECT round(quantile_cont(latency_s, 0.95) * 1000.0, 6) AS p95_ms,
+  round(quantile_cont(latency_s, 0.99) * 1000.0, 6) AS p99_ms FROM lg""")
+def latency_percentile(spark, sf_dir):
+    """A7 on raw values: exact percentiles (linear interpolation) of request latency, in ms."""
+    p = MET.percentile_latency(request_log(spark, sf_dir))
+    return p.select(*[F.round(c, 6).alias(c) for c in p.columns])

@@ -164,3 +164,13 @@ def test_record_shaping(spark):
     assert r["count"] == 3 and [x.Date for x in r.data] == [D(2024, 1, 1), D(2024, 1, 2), D(2024, 1, 3)]
     line = to_json_lines(feature_records(f, ["returns"]).orderBy("Date")).collect()[1].value
     assert '"returns":' in line and '"Ticker":"AAPL"' in line
+
+
+def test_numeric_looking_ticker_stays_text(spark, tmp):
+    """Partition directories like Ticker=1234 would be inferred as integers;
+    the explicit bar schema keeps the column text (the S5 repair case)."""
+    s = BarStore(spark, f"{tmp}/bars")
+    s.upsert(bars_of(spark, aapl(2, ticker="1234")))
+    df = s.read()
+    assert df.schema["Ticker"].dataType.simpleString() == "string"
+    assert {r.Ticker for r in df.collect()} == {"1234"}
