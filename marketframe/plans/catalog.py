@@ -223,14 +223,20 @@ def feature_custom_pandas(spark, sf_dir):
     return _shown_all(compute_features(bars(spark, sf_dir), ["median_5"], registry=reg), ["median_5"])
 
 
+def _params_json(name: str) -> str:
+    """A feature's registered parameters as canonical JSON text."""
+    import json
+    return json.dumps(FE.get_registry().get_config(name) or {}, sort_keys=True)
+
+
 def _catalog_sql() -> str:
     prefix, _ = S.features_sql(ALL)
     groups = {n: g for g, ns in FE.FEATURE_GROUPS.items() for n in ns}
-    vals = ", ".join(f"('{n}', {k}, '{groups.get(n, '')}')" for k, n in enumerate(ALL))
+    vals = ", ".join(f"('{n}', {k}, '{groups.get(n, '')}', '{_params_json(n)}')" for k, n in enumerate(ALL))
     unp = ", ".join(ALL)
-    return prefix + f"""SELECT r.name, r.position, r.feature_group,
+    return prefix + f"""SELECT r.name, r.position, r.feature_group, r.params,
   CAST(coalesce(c.n_values, 0) AS BIGINT) AS n_values, c.first_defined
-FROM (VALUES {vals}) AS r(name, position, feature_group)
+FROM (VALUES {vals}) AS r(name, position, feature_group, params)
 LEFT JOIN (SELECT feature, count(*) AS n_values, min(i) AS first_defined
            FROM (UNPIVOT (SELECT i, {unp} FROM feat) ON {unp} INTO NAME feature VALUE value)
            GROUP BY feature) c ON c.feature = r.name"""
@@ -238,19 +244,21 @@ LEFT JOIN (SELECT feature, count(*) AS n_values, min(i) AS first_defined
 
 @query("feature_catalog", _catalog_sql())
 def feature_catalog(spark, sf_dir):
-    """F0e: registered features with their group and position, plus coverage
-    over the bars: number of defined values and the first defined row."""
+    """F0e: registered features with their group, position and parameters,
+    plus coverage over the bars: number of defined values and the first
+    defined row."""
     names = FE.get_registry().list_features()
     groups = {n: g for g, ns in FE.FEATURE_GROUPS.items() for n in ns}
-    reg = spark.createDataFrame([(n, k, groups.get(n, "")) for k, n in enumerate(names)],
-                                "name string, position int, feature_group string")
+    reg = spark.createDataFrame([(n, k, groups.get(n, ""), _params_json(n)) for k, n in enumerate(names)],
+                                "name string, position int, feature_group string, params string")
     f = compute_features(bars(spark, sf_dir), names, keep=())
     f = f.select("Ticker", "Date", F.row_number().over(by_ticker()).alias("_rn"), *names)
     long = f.unpivot(["Ticker", "Date", "_rn"], names, "feature", "value").where(F.col("value").isNotNull())
     cov = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n_values"),
                                       (F.min("_rn") - 1).alias("first_defined"))
     return reg.join(cov, reg.name == cov.feature, "left").select(
-        "name", "position", "feature_group", F.coalesce("n_values", F.lit(0)).cast("bigint").alias("n_values"),
+        "name", "position", "feature_group", "params",
+        F.coalesce("n_values", F.lit(0)).cast("bigint").alias("n_values"),
         F.col("first_defined").cast("bigint").alias("first_defined"))
 
 
