@@ -49,6 +49,40 @@ def _profile_long(long: DataFrame, exact: bool) -> DataFrame:
     return g.where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
 
 
+def skipped(features: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Features left out of the comparison, with the reason, per ticker.
+
+    ``features`` is the tagged feature frame (column ``period``). A feature
+    that is not a column is "not computed"; one without a single defined value
+    in a period is "no values in reference" / "no values in current". (The
+    reference drops both silently.)
+    """
+    names = list(names)
+    present = [n for n in names if n in features.columns]
+    tickers = features.select("Ticker").distinct()
+    parts = []
+    if present:
+        stack = features.select("Ticker", "period", *[F.col(n).cast("double").alias(n) for n in present]) \
+            .unpivot(["Ticker", "period"], present, "feature", "value")
+        ok = F.col("value").isNotNull() & ~F.isnan("value")
+        cnt = stack.groupBy("Ticker", "feature").agg(
+            F.count_if(ok & (F.col("period") == "ref")).alias("ref_n"),
+            F.count_if(ok & (F.col("period") == "cur")).alias("cur_n"))
+        parts.append(cnt.select("Ticker", "feature", F.when(F.col("ref_n") == 0, F.lit("no values in reference"))
+                                .when(F.col("cur_n") == 0, F.lit("no values in current")).alias("reason"))
+                     .where(F.col("reason").isNotNull()))
+    absent = [n for n in names if n not in features.columns]
+    if absent:
+        parts.append(tickers.select("Ticker", F.explode(F.array(*[F.lit(n) for n in absent])).alias("feature"),
+                                    F.lit("not computed").alias("reason")))
+    if not parts:
+        return features.sparkSession.createDataFrame([], "Ticker string, feature string, reason string")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def profile(ref: DataFrame, cur: DataFrame, names: Iterable[str], exact: bool = True) -> DataFrame:
     """Per (Ticker, feature): count, mean, sample std and quartiles of each period.
 

@@ -56,3 +56,12 @@ def test_detect_on_bars(spark):
     r = {x.feature: x for x in rep.collect()}
     assert r["sma_5"].drift_detected
     assert summ.collect()[0].n_features == 2
+
+
+def test_skipped_features_are_reported(spark):
+    d0 = dt.date(2024, 1, 1)
+    rows = [("A", d0 + dt.timedelta(days=k), "ref" if k < 5 else "cur", float(k), None if k < 5 else 1.0)
+            for k in range(10)]
+    f = spark.createDataFrame(rows, "Ticker string, Date date, period string, x double, y double")
+    got = {(r.feature, r.reason) for r in DR.skipped(f, ["x", "y", "z"]).collect()}
+    assert got == {("y", "no values in reference"), ("z", "not computed")}
