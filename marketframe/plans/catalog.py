@@ -667,7 +667,7 @@ STORE_NAMES = FE.DEFAULT_FEATURES
 def feature_store_put(spark, sf_dir):
     """S12 set: long-form rows written to the feature table (nulls not stored)."""
     f = _shown_all(compute_features(bars(spark, sf_dir), STORE_NAMES), STORE_NAMES)
-    return ST.to_long(f).where(F.col("value").isNotNull()).drop("computed_at")
+    return ST.to_long(f).where(F.col("value").isNotNull()).drop("computed_at", "source_max_date")
 
 
 GET_TICKERS = ("2-HIGH", "4-NOT SPECIFIED")

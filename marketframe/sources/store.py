@@ -108,6 +108,7 @@ FEATURE_ROW = T.StructType([
     T.StructField("feature", T.StringType(), False),
     T.StructField("value", T.DoubleType(), True),
     T.StructField("computed_at", T.TimestampType(), True),
+    T.StructField("source_max_date", T.DateType(), True),
 ])
 
 
@@ -117,7 +118,11 @@ def to_long(features: DataFrame, computed_at: dt.datetime | None = None) -> Data
     long = features.select("Ticker", "Date", *[F.col(c).cast("double") for c in names]) \
         .unpivot(["Ticker", "Date"], names, "feature", "value")
     ts = F.lit(computed_at) if computed_at is not None else F.current_timestamp()
-    return long.withColumn("computed_at", ts.cast("timestamp"))
+    from pyspark.sql import Window
+    # latest bar the features were computed from (per ticker): lets a reader
+    # see that bars were upserted after the features were stored
+    src_max = F.max("Date").over(Window.partitionBy("Ticker"))
+    return long.withColumn("computed_at", ts.cast("timestamp")).withColumn("source_max_date", src_max)
 
 
 def to_wide(long: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -171,6 +176,18 @@ class FeatureStore:
             df = df.where(F.col("Ticker").isin(list(tickers)))
         return to_wide(date_range(df, start, end), names)
 
+    def stale(self, latest: DataFrame) -> DataFrame:
+        """Tickers whose stored features predate their bars.
+
+        ``latest`` is (Ticker, latest_date), e.g. ``BarStore.latest_date()``.
+        A ticker is stale when nothing is stored for it or its newest bar is
+        after the ``source_max_date`` recorded with its features.
+        """
+        stored = self._read().groupBy("Ticker").agg(F.max("source_max_date").alias("source_max_date"))
+        j = latest.join(stored, "Ticker", "left")
+        return j.where(F.col("source_max_date").isNull() | (F.col("latest_date") > F.col("source_max_date"))) \
+            .select("Ticker", "latest_date", "source_max_date")
+
     def exists(self, ticker: str, names: Iterable[str], as_of: dt.datetime | None = None) -> bool:
         names = list(names)
         df = self._fresh(self._read(), as_of).where((F.col("Ticker") == ticker) & F.col("feature").isin(names))

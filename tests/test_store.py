@@ -174,3 +174,14 @@ def test_numeric_looking_ticker_stays_text(spark, tmp):
     df = s.read()
     assert df.schema["Ticker"].dataType.simpleString() == "string"
     assert {r.Ticker for r in df.collect()} == {"1234"}
+
+
+def test_feature_store_staleness_after_upsert(spark, tmp):
+    bs = BarStore(spark, f"{tmp}/bars")
+    bs.upsert(bars_of(spark, aapl(10) + aapl(10, ticker="MSFT")))
+    fs = FeatureStore(spark, f"{tmp}/fs", ttl_seconds=None)
+    fs.set(compute_features(bs.read(), ["sma_5"]))
+    assert fs.stale(bs.latest_date()).count() == 0
+    bs.upsert(bars_of(spark, aapl(1, start=D(2024, 1, 11))))          # a new AAPL bar
+    st = fs.stale(bs.latest_date()).collect()
+    assert [(r.Ticker, r.latest_date, r.source_max_date) for r in st] == [("AAPL", D(2024, 1, 11), D(2024, 1, 10))]
