@@ -26,15 +26,46 @@ ENGINE_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the engine's runtime settings to an existing session."""
+    """Apply the engine's runtime settings to an existing session and make
+    the package importable on the executors."""
     for key, value in ENGINE_CONF.items():
         try:
             spark.conf.set(key, value)
         except Exception:  # static conf on a running session: keep what is set
             pass
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application (``addPyFile``).
+
+    Tasks that run package code (pandas features, the grouped least-squares
+    solve) unpickle functions by module name, so the Python workers must be
+    able to import ``marketframe`` wherever the driver was started from.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="marketframe-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, dirnames, files in os.walk(pkg):
+            dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "marketframe") -> SparkSession:
     """Session for tests and local benchmarks (UI off, UTC, AQE on)."""
