@@ -170,3 +170,53 @@ class Cache:
         if len(self.young) >= self.limit:
             self.old, self.young = self.young, {}
         self.young[key] = value
+
+
+_STEP = _mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
+
+
+def ngrams(block: Texts, n: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text index, first byte, end byte) of every run of ``n`` words; a
+    text with fewer words gives its whole sequence as one, an empty one none.
+    ``lower`` folds A-Z only."""
+    data = LOWER[block.data] if lower else block.data
+    start, end, owner = words(block)
+    w = span_hashes(data, start, end)
+    m = len(w) - n + 1
+    if m > 0:
+        full = owner[:m] == owner[n - 1:]
+        h = np.zeros(m, np.uint64)
+        for k in range(n):
+            h += w[k:k + m] * _STEP[k]
+        h, own, lo, hi = mix(h[full]), owner[:m][full], start[:m][full], end[n - 1:][full]
+    else:
+        h, own = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        lo = hi = own
+    size = np.bincount(owner, minlength=len(block))
+    short = np.flatnonzero((size > 0) & (size < n))
+    if len(short):
+        first = np.searchsorted(owner, short)
+        extra = []
+        for i, f in zip(short.tolist(), first.tolist()):
+            k = int(size[i])
+            extra.append((mix((w[f:f + k] * _STEP[:k]).sum(dtype=np.uint64, keepdims=True) + np.uint64(k))[0],
+                          i, start[f], end[f + k - 1]))
+        h = np.concatenate([h, np.array([e[0] for e in extra], np.uint64)])
+        own = np.concatenate([own, np.array([e[1] for e in extra], np.int64)])
+        lo = np.concatenate([lo, np.array([e[2] for e in extra], np.int64)])
+        hi = np.concatenate([hi, np.array([e[3] for e in extra], np.int64)])
+        order = np.argsort(own, kind="stable")
+        h, own, lo, hi = h[order], own[order], lo[order], hi[order]
+    return h, own, lo, hi
+
+
+def distinct_by_owner(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (hash, owner) pairs, by owner, hashes ascending."""
+    if not len(h):
+        return h, own
+    order = np.lexsort((h, own))
+    h, own = h[order], own[order]
+    new = np.empty(len(h), bool)
+    new[0] = True
+    new[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+    return h[new], own[new]
