@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from marketframe.llm.jaccard_join import op10_jaccard_join
+from marketframe.llm.nn_descent import op8_nn_descent
 from marketframe.llm.token_counts import op6_token_counts
 from marketframe.llm.token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op6_token_counts": op6_token_counts,
+    "op8_nn_descent": op8_nn_descent,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
