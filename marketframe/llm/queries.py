@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from marketframe.llm import sharding
 from marketframe.llm.jaccard_join import op10_jaccard_join
+from marketframe.llm.mixing import op2_mixing
 from marketframe.llm.nn_descent import op8_nn_descent
 from marketframe.llm.token_counts import op6_token_counts
 from marketframe.llm.token_files import op1_token_files
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_mixing": op2_mixing,
+    "op4_sharding": sharding.op4_sharding,
     "op6_token_counts": op6_token_counts,
     "op8_nn_descent": op8_nn_descent,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_sharding": sharding.oracle_sql(),
+}
