@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from marketframe.llm import sharding
+from marketframe.llm.decontamination import op5_decontamination
 from marketframe.llm.jaccard_join import op10_jaccard_join
 from marketframe.llm.mixing import op2_mixing
 from marketframe.llm.nn_descent import op8_nn_descent
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_mixing": op2_mixing,
     "op4_sharding": sharding.op4_sharding,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op8_nn_descent": op8_nn_descent,
     "op10_jaccard_join": op10_jaccard_join,
