@@ -9,10 +9,12 @@ from marketframe.llm.mixing import op2_mixing
 from marketframe.llm.nn_descent import op8_nn_descent
 from marketframe.llm.token_counts import op6_token_counts
 from marketframe.llm.token_files import op1_token_files
+from marketframe.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
