@@ -5,6 +5,7 @@ from __future__ import annotations
 from marketframe.llm import sharding
 from marketframe.llm.decontamination import op5_decontamination
 from marketframe.llm.jaccard_join import op10_jaccard_join
+from marketframe.llm.language_id import op9_language_id
 from marketframe.llm.mixing import op2_mixing
 from marketframe.llm.nn_descent import op8_nn_descent
 from marketframe.llm.token_counts import op6_token_counts
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op8_nn_descent": op8_nn_descent,
+    "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
