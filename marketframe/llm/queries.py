@@ -8,6 +8,7 @@ from marketframe.llm.jaccard_join import op10_jaccard_join
 from marketframe.llm.language_id import op9_language_id
 from marketframe.llm.mixing import op2_mixing
 from marketframe.llm.nn_descent import op8_nn_descent
+from marketframe.llm.personal_data import op7_personal_data
 from marketframe.llm.token_counts import op6_token_counts
 from marketframe.llm.token_files import op1_token_files
 from marketframe.llm.toxicity import op3_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_sharding": sharding.op4_sharding,
     "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
+    "op7_personal_data": op7_personal_data,
     "op8_nn_descent": op8_nn_descent,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,

@@ -49,3 +49,30 @@ def jaccard_components(rows, percent=75):
             r = root(i)
             least[r] = min(least.get(r, d), d)
     return [(d, len(sets[i]), least.get(root(i))) for i, (d, _) in enumerate(rows)]
+
+
+PERSONAL = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+            ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+            ("card", r"[0-9]([\x20-]?[0-9])+"),
+            ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (2 if i % 2 else 1)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def personal(text):
+    """Base spans: list of (kind, start, end)."""
+    out = []
+    for kind, pattern in PERSONAL:
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            ok = {"email": True, "ip": all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split(".")) if kind == "ip" else False,
+                  "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
