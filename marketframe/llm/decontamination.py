@@ -100,12 +100,13 @@ def rare_seeds(grams: DataFrame, df: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
-    """(doc_id, first, text, seeds): passages of a document around possible seed
-    hits; hits of overlapping passages share one. ``first`` is a word index."""
+    """(doc_id, text_hash, first, text, seeds): passages of a document around
+    possible seed hits; hits of overlapping passages share one. ``first`` is a
+    word index, ``text_hash`` that of the whole text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, out = b.column(0), {"at": [], "first": [], "text": [], "seeds": []}
+            ids, hashes, out = b.column(0), b.column(2), {"at": [], "first": [], "text": [], "seeds": []}
             for block in text_blocks(b.column(1)):
                 h, own, lo, _ = ngrams(block, GRAM)
                 start, end, owner = words(block)
@@ -127,11 +128,11 @@ def passages(docs: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
                     k = j
             if out["at"]:
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(out["at"], pa.int64())), pa.array(out["first"], pa.int64()),
+                    [ids.take(pa.array(out["at"], pa.int64())), hashes.take(pa.array(out["at"], pa.int64())), pa.array(out["first"], pa.int64()),
                      pa.array(out["text"], pa.binary()).cast(pa.string()), pa.array(out["seeds"], pa.list_(pa.int64()))],
-                    names=["doc_id", "first", "text", "seeds"])
+                    names=["doc_id", "text_hash", "first", "text", "seeds"])
 
-    return docs.mapInArrow(cut, "doc_id long, first long, text string, seeds array<long>")
+    return docs.mapInArrow(cut, "doc_id long, text_hash long, first long, text string, seeds array<long>")
 
 
 def align(a: list, b: list) -> tuple[int, int, int]:
@@ -165,9 +166,10 @@ def align(a: list, b: list) -> tuple[int, int, int]:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, score, first_word, end_word): the best alignment of each
-    document and item that reaches the threshold."""
+    """(doc_id, text_hash, item_id, score, first_word, end_word): the best
+    alignment of each document and item that reaches the threshold."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     items = (items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
              .where("text is not null").distinct().withColumn("item", F.xxhash64("text")))
     texts = items.select("item", "text").dropDuplicates(["item"])
@@ -175,11 +177,11 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     seeds = stored(rare_seeds(grams, document_frequency(docs, grams, bloom(grams))), "seeds")
     reach = seeds.agg(F.max("n")).first()[0] or 0
     near = passages(docs, bloom(seeds), int(reach) * 3 // 2)
-    near = stored(near, "passages").withColumn("p", F.xxhash64("doc_id", "first", "text"))
+    near = stored(near, "passages").withColumn("p", F.xxhash64("doc_id", "text_hash", "first"))
     pairs = (near.select("p", F.explode("seeds").alias("h")).join(seeds.select("h", "item"), "h").select("p", "item").distinct())
-    both = (pairs.join(near.select("p", "doc_id", "first", F.col("text").alias("passage")).dropDuplicates(["p"]), "p")
+    both = (pairs.join(near.select("p", "doc_id", "text_hash", "first", F.col("text").alias("passage")).dropDuplicates(["p"]), "p")
             .join(texts.withColumnRenamed("text", "item_text"), "item")
-            .select("doc_id", "item", "first", "passage", "item_text"))
+            .select("doc_id", "item", "first", "passage", "item_text", "text_hash"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,13 +194,21 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
             s, lo, hi = (np.array([o[k] for o in out]) for k in range(3)) if out else (np.zeros(0),) * 3
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array((first + lo).astype(np.int64)),
-                 pa.array((first + hi).astype(np.int64))], names=["doc_id", "item", "score", "first_word", "end_word"])
+                 pa.array((first + hi).astype(np.int64)), b.column(5)],
+                names=["doc_id", "item", "score", "first_word", "end_word", "text_hash"])
 
-    schema = "doc_id long, item long, score double, first_word long, end_word long"
+    schema = "doc_id long, item long, score double, first_word long, end_word long, text_hash long"
     hits = both.mapInArrow(score, schema).where(F.col("score") >= threshold)
-    best = hits.groupBy("doc_id", "item").agg(F.max_by(F.struct("score", "first_word", "end_word"),
+    best = hits.groupBy("doc_id", "text_hash", "item").agg(F.max_by(F.struct("score", "first_word", "end_word"),
                                                        F.struct("score", -F.col("first_word"))).alias("b"))
-    return best.join(items.select("item", "item_id").distinct(), "item").select("doc_id", "item_id", "b.*")
+    return best.join(items.select("item", "item_id").distinct(), "item").select("doc_id", "text_hash", "item_id", "b.*")
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents without a contaminated pair, all columns kept."""
+    bad = stored(contaminated(docs, items, threshold).select(F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    return docs.join(bad, hashed == F.col("_hash"), "left_anti")
 
 
 def _words(text: str) -> list[bytes]:
@@ -210,4 +220,4 @@ def _words(text: str) -> list[bytes]:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")

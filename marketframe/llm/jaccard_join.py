@@ -75,7 +75,7 @@ def _unplanes(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(p).view("<u4").ravel(), dtype=np.uint32)
 
 
-def _packed(sig, ids, valid, n, h, own, parts: int) -> Iterator[dict]:
+def _packed(sig, ids, valid, n, rid, h, own, parts: int) -> Iterator[dict]:
     """One row per part of the hash space, from a block of distinct classes and
     all documents. Shingles that several classes of the block have travel once
     (``common``), with a count per class; the others with their class."""
@@ -102,7 +102,7 @@ def _packed(sig, ids, valid, n, h, own, parts: int) -> Iterator[dict]:
                "owner": np.searchsorted(used, who[~twice])[np.argsort(low[~twice], kind="stable")]
                .astype("<u2" if len(used) <= 65536 else "<u4").tobytes(),
                "common": _planes(np.sort(low[twice & lead])),
-               "meta": np.stack([ids[mine], valid[mine].astype(np.int64), sig[mine], n[mine]]).astype("<i8").tobytes()}
+               "meta": np.stack([ids[mine], valid[mine].astype(np.int64), sig[mine], n[mine], rid[mine]]).astype("<i8").tobytes()}
 
 
 PACKED = "part int, docs binary, local binary, single binary, owner binary, common binary, meta binary"
@@ -115,21 +115,21 @@ def packed_shingles(docs: DataFrame, parts: int, words: int) -> DataFrame:
         size = count = 0
 
         def flush():
-            sig, ids, valid, n = (np.concatenate([x[k] for x in held]) for k in range(4))
+            sig, ids, valid, n, rid, h = (np.concatenate([x[k] for x in held]) for k in range(6))
             shift = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
-            h = np.concatenate([x[4] for x in held])
-            own = np.concatenate([x[5] + s for x, s in zip(held, shift)])
+            own = np.concatenate([x[6] + s for x, s in zip(held, shift)])
             _, first = np.unique(sig, return_index=True)  # one document of each class
             leader = np.zeros(len(sig), bool)
             leader[first] = True
             keep = leader[own]
-            rows = list(_packed(sig, ids, valid, n, h[keep], own[keep], parts))
+            rows = list(_packed(sig, ids, valid, n, rid, h[keep], own[keep], parts))
             return pa.RecordBatch.from_pylist(rows, schema=_PACKED)
 
         for batch in batches:
             ids = batch.column(0)
             valid = np.asarray(ids.is_valid())
             ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
+            rid = batch.column(2).to_numpy(zero_copy_only=False)
             for block in text_blocks(batch.column(1)):
                 h, own = distinct_by_owner(*ngrams(block, words)[:2])
                 sig, n = class_key(h, own, len(block))
@@ -137,7 +137,7 @@ def packed_shingles(docs: DataFrame, parts: int, words: int) -> DataFrame:
                 if held and (size + len(h) > FLUSH or count + len(block) > 60_000):
                     yield flush()
                     held, size, count = [], 0, 0
-                held.append((sig, ids[at], valid[at], n, h, own))
+                held.append((sig, ids[at], valid[at], n, rid[at], h, own))
                 size, count = size + len(h), count + len(block)
         if held:
             yield flush()
@@ -145,8 +145,8 @@ def packed_shingles(docs: DataFrame, parts: int, words: int) -> DataFrame:
     return docs.mapInArrow(pack, PACKED)
 
 
-FACTS = "kind int, sig long, doc_id long, n long, shared long"
-_FACTS = pa.schema([("kind", pa.int32())] + [(k, pa.int64()) for k in ("sig", "doc_id", "n", "shared")])
+FACTS = "kind int, sig long, doc_id long, n long, shared long, text_hash long"
+_FACTS = pa.schema([("kind", pa.int32())] + [(k, pa.int64()) for k in ("sig", "doc_id", "n", "shared", "text_hash")])
 
 
 def _part_facts(group: pa.Table) -> pa.Table:
@@ -162,7 +162,7 @@ def _part_facts(group: pa.Table) -> pa.Table:
         h.append(one)
         who.append(docs[np.frombuffer(row["owner"], "<u2" if len(docs) <= 65536 else "<u4")])
         common.append(np.unique(_unplanes(row["common"])))
-        meta.append(np.frombuffer(row["meta"], "<i8").reshape(4, -1))
+        meta.append(np.frombuffer(row["meta"], "<i8").reshape(5, -1))
     h, who, common = np.concatenate(h), np.concatenate(who), np.concatenate(common)
     meta = np.concatenate(meta, axis=1)
     order = np.lexsort((who, h))
@@ -183,7 +183,8 @@ def _part_facts(group: pa.Table) -> pa.Table:
                      pa.array(np.concatenate([meta[2], names])),
                      pa.array(np.concatenate([meta[0], np.zeros(k, np.int64)]), mask=np.concatenate([meta[1] == 0, nulls])),
                      pa.array(np.concatenate([meta[3], np.zeros(k, np.int64)]), mask=np.concatenate([np.zeros(m, bool), nulls])),
-                     pa.array(np.concatenate([np.zeros(m, np.int64), counts]))], schema=_FACTS)
+                     pa.array(np.concatenate([np.zeros(m, np.int64), counts])),
+                     pa.array(np.concatenate([meta[4], np.zeros(k, np.int64)]))], schema=_FACTS)
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -213,13 +214,14 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, sig, n; labels: node, comp). Classes without a link
+    """(documents: doc_id, text_hash, sig, n; labels: node, comp). Classes without a link
     to another class are not in labels."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = 4 * parallelism(spark)
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     facts = stored(packed_shingles(docs, parts, words).groupBy("part").applyInArrow(_part_facts, FACTS), "facts")
-    members = facts.where("kind = 0").select("doc_id", "sig", "n")
+    members = facts.where("kind = 0").select("doc_id", "text_hash", "sig", "n")
 
     # 1. classes with enough shared shingles
     size = members.groupBy("sig").agg(F.max("n").alias("n"))
@@ -288,7 +290,7 @@ def _scaled(df, scale: str):
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, sig, n_shingles, component_id) of every document."""
+    """(doc_id, text_hash, sig, n_shingles, component_id) of every document."""
     members, labels = classes(docs, words, percent)
     # one row per class: its component and its smallest id
     named = (members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
@@ -296,9 +298,30 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
              .withColumn("comp", F.coalesce("comp", "sig")))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = named.join(least, "comp").select("sig", "component_id")
-    alone = members.where("n = 0").select("doc_id", "sig", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = members.where("n = 0").select("doc_id", "text_hash", "sig", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return (members.where("n > 0").join(named, "sig")
-            .select("doc_id", "sig", F.col("n").alias("n_shingles"), "component_id").union(alone))
+            .select("doc_id", "text_hash", "sig", F.col("n").alias("n_shingles"), "component_id").union(alone))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents with one row of each group of linked ones: the smallest
+    doc_id (ids before nulls), then the smallest text hash. Documents without a
+    shingle are no group and stay. All columns are kept."""
+    rows = jaccard_components(docs, words, percent).where("n_shingles > 0")
+    # a group without any id is named by its class; classes linked to others share an id
+    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("class "), F.col("sig")))
+    named = stored(rows.groupBy(group.alias("group"), "doc_id", "text_hash").agg(F.count("*").alias("rows")), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    fate = (named.join(named.groupBy("group").agg(first), "group")
+            .withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+            .where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "stays"))
+    fate = stored(fate, "fate")
+    keyed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(fate, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    once = joined.where("stays is null").select(*names)
+    repeated = joined.where("stays").dropDuplicates(["_id", "_th"]).select(*names)
+    return once.union(repeated)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

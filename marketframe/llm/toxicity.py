@@ -301,8 +301,16 @@ def _ratio(a: int, b: int, c: int, d: int) -> float:
     return out
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted, insult, aimed, ...) of every document."""
+def _slots(grammar: Grammar, column: pa.Array) -> np.ndarray:
+    return np.concatenate([np.zeros((0, SLOTS + 1)), *[grammar.block(t) for t in text_blocks(column)]])
+
+
+def _probability(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features(slots) @ weights, -30, 30)))
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+    """(lexicon, model weights) from the training rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(training(docs, labels), "labelled")
     lexicon = learn_lexicon(rows)
@@ -310,31 +318,46 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)
         for b in batches:
-            got = np.concatenate([np.zeros((0, SLOTS + 1)), *[grammar.block(t) for t in text_blocks(b.column(1))]])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), SLOTS + 1).cast(pa.list_(pa.float64()))],
-                                             names=["doc_id", "slots"])
+            got = _slots(grammar, b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(got), pa.list_(pa.float64()))], names=["toxic", "slots"])
 
     sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    some = (sample.select(F.col("toxic").cast("long").alias("doc_id"), "text")
-            .mapInArrow(slots, "doc_id long, slots array<double>").collect())
+    some = sample.select("toxic", "text").mapInArrow(slots, "toxic int, slots array<double>").collect()
     x = features(np.array([r["slots"] for r in some]).reshape(-1, SLOTS + 1))
-    weights = fit(x, np.array([r["doc_id"] for r in some], float))
+    return lexicon, fit(x, np.array([r["toxic"] > 0 for r in some], float))
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, held_out, score, predicted, plain, aimed, ...) of every document."""
+    lexicon, weights = learn(docs, labels)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(lexicon)
         for b in batches:
-            got = np.concatenate([np.zeros((0, SLOTS + 1)), *[grammar.block(t) for t in text_blocks(b.column(1))]])
-            p = 1 / (1 + np.exp(-np.clip(features(got) @ weights, -30, 30)))
+            got = _slots(grammar, b.column(1))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(p), *[pa.array(got[:, k]) for k in range(SLOTS)]],
+                [b.column(0), pa.array(_probability(got, weights)), *[pa.array(got[:, k]) for k in range(SLOTS)]],
                 names=["doc_id", "score", "plain", "aimed", "negated", "reported", "threat"])
 
     schema = "doc_id long, score double, plain double, aimed double, negated double, reported double, threat double"
-    return (docs.mapInArrow(score, schema)
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
             .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                     "plain", "aimed", "negated", "reported", "threat"))
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, all columns kept."""
+    lexicon, weights = learn(docs, labels)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(lexicon)
+        for b in batches:
+            yield b.filter(pa.array(_probability(_slots(grammar, b.column(at)), weights) < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "held_out", "score", "predicted")
