@@ -175,9 +175,9 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def select_rows(docs: DataFrame) -> DataFrame:
     """The documents of the mix: every row as often as it is taken, all columns kept."""
-    plan = (mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"),
+    plan = (mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"),
                                                 (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-            .groupBy("_id", "_hash").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")))
+            .groupBy("_id", "_hash").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0"))
     keyed = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(SEED)))
     plan = stored(plan, "mix")
     joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["_id"]) & (keyed["_hash"] == plan["_hash"]))
