@@ -14,9 +14,11 @@ series is cut into blocks of B rows (Blelloch-style two-level scan):
 4. y = loc + q^(j+1) * E.
 
 Step 3 keeps only the previous block's own contribution. The older blocks
-enter through the term q^(B+j+1) * y_(blk-2); B is chosen so that q^B <= 2^-60
-(below double precision) while q^-B stays far from overflow (<= 2^900), so
-the dropped term is below rounding error and every partial sum is finite.
+enter through the term q^(B+j+1) * y_(blk-2); B is chosen so that q^B <= 2^-250
+while q^-B stays far from overflow (<= 2^900). The dropped term is then below
+10^-75 of the OLDER value, so it stays below rounding error even where a series
+falls by 60 orders of magnitude between blocks; ratios that cannot share such a
+block size get passes of their own. Every partial sum is finite.
 All windows run on data already hash-partitioned by Ticker (no new
 exchange); steps 2 and 3 share one sort on (Ticker, blk, i).
 """
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .windows import TICKER
 
 # Numeric bounds of the block size (fixed values of the method above).
-_LOW_BITS = 60     # q^B must fall below 2^-60 (relative rounding of a double)
+_LOW_BITS = 250    # q^B must fall below 2^-250 (of the value two blocks before)
 _HIGH_BITS = 900   # q^-B must stay below 2^900 (double overflows at 2^1024)
 
 

@@ -11,6 +11,7 @@ bounded-memory ``percentile_approx``.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,15 @@ def _when(period: str) -> Column:
     return F.when(F.col("period") == period, F.col("value"))
 
 
+ROWS = "_rows"        # pseudo-feature that counts the bars of a period
+
+
 def _profile_long(long: DataFrame, exact: bool) -> DataFrame:
+    g = _stats(long, exact)
+    return g.where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
+
+
+def _stats(long: DataFrame, exact: bool) -> DataFrame:
     pct = (lambda c: F.percentile(c, list(QS))) if exact else \
         (lambda c: F.percentile_approx(c, list(QS), 10000))
     aggs = []
@@ -45,42 +54,24 @@ def _profile_long(long: DataFrame, exact: bool) -> DataFrame:
         v = _when(p)
         aggs += [F.count(v).alias(f"{p}_n"), F.avg(v).alias(f"{p}_mean"),
                  F.stddev_samp(v).alias(f"{p}_std"), pct(v).alias(f"{p}_q")]
-    g = long.groupBy("Ticker", "feature").agg(*aggs)
-    return g.where((F.col("ref_n") > 0) & (F.col("cur_n") > 0))
+    return long.groupBy("Ticker", "feature").agg(*aggs)
 
 
-def skipped(features: DataFrame, names: Iterable[str]) -> DataFrame:
+def skipped(stats: DataFrame, names: Iterable[str], present: Iterable[str]) -> DataFrame:
     """Features left out of the comparison, with the reason, per ticker.
 
-    ``features`` is the tagged feature frame (column ``period``). A feature
+    ``stats`` is the profile of both periods with the row counts. A feature
     that is not a column is "not computed"; one without a single defined value
-    in a period is "no values in reference" / "no values in current". (The
-    reference drops both silently.)
+    in a period is "no values in reference" / "no values in current".
     """
-    names = list(names)
-    present = [n for n in names if n in features.columns]
-    tickers = features.select("Ticker").distinct()
-    parts = []
-    if present:
-        stack = features.select("Ticker", "period", *[F.col(n).cast("double").alias(n) for n in present]) \
-            .unpivot(["Ticker", "period"], present, "feature", "value")
-        ok = F.col("value").isNotNull() & ~F.isnan("value")
-        cnt = stack.groupBy("Ticker", "feature").agg(
-            F.count_if(ok & (F.col("period") == "ref")).alias("ref_n"),
-            F.count_if(ok & (F.col("period") == "cur")).alias("cur_n"))
-        parts.append(cnt.select("Ticker", "feature", F.when(F.col("ref_n") == 0, F.lit("no values in reference"))
-                                .when(F.col("cur_n") == 0, F.lit("no values in current")).alias("reason"))
-                     .where(F.col("reason").isNotNull()))
-    absent = [n for n in names if n not in features.columns]
-    if absent:
-        parts.append(tickers.select("Ticker", F.explode(F.array(*[F.lit(n) for n in absent])).alias("feature"),
-                                    F.lit("not computed").alias("reason")))
-    if not parts:
-        return features.sparkSession.createDataFrame([], "Ticker string, feature string, reason string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    names, present = list(names), set(present)
+    held = stats.groupBy("Ticker").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("ref_n", "cur_n")))).alias("m"))
+    wanted = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(n in present).alias("made")) for n in names])
+    each = held.withColumn("w", F.explode(wanted)).select(
+        "Ticker", "w.feature", "w.made", F.coalesce(F.try_element_at("m", F.col("w.feature"))["ref_n"], F.lit(0)).alias("r"),
+        F.coalesce(F.try_element_at("m", F.col("w.feature"))["cur_n"], F.lit(0)).alias("c"))
+    reason = F.when(~F.col("made"), "not computed").when(F.col("r") == 0, "no values in reference").when(F.col("c") == 0, "no values in current")
+    return each.select("Ticker", "feature", reason.alias("reason")).where("reason is not null")
 
 
 def profile(ref: DataFrame, cur: DataFrame, names: Iterable[str], exact: bool = True) -> DataFrame:
@@ -119,51 +110,40 @@ def report(prof: DataFrame, threshold: float = 0.05) -> DataFrame:
         "Ticker", "feature",
         mean_shift.alias("mean_shift"), std_shift.alias("std_shift"), qshift.alias("percentile_shift"),
         F.col("ref_mean").alias("reference_mean"), F.col("cur_mean").alias("current_mean"),
-        F.col("ref_std").alias("reference_std"), F.col("cur_std").alias("current_std"),
+        F.col("ref_std").alias("reference_std"), F.col("cur_std").alias("current_std"), "ref_n", "cur_n",
     )
     mx = F.greatest("mean_shift", "std_shift", "percentile_shift")
     return r.withColumn("max_shift", mx).withColumn("drift_detected", F.col("max_shift") > F.lit(threshold)) \
         .withColumn("threshold", F.lit(threshold))
 
 
-def summary(rep: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
-    """Per ticker, any-drift flag and the "k/n features" message.
+# The messages of the summary.
+INSUFFICIENT = "Insufficient data for drift detection"
+DRIFTED = "Drift detected in %d/%d features"
+STEADY = "No significant drift detected"
 
-    ``tickers`` has one row per ticker asked about, with ``ref_rows`` and
-    ``cur_rows`` (bars in each period). A ticker with an empty period gets
-    "Insufficient data for drift detection"; one with rows in both periods
-    but no profiled feature is "No significant drift detected" with 0 features.
-    """
-    g = rep.groupBy("Ticker").agg(
-        F.bool_or("drift_detected").alias("drift_detected"),
-        F.count_if("drift_detected").alias("n_drifted"),
-        F.count(F.lit(1)).alias("n_features"),
-    )
-    msg = F.when(F.col("drift_detected"),
-                 F.format_string("Drift detected in %d/%d features", "n_drifted", "n_features")) \
-        .otherwise(F.lit("No significant drift detected"))
-    g = g.withColumn("message", msg)
-    if tickers is None:
-        return g
-    out = tickers.join(g, "Ticker", "left")
-    empty = (F.coalesce(F.col("ref_rows"), F.lit(0)) == 0) | (F.coalesce(F.col("cur_rows"), F.lit(0)) == 0)
-    return out.select(
-        "Ticker",
-        F.when(empty, F.lit(False)).otherwise(F.coalesce("drift_detected", F.lit(False))).alias("drift_detected"),
-        F.when(empty, F.lit(0)).otherwise(F.coalesce("n_drifted", F.lit(0))).cast("bigint").alias("n_drifted"),
-        F.when(empty, F.lit(0)).otherwise(F.coalesce("n_features", F.lit(0))).cast("bigint").alias("n_features"),
-        F.when(empty, F.lit("Insufficient data for drift detection"))
-         .otherwise(F.coalesce("message", F.lit("No significant drift detected"))).alias("message"),
-    )
 
+def _compared() -> Column:
+    return (F.col("feature") != ROWS) & (F.col("ref_n") > 0) & (F.col("cur_n") > 0)
 
-def period_rows(tagged_bars: DataFrame, tickers: DataFrame | None = None) -> DataFrame:
-    """Bars per period and ticker (partial aggregation), for the summary's
-    "insufficient data" rule; ``tickers`` adds tickers with no bars at all."""
-    counts = tagged_bars.groupBy("Ticker").agg(
-        F.count_if(F.col("period") == "ref").alias("ref_rows"),
-        F.count_if(F.col("period") == "cur").alias("cur_rows"))
-    return counts if tickers is None else tickers.join(counts, "Ticker", "left")
+
+def summary(shifts: DataFrame) -> DataFrame:
+    """Per ticker, any-drift flag and the "k/n features" message.
+
+    ``shifts`` is the report over the whole profile, row counts and features
+    without a value included: one aggregate per ticker. A ticker with an empty
+    period has insufficient data; one with rows in both periods but no profiled
+    feature is steady with 0 features.
+    """
+    rows = F.col("feature") == ROWS
+    g = shifts.groupBy("Ticker").agg(
+        F.max(F.when(rows, F.col("ref_n"))).alias("r"), F.max(F.when(rows, F.col("cur_n"))).alias("c"),
+        F.count_if(_compared() & F.col("drift_detected")).alias("k"), F.count_if(_compared()).alias("n"))
+    enough = (F.col("r") > 0) & (F.col("c") > 0)
+    k, n = F.when(enough, F.col("k")).otherwise(0), F.when(enough, F.col("n")).otherwise(0)
+    message = F.when(~enough, F.lit(INSUFFICIENT)).when(k > 0, F.format_string(DRIFTED, "k", "n")).otherwise(F.lit(STEADY))
+    return g.select("Ticker", (k > 0).alias("drift_detected"), k.cast("bigint").alias("n_drifted"),
+                    n.cast("bigint").alias("n_features"), message.alias("message"))
 
 
 def flagged(rep: DataFrame) -> DataFrame:
@@ -177,34 +157,47 @@ def flagged(rep: DataFrame) -> DataFrame:
     )
 
 
+NO_PERIOD = "none"    # bars of neither period: they only name their ticker
+
+
 def periods(bars: DataFrame, ref: tuple[str, str], cur: tuple[str, str],
             tickers: Iterable[str] | None = None) -> DataFrame:
-    """Bars of both periods stacked, tagged ``period`` in {ref, cur}. Periods may
-    overlap: a day in both appears once per period."""
-    from ..sources.readers import date_range
+    """Bars tagged ``period`` in {ref, cur, none}, from one pass over the bars.
+    Periods may overlap: a day in both appears once per period."""
     b = bars if tickers is None else bars.where(F.col("Ticker").isin(list(tickers)))
-    return date_range(b, *ref).withColumn("period", F.lit("ref")) \
-        .unionByName(date_range(b, *cur).withColumn("period", F.lit("cur")))
+
+    def inside(bounds: tuple[str, str], name: str) -> Column:
+        return F.when(F.col("Date").between(F.to_date(F.lit(bounds[0])), F.to_date(F.lit(bounds[1]))), F.lit(name))
+
+    tags = F.array_compact(F.array(inside(ref, "ref"), inside(cur, "cur")))
+    return b.withColumn("period", F.explode(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit(NO_PERIOD)))))
+
+
+class Drift(NamedTuple):
+    report: DataFrame
+    summary: DataFrame
+    skipped: DataFrame
 
 
 def detect(bars: DataFrame, names: list[str], ref_start: str, ref_end: str, cur_start: str, cur_end: str,
            threshold: float = 0.05, tickers: Iterable[str] | None = None, warmup: str = "slice",
-           exact: bool = True, **kw) -> tuple[DataFrame, DataFrame]:
-    """Full drift check for all (or the given) tickers: (report, summary).
-
-    With the reference's slice warm-up, both periods go through ONE feature
-    plan keyed by (Ticker, period), so each period warms up on its own rows
-    and the bars are shuffled once. ``warmup="history"`` computes features on
-    the whole history once and cuts both periods from it.
+           exact: bool = True, **kw) -> Drift:
+    """Full drift check for all (or the given) tickers: report, summary, skipped.
+
+    The bars are read and aggregated once: every bar is tagged with its
+    periods, and row counts and the ticker list come from the same profile.
+    With slice warm-up, both periods go through one feature plan keyed by
+    (Ticker, period), so each period warms up on its own rows.
+    ``warmup="history"`` computes features on the whole history once and cuts
+    both periods from it.
     """
-    tagged = periods(bars, (ref_start, ref_end), (cur_start, cur_end), tickers)
+    ref, cur = (ref_start, ref_end), (cur_start, cur_end)
     if warmup == "slice":
-        feats = compute_features(tagged, names, by=("Ticker", "period"), **kw)
+        feats = compute_features(periods(bars, ref, cur, tickers), names, by=("Ticker", "period"), **kw)
     else:
-        end = max(ref_end, cur_end)
-        full = compute_for_range(bars, tickers, None, end, names, warmup="history", **kw)
-        feats = periods(full, (ref_start, ref_end), (cur_start, cur_end))
-    prof = profile_tagged(feats, names, exact=exact)
-    rep = report(prof, threshold)
-    t = bars if tickers is None else bars.where(F.col("Ticker").isin(list(tickers)))
-    return rep, summary(rep, period_rows(tagged, t.select("Ticker").distinct()))
+        full = compute_for_range(bars, tickers, None, max(ref_end, cur_end), names, warmup="history", **kw)
+        feats = periods(full, ref, cur)
+    present = [n for n in names if n in feats.columns]
+    stats = _stats(_long(feats.withColumn(ROWS, F.lit(1.0)), [*present, ROWS]), exact)
+    shifts = report(stats, threshold)
+    return Drift(shifts.where(_compared()).drop("ref_n", "cur_n"), summary(shifts), skipped(stats, names, present))

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import BAR_COLUMNS
+from ..schema import BAR_COLUMNS, KEY, conform
 from . import bars as B
 
 LOOKBACK_DAYS = 365  # fixed value: default ingest window
@@ -40,10 +40,16 @@ def incremental(source: DataFrame, stored: DataFrame, start: str, end: str | Non
     return j.where(F.col("Date") >= fetch_start).select(*BAR_COLUMNS)
 
 
-def bad_tickers(batch: DataFrame) -> DataFrame:
-    """Tickers whose batch breaks the contract: a null field, a duplicate
-    key, a non-positive price or High below Low. One row per ticker with the
-    first reason found."""
+def checked(batch: DataFrame) -> DataFrame:
+    """One row per (Ticker, Date) key of the batch: its bar, the key's first
+    reason for rejection and the ticker's (``ticker_reason``).
+
+    Reasons: a null (or NaN) field, a key repeated in the batch, a
+    non-positive price, High below Low. One aggregate per key, then one
+    window per ticker (bounded by its days); rows without a Ticker stand for
+    themselves, so they cannot gather in one task.
+    """
+    rows = conform(batch)
     price_ok = (F.col("Open") > 0) & (F.col("High") > 0) & (F.col("Low") > 0) & (F.col("Close") > 0)
     nulls = F.lit(False)
     for c in BAR_COLUMNS:
@@ -51,14 +57,19 @@ def bad_tickers(batch: DataFrame) -> DataFrame:
     per_row = F.when(nulls, F.lit("null field")) \
         .when(~price_ok, F.lit("non-positive price")) \
         .when(F.col("High") < F.col("Low"), F.lit("high below low"))
-    rows = batch.select("Ticker", per_row.alias("reason")).where(F.col("reason").isNotNull())
-    dups = B.duplicate_keys(batch).select("Ticker", F.lit("duplicate key").alias("reason"))
-    return rows.unionByName(dups).groupBy("Ticker").agg(F.min("reason").alias("reason"))
+    fields = [c for c in BAR_COLUMNS if c not in KEY]
+    keyed = rows.withColumn("reason", per_row).groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n"), F.min("reason").alias("reason"), *[F.first(c).alias(c) for c in fields])
+    dup = F.when((F.col("n") > 1) & F.col("Ticker").isNotNull() & F.col("Date").isNotNull(), F.lit("duplicate key"))
+    keyed = keyed.withColumn("reason", F.least(F.col("reason"), dup))
+    spread = F.when(F.col("Ticker").isNull(), F.col("Date"))
+    return keyed.withColumn("ticker_reason", F.min("reason").over(Window.partitionBy("Ticker", spread)))
 
 
 def split_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted bars, rejected tickers with reason). A bad ticker does not
-    stop the others: its rows are set aside with ``left_anti``."""
-    bad = bad_tickers(batch)
-    accepted = batch.join(bad.select("Ticker"), "Ticker", "left_anti").select(*BAR_COLUMNS)
+    stop the others; rows without a Ticker are rejected under a null ticker."""
+    rows = checked(batch)
+    accepted = rows.where("ticker_reason is null").select(*BAR_COLUMNS)
+    bad = rows.where("reason is not null").groupBy("Ticker").agg(F.min("reason").alias("reason"))
     return accepted, bad

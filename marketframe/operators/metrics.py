@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,7 +73,49 @@ def latency_quantiles(buckets: DataFrame, qs=QUANTILES, by: Iterable[str] = ())
     return out.select(*by, *[(F.col(f"p{round(q * 100)}") * 1000.0).alias(f"p{round(q * 100)}_ms") for q in qs])
 
 
+SPLITS = 256          # buckets per round of the exact selection
+RANK_ROWS = 100_000   # an interval of this many distinct values is ranked directly
+
+
+def _value_at(values: DataFrame, rank: int) -> float:
+    """The value of 0-based ``rank`` among (v, n) rows, exactly.
+
+    Each round cuts the interval that holds the rank into buckets at
+    approximate quantiles, counts them and keeps the one with the rank; when
+    few distinct values are left they are ranked. The driver sees SPLITS
+    counts a round, and no task more than a share of the values.
+    """
+    while True:
+        size = values.agg(F.count("*").alias("k")).first()["k"]
+        if size <= RANK_ROWS:
+            upto = F.sum("n").over(Window.orderBy("v"))
+            return values.withColumn("upto", upto).where(F.col("upto") > rank).agg(F.min("v").alias("v")).first()["v"]
+        cuts = values.agg(F.percentile_approx("v", [i / SPLITS for i in range(1, SPLITS)], 10 * SPLITS).alias("c")).first()["c"]
+        bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("v")))
+        split = values.withColumn("b", bucket)
+        for row in sorted(split.groupBy("b").agg(F.sum("n").alias("n")).collect()):
+            if rank < row["n"]:
+                values = split.where(F.col("b") == row["b"]).drop("b")
+                break
+            rank -= row["n"]
+
+
 def percentile_latency(log: DataFrame, seconds: str = "latency_s", qs=QUANTILES, exact: bool = True) -> DataFrame:
-    """Quantiles on raw values: exact ``percentile`` or bounded-memory ``percentile_approx``."""
-    f = F.percentile if exact else F.percentile_approx
-    return log.agg(*[(f(F.col(seconds), q) * 1000.0).alias(f"p{round(q * 100)}_ms") for q in qs])
+    """Quantiles on raw values: exact with linear interpolation (distributed
+    selection over distinct values), or bounded-memory ``percentile_approx``."""
+    if not exact:
+        return log.agg(*[(F.percentile_approx(F.col(seconds), q) * 1000.0).alias(f"p{round(q * 100)}_ms") for q in qs])
+    values = log.where(F.col(seconds).isNotNull()).groupBy(F.col(seconds).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    total = values.agg(F.sum("n").alias("n")).first()["n"] or 0
+    row = []
+    for q in qs:
+        if not total:
+            row.append(None)
+            continue
+        at = q * (total - 1)
+        low, high = math.floor(at), math.ceil(at)
+        a = _value_at(values, low)
+        b = a if high == low else _value_at(values, high)
+        row.append((a + (b - a) * (at - low)) * 1000.0)
+    names = [f"p{round(q * 100)}_ms" for q in qs]
+    return log.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))

@@ -62,25 +62,28 @@ def _spark_names(p: dict) -> dict:
     return {RENAME_TREES.get(k, k): v for k, v in p.items()}
 
 
-class ModelRegistry:
-    """name -> estimator factory (M5); unknown names raise ``ValueError``."""
+UNKNOWN_MODEL = "Unknown model type: {}"   # fixed value: message that callers match
 
-    def __init__(self) -> None:
-        self._models: dict[str, Callable[..., object]] = {}
 
-    def register(self, name: str, factory: Callable[..., object]) -> None:
-        if name in self._models:
-            warnings.warn(f"Model {name} already registered, overwriting", stacklevel=2)
-        self._models[name] = factory
+class ModelRegistry(dict):
+    """Estimator factories by name (M5, M6). A factory gets the parameters that
+    its model type takes; the others are left out."""
 
-    def create(self, model_type: str, **kwargs):
-        if model_type not in self._models:
-            raise ValueError(f"Unknown model type: {model_type}")
-        kw = {k: v for k, v in kwargs.items() if k not in DROPPED.get(model_type, ())}
-        return self._models[model_type](**kw)
+    def register(self, name: str, factory: Callable[..., object]) -> None:
+        if name in self:
+            warnings.warn(f"estimator factory of {name!r} replaced", stacklevel=2)
+        self[name] = factory
+
+    def create(self, model_type: str, **params):
+        try:
+            factory = self[model_type]
+        except KeyError:
+            raise ValueError(UNKNOWN_MODEL.format(model_type)) from None
+        left_out = set(DROPPED.get(model_type, ()))
+        return factory(**{name: value for name, value in params.items() if name not in left_out})
 
     def list_models(self) -> list[str]:
-        return list(self._models)
+        return sorted(self)
 
 
 MODELS = ModelRegistry()
@@ -181,11 +184,12 @@ def ols_solve(stats: DataFrame, p: int, by: str = "Ticker") -> DataFrame:
                 for j in range(i, p):
                     cxx[i, j] = cxx[j, i] = d[f"cxx_{i}_{j}"]
             cxy = np.array([d[f"cxy_{i}"] for i in range(p)], dtype=float)
-            try:
-                if np.linalg.cond(cxx) > 1e12:
-                    raise np.linalg.LinAlgError
-                beta = np.linalg.solve(cxx, cxy)
-            except np.linalg.LinAlgError:
+            # inputs of very different size are solved on their correlations
+            dev = np.sqrt(np.diag(cxx))
+            corr = cxx / np.outer(dev, dev) if (dev > 0).all() else None
+            if corr is not None and np.linalg.cond(corr) < 1e12:
+                beta = np.linalg.solve(corr, cxy / dev) / dev
+            else:
                 beta = np.linalg.pinv(cxx) @ cxy
             rows.append([d[by], int(d["n"]), float(d["my"] - mx @ beta), *map(float, beta)])
         return pd.DataFrame(rows, columns=[f.name for f in schema.fields])

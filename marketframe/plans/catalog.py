@@ -262,17 +262,45 @@ def feature_catalog(spark, sf_dir):
         F.col("first_defined").cast("bigint").alias("first_defined"))
 
 
-MIN_ROWS_START, MIN_ROWS_END = "1997-01-01", "1997-03-12"
+LINE_PRICE = "l.l_extendedprice / l.l_quantity"
+LINE_KEY = f"(l.l_orderkey, l.l_linenumber, {LINE_PRICE})"
+BARS_SUPPLIERS = f"""bars AS (
+  SELECT CAST(l.l_shipdate AS DATE) AS "Date", 'S' || l.l_suppkey || '/' || CAST(round(l.l_discount * 100) AS INTEGER) AS "Ticker",
+         arg_min({LINE_PRICE}, {LINE_KEY}) AS "Open", max({LINE_PRICE}) AS "High", min({LINE_PRICE}) AS "Low",
+         arg_max({LINE_PRICE}, {LINE_KEY}) AS "Close", CAST(sum(l.l_quantity) AS BIGINT) AS "Volume"
+  FROM lineitem l GROUP BY 1, 2)"""
 MR_NAMES = ["sma_20", "returns"]
 
 
-@query("features_min_rows", _features_oracle(
-    MR_NAMES, bars_where=f"\"Date\" >= DATE '{MIN_ROWS_START}' AND \"Date\" <= DATE '{MIN_ROWS_END}'",
-    out_where=f"feat.\"Ticker\" IN (SELECT \"Ticker\" FROM bars WHERE \"Date\" >= DATE '{MIN_ROWS_START}' "
-              f"AND \"Date\" <= DATE '{MIN_ROWS_END}' GROUP BY 1 HAVING count(*) >= {FE.MIN_ROWS})"))
+def _min_rows_sql() -> str:
+    prefix, _ = S.features_sql(MR_NAMES, bars=BARS_SUPPLIERS)
+    return prefix + 'SELECT feat."Ticker", feat."Date", ' + ", ".join(f"round(feat.{n}, 4) AS {n}" for n in MR_NAMES) + f""" FROM feat
+WHERE feat."Ticker" IN (SELECT "Ticker" FROM bars GROUP BY 1 HAVING count(*) >= {FE.MIN_ROWS})"""
+
+
+@query("features_min_rows", _min_rows_sql())
 def features_min_rows(spark, sf_dir):
-    f = FE.compute_for_range(bars(spark, sf_dir), None, MIN_ROWS_START, MIN_ROWS_END, MR_NAMES)
-    return _shown_all(FE.min_rows(f, FE.MIN_ROWS), MR_NAMES)
+    """Only tickers with enough bars (supplier series: some are too short)."""
+    from ..sources.adapters import bars_from_suppliers
+    f = FE.min_rows(compute_features(bars_from_suppliers(spark, sf_dir), MR_NAMES), FE.MIN_ROWS)
+    return f.select("Ticker", "Date", *[F.round(n, 4).alias(n) for n in MR_NAMES])
+
+
+DROP_NAMES = ["sma_50", "sma_5", "returns"]
+
+
+def _dropped_sql() -> str:
+    prefix, _ = S.features_sql(DROP_NAMES, bars=BARS_SUPPLIERS)
+    union = " UNION ALL ".join(f"""SELECT "Ticker", '{n}' AS feature, count(*) AS rows FROM feat GROUP BY 1 HAVING count({n}) = 0""" for n in DROP_NAMES)
+    return prefix + f"SELECT \"Ticker\", feature, 'series shorter than the warm-up' AS reason, rows FROM ({union})"
+
+
+@query("training_dropped", _dropped_sql())
+def training_dropped(spark, sf_dir):
+    """T4/T5: indicators without any value for a ticker, with its number of bars."""
+    from ..operators import dataset as DS
+    from ..sources.adapters import bars_from_suppliers
+    return DS.dropped_features(bars_from_suppliers(spark, sf_dir), DROP_NAMES)
 
 
 FILL_NAMES = ["sma_50", "returns", "volatility_20"]
@@ -411,6 +439,9 @@ def train_join_target(spark, sf_dir):
 
 # ---- A8, M1, P1-P5, S15: per-ticker linear model ------------------------------------------------------
 
+from ..sources import store as ST  # noqa: E402
+from . import training as TR  # noqa: E402
+
 OLS_X = "high_low_ratio"
 
 
@@ -479,25 +510,92 @@ def business_day_shift(spark, sf_dir):
     return b.select("Ticker", "Date", *[SCO.business_day_shift(F.col("Date"), n).alias(f"bd_{n}") for n in BD_SHIFTS])
 
 
-def _predictions(spark, sf_dir):
-    """Every feature row scored by its ticker's model, fitted on the train rows
-    of the same frame (one pass: flags instead of a filtered copy + join)."""
-    ts = DS.prepare(bars(spark, sf_dir), [OLS_X], "returns", 1, drop=False)
-    df = DS.split(ts.frame, TEST_SIZE, among="complete")
+# ols_fit_2 / ols_fit_4: the oracle makes the inputs orthogonal on the training
+# rows one after the other, so every coefficient is a slope of its own
+
+OLS_MANY = ["rsi_14", "volume_ratio", "high_low_ratio", "volatility_20"]
+
+
+def _orthogonal_sql(names: list[str]) -> str:
+    prefix = _feat_prefix(names)
+    w = 'OVER (PARTITION BY "Ticker")'
+    tr = lambda c: f"CASE WHEN split = 'train' THEN {c} END"
+    known = " AND ".join(f"{n} IS NOT NULL" for n in names)
+    sql = prefix + f""",
+tr0 AS (SELECT *, "Close" / NULLIF(lag("Close") OVER ({_WT}), 0) - 1 AS returns FROM feat),
+tr1 AS (SELECT * FROM (SELECT *, lead(returns, 1) OVER ({_WT}) AS target FROM tr0)
+        WHERE {known} AND returns IS NOT NULL AND target IS NOT NULL AND "Close" IS NOT NULL),
+g0 AS (SELECT *, CASE WHEN row_number() OVER ({_WT}) <= floor(count(*) OVER (PARTITION BY "Ticker") * CAST(1 - {TEST_SIZE} AS DOUBLE))
+       THEN 'train' ELSE 'test' END AS split FROM tr1)"""
+    for k, n in enumerate(names):
+        less = "".join(f" - coalesce(regr_slope({tr(n)}, z{m}) {w}, 0) * z{m}" for m in range(k))
+        sql += f",\ng{k + 1} AS (SELECT *, {n} - avg({tr(n)}) {w}{less} AS z{k} FROM g{k})"
+    fit = " + ".join([f"avg({tr('target')}) {w}"] + [f"coalesce(regr_slope({tr('target')}, z{m}) {w}, 0) * z{m}" for m in range(len(names))])
+    return (sql + f'\nSELECT "Ticker", "Date", split, round({fit}, 6) AS prediction FROM g{len(names)}').replace("\n,\ntr0", ",\ntr0")
+
+
+def _ols_many(spark, sf_dir, names):
+    ts = DS.prepare(bars(spark, sf_dir), names, "returns", 1)
+    df = DS.split(ts.frame, TEST_SIZE)
     scored = MOD.ols_fit_predict(df, ts.feature_cols, F.col("split") == "train")
-    return SCO.dated_predictions(scored, 1)
+    return scored.select("Ticker", "Date", "split", F.round("prediction", 6).alias("prediction"))
+
+
+@query("ols_fit_2", _orthogonal_sql(OLS_MANY[:2]))
+def ols_fit_2(spark, sf_dir):
+    """M1 per ticker, two inputs (closed form over window moments)."""
+    return _ols_many(spark, sf_dir, OLS_MANY[:2])
 
 
-_PRED_SQL = _fix(_ols_sql_prefix() + f""", pr AS (SELECT feat."Ticker", feat."Date" AS feature_date,
-   co.intercept + co.coef_0 * feat.{OLS_X} AS prediction FROM feat LEFT JOIN co ON co."Ticker" = feat."Ticker")
-""").replace('\n, pr AS', ',\npr AS')
+@query("ols_fit_4", _orthogonal_sql(OLS_MANY))
+def ols_fit_4(spark, sf_dir):
+    """M1 per ticker, four inputs (grouped moments and a small solve)."""
+    return _ols_many(spark, sf_dir, OLS_MANY)
+
+
+# ---- stored models: one pooled input with warm-up nulls -----------------------------------------------
+
+POOLED_X = "rsi_14"
+
+
+def _pooled_sql(x: str) -> str:
+    prefix = _feat_prefix([x])
+    return (prefix + f""",
+tr0 AS (SELECT *, "Close" / NULLIF(lag("Close") OVER ({_WT}), 0) - 1 AS returns FROM feat),
+tr1 AS (SELECT * FROM (SELECT *, lead(returns, 1) OVER ({_WT}) AS target FROM tr0)
+        WHERE {x} IS NOT NULL AND returns IS NOT NULL AND target IS NOT NULL AND "Close" IS NOT NULL),
+tr AS (SELECT *, CASE WHEN row_number() OVER ({_WT}) <= floor(count(*) OVER (PARTITION BY "Ticker") * CAST(1 - {TEST_SIZE} AS DOUBLE))
+       THEN 'train' ELSE 'test' END AS split FROM tr1),
+co AS (SELECT regr_intercept(target, {x}) AS intercept, regr_slope(target, {x}) AS coef_0 FROM tr WHERE split = 'train'),
+pr AS (SELECT tr.*, co.intercept + co.coef_0 * {x} AS prediction FROM tr, co),
+mt AS (SELECT split, count(*) AS n, sqrt(avg((target - prediction) * (target - prediction))) AS rmse,
+       1 - sum((target - prediction) * (target - prediction)) / (var_pop(target) * count(*)) AS r2 FROM pr GROUP BY 1)
+""").replace("\n,\ntr0", ",\ntr0")
+
+
+def _metric_sql(split: str, name: str) -> str:
+    return f"(SELECT {name} FROM mt WHERE split = '{split}')"
+
+
+_PRED_SQL = _pooled_sql(POOLED_X) + f""", sc AS (SELECT feat."Ticker", feat."Date" AS feature_date,
+   co.intercept + co.coef_0 * feat.{POOLED_X} AS prediction FROM feat, co)
+"""
+
+
+def _stored_run(spark, sf_dir, x: str = POOLED_X, log=None):
+    """Train the pooled one-input model, save it and log the run."""
+    log = log or ST.RunLog(spark, _scratch(spark, "runs"))
+    s = TR.train(bars(spark, sf_dir), "linear_regression", [x], test_size=TEST_SIZE, runlog=log, run_name=f"linear_{x}")
+    return log, s
 
 
 @query("predict_linear", _PRED_SQL + f"""SELECT round(prediction, 6) AS prediction, {_bd_sql("feature_date", 1)} AS "Date",
-  feature_date, "Ticker" FROM pr""")
+  feature_date, "Ticker" FROM sc""")
 def predict_linear(spark, sf_dir):
-    """Every feature row scored, dated one business day ahead."""
-    p = _predictions(spark, sf_dir)
+    """Every feature row scored by the stored model, dated one business
+    day ahead; rows without the input (warm-up) get a null prediction."""
+    log, s = _stored_run(spark, sf_dir)
+    p = TR.predict(bars(spark, sf_dir), log, s["run_id"])
     return p.select(F.round("prediction", 6).alias("prediction"), "Date", "feature_date", "Ticker")
 
 
@@ -505,31 +603,42 @@ LATEST_PRED = 5
 
 
 @query("predict_latest", _PRED_SQL + f"""SELECT round(prediction, 6) AS prediction, {_bd_sql("feature_date", 1)} AS "Date",
-  feature_date, "Ticker" FROM (SELECT *, row_number() OVER (PARTITION BY "Ticker" ORDER BY feature_date DESC) AS rk FROM pr)
+  feature_date, "Ticker" FROM (SELECT *, row_number() OVER (PARTITION BY "Ticker" ORDER BY feature_date DESC) AS rk FROM sc)
 WHERE rk <= {LATEST_PRED}""")
 def predict_latest(spark, sf_dir):
-    """P5: the latest predictions of every ticker."""
-    p = SCO.latest(_predictions(spark, sf_dir), LATEST_PRED)
+    """P5: the latest predictions of every ticker by the stored model."""
+    log, s = _stored_run(spark, sf_dir)
+    p = TR.predict_latest(bars(spark, sf_dir), log, s["run_id"], LATEST_PRED)
     return p.select(F.round("prediction", 6).alias("prediction"), "Date", "feature_date", "Ticker")
 
 
-@query("runs_compare", _fix(_ols_sql_prefix() + f""", pr AS (SELECT tr.*, co.intercept + co.coef_0 * tr.{OLS_X} AS prediction
-  FROM tr JOIN co ON co."Ticker" = tr."Ticker")
-SELECT "Ticker" || '_linear_regression_returns' AS run_name,
-  round(CASE WHEN var_pop(target) * count(*) > 0
-        THEN 1 - sum((target - prediction) * (target - prediction)) / (var_pop(target) * count(*))
-        WHEN sum((target - prediction) * (target - prediction)) = 0 THEN 1.0 ELSE 0.0 END, 6) AS test_r2,
-  round(sqrt(avg((target - prediction) * (target - prediction))), 6) AS test_rmse
-FROM pr WHERE split = 'test' GROUP BY "Ticker\"""").replace('\n, pr AS', ',\npr AS'))
+COMPARED = ("rsi_14", "high_low_ratio")
+
+
+def _compare_sql() -> str:
+    """One statement per run; the shared bars are derived in each."""
+    parts = [f"""SELECT * FROM ({_pooled_sql(x)} SELECT 'linear_{x}' AS run_name, round({_metric_sql("test", "r2")}, 6) AS test_r2,
+  round({_metric_sql("test", "rmse")}, 6) AS test_rmse)""" for x in COMPARED]
+    return "\nUNION ALL ".join(parts)
+
+
+@query("runs_compare", _compare_sql())
 def runs_compare(spark, sf_dir):
-    """One run per ticker (per-ticker linear fits), test R² and RMSE side by side."""
-    df, cols = _ols_frame(spark, sf_dir)
-    m = MET.regression_metrics(MOD.ols_fit_predict(df, cols, F.col("split") == "train"), by=("Ticker", "split"))
-    runs = m.where(F.col("split") == "test").select(
-        F.concat("Ticker", F.lit("_linear_regression_returns")).alias("run_name"),
-        F.create_map(F.lit("test_r2"), F.col("r2"), F.lit("test_rmse"), F.col("rmse")).alias("metrics"))
-    return runs.select("run_name", F.round(F.col("metrics")["test_r2"], 6).alias("test_r2"),
-                       F.round(F.col("metrics")["test_rmse"], 6).alias("test_rmse"))
+    """Logged runs side by side, test R² and RMSE, read from the run table."""
+    log = None
+    for x in COMPARED:
+        log, _ = _stored_run(spark, sf_dir, x, log)
+    c = ST.compare_runs(log.runs())
+    return c.select("run_name", F.round("test_r2", 6).alias("test_r2"), F.round("test_rmse", 6).alias("test_rmse"))
+
+
+BARS_LINEITEM = """bars AS (
+  SELECT CAST(l.l_shipdate AS DATE) AS "Date", p.p_brand AS "Ticker",
+         arg_min(l.l_extendedprice / l.l_quantity, (l.l_orderkey, l.l_linenumber, l.l_extendedprice / l.l_quantity)) AS "Open",
+         max(l.l_extendedprice / l.l_quantity) AS "High", min(l.l_extendedprice / l.l_quantity) AS "Low",
+         arg_max(l.l_extendedprice / l.l_quantity, (l.l_orderkey, l.l_linenumber, l.l_extendedprice / l.l_quantity)) AS "Close",
+         CAST(sum(l.l_quantity) AS BIGINT) AS "Volume"
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2)"""
 
 
 # ---- S3-S6, S11-S12, I1-I2: sources, store, ingest -----------------------------------------------------
@@ -537,31 +646,24 @@ def runs_compare(spark, sf_dir):
 from ..operators import ingest as ING  # noqa: E402
 from ..schema import violations as _violations  # noqa: E402
 from ..sources import readers as RD  # noqa: E402
-from ..sources import store as ST  # noqa: E402
-
-VENDOR_TICKER = "3-MEDIUM"
-
 
 @query("bars_normalise", WITH_BARS + f"""SELECT {BAR_COLS_SQL} FROM (
-  SELECT CAST(CAST("Date" AS TIMESTAMP) AS DATE) AS "Date", '{VENDOR_TICKER}' AS "Ticker", "Open", "High", "Low", "Close", "Volume"
-  FROM bars WHERE "Ticker" = '{VENDOR_TICKER}')""")
+  SELECT CAST(CAST("Date" AS TIMESTAMP) AS DATE) AS "Date", "Ticker", "Open", "High", "Low", "Close", "Volume" FROM bars)""")
 def bars_normalise(spark, sf_dir):
-    """S3: a vendor-shaped frame (timestamp index, no ticker) -> bar schema."""
-    b = bars(spark, sf_dir).where(F.col("Ticker") == VENDOR_TICKER)
-    vendor = b.select(F.col("Date").cast("timestamp").alias("Date"), "Open", "High", "Low", "Close", "Volume")
-    return _bar_cols_spark(RD.normalise(vendor, VENDOR_TICKER))
+    """S3: a vendor-shaped frame of all tickers (timestamp index) -> bar schema."""
+    b = bars(spark, sf_dir)
+    vendor = b.select(F.col("Date").cast("timestamp").alias("Date"), "Ticker", "Open", "High", "Low", "Close", "Volume")
+    return _bar_cols_spark(RD.normalise(vendor))
 
 
 REQUESTED = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE", "0-TEST")
-MISS_START, MISS_END = "1996-01-01", "1996-12-31"
 
 
 @query("missing_tickers", WITH_BARS + f"""SELECT r."Ticker" FROM (VALUES {", ".join(f"('{t}')" for t in REQUESTED)}) AS r("Ticker")
-WHERE r."Ticker" NOT IN (SELECT DISTINCT "Ticker" FROM bars WHERE "Date" BETWEEN DATE '{MISS_START}' AND DATE '{MISS_END}')""")
+WHERE r."Ticker" NOT IN (SELECT DISTINCT "Ticker" FROM bars)""")
 def missing_tickers(spark, sf_dir):
-    """Requested tickers without bars in the range."""
-    b = RD.date_range(bars(spark, sf_dir), MISS_START, MISS_END)
-    return RD.missing_tickers(spark, REQUESTED, b)
+    """Requested tickers without bars."""
+    return RD.missing_tickers(spark, REQUESTED, bars(spark, sf_dir))
 
 
 # an existing table (up to 2000-06-30) and a corrected batch overlapping it from 2000-01-01
@@ -582,21 +684,44 @@ new AS (SELECT "Date", "Ticker", "Open", "High", "Low", "Close" + 1 AS "Close",
 """
 
 
-@query("bars_violations", _EXISTING_NEW_SQL + """SELECT "Ticker", "Date", 'duplicate key' AS reason, count(*) AS n
-FROM (SELECT * FROM existing UNION ALL SELECT * FROM new) GROUP BY 1, 2 HAVING count(*) > 1""")
+@query("bars_violations", _EXISTING_NEW_SQL + """, faulty AS (
+  SELECT "Ticker", "Date", CASE WHEN month("Date") = 3 THEN NULL ELSE "Open" END AS "Open", "High", "Low",
+         CASE WHEN month("Date") = 4 THEN CAST('NaN' AS DOUBLE) ELSE "Close" END AS "Close", "Volume"
+  FROM (SELECT * FROM existing UNION ALL SELECT * FROM new))
+SELECT "Ticker", "Date", 'duplicate key' AS reason, count(*) AS n FROM faulty GROUP BY 1, 2 HAVING count(*) > 1
+UNION ALL SELECT "Ticker", "Date", 'null Open', 1 FROM faulty WHERE "Open" IS NULL
+UNION ALL SELECT "Ticker", "Date", 'null Close', 1 FROM faulty WHERE isnan("Close")""")
 def bars_violations(spark, sf_dir):
-    """Contract check on a naive append of the batch (duplicate keys, nulls)."""
+    """Contract check on a naive append of the batch, with null opens in
+    March and NaN closes in April (duplicate keys, nulls, NaN)."""
     existing, new = _existing_new(spark, sf_dir)
-    return _violations(existing.unionByName(new))
+    month = F.month("Date")
+    faulty = existing.unionByName(new).withColumn("Open", F.when(month != 3, F.col("Open"))) \
+        .withColumn("Close", F.when(month == 4, F.lit(float("nan"))).otherwise(F.col("Close")))
+    return _violations(faulty)
+
+
+# the test tables hold a few bars per month and ticker: yearly folders
+STORE_LAYOUT = {"buckets": 4, "period": "year"}
 
 
-@query("bars_upsert", _EXISTING_NEW_SQL + f"""SELECT {BAR_COLS_SQL} FROM (
+def _bar_store(spark):
+    return ST.BarStore(spark, _scratch(spark, "bars"), **STORE_LAYOUT)
+
+
+_UPSERT_SQL = _EXISTING_NEW_SQL + f"""SELECT {BAR_COLS_SQL} FROM (
   SELECT * FROM existing e WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n."Ticker" = e."Ticker" AND n."Date" = e."Date")
-  UNION ALL SELECT * FROM new)""")
+  UNION ALL SELECT * FROM new)"""
+
+
+@query("bars_upsert", _UPSERT_SQL)
 def bars_upsert(spark, sf_dir):
-    """Table after the upsert (replaced keys take the batch's values)."""
+    """The stored table after an upsert (replaced keys take the batch's values)."""
     existing, new = _existing_new(spark, sf_dir)
-    return _bar_cols_spark(B.merged_table(existing, new))
+    store = _bar_store(spark)
+    store.upsert(existing)
+    store.upsert(new)
+    return _bar_cols_spark(store.read())
 
 
 INGEST_START = "2000-03-01"
@@ -611,37 +736,53 @@ def incremental_bars(spark, sf_dir):
     return _bar_cols_spark(ING.incremental(bars(spark, sf_dir), existing, INGEST_START))
 
 
-def _event_bars_sql() -> str:
-    return """bars AS (
-  SELECT CAST(ts AS DATE) AS "Date", event_type AS "Ticker", arg_min(value, ts) AS "Open", max(value) AS "High",
-         min(value) AS "Low", arg_max(value, ts) AS "Close", CAST(count(*) AS BIGINT) AS "Volume"
-  FROM events GROUP BY 1, 2)"""
-
-
-_BAD_SQL = "WITH " + _event_bars_sql() + """,
+def _faulty_sql() -> str:
+    return "WITH " + BARS_LINEITEM + """, f AS (
+  SELECT "Date", CASE WHEN "Ticker" = 'Brand#21' AND month("Date") = 6 THEN NULL ELSE "Ticker" END AS "Ticker",
+         CASE WHEN "Ticker" = 'Brand#13' AND month("Date") = 3 THEN -"Open" ELSE "Open" END AS "Open",
+         CASE WHEN "Ticker" = 'Brand#14' AND month("Date") = 4 THEN "Low" - 1 ELSE "High" END AS "High", "Low",
+         CASE WHEN "Ticker" = 'Brand#11' AND month("Date") = 1 THEN NULL
+              WHEN "Ticker" = 'Brand#12' AND month("Date") = 2 THEN CAST('NaN' AS DOUBLE) ELSE "Close" END AS "Close", "Volume" FROM bars),
+batch AS (SELECT * FROM f UNION ALL SELECT * FROM f WHERE "Ticker" = 'Brand#15' AND month("Date") = 5),
 bad AS (SELECT "Ticker", min(reason) AS reason FROM (
-  SELECT "Ticker", CASE WHEN NOT ("Open" > 0 AND "High" > 0 AND "Low" > 0 AND "Close" > 0) THEN 'non-positive price'
-                        WHEN "High" < "Low" THEN 'high below low' END AS reason FROM bars) WHERE reason IS NOT NULL GROUP BY 1)
+  SELECT "Ticker", CASE WHEN "Ticker" IS NULL OR "Close" IS NULL OR isnan("Close") THEN 'null field'
+                        WHEN NOT ("Open" > 0 AND "High" > 0 AND "Low" > 0 AND "Close" > 0) THEN 'non-positive price'
+                        WHEN "High" < "Low" THEN 'high below low' END AS reason FROM batch
+  UNION ALL SELECT "Ticker", 'duplicate key' FROM batch WHERE "Ticker" IS NOT NULL GROUP BY "Ticker", "Date" HAVING count(*) > 1)
+  WHERE reason IS NOT NULL GROUP BY 1)
 """
 
 
-def _event_batch(spark, sf_dir):
-    from ..sources.adapters import bars_from_events
-    return bars_from_events(spark, sf_dir)
+def _faulty_batch(spark, sf_dir):
+    """Brand bars with one kind of fault per brand and month: null close, NaN
+    close, negative open, high below low, repeated keys, missing ticker."""
+    from ..sources.adapters import bars_from_lineitem
+    b = bars_from_lineitem(spark, sf_dir)
+
+    def at(brand: str, month: int):
+        return (F.col("Ticker") == brand) & (F.month("Date") == month)
+
+    low = F.when(at("Brand#14", 4), F.col("Low") - 1).otherwise(F.col("High"))
+    close = F.when(at("Brand#12", 2), F.lit(float("nan"))).when(~at("Brand#11", 1), F.col("Close"))
+    f = b.select("Date", F.when(~at("Brand#21", 6), F.col("Ticker")).alias("Ticker"),
+                 F.when(at("Brand#13", 3), -F.col("Open")).otherwise(F.col("Open")).alias("Open"),
+                 low.alias("High"), "Low", close.alias("Close"), "Volume")
+    twice = F.when(at("Brand#15", 5), 2).otherwise(1)
+    return f.withColumn("_copy", F.explode(F.sequence(F.lit(1), twice))).drop("_copy")
 
 
-@query("ingest_accepted", _BAD_SQL + """SELECT "Ticker", "Date", "Open", "High", "Low", "Close", "Volume" FROM bars
-WHERE "Ticker" NOT IN (SELECT "Ticker" FROM bad)""")
+@query("ingest_accepted", _faulty_sql() + """SELECT "Ticker", "Date", "Open", "High", "Low", "Close", "Volume" FROM batch
+WHERE "Ticker" IS NOT NULL AND "Ticker" NOT IN (SELECT "Ticker" FROM bad WHERE "Ticker" IS NOT NULL)""")
 def ingest_accepted(spark, sf_dir):
-    """Bars of tickers that passed validation (event-log ticks as the source)."""
-    acc, _ = ING.split_batch(_event_batch(spark, sf_dir))
-    return acc.select("Ticker", "Date", "Open", "High", "Low", "Close", "Volume")
+    """Bars of tickers that passed validation (a batch with every kind of fault)."""
+    acc, _ = ING.split_batch(_faulty_batch(spark, sf_dir))
+    return acc.select("Ticker", "Date", *PRICE_COLS, "Volume")
 
 
-@query("ingest_rejected", _BAD_SQL + 'SELECT "Ticker", reason FROM bad')
+@query("ingest_rejected", _faulty_sql() + 'SELECT "Ticker", reason FROM bad')
 def ingest_rejected(spark, sf_dir):
     """Tickers set aside, with the reason; they do not stop the others."""
-    _, bad = ING.split_batch(_event_batch(spark, sf_dir))
+    _, bad = ING.split_batch(_faulty_batch(spark, sf_dir))
     return bad
 
 
@@ -661,13 +802,24 @@ def feature_records(spark, sf_dir):
 STORE_NAMES = FE.DEFAULT_FEATURES
 
 
-@query("feature_store_put", _feat_prefix(STORE_NAMES, keep=()) + f"""SELECT "Ticker", "Date", feature, value FROM (
+def _feature_store(spark, sf_dir):
+    """The default features of all tickers, set into a new store."""
+    f = _shown_all(compute_features(bars(spark, sf_dir), STORE_NAMES), STORE_NAMES)
+    store = ST.FeatureStore(spark, _scratch(spark, "features"), ttl_seconds=None, **STORE_LAYOUT)
+    store.set(f)
+    return store
+
+
+_PUT_SQL = _feat_prefix(STORE_NAMES, keep=()) + f"""SELECT "Ticker", "Date", feature, value FROM (
   UNPIVOT (SELECT "Ticker", "Date", {", ".join(S.shown(n, n) for n in STORE_NAMES)} FROM feat)
-  ON {", ".join(STORE_NAMES)} INTO NAME feature VALUE value)""")
+  ON {", ".join(STORE_NAMES)} INTO NAME feature VALUE value)"""
+
+
+@query("feature_store_put", _PUT_SQL)
 def feature_store_put(spark, sf_dir):
-    """S12 set: long-form rows written to the feature table (nulls not stored)."""
-    f = _shown_all(compute_features(bars(spark, sf_dir), STORE_NAMES), STORE_NAMES)
-    return ST.to_long(f).where(F.col("value").isNotNull()).drop("computed_at", "source_max_date")
+    """S12 set: the long-form rows that the feature table holds (defined values)."""
+    rows = _feature_store(spark, sf_dir).rows()
+    return rows.where(F.col("value").isNotNull()).select("Ticker", "Date", "feature", "value")
 
 
 GET_TICKERS = ("2-HIGH", "4-NOT SPECIFIED")
@@ -676,13 +828,18 @@ GET_NAMES = ["sma_20", "rsi_14", "macd"]
 
 
 @query("feature_store_get", _feat_prefix(STORE_NAMES, keep=()) + f"""SELECT "Ticker", "Date", {", ".join(S.shown(n, n) for n in GET_NAMES)}
-FROM feat WHERE "Ticker" IN ({", ".join(f"'{t}'" for t in GET_TICKERS)}) AND "Date" BETWEEN DATE '{GET_START}' AND DATE '{GET_END}'
-  AND ({" OR ".join(f"{n} IS NOT NULL" for n in GET_NAMES)})""")
+FROM feat WHERE "Ticker" IN ({", ".join(f"'{t}'" for t in GET_TICKERS)}) AND "Date" BETWEEN DATE '{GET_START}' AND DATE '{GET_END}'""")
 def feature_store_get(spark, sf_dir):
-    """S12 get: stored long rows -> scan (tickers, range, names) -> pivot back."""
-    stored = feature_store_put(spark, sf_dir)
-    df = stored.where(F.col("Ticker").isin(list(GET_TICKERS)) & F.col("feature").isin(GET_NAMES))
-    return ST.to_wide(RD.date_range(df, GET_START, GET_END), GET_NAMES).select("Ticker", "Date", *GET_NAMES)
+    """S12 get: scan of the stored rows (tickers, range, names) -> pivot back."""
+    return _feature_store(spark, sf_dir).get(GET_TICKERS, GET_NAMES, GET_START, GET_END).select("Ticker", "Date", *GET_NAMES)
+
+
+@query("feature_store_delete", _PUT_SQL + f""" WHERE "Ticker" <> '{GET_TICKERS[0]}'""")
+def feature_store_delete(spark, sf_dir):
+    """S12 delete: what is left in the feature table without one ticker."""
+    store = _feature_store(spark, sf_dir)
+    store.delete(GET_TICKERS[0])
+    return store.rows().where(F.col("value").isNotNull()).select("Ticker", "Date", "feature", "value")
 
 
 # ---- D1-D7: drift ------------------------------------------------------------------------------------------
@@ -761,7 +918,7 @@ def drift_profile(spark, sf_dir):
 FROM rep""")
 def drift_report(spark, sf_dir):
     """Shifts, max and the strict threshold flag per (Ticker, feature)."""
-    rep, _ = _drift_frames(spark, sf_dir)
+    rep = _drift_frames(spark, sf_dir).report
     return rep.select("Ticker", "feature", *[F.round(c, 6).alias(c) for c in
                                               ("mean_shift", "std_shift", "percentile_shift", "max_shift")],
                       "drift_detected", *[_scaled(F.col(c)).alias(c) for c in
@@ -785,8 +942,33 @@ SELECT agg."Ticker",
 FROM agg LEFT JOIN pr USING ("Ticker")""".replace("\n, pr AS", ",\npr AS"))
 def drift_summary(spark, sf_dir):
     """Per ticker, any drift and "k/n features"."""
-    _, summ = _drift_frames(spark, sf_dir)
-    return summ
+    return _drift_frames(spark, sf_dir).summary
+
+
+# a period after the last bar of the short suppliers' series: some tickers have nothing there
+SKIP_NAMES = ["sma_50", "rsi_14", "returns"]
+SKIP_REF, SKIP_CUR = ("1992-01-01", "1995-12-31"), ("1998-06-01", "1998-12-31")
+
+
+def _skip_sql() -> str:
+    def period(p, rng):
+        w = f"\"Date\" >= DATE '{rng[0]}' AND \"Date\" <= DATE '{rng[1]}'"
+        return S.features_ctes(SKIP_NAMES, bars_where=w, suffix=f"_{p}")
+    counts = ", ".join(f"count({n}) AS {n}" for n in SKIP_NAMES)
+    union = " UNION ALL ".join(f"""SELECT t."Ticker", '{n}' AS feature, coalesce(r.{n}, 0) AS r, coalesce(c.{n}, 0) AS c
+  FROM t LEFT JOIN r ON r."Ticker" = t."Ticker" LEFT JOIN c ON c."Ticker" = t."Ticker\"""" for n in SKIP_NAMES)
+    return "WITH RECURSIVE " + BARS_SUPPLIERS + ",\n" + period("ref", SKIP_REF) + ",\n" + period("cur", SKIP_CUR) + f""",
+t AS (SELECT DISTINCT "Ticker" FROM bars), r AS (SELECT "Ticker", {counts} FROM feat_ref GROUP BY 1),
+c AS (SELECT "Ticker", {counts} FROM feat_cur GROUP BY 1), u AS ({union})
+SELECT "Ticker", feature, CASE WHEN r = 0 THEN 'no values in reference' ELSE 'no values in current' END AS reason
+FROM u WHERE r = 0 OR c = 0"""
+
+
+@query("drift_skipped", _skip_sql())
+def drift_skipped(spark, sf_dir):
+    """Features left out of the comparison because a period has no value (many short series)."""
+    from ..sources.adapters import bars_from_suppliers
+    return DR.detect(bars_from_suppliers(spark, sf_dir), SKIP_NAMES, *SKIP_REF, *SKIP_CUR).skipped
 
 
 @query("drift_flagged", _drift_sql_prefix() + f"""SELECT "Ticker", feature, round(max_shift * 100, 4) AS max_shift_pct,
@@ -795,7 +977,7 @@ def drift_summary(spark, sf_dir):
 FROM rep WHERE drift_detected""")
 def drift_flagged(spark, sf_dir):
     """Drifted features with shifts in percent."""
-    rep, _ = _drift_frames(spark, sf_dir)
+    rep = _drift_frames(spark, sf_dir).report
     fl = DR.flagged(rep)
     return fl.select("Ticker", "feature", *[F.round(c, 4).alias(c) for c in
                                               ("max_shift_pct", "mean_shift_pct", "std_shift_pct")],
@@ -843,8 +1025,6 @@ def latency_quantile(spark, sf_dir):
 
 # ---- M2-M4, T7, S13-S14, I3: rows-only (model fits, writes, streaming) ------------------------------------------
 
-from . import training as TR  # noqa: E402
-
 POOLED_NAMES = ["sma_20", "rsi_14", "volume_ratio", "high_low_ratio"]
 
 
@@ -869,20 +1049,19 @@ def gbt_metrics(spark, sf_dir):
 
 _SUMMARY_SCHEMA = ("run_name string, model_type string, n_features int, n_train_samples long, "
                    "n_test_samples long, train_r2 double, test_r2 double, train_rmse double, test_rmse double")
+_SUMMARY_SQL = _pooled_sql(POOLED_X) + f"""SELECT 'linear_{POOLED_X}' AS run_name, 'linear_regression' AS model_type, 1 AS n_features,
+  {_metric_sql("train", "n")} AS n_train_samples, {_metric_sql("test", "n")} AS n_test_samples,
+  """ + ", ".join(f"round({_metric_sql(p, m)}, 6) AS {p}_{m}" for m in ("r2", "rmse") for p in ("train", "test"))
 
 
-def _summary_df(spark, s: dict):
-    p, tm, te = s["params"], s["train_metrics"], s["test_metrics"]
-    row = (s["run_name"], s["model_type"], int(p["n_features"]), int(p["n_train_samples"]),
-           int(p["n_test_samples"]), tm["train_r2"], te["test_r2"], tm["train_rmse"], te["test_rmse"])
-    return spark.createDataFrame([row], _SUMMARY_SCHEMA)
-
-
-@query("train_summary")
+@query("train_summary", _SUMMARY_SQL)
 def train_summary(spark, sf_dir):
-    """End-to-end training of a pooled linear model; the run summary as a row."""
-    s = TR.train(bars(spark, sf_dir), "linear_regression", POOLED_NAMES)
-    return _summary_df(spark, s)
+    """End-to-end training of the pooled linear model; the run summary as a row."""
+    s = TR.train(bars(spark, sf_dir), "linear_regression", [POOLED_X], test_size=TEST_SIZE, run_name=f"linear_{POOLED_X}")
+    p, a, b = s["params"], s["train_metrics"], s["test_metrics"]
+    row = (s["run_name"], s["model_type"], int(p["n_features"]), int(p["n_train_samples"]), int(p["n_test_samples"]),
+           round(a["train_r2"], 6), round(b["test_r2"], 6), round(a["train_rmse"], 6), round(b["test_rmse"], 6))
+    return spark.createDataFrame([row], _SUMMARY_SCHEMA)
 
 
 def _scratch(spark, name: str) -> str:
@@ -892,37 +1071,35 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-@query("runs_append")
+@query("runs_append", _pooled_sql(POOLED_X) + f"""SELECT 'linear_{POOLED_X}' AS run_name, 'default' AS experiment,
+  ['{POOLED_X}'] AS features, CAST({_metric_sql("train", "n")} AS VARCHAR) AS n_train_samples, true AS has_model,
+  round({_metric_sql("train", "r2")}, 6) AS train_r2, round({_metric_sql("test", "r2")}, 6) AS test_r2""")
 def runs_append(spark, sf_dir):
-    """Train, save the model, append the run row; read the run back."""
-    log = ST.RunLog(spark, _scratch(spark, "runs"))
-    s = TR.train(bars(spark, sf_dir), "linear_regression", POOLED_NAMES, runlog=log)
-    runs = log.runs()
-    return ST.compare_runs(runs).join(runs.select("run_id", "params"), "run_id")
+    """Train, save the model, append the run row; the row read back
+    (without its random id), with the stored model loaded."""
+    log, s = _stored_run(spark, sf_dir)
+    has_model = len(log.load_model(s["run_id"]).stages) > 0
+    return log.runs().select("run_name", "experiment", "features", F.col("params")["n_train_samples"].alias("n_train_samples"),
+                             F.lit(has_model).alias("has_model"), F.round(F.col("metrics")["train_r2"], 6).alias("train_r2"),
+                             F.round(F.col("metrics")["test_r2"], 6).alias("test_r2"))
 
 
-@query("ingest_stream")
+@query("ingest_stream", _UPSERT_SQL)
 def ingest_stream(spark, sf_dir):
     """Two landings (a table and an overlapping corrected batch) ingested by
     the streaming job; the stored table equals the batch upsert (bars_upsert)."""
     from ..streaming.ingest_stream import run_available
     root = _scratch(spark, "ingest")
     existing, new = _existing_new(spark, sf_dir)
-    existing.write.parquet(f"{root}/landing/batch=0001")
-    new.write.parquet(f"{root}/landing/batch=0002")
-    run_available(spark, f"{root}/landing", f"{root}/bars", f"{root}/checkpoint")
-    return _bar_cols_spark(ST.BarStore(spark, f"{root}/bars").read())
+    store = ST.BarStore(spark, f"{root}/bars", **STORE_LAYOUT)
+    for part, landed in (("batch=0001", existing), ("batch=0002", new)):
+        landed.write.parquet(f"{root}/landing/{part}")
+        run_available(spark, f"{root}/landing", store.path, f"{root}/checkpoint", f"{root}/rejected", store=store)
+    return _bar_cols_spark(store.read())
 
 
 # ---- bars with more tickers: part brands from lineitem ---------------------------------------------------
 
-BARS_LINEITEM = """bars AS (
-  SELECT CAST(l.l_shipdate AS DATE) AS "Date", p.p_brand AS "Ticker",
-         arg_min(l.l_extendedprice / l.l_quantity, (l.l_orderkey, l.l_linenumber, l.l_extendedprice / l.l_quantity)) AS "Open",
-         max(l.l_extendedprice / l.l_quantity) AS "High", min(l.l_extendedprice / l.l_quantity) AS "Low",
-         arg_max(l.l_extendedprice / l.l_quantity, (l.l_orderkey, l.l_linenumber, l.l_extendedprice / l.l_quantity)) AS "Close",
-         CAST(sum(l.l_quantity) AS BIGINT) AS "Volume"
-  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2)"""
 BRAND_NAMES = ["sma_20", "ema_12", "rsi_14", "macd_signal", "bb_upper", "volatility_20", "atr_14", "returns"]
 BRAND_DIGITS = 4   # unit prices in currency: 1/100 of a cent
 

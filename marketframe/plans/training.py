@@ -17,19 +17,30 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as MO
 from ..operators import scoring as SC
-from ..sources.store import RunLog, feature_names_from_params
+from ..sources.store import RunLog
 
-FIT_PARTITIONS = 8   # fixed row layout for reproducible tree fits (logged with the run)
+# Names of the run parameters and metrics that readers of a run rely on.
+RUN_PARAMS = ("ticker", "model_type", "target", "lookback_days", "test_size", "n_features", "n_train_samples", "n_test_samples")
+RUN_METRICS = ("mae", "mse", "rmse", "r2")
+
+
+def fit_partitions(bars: DataFrame, model_type: str, partitions: int | None) -> int | None:
+    """Row layout of a tree fit: the session's shuffle parallelism unless given
+    (logged with the run, since trees repeat only on the same layout). A linear
+    fit sums moments and needs no layout."""
+    if model_type == "linear_regression":
+        return None
+    return partitions or int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def scored_splits(bars: DataFrame, model_type: str, feature_names: list[str], model_params: dict | None = None,
                   target: str = "returns", lookback: int = 1, test_size: float = 0.2,
                   start: str | None = None, end: str | None = None, tickers: Iterable[str] | None = None,
-                  partitions: int = FIT_PARTITIONS):
+                  partitions: int | None = None):
     ts = D.prepare(bars, feature_names, target, lookback, start, end, tickers)
     df = D.split(ts.frame, test_size)
     model = MO.fit(df.where(F.col("split") == "train"), model_type, ts.feature_cols,
-                   partitions=partitions, **(model_params or {}))
+                   partitions=fit_partitions(bars, model_type, partitions), **(model_params or {}))
     scored = MO.score(model, df, ts.feature_cols)
     return ts, model, scored
 
@@ -37,28 +48,30 @@ def scored_splits(bars: DataFrame, model_type: str, feature_names: list[str], mo
 def train(bars: DataFrame, model_type: str, feature_names: list[str], model_params: dict | None = None,
           target: str = "returns", lookback: int = 1, test_size: float = 0.2, start: str | None = None,
           end: str | None = None, tickers: Iterable[str] | None = None, run_name: str | None = None,
-          runlog: RunLog | None = None, partitions: int = FIT_PARTITIONS) -> dict:
-    """Prepare, split, fit, score both splits, metrics, log, summary."""
+          runlog: RunLog | None = None, partitions: int | None = None) -> dict:
+    """Prepare, split, fit, score both splits, metrics, log, summary.
+
+    An empty training set raises ``ValueError`` before anything is fitted.
+    """
+    probe = D.prepare(bars, feature_names, target, lookback, start, end, tickers)
+    if probe.frame.isEmpty():
+        raise ValueError("empty training set: no row has all features and the target (see dataset.dropped_features)")
     ts, model, scored = scored_splits(bars, model_type, feature_names, model_params, target, lookback,
                                       test_size, start, end, tickers, partitions)
-    m = {r["split"]: r for r in M.regression_metrics(scored, by=["split"]).collect()}
-    metrics = {}
-    for s in ("train", "test"):
-        r = m.get(s)
-        for k in ("mae", "mse", "rmse", "r2"):
-            metrics[f"{s}_{k}"] = float(r[k]) if r is not None and r[k] is not None else float("nan")
-    label = ",".join(tickers) if tickers is not None else "all"
+    by_split = {r["split"]: r.asDict() for r in M.regression_metrics(scored, by=["split"]).collect()}
+    nothing = {"n": 0, **dict.fromkeys(RUN_METRICS)}
+    metrics = {f"{part}_{k}": float("nan") if v is None else float(v)
+               for part in ("train", "test") for k, v in by_split.get(part, nothing).items() if k in RUN_METRICS}
+    label = "all" if tickers is None else ",".join(tickers)
     name = run_name or f"{label}_{model_type}_{target}"
-    params = {"ticker": label, "model_type": model_type, "target": target, "lookback_days": lookback,
-              "test_size": test_size, "n_features": len(ts.feature_cols),
-              "n_train_samples": int(m["train"]["n"]) if "train" in m else 0,
-              "n_test_samples": int(m["test"]["n"]) if "test" in m else 0,
-              "fit_partitions": partitions, **(model_params or {})}
-    params.update({f"feature_{i}": f for i, f in enumerate(ts.feature_cols)})
+    counts = [int(by_split.get(part, nothing)["n"]) for part in ("train", "test")]
+    params = dict(zip(RUN_PARAMS, (label, model_type, target, lookback, test_size, len(ts.feature_cols), *counts)))
+    params["fit_partitions"] = fit_partitions(bars, model_type, partitions)
+    params.update(model_params or {})
     run_id = None
     if runlog is not None:
         run_id = runlog.new_run_id()
-        runlog.log(run_id, name, params, metrics, model)
+        runlog.log(run_id, name, params, metrics, model, ts.feature_cols)
     return {"run_id": run_id, "run_name": name, "ticker": label, "model_type": model_type,
             "train_metrics": {k: v for k, v in metrics.items() if k.startswith("train_")},
             "test_metrics": {k: v for k, v in metrics.items() if k.startswith("test_")},
@@ -68,18 +81,12 @@ def train(bars: DataFrame, model_type: str, feature_names: list[str], model_para
 def predict(bars: DataFrame, runlog: RunLog, run_id: str, tickers: Iterable[str] | None = None,
             feature_names: list[str] | None = None, start: str | None = None, end: str | None = None,
             warmup: str = "slice") -> DataFrame:
-    """Score a stored model; features default to the run's, in order."""
-    params = runlog.params(run_id)
-    names = feature_names or feature_names_from_params(params)
-    if not names:
-        raise ValueError("No feature names available")
-    model = runlog.load_model(run_id)
+    """Score a stored model on its run's inputs (or the given ones), in order."""
+    run = runlog.run(run_id)
+    names = D.selection(feature_names or run["features"])
     feats = FE.compute_for_range(bars, tickers, start, end, names, warmup=warmup)
-    cols = [c for c in names if c in feats.columns]
-    if not cols:
-        raise ValueError(f"None of the specified features found: {names}")
-    scored = MO.score(model, feats, cols)
-    return SC.dated_predictions(scored, int(params.get("lookback_days", 1)))
+    scored = MO.score(runlog.load_model(run_id), feats, D.feature_columns(feats, names))
+    return SC.dated_predictions(scored, int(run["params"]["lookback_days"]))
 
 
 def predict_latest(bars: DataFrame, runlog: RunLog, run_id: str, n: int = 1,
@@ -91,38 +98,51 @@ def predict_latest(bars: DataFrame, runlog: RunLog, run_id: str, n: int = 1,
 
 # ---- X7: a training job from a configuration mapping ------------------------------------------
 
+# Keys of a job file. Switches of a service are known and have no effect here.
 CONFIG_KEYS = ("model_type", "features", "model_params", "target", "lookback_days", "test_size",
-               "start_date", "end_date", "tickers", "run_name", "validation_fraction")
+               "start_date", "end_date", "tickers", "run_name", "validation_fraction", "validation_split")
+SERVICE_KEYS = ("use_cache", "registry", "verbose", "early_stopping_rounds")
+ALIASES = {"feature_names": "features", "type": "model_type",
+           "params": "model_params", "ticker": "tickers"}
+SECTIONS = ("model", "data", "training")
+
+
+def flatten_config(config: dict) -> dict:
+    """Flat job settings from nested sections or flat keys. Flat keys win over
+    sections; unknown keys raise ``ValueError``."""
+    flat: dict = {}
+    unknown = []
+    nested = [(k, v) for s in SECTIONS if isinstance(config.get(s), dict) for k, v in config[s].items()]
+    plain = [(k, v) for k, v in config.items() if not (k in SECTIONS and isinstance(v, dict))]
+    for key, value in nested + plain:
+        key = ALIASES.get(key, key)
+        if key in SERVICE_KEYS:
+            continue
+        if key not in CONFIG_KEYS:
+            unknown.append(key)
+        flat[key] = [value] if key == "tickers" and isinstance(value, str) else value
+    if unknown:
+        raise ValueError(f"unknown config keys: {sorted(unknown)}")
+    return flat
 
 
 def train_from_config(bars: DataFrame, config: dict, runlog: RunLog | None = None) -> dict:
     """Run :func:`train` from a mapping (e.g. a parsed YAML/JSON job file).
 
-    Accepts ``{"model": {"type", "params"}, "data": {...}, "features": [...]}``
-    nesting or flat keys; unknown keys raise ``ValueError``.
+    ``validation_fraction`` asks for early stopping and is an error for models
+    that cannot stop early; the ``validation_split`` of a training section
+    applies to boosted trees only.
     """
-    flat = dict(config)
-    model = flat.pop("model", None)
-    if isinstance(model, dict):
-        flat.setdefault("model_type", model.get("type"))
-        flat.setdefault("model_params", model.get("params", {}))
-    data = flat.pop("data", None)
-    if isinstance(data, dict):
-        for k, v in data.items():
-            flat.setdefault(k, v)
-    if "ticker" in flat:
-        t = flat.pop("ticker")
-        flat.setdefault("tickers", [t] if isinstance(t, str) else t)
-    unknown = set(flat) - set(CONFIG_KEYS)
-    if unknown:
-        raise ValueError(f"unknown config keys: {sorted(unknown)}")
-    if not flat.get("model_type") or not flat.get("features"):
+    job = flatten_config(config)
+    if not job.get("model_type") or not job.get("features"):
         raise ValueError("config needs model type and features")
-    params = dict(flat.get("model_params") or {})
-    if flat.get("validation_fraction"):
-        params["validation_fraction"] = flat["validation_fraction"]
-    return train(bars, flat["model_type"], list(flat["features"]), params,
-                 target=flat.get("target", "returns"), lookback=int(flat.get("lookback_days", 1)),
-                 test_size=float(flat.get("test_size", 0.2)), start=flat.get("start_date"),
-                 end=flat.get("end_date"), tickers=flat.get("tickers"), run_name=flat.get("run_name"),
-                 runlog=runlog)
+    params = dict(job.get("model_params") or {})
+    share = job.get("validation_fraction")
+    if share is None and job["model_type"] in ("xgboost", "lightgbm"):
+        share = job.get("validation_split")
+    if share:
+        params["validation_fraction"] = share
+    settings = {"target": "target", "start": "start_date", "end": "end_date", "tickers": "tickers", "run_name": "run_name"}
+    chosen = {arg: job[key] for arg, key in settings.items() if job.get(key) is not None}
+    return train(bars, job["model_type"], list(job["features"]), params, lookback=int(job.get("lookback_days", 1)),
+                 test_size=float(job.get("test_size", 0.2)), runlog=runlog, **chosen)

@@ -36,18 +36,21 @@ def require_columns(df: DataFrame, columns=OHLCV_COLUMNS) -> None:
 
 
 def conform(df: DataFrame) -> DataFrame:
-    """Project and cast to the canonical bar schema (column order fixed)."""
+    """Project and cast to the canonical bar schema (column order fixed). NaN is
+    no price: it becomes null, so that every later check sees a missing field."""
     require_columns(df, BAR_COLUMNS)
-    return df.select(*[F.col(c).cast(_CASTS[c]).alias(c) for c in BAR_COLUMNS])
+    return df.select(*[(null_if_nan(F.col(c).cast(_CASTS[c])) if c in PRICE_COLUMNS else F.col(c).cast(_CASTS[c])).alias(c)
+                       for c in BAR_COLUMNS])
 
 
 def violations(bars: DataFrame) -> DataFrame:
     """Rows that break the table contract, one row per (Ticker, Date, reason).
 
-    Reasons: a null in a NOT NULL column, a duplicate (Ticker, Date) key.
+    Reasons: a null (or NaN) in a NOT NULL column, a duplicate (Ticker, Date) key.
     The duplicate check is an aggregation on the key, so it shuffles once on
     (Ticker, Date) with map-side partial counts; nothing goes to the driver.
     """
+    bars = conform(bars)
     null_checks = [F.when(F.col(c).isNull(), F.lit(f"null {c}")) for c in BAR_COLUMNS]
     nulls = (
         bars.select("Ticker", "Date", F.array_compact(F.array(*null_checks)).alias("r"))
@@ -62,12 +65,6 @@ def violations(bars: DataFrame) -> DataFrame:
     return nulls.unionByName(dups)
 
 
-def same_schema(df: DataFrame, expected: T.StructType = OHLCV) -> bool:
-    """Schema compare by name and type (nullability ignored: files lose it)."""
-    got = {f.name: f.dataType for f in df.schema.fields}
-    return all(got.get(f.name) == f.dataType for f in expected.fields)
-
-
-def null_to_none(col: Column) -> Column:
-    """NaN is not null in Spark; turn it into null at the source."""
+def null_if_nan(col: Column) -> Column:
+    """Null instead of NaN (Spark treats NaN as larger than any number)."""
     return F.when(~F.isnan(col), col)

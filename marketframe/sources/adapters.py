@@ -8,6 +8,8 @@ reduced to at most one row per day and map task before the shuffle.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,15 @@ def bars_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_order() -> Column:
+    """Order of lines as one fixed-width number: order key, line number, unit
+    price in millionths (the tie-break: the two keys can repeat). A decimal
+    keeps min_by / max_by in hash aggregation, a struct would force a sort."""
+    price = F.round(F.col("l_extendedprice") / F.col("l_quantity") * 1_000_000).cast("decimal(15,0)")
+    return (F.col("l_orderkey").cast("decimal(19,0)") * F.lit(Decimal(10 ** 18)) + F.col("l_linenumber").cast("decimal(10,0)")
+            * F.lit(Decimal(10 ** 15)) + price).cast("decimal(38,0)")
+
+
 def bars_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """More tickers: ticker = part brand, price = unit price of a line.
 
@@ -74,7 +85,21 @@ def bars_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         ticker=F.col("p_brand"),
         day=F.col("l_shipdate"),
         price=px,
-        order=F.struct(F.col("l_orderkey"), F.col("l_linenumber"), px),
+        order=line_order(),
+        volume=F.col("l_quantity"),
+    )
+
+
+def bars_from_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many short series: ticker = supplier and discount step, price = unit price."""
+    li = read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
+    return ticks_to_bars(
+        li,
+        ticker=F.concat(F.lit("S"), "l_suppkey", F.lit("/"), F.round(F.col("l_discount") * 100).cast("int")),
+        day=F.col("l_shipdate"),
+        price=F.col("l_extendedprice") / F.col("l_quantity"),
+        order=line_order(),
         volume=F.col("l_quantity"),
     )
 

@@ -81,11 +81,14 @@ def require_rows(df: DataFrame, what: str = "ticker") -> DataFrame:
     return df
 
 
-def normalise(vendor: DataFrame, ticker: str | Column, date_col: str = "Date") -> DataFrame:
+def normalise(vendor: DataFrame, ticker: str | Column | None = None, date_col: str = "Date") -> DataFrame:
     """Vendor frame (timestamp index as a column, extra columns) -> bar schema.
 
-    Timestamps are truncated to the date; a literal or column ticker is added.
+    Timestamps are truncated to the date; the ticker is a literal, a column, or
+    the frame's own ``Ticker``.
     """
+    if ticker is None:
+        ticker = F.col("Ticker")
     t = F.lit(ticker) if isinstance(ticker, str) else ticker
     out = vendor.select(
         F.to_date(F.col(date_col)).alias("Date"),

@@ -1,94 +1,182 @@
 """Stored tables: bars (S5-S10), feature store (S12), runs and models.
 
-Tables are Parquet directories partitioned by Ticker. Writes replace only
-the Ticker partitions they touch (dynamic partition overwrite): Spark stages
-the new files and swaps the partition directories at job commit, after every
-task has finished reading, so a failed or retried task never sees a
-half-written table. Nothing here collects data to the driver.
+``VersionedTable`` keeps rows in folders by hash bucket of the ticker and by
+period of the date (month or year); bucket count and period are recorded when
+the table is created. A write puts the new content of the folders that it
+touches under a new version and then publishes a manifest that names the
+version of every folder. Readers use the newest manifest, so a write that fails
+or is repeated midway changes nothing, and a reader never sees a mix. A second
+writer that started from the same manifest fails when it publishes.
+
+A daily batch rewrites the current period of its buckets only, and a read lists
+only the folders of the tickers and dates it asks for. The driver handles one
+manifest entry per folder (buckets x periods), never rows or ticker lists.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import bars as B
 from ..schema import BAR_COLUMNS, OHLCV, conform, require_columns
+from . import files
 from .readers import date_range
 
+BUCKETS = 16
+PERIODS = {"month": "yyyy-MM", "year": "yyyy"}
+
+
+class VersionedTable:
+    """Rows keyed by ``key`` (which holds Ticker and Date) in bucket x period folders."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: Iterable[str],
+                 buckets: int = BUCKETS, period: str = "month") -> None:
+        self.spark, self.path, self.schema, self.key = spark, path, schema, list(key)
+        self.layout = {"buckets": buckets, "period": period}
+
+    # -- manifests --
+    def _latest(self) -> tuple[int, dict]:
+        """(number, manifest) of the newest version; number 0 before the first."""
+        have = [int(n[:-5]) for n in files.names(self.spark, f"{self.path}/manifests") if n[:-5].isdigit()]
+        if not have:
+            return 0, {"layout": self.layout, "folders": {}}
+        top = max(have)
+        return top, json.loads(files.read_text(self.spark, f"{self.path}/manifests/{top:010d}.json"))
+
+    def _publish(self, number: int, manifest: dict) -> None:
+        try:
+            files.create_text(self.spark, f"{self.path}/manifests/{number:010d}.json", json.dumps(manifest))
+        except FileExistsError as e:
+            raise RuntimeError(f"{self.path}: another writer published version {number} first") from e
+
+    def create(self) -> None:
+        number, manifest = self._latest()
+        if number == 0:
+            self._publish(1, manifest)
+
+    # -- layout --
+    def _placed(self, df: DataFrame, layout: dict) -> DataFrame:
+        return (df.withColumn("bucket", F.pmod(F.xxhash64("Ticker"), F.lit(layout["buckets"])).cast("int"))
+                .withColumn("period", F.date_format("Date", PERIODS[layout["period"]])))
+
+    def _buckets_of(self, tickers: Iterable[str], layout: dict) -> set[int]:
+        """Buckets of the tickers a caller names."""
+        named = self.spark.createDataFrame([(t,) for t in tickers], "Ticker string")
+        named = named.select(F.pmod(F.xxhash64("Ticker"), F.lit(layout["buckets"])).cast("int").alias("b")).distinct()
+        return {r.b for r in named.collect()}
+
+    def _read_folders(self, folders: dict[str, str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        paths = [f"{self.path}/data/{version}/{folder}" for folder, version in sorted(folders.items())]
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def read(self, tickers: Iterable[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+        """The table, or the part that the tickers and the inclusive dates need;
+        folders without such rows are not listed, files are pruned by statistics."""
+        _, manifest = self._latest()
+        folders, layout = manifest["folders"], manifest["layout"]
+        size = 7 if layout["period"] == "month" else 4
+        if tickers is not None:
+            tickers = [tickers] if isinstance(tickers, str) else list(tickers)
+            wanted = self._buckets_of(tickers, layout)
+            folders = {f: v for f, v in folders.items() if int(f.split("/")[0].split("=")[1]) in wanted}
+        if start is not None or end is not None:
+            lo, hi = (start or "")[:size], (end or "9999-99-99")[:size]
+            folders = {f: v for f, v in folders.items() if lo <= f.split("period=")[1] <= hi}
+        df = self._read_folders(folders)
+        if tickers is not None:
+            df = df.where(F.col("Ticker").isin(tickers))
+        return date_range(df, start, end)
+
+    def _rewrite(self, number: int, manifest: dict, rows: DataFrame, touched: Iterable[str]) -> None:
+        """Publish ``rows`` as the whole content of the touched folders."""
+        layout, version = manifest["layout"], f"{number + 1:010d}-{uuid.uuid4().hex[:8]}"
+        target = f"{self.path}/data/{version}"
+        # one task per folder; files sorted by key so that statistics prune tickers and dates
+        (self._placed(rows, layout).repartition("bucket", "period").sortWithinPartitions("bucket", "period", *self.key)
+         .write.partitionBy("bucket", "period").parquet(target))
+        buckets = [n for n in files.names(self.spark, target) if n.startswith("bucket=")]
+        written = {f"{b}/{p}" for b in buckets for p in files.names(self.spark, f"{target}/{b}") if p.startswith("period=")}
+        folders = {f: v for f, v in manifest["folders"].items() if f not in set(touched)}
+        folders.update(dict.fromkeys(written, version))
+        self._publish(number + 1, {"layout": layout, "folders": folders})
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
-PRUNE_LIST_MAX = 10_000   # touched tickers listed in the scan filter up to this many
-
+    def upsert(self, batch: DataFrame) -> int:
+        """Replace the keys present in ``batch``, insert the rest; returns its rows.
 
-def touched_partitions(table: DataFrame, batch: DataFrame, limit: int = PRUNE_LIST_MAX) -> DataFrame:
-    """Rows of ``table`` whose Ticker occurs in ``batch``, reading only those partitions.
+        The batch is evaluated once, into a staging folder of the table. One
+        aggregate over it gives rows, repeated keys and touched folders. A null
+        key or a repeated key is rejected before anything is published.
+        """
+        number, manifest = self._latest()
+        staging = f"{self.path}/staging/{uuid.uuid4().hex}"
+        batch.select(*[F.col(f.name).cast(f.dataType) for f in self.schema.fields]).write.parquet(staging)
+        new = self.spark.read.schema(self.schema).parquet(staging)
+        per_key = self._placed(new, manifest["layout"]).groupBy("bucket", "period", *self.key).agg(F.count("*").alias("n"))
+        empty_key = F.greatest(*[F.col(k).isNull().cast("int") for k in self.key])
+        found = per_key.groupBy("bucket", "period").agg(F.sum("n").alias("rows"), F.max("n").alias("most"),
+                                                        F.max(empty_key).alias("no_key")).collect()
+        if not found:
+            return 0
+        if any(r["no_key"] for r in found):
+            raise ValueError(f"null in key ({', '.join(self.key)})")
+        if any(r["most"] > 1 for r in found):
+            raise ValueError(f"duplicate ({', '.join(self.key)}) keys in batch")
+        touched = [f"bucket={r['bucket']}/period={r['period']}" for r in found]
+        old = self._read_folders({f: v for f, v in manifest["folders"].items() if f in set(touched)})
+        self._rewrite(number, manifest, old.join(new.select(*self.key), self.key, "left_anti").unionByName(new), touched)
+        return sum(r["rows"] for r in found)
+
+    def delete(self, tickers: Iterable[str]) -> None:
+        """Remove all rows of the tickers: their buckets are rewritten without them."""
+        tickers = [tickers] if isinstance(tickers, str) else list(tickers)
+        number, manifest = self._latest()
+        wanted = self._buckets_of(tickers, manifest["layout"])
+        touched = {f: v for f, v in manifest["folders"].items() if int(f.split("/")[0].split("=")[1]) in wanted}
+        if touched:
+            kept = self._read_folders(touched).where(F.col("Ticker").isNull() | ~F.col("Ticker").isin(tickers))
+            self._rewrite(number, manifest, kept, touched)
 
-    The semi-join alone does not prune Ticker directories (Spark's dynamic
-    pruning does not fire here), so a batch touching a few tickers would scan
-    the whole table. The touched tickers are counted first; up to ``limit``
-    of them (a checked bound) go into an ``isin`` filter, which Spark turns
-    into static partition pruning. Beyond it the batch touches most
-    partitions anyway and the semi-join is used as is.
-    """
-    touched = batch.select("Ticker").distinct()
-    if touched.count() <= limit:
-        names = [r.Ticker for r in touched.collect()]
-        return table.where(F.col("Ticker").isin(names))
-    return table.join(touched, "Ticker", "left_semi")
+    def clear(self) -> None:
+        number, manifest = self._latest()
+        self._publish(number + 1, {"layout": manifest["layout"], "folders": {}})
 
 
 class BarStore:
-    """OHLCV table keyed by (Ticker, Date), partitioned by Ticker."""
+    """OHLCV table keyed by (Ticker, Date)."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, period: str = "month") -> None:
         self.spark = spark
         self.path = path
+        self.table = VersionedTable(spark, path, OHLCV, ("Ticker", "Date"), buckets, period)
 
     def initialize(self) -> None:
         """Create the (empty) table with the canonical schema if absent."""
-        if not _exists(self.spark, self.path):
-            self.spark.createDataFrame([], OHLCV).write.partitionBy("Ticker").parquet(self.path)
+        self.table.create()
 
     def read(self) -> DataFrame:
-        self.initialize()
-        df = self.spark.read.schema(OHLCV).parquet(self.path)
-        return df.select(*BAR_COLUMNS)
+        return self.table.read().select(*BAR_COLUMNS)
 
     def upsert(self, batch: DataFrame) -> int:
         """Replace (Ticker, Date) keys present in ``batch``, insert the rest.
 
         Missing columns raise ``ValueError``; an empty batch returns 0; a key
-        repeated inside the batch is rejected before anything is written.
-        Returns the number of batch rows.
+        that is null or repeated inside the batch is rejected. Returns the
+        number of batch rows.
         """
         require_columns(batch, BAR_COLUMNS)
-        batch = conform(batch)
-        n = batch.count()
-        if n == 0:
-            return 0
-        if not B.duplicate_keys(batch).isEmpty():
-            raise ValueError("duplicate (Ticker, Date) keys in batch")
-        changed = B.upsert_result(touched_partitions(self.read(), batch), batch)
-        # one task per touched ticker partition (a ticker holds at most one row
-        # per day); files sorted by Date so row-group statistics prune date ranges
-        (changed.repartition("Ticker").sortWithinPartitions("Ticker", "Date").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("Ticker").parquet(self.path))
-        return n
+        return self.table.upsert(conform(batch))
 
     def scan(self, tickers=None, start=None, end=None) -> DataFrame:
-        return B.scan(self.read(), tickers, start, end)
+        return self.table.read(tickers, start, end).select(*BAR_COLUMNS).orderBy("Ticker", "Date")
 
     def latest_date(self) -> DataFrame:
         return B.latest_date(self.read())
@@ -118,7 +206,6 @@ def to_long(features: DataFrame, computed_at: dt.datetime | None = None) -> Data
     long = features.select("Ticker", "Date", *[F.col(c).cast("double") for c in names]) \
         .unpivot(["Ticker", "Date"], names, "feature", "value")
     ts = F.lit(computed_at) if computed_at is not None else F.current_timestamp()
-    from pyspark.sql import Window
     # latest bar the features were computed from (per ticker): lets a reader
     # see that bars were upserted after the features were stored
     src_max = F.max("Date").over(Window.partitionBy("Ticker"))
@@ -133,26 +220,18 @@ def to_wide(long: DataFrame, names: Iterable[str]) -> DataFrame:
         .select("Date", "Ticker", *names)
 
 
-def cache_key(ticker: str, names: Iterable[str], start: str | None, end: str | None) -> str:
-    """Canonical request key: sorted feature names, 'all' for open bounds."""
-    return f"features:{ticker}:{'_'.join(sorted(names))}:{start or 'all'}_{end or 'all'}"
-
-
 class FeatureStore:
-    """S12 on a long-form table partitioned by Ticker.
+    """S12 on a long-form table keyed by (Ticker, Date, feature).
 
-    set = upsert on (Ticker, Date, feature); get = scan + pivot; exists = a
-    one-row probe; delete = drop a ticker's partition; clear = drop all. TTL
-    is a predicate on ``computed_at``.
+    set = upsert; get = scan of the asked folders + pivot; exists = a probe;
+    delete = rewrite the ticker's bucket without it; clear = an empty version.
+    TTL is a predicate on ``computed_at``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int | None = 86400) -> None:
+    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int | None = 86400, buckets: int = BUCKETS,
+                 period: str = "month") -> None:
         self.spark, self.path, self.ttl = spark, path, ttl_seconds
-
-    def _read(self) -> DataFrame:
-        if not _exists(self.spark, self.path):
-            return self.spark.createDataFrame([], FEATURE_ROW)
-        return self.spark.read.schema(FEATURE_ROW).parquet(self.path)
+        self.table = VersionedTable(spark, path, FEATURE_ROW, ("Ticker", "Date", "feature"), buckets, period)
 
     def _fresh(self, df: DataFrame, as_of: dt.datetime | None) -> DataFrame:
         if self.ttl is None:
@@ -160,21 +239,18 @@ class FeatureStore:
         now = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
         return df.where(F.col("computed_at") >= now - F.expr(f"INTERVAL {int(self.ttl)} SECONDS"))
 
+    def rows(self, as_of: dt.datetime | None = None) -> DataFrame:
+        """The stored long rows that have not expired."""
+        return self._fresh(self.table.read(), as_of)
+
     def set(self, features: DataFrame, computed_at: dt.datetime | None = None) -> None:
-        new = to_long(features, computed_at)
-        key = ["Ticker", "Date", "feature"]
-        kept = touched_partitions(self._read(), new).join(new.select(*key), key, "left_anti")
-        (kept.unionByName(new).repartition("Ticker").sortWithinPartitions("Ticker", "Date", "feature")
-         .write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("Ticker").parquet(self.path))
+        self.table.upsert(to_long(features, computed_at))
 
     def get(self, tickers: Iterable[str] | None, names: Iterable[str], start: str | None = None,
             end: str | None = None, as_of: dt.datetime | None = None) -> DataFrame:
         names = list(names)
-        df = self._fresh(self._read(), as_of).where(F.col("feature").isin(names))
-        if tickers is not None:
-            df = df.where(F.col("Ticker").isin(list(tickers)))
-        return to_wide(date_range(df, start, end), names)
+        df = self._fresh(self.table.read(tickers, start, end), as_of).where(F.col("feature").isin(names))
+        return to_wide(df, names)
 
     def stale(self, latest: DataFrame) -> DataFrame:
         """Tickers whose stored features predate their bars.
@@ -183,31 +259,23 @@ class FeatureStore:
         A ticker is stale when nothing is stored for it or its newest bar is
         after the ``source_max_date`` recorded with its features.
         """
-        stored = self._read().groupBy("Ticker").agg(F.max("source_max_date").alias("source_max_date"))
+        stored = self.table.read().groupBy("Ticker").agg(F.max("source_max_date").alias("source_max_date"))
         j = latest.join(stored, "Ticker", "left")
         return j.where(F.col("source_max_date").isNull() | (F.col("latest_date") > F.col("source_max_date"))) \
             .select("Ticker", "latest_date", "source_max_date")
 
     def exists(self, ticker: str, names: Iterable[str], as_of: dt.datetime | None = None) -> bool:
         names = list(names)
-        df = self._fresh(self._read(), as_of).where((F.col("Ticker") == ticker) & F.col("feature").isin(names))
+        df = self._fresh(self.table.read(ticker), as_of).where(F.col("feature").isin(names))
         have = df.select("feature").distinct()
         want = self.spark.createDataFrame([(n,) for n in names], "feature string")
         return want.join(have, "feature", "left_anti").isEmpty()
 
     def delete(self, ticker: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/Ticker={ticker}")
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(p):
-            fs.delete(p, True)
+        self.table.delete([ticker])
 
     def clear(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(p):
-            fs.delete(p, True)
+        self.table.clear()
 
 
 # ---- runs and models ------------------------------------------------------------------------------
@@ -218,6 +286,7 @@ RUN_ROW = T.StructType([
     T.StructField("experiment", T.StringType(), True),
     T.StructField("params", T.MapType(T.StringType(), T.StringType()), True),
     T.StructField("metrics", T.MapType(T.StringType(), T.DoubleType()), True),
+    T.StructField("features", T.ArrayType(T.StringType()), True),
     T.StructField("model_path", T.StringType(), True),
     T.StructField("created_at", T.TimestampType(), True),
 ])
@@ -240,31 +309,32 @@ class RunLog:
     def model_path(self, run_id: str) -> str:
         return f"{self.root}/models/{run_id}"
 
-    def log(self, run_id: str, run_name: str, params: dict, metrics: dict, model=None) -> None:
+    def log(self, run_id: str, run_name: str, params: dict, metrics: dict, model=None,
+            features: Iterable[str] = ()) -> None:
         path = None
         if model is not None:
             path = self.model_path(run_id)
             model.write().overwrite().save(path)
         row = (run_id, run_name, self.experiment, {k: str(v) for k, v in params.items()},
-               {k: float(v) for k, v in metrics.items()}, path, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
+               {k: float(v) for k, v in metrics.items()}, list(features), path, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
         self.spark.createDataFrame([row], RUN_ROW).write.mode("append").parquet(self.table)
 
     def runs(self) -> DataFrame:
-        if not _exists(self.spark, self.table):
+        if not files.exists(self.spark, self.table):
             return self.spark.createDataFrame([], RUN_ROW)
         return self.spark.read.schema(RUN_ROW).parquet(self.table)
 
-    def params(self, run_id: str) -> dict:
-        """The params map of one run (a single small row)."""
-        rows = self.runs().where(F.col("run_id") == run_id).select("params").take(1)
+    def run(self, run_id: str) -> dict:
+        """One run as a dict (a single small row)."""
+        rows = self.runs().where(F.col("run_id") == run_id).take(1)
         if not rows:
             raise ValueError(f"Run not found: {run_id}")
-        return dict(rows[0]["params"])
+        return rows[0].asDict()
 
     def load_model(self, run_id: str):
         from pyspark.ml import PipelineModel
         path = self.model_path(run_id)
-        if not _exists(self.spark, path):
+        if not files.exists(self.spark, path):
             raise ValueError(f"Model not found for run: {run_id}")
         return PipelineModel.load(path)
 
@@ -274,8 +344,3 @@ def compare_runs(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", "run_name", F.col("metrics")["test_r2"].alias("test_r2"),
                        F.col("metrics")["test_rmse"].alias("test_rmse")).orderBy(F.col("test_r2").desc_nulls_last())
 
-
-def feature_names_from_params(params: dict) -> list[str]:
-    """Ordered ``feature_i`` entries of a run's params."""
-    n = int(params.get("n_features", 0))
-    return [params[f"feature_{i}"] for i in range(n)]

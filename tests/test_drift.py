@@ -33,35 +33,43 @@ def test_one_row_period_and_absent_feature(spark):
     assert len(rep) == 1 and rep[0].std_shift is None and not rep[0].drift_detected
 
 
-def test_summary_insufficient_data(spark):
+def _bars(spark, spans):
+    """spans: ticker -> list of (day offset, close)."""
     d0 = dt.date(2024, 1, 1)
-    ref = _feat(spark, [("A", d0, 1.0), ("B", d0, None)])
-    cur = _feat(spark, [("A", d0 + dt.timedelta(days=3), 2.0), ("B", d0 + dt.timedelta(days=3), 2.0)])
-    rep = DR.report(DR.profile(ref, cur, ["x"]))
-    tick = spark.createDataFrame([("A", 1, 1), ("B", 1, 1), ("C", 0, 4)], "Ticker string, ref_rows long, cur_rows long")
-    s = {r.Ticker: r for r in DR.summary(rep, tick).collect()}
+    return bars_of(spark, [(d0 + dt.timedelta(days=k), t, c, c + 1, c - 1, c, 100) for t, days in spans.items() for k, c in days])
+
+
+REF, CUR = ("2024-01-01", "2024-01-10"), ("2024-02-01", "2024-02-10")
+
+
+def test_summary_and_skipped_of_short_and_missing_periods(spark):
+    spans = {"A": [(k, 10.0) for k in range(10)] + [(31 + k, 20.0) for k in range(10)],
+             "B": [(0, 10.0), (31, 10.0)],                       # too short for any indicator
+             "C": [(31 + k, 10.0) for k in range(10)],           # no reference period
+             "D": [(20, 10.0)]}                                  # in neither period
+    d = DR.detect(_bars(spark, spans), ["sma_5", "nope"], *REF, *CUR)
+    s = {r.Ticker: r for r in d.summary.collect()}
     assert s["A"].drift_detected and s["A"].message == "Drift detected in 1/1 features"
     # rows in both periods but no defined value: no drift, zero features
-    assert not s["B"].drift_detected and s["B"].n_features == 0
-    assert s["B"].message == "No significant drift detected"
-    # an empty period
-    assert not s["C"].drift_detected and s["C"].message == "Insufficient data for drift detection"
+    assert not s["B"].drift_detected and s["B"].n_features == 0 and s["B"].message == "No significant drift detected"
+    for t in "CD":
+        assert not s[t].drift_detected and s[t].message == "Insufficient data for drift detection"
+    assert {(r.Ticker, r.feature, r.reason) for r in d.skipped.collect()} == {
+        ("A", "nope", "not computed"), ("B", "nope", "not computed"), ("C", "nope", "not computed"), ("D", "nope", "not computed"),
+        ("B", "sma_5", "no values in reference"), ("C", "sma_5", "no values in reference"), ("D", "sma_5", "no values in reference")}
+
+
+def test_overlapping_periods_count_a_day_in_both(spark):
+    spans = {"A": [(k, 10.0 + k) for k in range(10)]}
+    tagged = DR.periods(_bars(spark, spans), ("2024-01-01", "2024-01-06"), ("2024-01-05", "2024-01-08"))
+    assert {r.period: r["count"] for r in tagged.groupBy("period").count().collect()} == {"ref": 6, "cur": 4, "none": 2}
 
 
 def test_detect_on_bars(spark):
     d0 = dt.date(2024, 1, 1)
     rows = [(d0 + dt.timedelta(days=k), "A", 10.0, 11.0, 9.0, 10.0 + (k if k >= 40 else 0), 100) for k in range(80)]
-    rep, summ = DR.detect(bars_of(spark, rows), ["sma_5", "returns"], "2024-01-01", "2024-02-09",
+    rep, summ, _ = DR.detect(bars_of(spark, rows), ["sma_5", "returns"], "2024-01-01", "2024-02-09",
                           "2024-02-10", "2024-03-20")
     r = {x.feature: x for x in rep.collect()}
     assert r["sma_5"].drift_detected
     assert summ.collect()[0].n_features == 2
-
-
-def test_skipped_features_are_reported(spark):
-    d0 = dt.date(2024, 1, 1)
-    rows = [("A", d0 + dt.timedelta(days=k), "ref" if k < 5 else "cur", float(k), None if k < 5 else 1.0)
-            for k in range(10)]
-    f = spark.createDataFrame(rows, "Ticker string, Date date, period string, x double, y double")
-    got = {(r.feature, r.reason) for r in DR.skipped(f, ["x", "y", "z"]).collect()}
-    assert got == {("y", "no values in reference"), ("z", "not computed")}

@@ -27,7 +27,7 @@ def test_training_set_sizes(spark):
 def test_target_named_feature_is_not_an_input(spark):
     ts = DS.prepare(ramp(spark, 60), ["sma_5", "returns"], "returns", 1)
     assert ts.feature_cols == ["sma_5"]
-    with pytest.raises(ValueError, match="None of the specified features"):
+    with pytest.raises(ValueError, match="no input column left"):
         DS.feature_columns(ts.frame, ["returns"], "returns")
 
 
@@ -102,15 +102,15 @@ def test_train_log_predict_latest(spark, tmp):
     s = TR.train(b, "linear_regression", ["sma_20", "rsi_14"], runlog=log)
     assert s["feature_names"] == ["sma_20", "rsi_14"]
     assert s["params"]["n_train_samples"] + s["params"]["n_test_samples"] == 180
-    p = log.params(s["run_id"])
-    assert p["feature_0"] == "sma_20" and p["n_features"] == "2"
+    run = log.run(s["run_id"])
+    assert run["features"] == ["sma_20", "rsi_14"] and run["params"]["n_features"] == "2"
     preds = TR.predict(b, log, s["run_id"]).orderBy("feature_date").toPandas()
     assert len(preds) == 200 and preds["prediction"].iloc[:19].isna().all()
     assert (preds["Date"] > preds["feature_date"]).all()
     last = TR.predict_latest(b, log, s["run_id"], n=3).toPandas()
     assert len(last) == 3 and last["prediction"].notna().all()
     with pytest.raises(ValueError, match="Run not found"):
-        log.params("missing")
+        log.run("missing")
     with pytest.raises(ValueError, match="Model not found"):
         log.load_model("missing")
 
@@ -147,3 +147,34 @@ def test_ols_paths_agree_with_numpy(spark, p):
     np.testing.assert_allclose([co.intercept, *[co[f"coef_{i}"] for i in range(p)]], beta, rtol=1e-8, atol=1e-10)
     pred = MO.ols_fit_predict(df, cols, F.col("fit")).toPandas()
     np.testing.assert_allclose(pred["prediction"], np.c_[np.ones(n), X] @ beta, rtol=1e-8, atol=1e-8)
+
+
+# content of a job file of the kind users have
+JOB = {"ticker": "AAPL", "model_type": "linear_regression", "feature_names": ["sma_5", "returns"],
+       "model_params": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "random_state": 42},
+       "target": "returns", "lookback_days": 1, "test_size": 0.2, "start_date": None, "end_date": None, "use_cache": True,
+       "training": {"early_stopping_rounds": 10, "validation_split": 0.1, "verbose": True},
+       "registry": {"name": "models", "stage": "staging"}}
+
+
+def test_job_file_trains(spark):
+    job = {**JOB, "model_params": {}}
+    s = TR.train_from_config(ramp(spark, 60), job)
+    assert s["feature_names"] == ["sma_5"] and s["ticker"] == "AAPL"
+    assert TR.flatten_config(JOB)["validation_split"] == 0.1
+    with pytest.raises(ValueError, match="unknown config keys"):
+        TR.flatten_config({**JOB, "colour": 1})
+    with pytest.raises(ValueError, match="model type and features"):
+        TR.train_from_config(ramp(spark, 60), {"model_type": "linear_regression"})
+
+
+def test_empty_training_set_is_an_error(spark):
+    with pytest.raises(ValueError, match="empty training set"):
+        TR.train(ramp(spark, 30), "linear_regression", ["sma_50"])
+
+
+def test_fit_layout_follows_the_session(spark):
+    b = ramp(spark, 60)
+    assert TR.fit_partitions(b, "random_forest", None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert TR.fit_partitions(b, "random_forest", 3) == 3
+    assert TR.fit_partitions(b, "linear_regression", 3) is None

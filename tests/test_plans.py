@@ -9,7 +9,11 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF001
 
-ROWS_ONLY = {"forest_metrics", "gbt_metrics", "train_summary", "runs_append", "ingest_stream"}
+from marketframe.plans import catalog
+
+# queries that run fits or store writes when they are built
+EAGER = {"forest_metrics", "gbt_metrics", "train_summary", "runs_append", "runs_compare", "ingest_stream", "predict_linear",
+         "predict_latest", "bars_upsert", "feature_store_put", "feature_store_get", "feature_store_delete", "latency_percentile"}
 
 
 def plan(df) -> str:
@@ -38,7 +42,7 @@ def test_feature_plans_shuffle_twice(spark, name):
     assert "InPandas" not in txt and "EvalPython" not in txt
 
 
-@pytest.mark.parametrize("name", ["ols_fit", "regression_metrics", "predict_linear", "runs_compare"])
+@pytest.mark.parametrize("name", ["ols_fit", "ols_fit_2", "regression_metrics"])
 def test_linear_model_plans_stay_in_the_jvm(spark, name):
     txt = q(spark, name)
     assert "InPandas" not in txt and "EvalPython" not in txt
@@ -52,6 +56,21 @@ def test_drift_is_one_feature_plan(spark):
     assert len(ticker_period) == 1
 
 
+@pytest.mark.parametrize("name", ["drift_report", "drift_summary", "drift_skipped", "ingest_rejected", "features_brands"])
+def test_raw_ticks_are_read_and_hash_aggregated_once(spark, name):
+    """One scan of the ticks (and one of the parts where brands are tickers)."""
+    txt = q(spark, name)
+    assert len(re.findall(r"FileScan parquet", txt)) == (2 if name in ("ingest_rejected", "features_brands") else 1)
+    assert "SortAggregate" not in txt.split("Generate")[-1]
+    assert "SinglePartition" not in txt
+
+
+def test_ingest_is_one_batch_pass(spark):
+    txt = q(spark, "ingest_accepted")
+    assert len(re.findall(r"FileScan parquet", txt)) == 2 and len(exchanges(txt)) <= 4
+    assert "SinglePartition" not in txt
+
+
 def test_filters_reach_the_scan(spark):
     txt = q(spark, "features_range_slice")
     assert re.search(r"PushedFilters: \[[^\]]*In\(o_orderpriority", txt)
@@ -59,8 +78,8 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_no_cross_joins_anywhere(spark):
-    for name in E.queries():
-        if name in ROWS_ONLY:
+    for name in catalog.QUERIES:
+        if name in EAGER:
             continue
         txt = q(spark, name)
         assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt, name

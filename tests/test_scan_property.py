@@ -32,3 +32,18 @@ def test_scan_matches_loop(spark, q, lengths, seed, scale):
         got = g.sort_values("_i")["y"].to_numpy()
         tol = 1e-12 * scale * 10 / (1 - q)
         np.testing.assert_allclose(got, expect[t], rtol=1e-10, atol=tol)
+
+
+def test_collapsing_series_at_the_smallest_block(spark):
+    """A fall by 18 orders of magnitude between blocks leaves no trace."""
+    q = 13 / 14
+    lo, _ = block_range(q)
+    n = 4 * lo
+    x = [1e9 if i < lo else 1e-9 for i in range(n)]
+    y, want = 0.0, []
+    for v in x:
+        y = v + q * y
+        want.append(y)
+    df = spark.createDataFrame([("T", i, v) for i, v in enumerate(x)], "Ticker string, _i long, x double")
+    got = linear_scan(df, [Recurrence("y", F.col("x"), q)], block=lo).orderBy("_i").toPandas()["y"].to_numpy()
+    np.testing.assert_allclose(got, want, rtol=1e-9)

@@ -7,7 +7,7 @@ from conftest import SF001, bars_of
 from marketframe.operators import bars as B
 from marketframe.operators import ingest as ING
 from marketframe.sources import readers as RD
-from marketframe.sources.store import BarStore, FeatureStore, cache_key
+from marketframe.sources.store import BarStore, FeatureStore
 from marketframe.operators.features import compute_features
 
 D = dt.date
@@ -127,7 +127,6 @@ def test_feature_store_roundtrip(spark, tmp):
     assert fs.get(None, ["sma_5"], as_of=now).select("Ticker").distinct().count() == 1
     fs.clear()
     assert fs.get(None, ["sma_5"], as_of=now).count() == 0
-    assert cache_key("AAPL", ["rsi_14", "sma_20"], None, "2024-01-31") == "features:AAPL:rsi_14_sma_20:all_2024-01-31"
 
 
 def test_stream_equals_batch(spark, tmp):
@@ -142,13 +141,14 @@ def test_stream_repeat_is_noop_and_new_landing_applies(spark, tmp):
     from marketframe.streaming.ingest_stream import run_available
     land, store, ck = f"{tmp}/landing", f"{tmp}/bars", f"{tmp}/ck"
     bars_of(spark, aapl(3)).write.parquet(f"{land}/batch=0001")
-    run_available(spark, land, store, ck)
+    bad = f"{tmp}/rejected"
+    run_available(spark, land, store, ck, bad)
     first = sorted(BarStore(spark, store).read().collect())
-    run_available(spark, land, store, ck)                      # nothing new landed
+    run_available(spark, land, store, ck, bad)                 # nothing new landed
     assert sorted(BarStore(spark, store).read().collect()) == first
     fix = [(D(2024, 1, 3), "AAPL", 1.0, 2.0, 0.5, 1.5, 7), (D(2024, 1, 4), "AAPL", 2.0, 3.0, 1.5, 2.5, 8)]
     bars_of(spark, fix).write.parquet(f"{land}/batch=0002")
-    run_available(spark, land, store, ck, rejected_path=f"{tmp}/rejected")
+    run_available(spark, land, store, ck, bad)
     rows = {r.Date: r.Close for r in BarStore(spark, store).read().collect()}
     assert rows == {D(2024, 1, 1): 100.5, D(2024, 1, 2): 101.5, D(2024, 1, 3): 1.5, D(2024, 1, 4): 2.5}
 
@@ -167,8 +167,7 @@ def test_record_shaping(spark):
 
 
 def test_numeric_looking_ticker_stays_text(spark, tmp):
-    """Partition directories like Ticker=1234 would be inferred as integers;
-    the explicit bar schema keeps the column text (the S5 repair case)."""
+    """The bar schema keeps the column text (the S5 repair case)."""
     s = BarStore(spark, f"{tmp}/bars")
     s.upsert(bars_of(spark, aapl(2, ticker="1234")))
     df = s.read()
@@ -185,3 +184,126 @@ def test_feature_store_staleness_after_upsert(spark, tmp):
     bs.upsert(bars_of(spark, aapl(1, start=D(2024, 1, 11))))          # a new AAPL bar
     st = fs.stale(bs.latest_date()).collect()
     assert [(r.Ticker, r.latest_date, r.source_max_date) for r in st] == [("AAPL", D(2024, 1, 11), D(2024, 1, 10))]
+
+
+def test_odd_ticker_names_are_deleted(spark, tmp):
+    names = ["^GSPC", "ES=F", "BRK/B", "a b", "AAPL"]
+    fs = FeatureStore(spark, f"{tmp}/fs", ttl_seconds=None, buckets=2, period="year")
+    fs.set(compute_features(bars_of(spark, [r for n in names for r in aapl(8, ticker=n)]), ["sma_5"]))
+    for n in names[:4]:
+        assert fs.exists(n, ["sma_5"])
+        fs.delete(n)
+        assert not fs.exists(n, ["sma_5"])
+    assert {r.Ticker for r in fs.rows().select("Ticker").distinct().collect()} == {"AAPL"}
+
+
+def test_batch_is_evaluated_once(spark, tmp):
+    """Every evaluation of the batch adds its rows to an accumulator."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    batch = bars_of(spark, aapl(40) + aapl(40, ticker="MSFT"))
+    counted = batch.mapInArrow(count, batch.schema)
+    store = BarStore(spark, f"{tmp}/bars")
+    store.upsert(batch)
+    store.upsert(counted)
+    assert seen.value == 80
+    # the projection must not be folded away
+    fs = FeatureStore(spark, f"{tmp}/fs")
+    frame = counted.select("Ticker", "Date", "Close")
+    fs.set(frame)
+    assert seen.value == 160
+
+
+def test_failed_write_leaves_the_table(spark, tmp, monkeypatch):
+    store = BarStore(spark, f"{tmp}/bars")
+    store.upsert(bars_of(spark, aapl(3)))
+    before = sorted(store.read().collect())
+
+    def broken(batches):
+        for b in batches:
+            raise RuntimeError("lost")
+            yield b
+
+    batch = bars_of(spark, aapl(5, close0=7.0))
+    with pytest.raises(Exception, match="lost"):
+        store.upsert(batch.mapInArrow(broken, batch.schema))
+    assert sorted(store.read().collect()) == before
+    # the new folders are written but never published
+    def fail(*a):
+        raise OSError("no")
+
+    monkeypatch.setattr(store.table, "_publish", fail)
+    with pytest.raises(OSError):
+        store.upsert(batch)
+    assert sorted(BarStore(spark, store.path).read().collect()) == before
+
+
+def test_second_writer_of_a_version_fails(spark, tmp):
+    store = BarStore(spark, f"{tmp}/bars")
+    store.upsert(bars_of(spark, aapl(1)))
+    number, manifest = store.table._latest()
+    store.upsert(bars_of(spark, aapl(2)))
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.table._publish(number + 1, manifest)
+
+
+def test_reads_list_only_the_folders_asked_for(spark, tmp):
+    store = BarStore(spark, f"{tmp}/bars", buckets=8)
+    store.upsert(bars_of(spark, aapl(100) + aapl(100, ticker="MSFT")))
+    assert len(store.table.read().inputFiles()) >= 4
+    part = store.table.read(["AAPL"], "2024-02-03", "2024-02-20")
+    assert len(part.inputFiles()) == 1 and part.count() == 18
+    assert store.table.read(["NONE"]).count() == 0
+
+
+def test_null_keys_are_rejected(spark, tmp):
+    rows = spark.createDataFrame([(None, "AAPL", 1.0, 1.0, 1.0, 1.0, 1)], "Date date, Ticker string, Open double, High double, Low double, Close double, Volume long")
+    with pytest.raises(ValueError, match="null in key"):
+        BarStore(spark, f"{tmp}/bars").upsert(rows)
+
+
+NAN_ROWS = ("Date date, Ticker string, Open double, High double, Low double, Close double, Volume long",
+            [(D(2024, 1, 1), "OK", 1.0, 2.0, 0.5, 1.5, 1), (D(2024, 1, 1), "NAN", 1.0, 2.0, 0.5, float("nan"), 1),
+             (D(2024, 1, 2), "NAN", 1.0, 2.0, 0.5, 1.0, 1), (D(2024, 1, 1), None, 1.0, 2.0, 0.5, 1.5, 1),
+             (D(2024, 1, 1), "INF", float("nan"), 2.0, 0.5, 1.5, 1), (None, "DAY", 1.0, 2.0, 0.5, 1.5, 1)])
+
+
+def test_nan_and_null_keys_never_pass(spark):
+    from marketframe.schema import conform, violations
+    b = spark.createDataFrame(NAN_ROWS[1], NAN_ROWS[0])
+    acc, bad = ING.split_batch(b)
+    assert [r.Ticker for r in acc.collect()] == ["OK"]
+    assert {(r.Ticker, r.reason) for r in bad.collect()} == {(t, "null field") for t in ("NAN", None, "INF", "DAY")}
+    assert conform(b).where("isnan(Close)").count() == 0
+    assert {(r.Ticker, r.reason) for r in violations(b).collect()} == {
+        ("NAN", "null Close"), ("INF", "null Open"), (None, "null Ticker"), ("DAY", "null Date")}
+
+
+def test_last_landed_file_wins_and_rejected_rows_are_kept(spark, tmp):
+    import glob
+    import os
+    from marketframe.streaming.ingest_stream import run_available
+    land, store, ck, bad = f"{tmp}/landing", f"{tmp}/bars", f"{tmp}/ck", f"{tmp}/rejected"
+    bars_of(spark, aapl(1)).coalesce(1).write.parquet(f"{land}/batch=z_first")
+    bars_of(spark, aapl(1, close0=7.5) + aapl(1, ticker="TWICE") + aapl(1, ticker="TWICE")).coalesce(1).write.parquet(f"{land}/batch=a_second")
+    for k, part in enumerate(("batch=z_first", "batch=a_second")):
+        for f in glob.glob(f"{land}/{part}/*.parquet"):
+            os.utime(f, (1_700_000_000 + 60 * k,) * 2)
+    run_available(spark, land, store, ck, bad)
+    assert [(r.Ticker, r.Close) for r in BarStore(spark, store).read().collect()] == [("AAPL", 7.5)]
+    left = spark.read.parquet(bad).collect()
+    assert [(r.Ticker, r.reason) for r in left] == [("TWICE", "duplicate key")] * 2
+
+
+def test_no_machine_local_checkpoint_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+    from marketframe.session import ensure_checkpoint_dir
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"),
+                           conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(fake)
