@@ -30,7 +30,7 @@ def test_whole_table_equals_brute_force(spark):
 def test_odd_texts(spark):
     texts = [None, "", "a@b.c@d.e x@y a@b.c_d@e.f.g-h é@b.co x.a@b..c", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255 1.2.3 0000300.1.1.1 999999999999999999999.1.1.1",
              "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111 12 34", "4111  1111 1111 1111", "+1 (988) 555-2485 +123 +1(2)3-4.5 6 7 8 9 0+491234567890",
-             "😀 ü a@b.cd 😀 10.0.0.1", "9 " * 30_000, "a" * 200_000 + "@", "1" * 50_000 + ".1.1.1", "x@" + "a." * 20_000 + "b", "+" + "1 " * 20_000]
+             "😀 ü a@b.cd 😀 10.0.0.1", "9 " * 30_000, "a" * 20_000 + "@", "1" * 50_000 + ".1.1.1", "x@" + "a." * 20_000 + "b", "+" + "1 " * 20_000]
     got = base(personal_data(frame(spark, texts)))
     for i, t in enumerate(texts):
         assert got[i] == brute.personal(t), i
