@@ -52,7 +52,8 @@ WITH_BARS = "WITH " + S.BARS_ORDERS + "\n"
 
 @query("bars_source", WITH_BARS + f"SELECT {BAR_COLS_SQL} FROM bars")
 def bars_source(spark, sf_dir):
-    return _bar_cols_spark(bars(spark, sf_dir))
+    """Bars of a registered source (all tickers, open range)."""
+    return _bar_cols_spark(RD.fetch_bars(spark, "orders", sf_dir))
 
 
 SCAN_TICKERS = ("1-URGENT", "5-LOW")

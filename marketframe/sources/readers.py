@@ -50,10 +50,6 @@ def get_source(name: str = "parquet") -> Reader:
     return SOURCES[name]
 
 
-def register_source(name: str, reader: Reader) -> None:
-    SOURCES[name] = reader
-
-
 def date_range(df: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """Inclusive date bounds; either may be omitted."""
     if start is not None:
@@ -74,8 +70,8 @@ def fetch_bars(spark: SparkSession, source: str, location: str,
 
 
 def require_rows(df: DataFrame, what: str = "ticker") -> DataFrame:
-    """The reference treats an empty fetch as an error. ``isEmpty`` reads at
-    most one row, so the check costs one short job."""
+    """An empty fetch is an error. ``isEmpty`` reads at most one row, so the
+    check costs one short job."""
     if df.isEmpty():
         raise ValueError(f"No data returned for {what}")
     return df
