@@ -16,8 +16,9 @@ weight where a threatening verb meets a target. Their composition is one
 transducer over the product of the states; each match of a clause adds its
 weight to the slot of its kind (plain, aimed, negated, reported, threat).
 
-Score. A logistic model of the documents' slots, fitted on at most
-``FIT_ROWS`` labelled training rows (smallest hashes of the id first).
+Score. A logistic model of the documents' slots, fitted on about ``FIT_ROWS``
+labelled training rows (those of the smallest hashes; equal rows count once on
+the way to the driver).
 
 Training uses only labelled rows whose crc32(doc_id) mod 5 is not 0. Labels,
 lang, source and doc_id are no inputs of a score.
@@ -206,16 +207,17 @@ def features(slots: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(slots)), mass, density])
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights by Newton steps, with a normal prior around weights
-    that hold a document without matches clean and any plain match toxic."""
+def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Logistic weights by Newton steps over rows that count ``times``, with a
+    normal prior around weights that hold a document without matches clean and
+    any plain match toxic."""
     prior = np.array([-3.0, 2.0, 2.0, 0.5, 0.5, 1.0, 0.5])
     strength = np.array([0.1] + [0.5] * (len(prior) - 1))
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + strength * (w - prior)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(strength), grad)
+        grad = x.T @ (times * (p - y)) + strength * (w - prior)
+        step = np.linalg.solve((x * (times * p * (1 - p))[:, None]).T @ x + np.diag(strength), grad)
         w = w - step / max(1.0, np.abs(step).max())
         if np.abs(step).max() < 1e-8:
             break
@@ -321,10 +323,14 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndar
             got = _slots(grammar, b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(got), pa.list_(pa.float64()))], names=["toxic", "slots"])
 
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    some = sample.select("toxic", "text").mapInArrow(slots, "toxic int, slots array<double>").collect()
+    # rows of the smallest hashes, about FIT_ROWS; rows that repeat are one slot vector with a count
+    share = min(1.0, FIT_ROWS / max(1, rows.count()))
+    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
+    some = (sample.select("toxic", "text").mapInArrow(slots, "toxic int, slots array<double>")
+            .groupBy("toxic", "slots").agg(F.count("*").alias("times")).collect())
+    some = sorted(some, key=lambda r: (r["toxic"], r["slots"]))
     x = features(np.array([r["slots"] for r in some]).reshape(-1, SLOTS + 1))
-    return lexicon, fit(x, np.array([r["toxic"] > 0 for r in some], float))
+    return lexicon, fit(x, np.array([r["toxic"] > 0 for r in some], float), np.array([r["times"] for r in some], float))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
