@@ -18,11 +18,13 @@ pass all of them before it is verified.
 2. Over the survivors, exact frequencies among them, then three orders, all
    rarest first, with different ties and different frequency scales, so that
    passages shared by many documents stay out of the prefixes.
-3. Hubs: in each prefix bucket of the first order every document is compared
-   with one hub only (linear in the bucket). Links found merge components.
-4. Completion: all pairs of a bucket whose components still differ, whose
-   sizes allow a link and whose prefixes meet under the second and the third
-   order as well, are verified exactly. Pairs inside a component need no test:
+3. Hubs: the hub of a bucket of the first order is its document with the most
+   common shingles, which is near the centre of a group of edited copies. Every
+   document is compared with two hubs: the most central one of its buckets and
+   that of its rarest shingle. Links found merge components.
+4. Completion: all pairs of a bucket whose components still differ, whose sizes
+   and places of the shared shingle allow a link and whose prefixes meet under
+   the second and the third order as well, are verified exactly. Pairs inside a component need no test:
    the result is components. Nothing is capped or dropped.
 
 Defined cases: null or empty texts have no shingles and link with nothing; rows
@@ -47,7 +49,6 @@ WORDS = 5
 PERCENT = 75
 # Shingles gathered per task before a set of packed rows leaves it.
 FLUSH = 2_000_000
-HUB_ROUNDS = 2
 
 
 def need(n, percent: int = PERCENT):
@@ -238,7 +239,8 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     room = F.expr(f"n - cast(ceil(n * {percent} / 100) as long) + 1 - (n - k)")
     listed = (tokens.join(often, "t").groupBy("sig", "n")
               .agg(F.collect_list(F.struct("df", "t")).alias("x"))
-              .withColumn("k", F.size("x").cast("long")).withColumn("room", room.cast("int")).where("room > 0"))
+              .withColumn("k", F.size("x").cast("long"))
+              .withColumn("centre", F.aggregate("x", F.lit(0.0), lambda s, e: s + e["df"]) / F.col("n")).withColumn("room", room.cast("int")).where("room > 0"))
 
     def order(scale: str, tie: str):
         key = F.transform("x", lambda s: F.struct(_scaled(s["df"], scale).alias("o"),
@@ -246,37 +248,45 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
                                                   s["t"].alias("t")))
         return F.transform(F.slice(F.sort_array(key), F.lit(1), F.col("room")), lambda s: s["t"])
 
-    prefixes = stored(listed.select("sig", "n", order("exact", "t").alias("p1"), order("exact", "second").alias("p2"),
+    prefixes = stored(listed.select("sig", "n", "k", "centre", order("exact", "t").alias("p1"), order("exact", "second").alias("p2"),
                                     order("log", "third").alias("p3")), "prefixes")
-    bucket = prefixes.select("sig", "n", F.explode("p1").alias("t"))
+    # tail: elements of the set from this one on; lead: whether it stands in the shorter prefix that is enough
+    # for the smaller set of a pair (which shares at least need(2 n) of the two sets' elements together)
+    both = 100 + percent
+    bucket = (prefixes.select("sig", "n", "k", "centre", F.posexplode("p1").alias("at", "t")).withColumn("tail", F.expr("k - at"))
+              .withColumn("lead", F.expr(f"tail >= cast(ceil(n * {2 * percent} / {both}) as long)")).drop("k", "at"))
 
     # 3. hubs
-    links = None
-    labels = None
-    for r in range(HUB_ROUNDS):
-        entry = bucket.withColumn("comp", F.col("sig")) if labels is None else (
-            bucket.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig")))
-        hub = (entry.groupBy("t").agg((F.min if r % 2 == 0 else F.max)(F.struct("comp", "sig")).alias("hub"),
-                                      F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-               .select("t", F.col("hub.comp").alias("hub_comp"), F.col("hub.sig").alias("hub")))
-        pairs = (entry.join(hub, "t").where("comp != hub_comp").groupBy(F.col("sig").alias("a"))
-                 .agg(F.min("hub").alias("b")))
-        found = stored(_linked(pairs, sets, percent), "links")
-        links = found if links is None else stored(links.union(found), "links")
-        labels = components(links)
+    hub = (bucket.groupBy("t").agg(F.max(F.struct("centre", "sig")).alias("hub"), F.count("*").alias("c")).where("c > 1").select("t", "hub"))
+    pairs = (bucket.join(hub, "t").where("sig != hub.sig").groupBy(F.col("sig").alias("a"))
+             .agg(F.max("hub").alias("centre"), F.max(F.struct("tail", "hub")).alias("rarest"))
+             .select("a", F.explode(F.array_distinct(F.array("centre.sig", "rarest.hub.sig"))).alias("b")))
+    links = stored(_linked(pairs, sets, percent), "links")
+    labels = components(links)
 
     # 4. what is left between components
     entry = stored(bucket.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
                    .withColumn("comp", F.coalesce("comp", "sig")), "entries")
     mixed = entry.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("t")
     entry = entry.join(mixed, "t")
-    groups = entry.groupBy("t", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    facing = (groups.alias("x").join(groups.alias("y"), F.expr(
-        f"x.t = y.t and x.comp < y.comp and 100 * x.most >= {percent} * y.least and 100 * y.most >= {percent} * x.least"))
-        .select("x.t", F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")))
-    pairs = (facing.join(entry.select("t", F.col("comp").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na")), ["t", "ca"])
-             .join(entry.select("t", F.col("comp").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb")), ["t", "cb"])
-             .where(f"100 * na >= {percent} * nb and 100 * nb >= {percent} * na").select("a", "b").distinct())
+    # the smaller set (ties: the smaller key) meets with its short prefix, the larger one with its whole
+    # prefix; what both have from the shared element on must be enough for a link
+    bounds = (F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("tail"))
+    small = entry.where("lead").groupBy("t", "comp").agg(*bounds)
+    large = entry.groupBy("t", "comp").agg(*bounds)
+    facing = (small.alias("x").join(large.alias("y"), F.expr(
+        f"x.t = y.t and x.comp != y.comp and x.least <= y.most and 100 * x.most >= {percent} * y.least "
+        f"and {both} * least(x.tail, y.tail) >= {percent} * (x.least + greatest(x.least, y.least))"))
+        .select("x.t", F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"), F.col("y.least").alias("low"),
+                F.col("y.most").alias("high"), F.col("y.tail").alias("far")))
+    # rows of the smaller set against the bounds of the other group, then pairs of rows
+    first = (facing.join(entry.where("lead").select("t", F.col("comp").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na"),
+                                                    F.col("tail").alias("la")), ["t", "ca"])
+             .where(f"na <= high and 100 * na >= {percent} * low and {both} * least(la, far) >= {percent} * (na + greatest(na, low))"))
+    pairs = (first.join(entry.select("t", F.col("comp").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tail").alias("lb")),
+                        ["t", "cb"])
+             .where("na < nb or na = nb and a < b")
+             .where(f"100 * na >= {percent} * nb and {both} * least(la, lb) >= {percent} * (na + nb)").select("a", "b").distinct())
     pairs = (pairs.join(prefixes.select(F.col("sig").alias("a"), F.col("p2").alias("a2"), F.col("p3").alias("a3")), "a")
              .join(prefixes.select(F.col("sig").alias("b"), F.col("p2").alias("b2"), F.col("p3").alias("b3")), "b")
              .where(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b"))
