@@ -36,6 +36,11 @@ def test_odd_texts(spark):
         assert got[i] == brute.personal(t), i
 
 
+def test_long_run_before_an_at_sign(spark):
+    texts = ["a" * 200_000 + "@", "a" * 200_000 + "@b.co"]  # spans by hand: the brute-force regex is quadratic here
+    assert base(personal_data(frame(spark, texts))) == {0: [], 1: [("email", 0, 200_005)]}
+
+
 def test_patterns_discover_unseen_identifiers(spark):
     texts = [f"please write to my mail address u{i}@host{i}.org today" for i in range(12)]
     texts += ["please write to my mail address bob9[at]host7 today", "the number 12345 is here", "plain words only"]
