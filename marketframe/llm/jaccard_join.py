@@ -300,17 +300,19 @@ def _scaled(df, scale: str):
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, text_hash, sig, n_shingles, component_id) of every document."""
+    """(doc_id, text_hash, sig, n_shingles, component_id, comp) of every document:
+    comp tells components apart whose ids repeat or are null."""
     members, labels = classes(docs, words, percent)
     # one row per class: its component and its smallest id
     named = (members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
              .join(labels.withColumnRenamed("node", "sig"), "sig", "left")
              .withColumn("comp", F.coalesce("comp", "sig")))
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "comp").select("sig", "component_id")
-    alone = members.where("n = 0").select("doc_id", "text_hash", "sig", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = named.join(least, "comp").select("sig", "component_id", "comp")
+    alone = members.where("n = 0").select("doc_id", "text_hash", "sig", F.col("n").alias("n_shingles"),
+                                         F.col("doc_id").alias("component_id"), F.col("sig").alias("comp"))
     return (members.where("n > 0").join(named, "sig")
-            .select("doc_id", "text_hash", "sig", F.col("n").alias("n_shingles"), "component_id").union(alone))
+            .select("doc_id", "text_hash", "sig", F.col("n").alias("n_shingles"), "component_id", "comp").union(alone))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -318,9 +320,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     doc_id (ids before nulls), then the smallest text hash. Documents without a
     shingle are no group and stay. All columns are kept."""
     rows = jaccard_components(docs, words, percent).where("n_shingles > 0")
-    # a group without any id is named by its class; classes linked to others share an id
-    group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("class "), F.col("sig")))
-    named = stored(rows.groupBy(group.alias("group"), "doc_id", "text_hash").agg(F.count("*").alias("rows")), "groups")
+    named = stored(rows.groupBy(F.col("comp").alias("group"), "doc_id", "text_hash").agg(F.count("*").alias("rows")), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     fate = (named.join(named.groupBy("group").agg(first), "group")
             .withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))

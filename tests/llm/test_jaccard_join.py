@@ -3,7 +3,7 @@ import random
 import pytest
 
 import brute
-from marketframe.llm.jaccard_join import jaccard_components, op10_jaccard_join
+from marketframe.llm.jaccard_join import jaccard_components, one_of_each, op10_jaccard_join
 
 SCHEMA = "doc_id long, text string, sig string, n string, comp int"
 
@@ -54,3 +54,14 @@ def test_edges(spark):
 
 def test_empty_table(spark):
     assert got(jaccard_components(frame(spark, []))) == []
+
+
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    near = [f"n{i}" for i in range(60)]
+    rows = [(7, "a first text that shares no word"), (7, "quite another one with different terms"), (7, "quite another one with different terms"),
+            (None, " ".join(near)), (None, " ".join([*near, "tail"])), (None, "by itself here"), (None, "")]
+    left = [(r["doc_id"], r["text"]) for r in one_of_each(frame(spark, rows)).collect()]
+    copies = [t for d, t in left if t.startswith("n0 ")]
+    assert len(copies) == 1
+    rest = sorted(((d, t) for d, t in left if not t.startswith("n0 ")), key=str)
+    assert rest == sorted([rows[0], rows[1], rows[5], rows[6]], key=str)
