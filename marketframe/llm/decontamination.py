@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-1. How many documents hold each word n-gram of the benchmark items is counted
-   over the whole corpus. An item's seeds are the rarest n-gram of every window
-   of ``WINDOW`` consecutive ones (ties: smaller hash), so any run of
-   WINDOW + GRAM - 1 unchanged words holds a seed however often it was copied.
+1. Every distinct n-gram of an item is a seed, so any run of GRAM unchanged
+   words holds one, wherever the edits are and however often it was copied.
 2. Documents emit the passages around their seed hits (as many words to both
-   sides as the longest item of the hit can need), Spark joins them with the
+   sides as the longest item can need: a score of 0.5 leaves room for at most as
+   many gaps as the item has words), Spark joins them with the
    items on the seed.
 3. Each passage and item pair is aligned locally on words (match +2, mismatch
    -1, gap -1). score = best / (2 * words of the item); pairs of a score of
@@ -28,13 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketframe.llm.common import LOWER, Texts, ngrams, stored, table, text_blocks, words
 
 GRAM = 3
-WINDOW = 4
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOOM_BITS = 1 << 23
@@ -72,33 +70,6 @@ def item_grams(items: DataFrame) -> DataFrame:
     return items.select("item", "text").mapInArrow(cut, "item long, at int, h long, n int")
 
 
-def document_frequency(docs: DataFrame, grams: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(h, df) of the benchmark's n-grams over all documents."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for block in text_blocks(b.column(0)):
-                h, own, _, _ = ngrams(block, GRAM)
-                at = _hits(h, bits)
-                pair = np.unique(np.stack([h[at].view(np.int64), own[at]]), axis=1)
-                name, n = np.unique(pair[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(n, pa.int64())], names=["h", "c"])
-
-    found = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("df"))
-    return found.join(grams.select("h").distinct(), "h")
-
-
-def rare_seeds(grams: DataFrame, df: DataFrame) -> DataFrame:
-    """(item, h, n): the rarest n-gram of every window of an item's n-grams."""
-    ranked = grams.join(df, "h")  # n-grams that no document holds cannot be seeds
-    order = F.struct("df", "h")
-    ahead = Window.partitionBy("item").orderBy("at").rangeBetween(0, WINDOW - 1)
-    back = Window.partitionBy("item").orderBy("at").rangeBetween(-(WINDOW - 1), 0)
-    picked = (ranked.withColumn("a", F.min(order).over(ahead)).withColumn("b", F.min(order).over(back))
-              .select("item", "n", F.explode(F.array("a", "b")).alias("s")))
-    return picked.select("item", F.col("s.h").alias("h"), "n").distinct()
-
-
 def passages(docs: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
     """(doc_id, text_hash, first, text, seeds): passages of a document around
     possible seed hits; hits of overlapping passages share one. ``first`` is a
@@ -173,10 +144,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     items = (items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
              .where("text is not null").distinct().withColumn("item", F.xxhash64("text")))
     texts = items.select("item", "text").dropDuplicates(["item"])
-    grams = stored(item_grams(texts), "grams")
-    seeds = stored(rare_seeds(grams, document_frequency(docs, grams, bloom(grams))), "seeds")
+    seeds = stored(item_grams(texts).select("item", "h", "n").distinct(), "seeds")
     reach = seeds.agg(F.max("n")).first()[0] or 0
-    near = passages(docs, bloom(seeds), int(reach) * 3 // 2)
+    near = passages(docs, bloom(seeds), 2 * int(reach))
     near = stored(near, "passages").withColumn("p", F.xxhash64("doc_id", "text_hash", "first"))
     pairs = (near.select("p", F.explode("seeds").alias("h")).join(seeds.select("h", "item"), "h").select("p", "item").distinct())
     both = (pairs.join(near.select("p", "doc_id", "text_hash", "first", F.col("text").alias("passage")).dropDuplicates(["p"]), "p")

@@ -77,3 +77,19 @@ def test_empty_tables(spark):
     assert D.contaminated(none, bench).collect() == []
     assert D.contaminated(one, bench.limit(0)).collect() == []
     assert len(D.contaminated(one, bench).collect()) == 1
+
+
+def test_regular_edits_next_to_an_exact_copy(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (16, 25, 38, 59)]
+    docs = [(n, text) for n, text in items]
+    for n, text in items:
+        for step in (4, 5, 6):
+            for offset in range(step):
+                copy = [word() if k % step == offset else w for k, w in enumerate(text.split())]
+                docs.append((1000 * n + 10 * step + offset, " ".join([word() for _ in range(9)] + copy + [word() for _ in range(9)])))
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    scores = {(d, i): D.align(D._words(a), D._words(t))[0] / (D.MATCH * len(D._words(a))) for d, t in docs for i, a in items}
+    assert got == {pair: s for pair, s in scores.items() if s >= D.THRESHOLD} and len(got) == 64
