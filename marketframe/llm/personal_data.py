@@ -14,7 +14,8 @@ noisy-or of its confident patterns. After the last round, candidates in a
 pattern of high confidence become spans of its kind (unseen identifiers).
 
 The regular expressions use possessive repeats and may only start where a match
-can start, so long runs cost linear time and no stack.
+can start, so long runs cost linear time and no stack. The words around an
+instance, seed or candidate, are those of the text whatever they hold.
 
 Defined cases: null counts as the empty text; a text without a span has the
 digest of the empty string and empty ``spans``; spans of different kinds may
@@ -54,9 +55,15 @@ def matches(text: Column, pattern: str, possible: Column) -> Column:
     return F.when(possible, F.struct(found.alias("m"), pieces.alias("p")))
 
 
-def located(raw: str) -> str:
+def located(raw: str, near: int) -> str:
     """SQL of the spans of a ``matches`` column: running sums over blocks of
-    lengths, so that a text with many matches does not cost their square."""
+    lengths, so that a text with many matches does not cost their square. The
+    words around a match are those of the text, with up to ``near`` other
+    matches to each side."""
+    before = (f"concat(array_join(zip_with(slice({raw}.p, greatest(i - {near}, 0) + 1, least(i, {near})), slice({raw}.m, greatest(i - {near}, 0) + 1, "
+              f"least(i, {near})), (p, q) -> concat(right(p, 100), right(q, 100))), ''), right({raw}.p[i], 100))")
+    after = (f"concat(left({raw}.p[i + 1], 100), array_join(zip_with(slice({raw}.m, i + 2, {near}), slice({raw}.p, i + 3, {near}), "
+             "(q, p) -> concat(left(q, 100), left(p, 100))), ''))")
     size = f"transform({raw}.m, (m, i) -> cast(char_length(m) + char_length({raw}.p[i]) as long))"
     word = r"[^\\s]+"
     return f"""
@@ -67,10 +74,11 @@ def located(raw: str) -> str:
       starts -> transform({raw}.m, (m, i) -> transform(array(
           starts[cast(i / {BLOCK} as int)] + IF(i % {BLOCK} = 0, 0L, aggregate(slice(z, cast(i / {BLOCK} as int) * {BLOCK} + 1, i % {BLOCK}), 0L, (s, x) -> s + x))
           + char_length({raw}.p[i])),
-        at -> struct(at AS start, at + char_length(m) AS end, m AS value,
-                     regexp_extract(right({raw}.p[i], 100), r'(\\S+)\\s+\\S+\\s*$', 1) AS l2,
-                     regexp_extract(right({raw}.p[i], 100), r'(\\S+)\\s*$', 1) AS l1,
-                     regexp_extract(left({raw}.p[i + 1], 100), r'^\\s*(\\S+)', 1) AS r1))[0]))[0])[0] END""".replace("\\\\", "\\")
+        at -> transform(array(struct(right({before}, 100) AS l, left({after}, 100) AS r)), w -> struct(
+                     at AS start, at + char_length(m) AS end, m AS value,
+                     regexp_extract(w.l, r'(\\S+)\\s+\\S+\\s*$', 1) AS l2,
+                     regexp_extract(w.l, r'(\\S+)\\s*$', 1) AS l1,
+                     regexp_extract(w.r, r'^\\s*(\\S+)', 1) AS r1))[0])[0]))[0])[0] END""".replace("\\\\", "\\")
 
 
 VALID = {
@@ -93,7 +101,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
         possible = F.contains("text", F.lit("@")) if kind == "email" else F.col("text").rlike(hint)
         rows = rows.withColumn(f"m_{kind}", matches(F.col("text"), pattern, possible))
     rows = rows.withColumn("m_token", matches(F.col("text"), TOKEN, F.col("text").rlike("[0-9]")))
-    rows = rows.select("doc_id", "key", *[F.expr(located(f"m_{k}")).alias(k) for k in (*KINDS, "token")])
+    rows = rows.select("doc_id", "key", *[F.expr(located(f"m_{k}", near)).alias(k) for k, near in (*((k, 50) for k in KINDS), ("token", 2))])
     base = ", ".join(f"transform(filter({k}, x -> {VALID[k]}), x -> named_struct('kind', {i}, 'start', x.start, 'end', x.end, "
                      f"'value', x.value, 'l2', x.l2, 'l1', x.l1, 'r1', x.r1))" for i, k in enumerate(KINDS))
     return (rows.select("doc_id", "key", "token", F.expr(f"concat({base})").alias("base"))

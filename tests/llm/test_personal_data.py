@@ -50,5 +50,19 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert not rows[13] and not rows[14] and not rows[0]
 
 
+def test_a_word_with_a_digit_to_the_left_is_context(spark):
+    texts = [f"now send it to box9 u{i}@host{i}.org b7 today" for i in range(12)]
+    texts += ["now send it to box9 bob9[at]host7 b7 today", "u0@a.bc u1@a.bc x9 y8 z7777"]
+    facts = {r["doc_id"]: r for r in base_spans(frame(spark, texts)).collect()}
+    around = lambda s: (s["l2"], s["l1"], s["r1"])
+    assert around(facts[0]["base"][0]) == ("to", "box9", "b7")
+    assert [around(s) for s in facts[12]["other"]] == [("it", "to", "bob9[at]host7"), ("to", "box9", "b7")]
+    assert [around(s) for s in facts[13]["base"]] == [("", "", "u1@a.bc"), ("", "u0@a.bc", "x9")]
+    assert [around(s) for s in facts[13]["other"]] == [("x9", "y8", "")]
+    found = {r["doc_id"]: r["found"] for r in personal_data(frame(spark, texts)).collect()}
+    at = texts[12].index("bob9")
+    assert [(f["kind"], f["start"], f["end"]) for f in found[12]] == [(0, at, at + len("bob9[at]host7"))]
+
+
 def test_empty_table(spark):
     assert personal_data(frame(spark, [])).collect() == []
