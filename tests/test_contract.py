@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from market_fixtures import SF001
 from oracle import compare, duck
 
 ORACLE_KEYS = sorted(E.oracle_sql())

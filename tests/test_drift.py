@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import bars_of
+from market_fixtures import bars_of
 from marketframe.operators import drift as DR
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, bars_of, ramp
+from market_fixtures import SF001, bars_of, ramp
 from marketframe.functions import indicators as IND
 from marketframe.functions.scan import Recurrence, block_range, linear_scan
 from marketframe.operators import features as FE

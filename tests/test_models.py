@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, ramp
+from market_fixtures import SF001, ramp
 from marketframe.operators import dataset as DS
 from marketframe.operators import metrics as MET
 from marketframe.operators import models as MO

@@ -7,7 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from market_fixtures import SF001
 
 from marketframe.plans import catalog
 

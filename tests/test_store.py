@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001, bars_of
+from market_fixtures import SF001, bars_of
 from marketframe.operators import bars as B
 from marketframe.operators import ingest as ING
 from marketframe.sources import readers as RD
