@@ -8,6 +8,7 @@ character, so bytes and code points give the same words).
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -86,33 +87,46 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Texts]:
         lo = hi
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+def byte_class(*parts: int | range) -> np.ndarray:
+    """Boolean table over byte values: the given ones."""
+    table = np.zeros(256, bool)
+    for part in parts:
+        table[part if isinstance(part, int) else np.array(part)] = True
+    return table
+
+
+_SPACE = byte_class(0x20, range(0x09, 0x0E))
+SOLID = ~_SPACE
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def words(block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, text index) of every word of the block."""
+def runs(block: Texts, solid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text index) of every maximal run of bytes of a class."""
     n = len(block.data)
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~_SPACE[block.data]
+    inside = solid[block.data]
     edge = np.zeros(n + 1, bool)
     edge[block.offsets] = True
     before = np.empty(n, bool)
     before[0] = False
-    before[1:] = solid[:-1]
-    start = np.flatnonzero(solid & (~before | edge[:-1]))
+    before[1:] = inside[:-1]
+    start = np.flatnonzero(inside & (~before | edge[:-1]))
     after = np.empty(n, bool)
     after[-1] = False
-    after[:-1] = solid[1:]
-    end = np.flatnonzero(solid & (~after | edge[1:])) + 1
+    after[:-1] = inside[1:]
+    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
     owner = np.searchsorted(block.offsets, start, side="right") - 1
     return start, end, owner
 
 
+def words(block: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text index) of every word of the block."""
+    return runs(block, SOLID)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (xor-shift and multiply), in place on a copy."""
     x = x ^ (x >> np.uint64(30))
@@ -124,29 +138,80 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 mix = _mix
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_KEY = np.uint64(0xD6E8FEB86659FD93)
+_MASKS = np.array([0] + [(1 << 8 * k) - 1 for k in range(1, 9)], np.uint64)
+LONG_SPAN = 1024  # bytes from which a span is hashed by itself
 
 
-def _powers(n: int) -> np.ndarray:
-    p = np.full(max(n, 1), _BASE, np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
+def _chunks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on, as one little-endian number
+    (a view on a zero-padded copy; loads need not be aligned)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span data[start:end] (spans ascending, not empty)."""
+    """64-bit hash of every span data[start:end] (spans not empty).
+
+    Eight bytes a step; every step mixes state and bytes through multiplications
+    and shifts, so no step is linear and complementary patterns do not cancel.
+    Spans of ``LONG_SPAN`` bytes or more take a digest each.
+    """
     if len(start) == 0:
         return np.zeros(0, np.uint64)
     size = end - start
-    total = int(size.sum())
-    first = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1], out=first[1:])
-    pos = np.arange(total, dtype=np.int64) - np.repeat(first, size)
-    at = pos + np.repeat(start, size)
-    terms = _BYTE[data[at]]
-    terms *= _powers(int(size.max()))[pos]
-    return _mix(np.add.reduceat(terms, first) + size.astype(np.uint64))
+    at8 = _chunks(data)
+    v = at8[start] & _MASKS[np.minimum(size, 8)]
+    h = _mix(v * _ODD + size.astype(np.uint64) * _KEY)
+    todo = np.flatnonzero((size > 8) & (size < LONG_SPAN))
+    k = 8
+    while len(todo):
+        rest = size[todo] - k
+        v = at8[start[todo] + k] & _MASKS[np.minimum(rest, 8)]
+        h[todo] = _mix(h[todo] + v * _ODD) + _mix(v ^ _KEY)
+        todo = todo[rest > 8]
+        k += 8
+    for i in np.flatnonzero(size >= LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    return _mix(h)
+
+
+def equal_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each span holds the same bytes as the span numbered other[i]."""
+    size = end - start
+    same = size == size[other]
+    at8 = _chunks(data)
+    todo, k = np.flatnonzero(same & (other != np.arange(len(size)))), 0
+    while len(todo):
+        rest = size[todo] - k
+        mask = _MASKS[np.minimum(rest, 8)]
+        ok = (at8[start[todo] + k] ^ at8[start[other[todo]] + k]) & mask == 0
+        same[todo[~ok]] = False
+        todo = todo[ok & (rest > 8)]
+        k += 8
+    return same
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of one span of each distinct content, index of each span's
+    content among them). Hashes only find the groups; bytes decide, so two
+    contents with one hash stay apart."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+    odd = np.flatnonzero(~equal_spans(data, start, end, first[inverse]))
+    if len(odd):
+        more: dict[bytes, int] = {}
+        extra = []
+        for i in odd.tolist():
+            raw = data[start[i]:end[i]].tobytes()
+            if raw not in more:
+                more[raw] = len(first) + len(extra)
+                extra.append(i)
+            inverse[i] = more[raw]
+        first = np.concatenate([first, np.array(extra, first.dtype)])
+    return first, inverse
 
 
 class Cache:
@@ -172,7 +237,9 @@ class Cache:
         self.young[key] = value
 
 
-_STEP = _mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
+def chained(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Hash of a run that goes on by one word: run hash, then word hash."""
+    return _mix(h * _ODD + w) ^ (h >> np.uint64(7))
 
 
 def ngrams(block: Texts, n: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -185,10 +252,10 @@ def ngrams(block: Texts, n: int, lower: bool = True) -> tuple[np.ndarray, np.nda
     m = len(w) - n + 1
     if m > 0:
         full = owner[:m] == owner[n - 1:]
-        h = np.zeros(m, np.uint64)
-        for k in range(n):
-            h += w[k:k + m] * _STEP[k]
-        h, own, lo, hi = mix(h[full]), owner[:m][full], start[:m][full], end[n - 1:][full]
+        h = w[:m]
+        for k in range(1, n):
+            h = chained(h, w[k:k + m])
+        h, own, lo, hi = h[full], owner[:m][full], start[:m][full], end[n - 1:][full]
     else:
         h, own = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         lo = hi = own
@@ -199,8 +266,10 @@ def ngrams(block: Texts, n: int, lower: bool = True) -> tuple[np.ndarray, np.nda
         extra = []
         for i, f in zip(short.tolist(), first.tolist()):
             k = int(size[i])
-            extra.append((mix((w[f:f + k] * _STEP[:k]).sum(dtype=np.uint64, keepdims=True) + np.uint64(k))[0],
-                          i, start[f], end[f + k - 1]))
+            run = np.full(1, k, np.uint64)  # its length first: no run of n words is equal to it
+            for j in range(f, f + k):
+                run = chained(run, w[j:j + 1])
+            extra.append((run[0], i, start[f], end[f + k - 1]))
         h = np.concatenate([h, np.array([e[0] for e in extra], np.uint64)])
         own = np.concatenate([own, np.array([e[1] for e in extra], np.int64)])
         lo = np.concatenate([lo, np.array([e[2] for e in extra], np.int64)])

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm.common import Cache, Texts, span_hashes, table, text_blocks, words
+from marketframe.llm.common import Cache, Texts, distinct_spans, table, text_blocks, words
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
@@ -127,7 +127,7 @@ class MergeCounter:
         if len(start):
             same = np.concatenate([[False], owner[1:] == owner[:-1]])
             low = np.where(same, np.concatenate([[0], end[:-1]]), low)
-        _, first, inverse = np.unique(span_hashes(block.data, low, end), return_index=True, return_inverse=True)
+        first, inverse = distinct_spans(block.data, low, end)
         view = block.data.tobytes()
         count = np.array([self.chunk(view[s:e]) for s, e in zip(low[first].tolist(), end[first].tolist())], np.int64)
         per = np.bincount(owner, weights=count[inverse] if len(start) else None, minlength=len(block)).astype(np.int64)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from marketframe.llm.common import Cache, Texts, filesystem, parallelism, shared_dir, span_hashes, table, text_blocks, words
+from marketframe.llm.common import Cache, Texts, distinct_spans, filesystem, parallelism, shared_dir, table, text_blocks, words
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -44,7 +44,7 @@ class WordEncoder:
     """Ids of whole texts from the tokenizers library, word by word.
 
     The vocabulary drops white space and no piece spans it, so a text's ids
-    are those of its words in order. Words are grouped per block by hash, each
+    are those of its words in order. Words are grouped per block by their bytes, each
     distinct word is encoded by the library once and kept in a bounded cache.
     Texts holding the start of a special string are encoded whole.
     """
@@ -83,7 +83,7 @@ class WordEncoder:
         marks = np.flatnonzero(data[:-1] == 0x3C) if len(data) > 1 else np.zeros(0, np.int64)
         odd = marks[data[marks + 1] == 0x7C] if len(marks) else marks
         whole = set((np.searchsorted(block.offsets, odd, side="right") - 1).tolist())
-        _, first, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+        first, inverse = distinct_spans(data, start, end)
         view = data.tobytes()
         coded = [self.word(view[s:e]) for s, e in zip(start[first].tolist(), end[first].tolist())]
         flat = np.frombuffer(b"".join(coded), self.dtype)

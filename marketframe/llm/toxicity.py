@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import Cache, Texts, span_hashes, stored, table, text_blocks, words
+from marketframe.llm.common import Cache, Texts, distinct_spans, stored, table, text_blocks, words
 
 FIT_ROWS = 20_000
 MIN_DOCS = 5          # toxic documents that a lexicon term needs at least,
@@ -185,7 +185,7 @@ class Grammar:
             return out
         out[:, SLOTS] = np.bincount(owner, minlength=len(block))
         view = block.data.tobytes()
-        _, first, inverse = np.unique(span_hashes(block.data, start, end), return_index=True, return_inverse=True)
+        first, inverse = distinct_spans(block.data, start, end)
         known = [self.word(view[s:e]) for s, e in zip(start[first].tolist(), end[first].tolist())]
         symbol = np.array([k[0] for k in known], np.int8)[inverse]
         weight = np.array([k[1] for k in known])[inverse]
