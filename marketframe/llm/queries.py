@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marketframe.llm import sharding
+from marketframe.llm import importance, sharding
 from marketframe.llm.decontamination import op5_decontamination
 from marketframe.llm.jaccard_join import op10_jaccard_join
 from marketframe.llm.language_id import op9_language_id
 from marketframe.llm.mixing import op2_mixing
 from marketframe.llm.nn_descent import op8_nn_descent
 from marketframe.llm.personal_data import op7_personal_data
+from marketframe.llm.repetition import op13_repetition
 from marketframe.llm.token_counts import op6_token_counts
 from marketframe.llm.token_files import op1_token_files
 from marketframe.llm.toxicity import op3_toxicity
@@ -24,8 +25,11 @@ QUERIES = {
     "op8_nn_descent": op8_nn_descent,
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op13_repetition": op13_repetition,
 }
 
 ORACLE: dict[str, str] = {
     "op4_sharding": sharding.oracle_sql(),
+    "op11_importance_resampling": importance.oracle_sql(),
 }
