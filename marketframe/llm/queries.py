@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marketframe.llm import importance, sharding
+from marketframe.llm import importance, phrases, sharding
 from marketframe.llm.decontamination import op5_decontamination
 from marketframe.llm.jaccard_join import op10_jaccard_join
 from marketframe.llm.language_id import op9_language_id
@@ -26,10 +26,12 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_phrases": phrases.op12_phrases,
     "op13_repetition": op13_repetition,
 }
 
 ORACLE: dict[str, str] = {
     "op4_sharding": sharding.oracle_sql(),
     "op11_importance_resampling": importance.oracle_sql(),
+    "op12_phrases": phrases.oracle_sql(),
 }
