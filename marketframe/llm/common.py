@@ -218,7 +218,7 @@ class Cache:
     """Bounded map of two generations: the older one is dropped when the
     younger is full, so frequent keys stay (they are promoted on a hit)."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         self.young: dict = {}
         self.old: dict = {}
         self.limit = limit

@@ -48,7 +48,7 @@ from marketframe.llm.components import components
 WORDS = 5
 PERCENT = 75
 # Shingles gathered per task before a set of packed rows leaves it.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 def need(n, percent: int = PERCENT):

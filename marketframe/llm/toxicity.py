@@ -4,17 +4,19 @@ Lexicon. Insults are learned from the training labels: a term is the first 4 to
 8 letters of a word (or a whole shorter word). Terms that enough toxic
 documents hold are counted over all labelled training documents; those with a
 clear lift and a significant likelihood ratio become lexicon entries with their
-log odds as weight; a word has the weight of its longest entry. Small fixed
-lists give targets, negations, reported speech and threats in the four
-languages of the corpus.
-
-Grammar. Every clause is the symbol sequence of its words. Four transducers
-read it: INSULT emits the weight of each insult, TARGET multiplies what follows
-or precedes a person addressed within ``REACH`` words, NEGATION damps what
-stands in the scope of a negation, REPORT damps what is quoted, THREAT emits a
-weight where a threatening verb meets a target. Their composition is one
-transducer over the product of the states; each match of a clause adds its
-weight to the slot of its kind (plain, aimed, negated, reported, threat).
+log odds as weight; a word has the weight of its longest entry. Terms that are
+no insults but pass the same tests where they stand within ``REACH`` words of a
+person addressed become threats. Small fixed lists give targets, negations,
+reported speech and the first threats in the four languages of the corpus.
+
+Grammar. Every clause is the symbol sequence of its words. A transducer reads it
+from the right and marks what stands before a target. From the left, five
+transducers are a cascade, each reading what the one before wrote: TARGET marks
+what follows a target, NEGATION what stands in the scope of a negation, REPORT
+what is quoted, INSULT writes the weight factor of an insult in its marks, THREAT
+that of a threatening verb that meets a target. The cascade is composed
+once into one transducer over the reachable states; each match of a clause
+adds its weight to the slot of its kind (plain, aimed, negated, reported, threat).
 
 Score. A logistic model of the documents' slots, fitted on about ``FIT_ROWS``
 labelled training rows (those of the smallest hashes; equal rows count once on
@@ -34,7 +36,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,73 +76,92 @@ SLOTS = 5
 THREAT_WEIGHT = 2.0
 
 
+AIM, DAMP_NEGATED, DAMP_REPORTED = 1.5, 0.4, 0.6
+NEGATION_REACH = 3
+
+
 class Transducer:
-    """Deterministic transducer: step[state][symbol] -> (state, factor)."""
-
-    def __init__(self, step: list[list[tuple[int, float]]]):
-        self.step = step
-
-
-def _window(opener: int, reach: int, factor: float, on: tuple[int, ...], whole: bool = False) -> Transducer:
-    """State r > 0: an opener stood within reach; symbols in ``on`` then get the
-    factor. ``whole``: the opener's reach lasts to the end of the clause."""
-    table = []
-    for state in range(reach + 1):
-        row = []
-        for symbol in range(6):
-            out = factor if state and symbol in on else 1.0
-            after = reach if symbol == opener else (state if whole else max(state - 1, 0))
-            row.append((after, out))
-        table.append(row)
-    return Transducer(table)
-
-
-def compose(machines: list[Transducer]) -> tuple[list[list[int]], list[list[tuple[float, ...]]]]:
-    """The product transducer: next state, and the factor of every machine."""
-    index: dict[tuple[int, ...], int] = {(0,) * len(machines): 0}
-    queue, after, factors = [(0,) * len(machines)], [], []
-    for state in queue:
+    """Sequential transducer: ``step(state, symbol)`` gives the next state and
+    the symbol written; ``start`` is the first state."""
+
+    def __init__(self, step: Callable, start: int = 0):
+        self.step, self.start = step, start
+
+
+def marker(opener: int, reach: int, whole: bool = False) -> Transducer:
+    """Writes each symbol with a mark: whether an opener was read within the last
+    ``reach`` symbols (``whole``: at any time before)."""
+
+    def step(state, symbol):
+        after = reach if symbol[0] == opener else state if whole else max(state - 1, 0)
+        return after, (*symbol, state > 0)
+
+    return Transducer(step)
+
+
+def _insult(state, symbol):
+    """Reads (kind, ahead, behind, negated, reported); writes (slot, factor) for
+    an insult. One aimed only by what follows it counts as aimed if it is
+    neither negated nor reported."""
+    kind, ahead, behind, negated, reported = symbol
+    if kind != INSULT:
+        return state, symbol
+    slot = REPORTED if reported else NEGATED if negated else AIMED if ahead or behind else PLAIN
+    aimed = behind or slot == AIMED
+    return state, (slot, (AIM if aimed else 1.0) * (DAMP_NEGATED if negated else 1.0) * (DAMP_REPORTED if reported else 1.0))
+
+
+def _threat(state, symbol):
+    """Writes (slot, factor) for a threatening verb with a target before or
+    behind it, passes on what INSULT wrote, and nothing for other words."""
+    if len(symbol) == 2:
+        return state, symbol
+    kind, ahead, behind, negated, reported = symbol
+    if kind != THREAT or not (ahead or behind):
+        return state, None
+    return state, (THREATENED, (AIM if behind else 1.0) * (DAMP_NEGATED if negated else 1.0) * (DAMP_REPORTED if reported else 1.0))
+
+
+def compose(machines: list[Transducer], alphabet: list[tuple]) -> tuple[list[list[int]], list[list]]:
+    """One transducer for a cascade: next state and output by state and symbol."""
+    index = {tuple(m.start for m in machines): 0}
+    queue, after, output = list(index), [], []
+    for states in queue:
         to, out = [], []
-        for symbol in range(6):
-            steps = [m.step[s][symbol] for m, s in zip(machines, state)]
-            nxt = tuple(s for s, _ in steps)
-            if nxt not in index:
-                index[nxt] = len(index)
-                queue.append(nxt)
-            to.append(index[nxt])
-            out.append(tuple(f for _, f in steps))
+        for symbol in alphabet:
+            reached, written = [], symbol
+            for m, state in zip(machines, states):
+                state, written = m.step(state, written)
+                reached.append(state)
+            if tuple(reached) not in index:
+                index[tuple(reached)] = len(index)
+                queue.append(tuple(reached))
+            to.append(index[tuple(reached)])
+            out.append(written)
         after.append(to)
-        factors.append(out)
-    return after, factors
+        output.append(out)
+    return after, output
 
 
-AIM, DAMP_NEGATED, DAMP_REPORTED = 1.5, 0.4, 0.6
-AFTER, FACTORS = compose([_window(TARGET, REACH, AIM, (INSULT, THREAT)), _window(NEGATION, 3, DAMP_NEGATED, (INSULT, THREAT)),
-                          _window(REPORT, 1, DAMP_REPORTED, (INSULT, THREAT), whole=True)])
+KINDS = [(kind,) for kind in range(6)]
+MARKED = [(kind, ahead) for kind in range(6) for ahead in (False, True)]  # at 2 * kind + ahead
+AHEAD, AHEAD_MARK = compose([marker(TARGET, REACH)], KINDS)
+AFTER, OUTPUT = compose([marker(TARGET, REACH), marker(NEGATION, NEGATION_REACH), marker(REPORT, 1, whole=True),
+                         Transducer(_insult), Transducer(_threat)], MARKED)
 
 
 def score_clause(symbols: list[int], weights: list[float], slots: list[float]) -> None:
-    """Run the composed transducer over one clause; matches add to the slots."""
-    state, waiting = 0, []  # insults that a target behind them may still aim
-    for i, symbol in enumerate(symbols):
-        aim, negated, reported = FACTORS[state][symbol]
+    """Run a clause from the right, then from the left; matches add to the slots."""
+    state, marked = 0, []
+    for symbol in reversed(symbols):
+        marked.append(2 * symbol + AHEAD_MARK[state][symbol][1])
+        state = AHEAD[state][symbol]
+    state = 0
+    for symbol, weight in zip(reversed(marked), weights):
+        found = OUTPUT[state][symbol]
+        if found:
+            slots[found[0]] += weight * found[1]
         state = AFTER[state][symbol]
-        if symbol == INSULT or symbol == THREAT:
-            weight = weights[i] * aim * negated * reported
-            if symbol == THREAT:
-                if aim > 1 or TARGET in symbols[i + 1:i + 1 + REACH]:
-                    slots[THREATENED] += weight
-                continue
-            kind = REPORTED if reported < 1 else NEGATED if negated < 1 else AIMED if aim > 1 else PLAIN
-            slots[kind] += weight
-            if kind == PLAIN:
-                waiting.append((i, weight))
-        elif symbol == TARGET:
-            for at, weight in waiting:
-                if i - at <= REACH:
-                    slots[PLAIN] -= weight
-                    slots[AIMED] += weight * AIM
-            waiting = []
 
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -158,12 +179,21 @@ _FIXED = {w: (s, wt) for s, ws, wt in ((TARGET, TARGETS, 0.0), (NEGATION, NEGATI
                                        (THREAT, THREATS, THREAT_WEIGHT)) for w in ws}
 
 
+def clauses(block: Texts, start: np.ndarray, end: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Number of each word's clause: stops, line breaks and texts end one."""
+    stop = np.isin(block.data[end - 1], np.frombuffer(b".,;:!?|", np.uint8))
+    gap = np.ones(len(start), bool)
+    lines = np.cumsum(block.data == 10)
+    gap[:-1] = (owner[1:] != owner[:-1]) | (lines[start[1:]] > lines[end[:-1] - 1])
+    return np.concatenate([[0], np.cumsum(stop | gap)[:-1]])
+
+
 class Grammar:
     """Classifies words and fills the slots of whole texts."""
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, tuple[int, float]]):
         self.lexicon = lexicon
-        self.cache = Cache(200_000)
+        self.cache = Cache(50_000)
 
     def word(self, raw: bytes) -> tuple[int, float]:
         got = self.cache.get(raw)
@@ -171,8 +201,7 @@ class Grammar:
             word = clean(raw)
             got = _FIXED.get(word)
             if got is None:
-                weight = next((self.lexicon[t] for t in terms(word) if t in self.lexicon), 0.0)
-                got = (INSULT, weight) if weight > 0 else (OTHER, 0.0)
+                got = next((self.lexicon[t] for t in terms(word) if t in self.lexicon), (OTHER, 0.0))
             if len(raw) <= 64:
                 self.cache.put(raw, got)
         return got
@@ -189,11 +218,7 @@ class Grammar:
         known = [self.word(view[s:e]) for s, e in zip(start[first].tolist(), end[first].tolist())]
         symbol = np.array([k[0] for k in known], np.int8)[inverse]
         weight = np.array([k[1] for k in known])[inverse]
-        stop = np.isin(block.data[end - 1], np.frombuffer(b".,;:!?|", np.uint8))
-        gap = np.ones(len(start), bool)  # a line break or a new text ends a clause too
-        lines = np.cumsum(block.data == 10)
-        gap[:-1] = (owner[1:] != owner[:-1]) | (lines[start[1:]] > lines[end[:-1] - 1])
-        clause = np.concatenate([[0], np.cumsum(stop | gap)[:-1]])
+        clause = clauses(block, start, end, owner)
         for c in np.unique(clause[(symbol == INSULT) | (symbol == THREAT)]).tolist():
             a, b = np.searchsorted(clause, [c, c + 1])
             score_clause(symbol[a:b].tolist(), weight[a:b].tolist(), out[owner[a]])
@@ -235,44 +260,85 @@ def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.where("text is not null").join(known, "doc_id").select("doc_id", "text", "toxic")
 
 
+_TARGETS = frozenset(TARGETS)
+NEAR = "@"  # before terms: where they stand within REACH words of a target
+HELD = 100_000  # terms that a task holds before it emits their counts
+
+
+def _near_target(is_target: np.ndarray, clause: np.ndarray) -> np.ndarray:
+    """Whether another word within REACH words of the clause is a target."""
+    near = np.zeros(len(clause), bool)
+    for k in range(1, REACH + 1):
+        same = clause[k:] == clause[:-k]
+        near[k:] |= same & is_target[:-k]
+        near[:-k] |= same & is_target[k:]
+    return near
+
+
 def _count_terms(candidates: set[str] | None):
-    """Per batch: documents that hold each term, by label; candidates only if given."""
+    """Documents that hold each term, by label, and those that hold it near a
+    target; candidates only if given."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple] = {}
+        cache, tally = Cache(25_000), {}
+
+        def of(raw: bytes) -> tuple:
+            got = cache.get(raw)
+            if got is None:
+                word = clean(raw)
+                got = tuple(t for t in terms(word) if candidates is None or t in candidates or NEAR + t in candidates)
+                got = (word in _TARGETS, got)
+                if len(raw) <= 64:
+                    cache.put(raw, got)
+            return got
+
+        def emit() -> pa.RecordBatch:
+            rows = pa.RecordBatch.from_arrays([pa.array(list(tally)), pa.array([v[1] for v in tally.values()], pa.int64()),
+                                               pa.array([v[0] for v in tally.values()], pa.int64())], names=["term", "pos", "neg"])
+            tally.clear()
+            return rows
+
         for b in batches:
-            tally: dict[str, list[int]] = {}
-            toxic = b.column(1).to_pylist()
+            toxic = b.column(1).to_numpy(zero_copy_only=False) > 0
             for block in text_blocks(b.column(0)):
                 start, end, owner = words(block)
+                if not len(start):
+                    continue
                 view = block.data.tobytes()
-                cut = np.searchsorted(owner, np.arange(len(block) + 1))
-                s, e = start.tolist(), end.tolist()
-                for i in range(len(block)):
-                    held: set[str] = set()
-                    for raw in {view[s[j]:e[j]] for j in range(cut[i], cut[i + 1])}:
-                        got = seen.get(raw)
-                        if got is None:
-                            got = tuple(terms(clean(raw)))
-                            if candidates is not None:
-                                got = tuple(t for t in got if t in candidates)
-                            if len(seen) > 300_000:
-                                seen.clear()
-                            seen[raw] = got
-                        held.update(got)
-                    y = toxic[block.first + i] > 0
-                    for t in held:
-                        tally.setdefault(t, [0, 0])[y] += 1
-            if tally:
-                yield pa.RecordBatch.from_arrays([pa.array(list(tally)), pa.array([v[1] for v in tally.values()], pa.int64()),
-                                                  pa.array([v[0] for v in tally.values()], pa.int64())], names=["term", "pos", "neg"])
+                first, word = distinct_spans(block.data, start, end)
+                known = [of(view[s:e]) for s, e in zip(start[first].tolist(), end[first].tolist())]
+                near = _near_target(np.array([k[0] for k in known])[word], clauses(block, start, end, owner))
+                names: dict[str, int] = {}
+                flat = [names.setdefault(t, len(names)) for _, ts in known for t in ts]
+                size = np.array([len(ts) for _, ts in known])
+                held = np.unique((owner * len(first) + word) * 2 + near)  # word of a text, near or not
+                text, of_word, close = held // 2 // len(first), held // 2 % len(first), held % 2
+                n = size[of_word]
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - (np.cumsum(size) - size)[of_word], n)
+                term = np.array(flat, np.int64)[at]
+                text, close = np.repeat(text, n), np.repeat(close, n)
+                everywhere = np.unique(text * len(names) + term) if len(names) else term
+                for mark, rows in (("", everywhere), (NEAR, np.unique((text * len(names) + term)[close == 1]) if len(names) else term)):
+                    if not len(rows):
+                        continue
+                    t, y = rows % len(names), toxic[block.first + rows // len(names)].astype(np.int64)
+                    per = np.bincount(2 * t + y, minlength=2 * len(names)).reshape(-1, 2)
+                    for name, (no, yes) in zip(names, per.tolist()):
+                        if (no or yes) and (candidates is None or mark + name in candidates):
+                            v = tally.setdefault(mark + name, [0, 0])
+                            v[0] += no
+                            v[1] += yes
+                if len(tally) > HELD:
+                    yield emit()
+        if tally:
+            yield emit()
 
     return count
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Lexicon terms with weights. What reaches the driver is bounded by the
-    share: a document holds a bounded number of terms on average, so at most
+def learn_lexicon(rows: DataFrame) -> dict[str, tuple[int, float]]:
+    """Lexicon terms with kind and weight. What reaches the driver is bounded by
+    the share: a document holds a bounded number of terms on average, so at most
     that number / MIN_SHARE terms can be held by this share of documents."""
     schema = "term string, pos long, neg long"
     sizes = {r["y"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("y")).agg(F.count("*").alias("n")).collect()}
@@ -284,12 +350,16 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     pos = {r["term"]: r["pos"] for r in bad.groupBy("term").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= least).collect()}
     good = rows.where("toxic <= 0").select("text", "toxic").mapInArrow(_count_terms(set(pos)), schema)
     neg = {r["term"]: r["neg"] for r in good.groupBy("term").agg(F.sum("neg").alias("neg")).collect()}
-    lexicon: dict[str, float] = {}
-    for term, a in pos.items():
+    lexicon: dict[str, tuple[int, float]] = {}
+    for term, a in sorted(pos.items(), key=lambda x: x[0].startswith(NEAR)):  # insults first
         b = neg.get(term, 0)
         weight = math.log((a + 0.5) / (n_pos + 1)) - math.log((b + 0.5) / (n_neg + 1))
         if weight >= LIFT and _ratio(a, n_pos - a, b, n_neg - b) >= SIGNIFICANCE:
-            lexicon[term] = min(6.0, weight)
+            name = term.removeprefix(NEAR)
+            if name == term:
+                lexicon[term] = (INSULT, min(6.0, weight))
+            elif not any(name[:k] in lexicon for k in range(4, len(name) + 1)):
+                lexicon[name] = (THREAT, min(6.0, weight))
     return lexicon
 
 
@@ -311,7 +381,7 @@ def _probability(slots: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features(slots) @ weights, -30, 30)))
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, tuple[int, float]], np.ndarray]:
     """(lexicon, model weights) from the training rows."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stored(training(docs, labels), "labelled")
