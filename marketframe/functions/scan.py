@@ -2,24 +2,23 @@
 
 Exponential averages (EMA, Wilder smoothing, the MACD signal line) are
 recurrences on their own output, which a window frame cannot express
-directly. Unrolled, y_i = sum_(s<=i) q^(i-s) u_s, i.e. a running sum of
-u_s * q^-s scaled by q^i; q^-s overflows after a few thousand rows, so the
-series is cut into blocks of B rows (Blelloch-style two-level scan):
+directly. A step is the affine map y -> q * y + u, and maps compose
+associatively: (a, b) after (c, d) is (a * c, a * d + b). The series is cut into
+blocks of B rows and the maps are composed in two levels:
 
 1. blk = i div B, j = i mod B.
-2. Within a block: loc = q^j * sum_(<=j) u * q^-j, a running sum over
+2. Within a block the map of its first j + 1 rows has the factor q^(j+1) and the
+   constant loc = q^j * sum_(<=j) u * q^-j, a running sum over
    partitionBy(Ticker, blk) - plain Spark aggregation, no Python.
-3. The value leaving the previous block, E, is the ``loc`` of its last row,
-   carried forward with ``last(..., ignorenulls)`` over the same ordering.
-4. y = loc + q^(j+1) * E.
-
-Step 3 keeps only the previous block's own contribution. The older blocks
-enter through the term q^(B+j+1) * y_(blk-2); B is chosen so that q^B <= 2^-250
-while q^-B stays far from overflow (<= 2^900). The dropped term is then below
-10^-75 of the OLDER value, so it stays below rounding error even where a series
-falls by 60 orders of magnitude between blocks; ratios that cannot share such a
-block size get passes of their own. Every partial sum is finite.
-All windows run on data already hash-partitioned by Ticker (no new
+3. A whole block is the map (q^B, loc of its last row). The maps of the blocks
+   before a row are composed in order, from 0 on, to the value E that enters
+   its block; every block takes part, nothing is dropped.
+4. The row's map is applied to it: y = loc + q^(j+1) * E.
+
+B only has to keep q^-B from overflowing (<= 2^900); any smaller size gives the
+same values. The default is the largest size that suits all ratios, so that a
+ticker has few blocks (a handful a century) and all recurrences share one
+pass. All windows run on data already hash-partitioned by Ticker (no new
 exchange); steps 2 and 3 share one sort on (Ticker, blk, i).
 """
 
@@ -33,8 +32,6 @@ from pyspark.sql import functions as F
 
 from .windows import TICKER
 
-# Numeric bounds of the block size (fixed values of the method above).
-_LOW_BITS = 250    # q^B must fall below 2^-250 (of the value two blocks before)
 _HIGH_BITS = 900   # q^-B must stay below 2^900 (double overflows at 2^1024)
 
 
@@ -49,49 +46,18 @@ class Recurrence:
 
 def block_range(q: float) -> tuple[int, int]:
     """Smallest and largest admissible block size for ratio q (0 < q < 1)."""
-    lnq = -math.log(q)
-    lo = max(1, math.ceil(_LOW_BITS * math.log(2) / lnq))
-    hi = max(1, math.floor(_HIGH_BITS * math.log(2) / lnq))
-    return lo, hi
-
-
-def choose_block(qs: list[float], block: int | None = None) -> list[tuple[int, list[int]]]:
-    """Group recurrences into passes that can share one block size.
-
-    Returns [(B, [positions in qs])]. Default B is the largest admissible one
-    (fewest blocks); a requested ``block`` is clamped into the admissible range
-    (tests use the smallest one to exercise the carry between blocks).
-    """
-    order = sorted(range(len(qs)), key=lambda k: qs[k])
-    groups: list[tuple[int, int, list[int]]] = []
-    for k in order:
-        lo, hi = block_range(qs[k])
-        if groups and max(groups[-1][0], lo) <= min(groups[-1][1], hi):
-            glo, ghi, members = groups[-1]
-            groups[-1] = (max(glo, lo), min(ghi, hi), members + [k])
-        else:
-            groups.append((lo, hi, [k]))
-    out = []
-    for lo, hi, members in groups:
-        b = hi if block is None else min(max(block, lo), hi)
-        out.append((b, members))
-    return out
+    return 1, max(1, math.floor(_HIGH_BITS * math.log(2) / -math.log(q)))
 
 
 def common_block(qs: list[float], block: int | None = None) -> int | None:
-    """One block size admissible for every ratio in ``qs`` (None if there is none).
-
-    With a shared block size, all recurrences of a feature set - and every
-    other window of it - can be ordered by (block, index): one sort.
-    """
-    qs = [q for q in qs if q > 0.0]
-    if not qs:
-        return None
-    ranges = [block_range(q) for q in qs]
-    lo, hi = max(r[0] for r in ranges), min(r[1] for r in ranges)
-    if lo > hi:
+    """The block size of a set of ratios: ``block`` cut to what they admit, by
+    default the largest they admit (None if no ratio is positive). With it all
+    recurrences of a feature set - and every other window of it - can be ordered
+    by (block, index): one sort."""
+    admitted = [block_range(q)[1] for q in qs if q > 0.0]
+    if not admitted:
         return None
-    return hi if block is None else min(max(block, lo), hi)
+    return min(admitted) if block is None else max(1, min(block, *admitted))
 
 
 def linear_scan(df: DataFrame, recs: list[Recurrence], *, index: str = "_i",
@@ -113,17 +79,11 @@ def linear_scan(df: DataFrame, recs: list[Recurrence], *, index: str = "_i",
     if trivial:
         df = df.select("*", *[r.u.alias(r.out) for r in trivial])
         keep += [r.out for r in trivial]
-    if blk_col is not None:
-        if block is None or common_block([r.q for r in scans], block) != block:
-            raise ValueError("blk_col needs a block size admissible for every recurrence")
-        if scans:
-            df = _scan_pass(df, scans, index, part, block, blk_col)
-            keep += [r.out for r in scans]
-        return df.select(*keep)
-    for b, members in choose_block([r.q for r in scans], block):
-        group = [scans[k] for k in members]
-        df = _scan_pass(df, group, index, part, b)
-        keep += [r.out for r in group]
+    if blk_col is not None and (block is None or (scans and common_block([r.q for r in scans], block) != block)):
+        raise ValueError("blk_col needs a block size admissible for every recurrence")
+    if scans:
+        df = _scan_pass(df, scans, index, part, common_block([r.q for r in scans], block), blk_col)
+        keep += [r.out for r in scans]
     return df.select(*keep)
 
 
@@ -146,12 +106,11 @@ def _scan_pass(df: DataFrame, recs: list[Recurrence], index: str, part: str, b:
         for r in recs
     ]
     d = d.select("*", *locs)
-    # value leaving the previous block, carried into this one (one projection:
-    # the window result is used inside the arithmetic directly)
-    outs = [
-        (F.col(f"_loc_{r.out}") + F.pow(F.lit(r.q), j + 1) * F.coalesce(
-            F.last(F.when(j == b - 1, F.col(f"_loc_{r.out}")), ignorenulls=True).over(before), F.lit(0.0)))
-        .alias(r.out)
-        for r in recs
-    ]
+    # maps of the blocks before, composed to the value that enters this one (one
+    # projection: the window result is used inside the arithmetic directly)
+    def entering(r: Recurrence) -> Column:
+        ends = F.collect_list(F.when(j == b - 1, F.col(f"_loc_{r.out}"))).over(before)
+        return F.aggregate(ends, F.lit(0.0), lambda y, loc: y * F.lit(r.q ** b) + loc)
+
+    outs = [(F.col(f"_loc_{r.out}") + F.pow(F.lit(r.q), j + 1) * entering(r)).alias(r.out) for r in recs]
     return d.select(*df.columns, *outs)

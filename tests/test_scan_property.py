@@ -1,6 +1,7 @@
 """Property: the blocked window scan equals the row-by-row recurrence."""
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -26,24 +27,31 @@ def test_scan_matches_loop(spark, q, lengths, seed, scale):
         expect[f"T{t}"] = np.array(ys)
         rows += [(f"T{t}", i, float(v)) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "Ticker string, _i long, x double")
-    lo, _ = block_range(q)                     # smallest block: most carries
-    out = linear_scan(df, [Recurrence("y", F.col("x"), q)], block=lo).toPandas()
+    size = block_range(q)[1] // 8 + 1 + seed % 50       # several blocks
+    out = linear_scan(df, [Recurrence("y", F.col("x"), q)], block=size).toPandas()
     for t, g in out.groupby("Ticker"):
         got = g.sort_values("_i")["y"].to_numpy()
         tol = 1e-12 * scale * 10 / (1 - q)
         np.testing.assert_allclose(got, expect[t], rtol=1e-10, atol=tol)
 
 
-def test_collapsing_series_at_the_smallest_block(spark):
-    """A fall by 18 orders of magnitude between blocks leaves no trace."""
-    q = 13 / 14
-    lo, _ = block_range(q)
-    n = 4 * lo
-    x = [1e9 if i < lo else 1e-9 for i in range(n)]
+@pytest.mark.parametrize("block", [1, 2, 7, 30, None])
+def test_any_block_size_on_a_collapsing_series(spark, block):
+    """Falls by 18 orders of magnitude, again and again, whatever the blocks."""
+    q, n = 13 / 14, 240
+    x = [1e9 if i < 30 else 1e-9 if i < 200 else 1e-30 for i in range(n)]
     y, want = 0.0, []
     for v in x:
         y = v + q * y
         want.append(y)
     df = spark.createDataFrame([("T", i, v) for i, v in enumerate(x)], "Ticker string, _i long, x double")
-    got = linear_scan(df, [Recurrence("y", F.col("x"), q)], block=lo).orderBy("_i").toPandas()["y"].to_numpy()
-    np.testing.assert_allclose(got, want, rtol=1e-9)
+    got = linear_scan(df, [Recurrence("y", F.col("x"), q)], block=block).orderBy("_i").toPandas()["y"].to_numpy()
+    np.testing.assert_allclose(got, want, rtol=1e-11)
+
+
+def test_older_blocks_are_not_dropped(spark):
+    """With blocks of one row a value crosses every block in between."""
+    q = 0.9
+    df = spark.createDataFrame([("T", i, 1.0 if i == 0 else 0.0) for i in range(60)], "Ticker string, _i long, x double")
+    got = linear_scan(df, [Recurrence("y", F.col("x"), q)], block=1).orderBy("_i").toPandas()["y"].to_numpy()
+    np.testing.assert_allclose(got, q ** np.arange(60), rtol=1e-12)
