@@ -57,19 +57,20 @@ def _stats(long: DataFrame, exact: bool) -> DataFrame:
     return long.groupBy("Ticker", "feature").agg(*aggs)
 
 
-def skipped(stats: DataFrame, names: Iterable[str], present: Iterable[str]) -> DataFrame:
+def skipped(stats: DataFrame, names: Iterable[str], present: Iterable[str], tickers: DataFrame) -> DataFrame:
     """Features left out of the comparison, with the reason, per ticker.
 
-    ``stats`` is the profile of both periods with the row counts. A feature
-    that is not a column is "not computed"; one without a single defined value
-    in a period is "no values in reference" / "no values in current".
+    ``stats`` is the profile of both periods with the row counts, ``tickers`` the
+    list of all tickers. A feature that is not a column is "not computed"; one
+    without a single defined value in a period is "no values in reference" /
+    "no values in current".
     """
     names, present = list(names), set(present)
     held = stats.groupBy("Ticker").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("ref_n", "cur_n")))).alias("m"))
     wanted = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(n in present).alias("made")) for n in names])
-    each = held.withColumn("w", F.explode(wanted)).select(
-        "Ticker", "w.feature", "w.made", F.coalesce(F.try_element_at("m", F.col("w.feature"))["ref_n"], F.lit(0)).alias("r"),
-        F.coalesce(F.try_element_at("m", F.col("w.feature"))["cur_n"], F.lit(0)).alias("c"))
+    seen = F.try_element_at("m", F.col("w.feature"))
+    each = tickers.join(held, "Ticker", "left").withColumn("w", F.explode(wanted)).select(
+        "Ticker", "w.feature", "w.made", F.coalesce(seen["ref_n"], F.lit(0)).alias("r"), F.coalesce(seen["cur_n"], F.lit(0)).alias("c"))
     reason = F.when(~F.col("made"), "not computed").when(F.col("r") == 0, "no values in reference").when(F.col("c") == 0, "no values in current")
     return each.select("Ticker", "feature", reason.alias("reason")).where("reason is not null")
 
@@ -127,23 +128,23 @@ def _compared() -> Column:
     return (F.col("feature") != ROWS) & (F.col("ref_n") > 0) & (F.col("cur_n") > 0)
 
 
-def summary(shifts: DataFrame) -> DataFrame:
+def summary(shifts: DataFrame, tickers: DataFrame) -> DataFrame:
     """Per ticker, any-drift flag and the "k/n features" message.
 
     ``shifts`` is the report over the whole profile, row counts and features
-    without a value included: one aggregate per ticker. A ticker with an empty
-    period has insufficient data; one with rows in both periods but no profiled
-    feature is steady with 0 features.
+    without a value included: one aggregate per ticker. ``tickers`` lists all
+    tickers: one with an empty period (or none at all) has insufficient data; one
+    with rows in both periods but no profiled feature is steady with 0 features.
     """
     rows = F.col("feature") == ROWS
     g = shifts.groupBy("Ticker").agg(
         F.max(F.when(rows, F.col("ref_n"))).alias("r"), F.max(F.when(rows, F.col("cur_n"))).alias("c"),
         F.count_if(_compared() & F.col("drift_detected")).alias("k"), F.count_if(_compared()).alias("n"))
-    enough = (F.col("r") > 0) & (F.col("c") > 0)
+    enough = F.coalesce((F.col("r") > 0) & (F.col("c") > 0), F.lit(False))
     k, n = F.when(enough, F.col("k")).otherwise(0), F.when(enough, F.col("n")).otherwise(0)
     message = F.when(~enough, F.lit(INSUFFICIENT)).when(k > 0, F.format_string(DRIFTED, "k", "n")).otherwise(F.lit(STEADY))
-    return g.select("Ticker", (k > 0).alias("drift_detected"), k.cast("bigint").alias("n_drifted"),
-                    n.cast("bigint").alias("n_features"), message.alias("message"))
+    return tickers.join(g, "Ticker", "left").select("Ticker", (k > 0).alias("drift_detected"), k.cast("bigint").alias("n_drifted"),
+                                                    n.cast("bigint").alias("n_features"), message.alias("message"))
 
 
 def flagged(rep: DataFrame) -> DataFrame:
@@ -157,20 +158,18 @@ def flagged(rep: DataFrame) -> DataFrame:
     )
 
 
-NO_PERIOD = "none"    # bars of neither period: they only name their ticker
-
-
 def periods(bars: DataFrame, ref: tuple[str, str], cur: tuple[str, str],
             tickers: Iterable[str] | None = None) -> DataFrame:
-    """Bars tagged ``period`` in {ref, cur, none}, from one pass over the bars.
-    Periods may overlap: a day in both appears once per period."""
+    """Bars of the two periods tagged ``period`` in {ref, cur}. Periods may
+    overlap: a day in both appears once per period. The date bounds are a plain
+    predicate, so bars of neither period are dropped below the exchanges."""
     b = bars if tickers is None else bars.where(F.col("Ticker").isin(list(tickers)))
 
-    def inside(bounds: tuple[str, str], name: str) -> Column:
-        return F.when(F.col("Date").between(F.to_date(F.lit(bounds[0])), F.to_date(F.lit(bounds[1]))), F.lit(name))
+    def inside(bounds: tuple[str, str]) -> Column:
+        return F.col("Date").between(F.to_date(F.lit(bounds[0])), F.to_date(F.lit(bounds[1])))
 
-    tags = F.array_compact(F.array(inside(ref, "ref"), inside(cur, "cur")))
-    return b.withColumn("period", F.explode(F.when(F.size(tags) > 0, tags).otherwise(F.array(F.lit(NO_PERIOD)))))
+    tags = F.array_compact(F.array(F.when(inside(ref), F.lit("ref")), F.when(inside(cur), F.lit("cur"))))
+    return b.where(inside(ref) | inside(cur)).withColumn("period", F.explode(tags))
 
 
 class Drift(NamedTuple):
@@ -184,8 +183,9 @@ def detect(bars: DataFrame, names: list[str], ref_start: str, ref_end: str, cur_
            exact: bool = True, **kw) -> Drift:
     """Full drift check for all (or the given) tickers: report, summary, skipped.
 
-    The bars are read and aggregated once: every bar is tagged with its
-    periods, and row counts and the ticker list come from the same profile.
+    Only bars of the two periods are read, aggregated and put through windows;
+    row counts come from the same profile. The list of all tickers, which the
+    summary and the skipped features need, reads nothing but the tickers.
     With slice warm-up, both periods go through one feature plan keyed by
     (Ticker, period), so each period warms up on its own rows.
     ``warmup="history"`` computes features on the whole history once and cuts
@@ -200,4 +200,6 @@ def detect(bars: DataFrame, names: list[str], ref_start: str, ref_end: str, cur_
     present = [n for n in names if n in feats.columns]
     stats = _stats(_long(feats.withColumn(ROWS, F.lit(1.0)), [*present, ROWS]), exact)
     shifts = report(stats, threshold)
-    return Drift(shifts.where(_compared()).drop("ref_n", "cur_n"), summary(shifts), skipped(stats, names, present))
+    every = bars if tickers is None else bars.where(F.col("Ticker").isin(list(tickers)))
+    every = every.select("Ticker").distinct()
+    return Drift(shifts.where(_compared()).drop("ref_n", "cur_n"), summary(shifts, every), skipped(stats, names, present, every))

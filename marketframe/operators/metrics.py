@@ -73,49 +73,68 @@ def latency_quantiles(buckets: DataFrame, qs=QUANTILES, by: Iterable[str] = ())
     return out.select(*by, *[(F.col(f"p{round(q * 100)}") * 1000.0).alias(f"p{round(q * 100)}_ms") for q in qs])
 
 
-SPLITS = 256          # buckets per round of the exact selection
-RANK_ROWS = 100_000   # an interval of this many distinct values is ranked directly
+ACCURACY = 1000       # of the sketch that bounds the ranks: error of 1 / ACCURACY of the rows
 
 
-def _value_at(values: DataFrame, rank: int) -> float:
-    """The value of 0-based ``rank`` among (v, n) rows, exactly.
+WIDER = (4.0, 20.0, 100.0, 400.0)  # margins around a rank, in errors of the sketch
 
-    Each round cuts the interval that holds the rank into buckets at
-    approximate quantiles, counts them and keeps the one with the rank; when
-    few distinct values are left they are ranked. The driver sees SPLITS
-    counts a round, and no task more than a share of the values.
+
+def _bounds(log: DataFrame, v: Column, qs: Iterable[float], accuracy: int):
+    """(rows, [(low, high) value around each quantile's two ranks]) from one
+    sketch. The margin is the first that holds three errors and two ranks; where
+    none does, or it reaches beyond the ends, the extremes are the bounds."""
+    margins = [w / accuracy for w in WIDER]
+    at = sorted({min(1.0, max(0.0, q + s * m)) for q in qs for m in margins for s in (-1, 1)})
+    r = log.agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("most"),
+                F.percentile_approx(v, at, accuracy).alias("c")).first()
+    if not r["n"]:
+        return 0, []
+    cut = dict(zip(at, r["c"]))
+    m = next((m for m in margins if m >= 3.0 / accuracy + 2.0 / r["n"]), 1.0)
+    return r["n"], [(r["least"] if q - m <= 0 else cut[q - m], r["most"] if q + m >= 1 else cut[q + m]) for q in qs]
+
+
+def exact_quantiles(log: DataFrame, column: str, qs: Iterable[float], accuracy: int = ACCURACY) -> list[float | None]:
+    """Exact quantiles with linear interpolation, all together in two reads.
+
+    The first read makes a sketch, which bounds an interval of values around the
+    ranks of every quantile. The second counts the rows below each interval
+    and those inside it by value, and the ranks are looked up in the running
+    sums: a window over the distinct values inside, a share of about
+    8 / accuracy of a long log's rows, partitioned by quantile. A rank outside its
+    interval (the sketch's error bound makes that impossible) is an error.
     """
-    while True:
-        size = values.agg(F.count("*").alias("k")).first()["k"]
-        if size <= RANK_ROWS:
-            upto = F.sum("n").over(Window.orderBy("v"))
-            return values.withColumn("upto", upto).where(F.col("upto") > rank).agg(F.min("v").alias("v")).first()["v"]
-        cuts = values.agg(F.percentile_approx("v", [i / SPLITS for i in range(1, SPLITS)], 10 * SPLITS).alias("c")).first()["c"]
-        bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col("v")))
-        split = values.withColumn("b", bucket)
-        for row in sorted(split.groupBy("b").agg(F.sum("n").alias("n")).collect()):
-            if rank < row["n"]:
-                values = split.where(F.col("b") == row["b"]).drop("b")
-                break
-            rank -= row["n"]
+    qs = list(qs)
+    v = F.col(column).cast("double")
+    n, bounds = _bounds(log, v, qs, accuracy)
+    if not n:
+        return [None] * len(qs)
+    # per row and quantile: below the interval (one group), or inside it (by value)
+    inside = F.array(*[F.when(v < low, F.struct(F.lit(i).alias("q"), F.lit(None).cast("double").alias("v")))
+                       .when(v <= high, F.struct(F.lit(i).alias("q"), v.alias("v"))) for i, (low, high) in enumerate(bounds)])
+    counted = (log.where(v.isNotNull()).select(F.explode(F.array_compact(inside)).alias("x")).select("x.*")
+               .groupBy("q", "v").agg(F.count(F.lit(1)).alias("n")))
+    upto = F.sum("n").over(Window.partitionBy("q").orderBy(F.col("v").asc_nulls_first()))
+    ranks = [(math.floor(q * (n - 1)), math.ceil(q * (n - 1))) for q in qs]
+    of = lambda k: F.element_at(F.array(*[F.lit(r[k]) for r in ranks]), F.col("q") + 1)
+    rows = (counted.withColumn("upto", upto).where("v is not null").groupBy("q")
+            .agg(F.min(F.when(F.col("upto") > of(0), F.col("v"))).alias("low"),
+                 F.min(F.when(F.col("upto") > of(1), F.col("v"))).alias("high")).collect())
+    held = {r["q"]: r for r in rows}
+    out = []
+    for i, q in enumerate(qs):
+        r = held.get(i)
+        if r is None or r["low"] is None or r["high"] is None:
+            raise RuntimeError(f"rank of quantile {q} lies outside its interval")
+        out.append(r["low"] + (r["high"] - r["low"]) * (q * (n - 1) - ranks[i][0]))
+    return out
 
 
 def percentile_latency(log: DataFrame, seconds: str = "latency_s", qs=QUANTILES, exact: bool = True) -> DataFrame:
-    """Quantiles on raw values: exact with linear interpolation (distributed
-    selection over distinct values), or bounded-memory ``percentile_approx``."""
+    """Quantiles on raw values: exact with linear interpolation (two reads of the
+    log for all of them), or bounded-memory ``percentile_approx``."""
     if not exact:
         return log.agg(*[(F.percentile_approx(F.col(seconds), q) * 1000.0).alias(f"p{round(q * 100)}_ms") for q in qs])
-    values = log.where(F.col(seconds).isNotNull()).groupBy(F.col(seconds).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    total = values.agg(F.sum("n").alias("n")).first()["n"] or 0
-    row = []
-    for q in qs:
-        if not total:
-            row.append(None)
-            continue
-        at = q * (total - 1)
-        low, high = math.floor(at), math.ceil(at)
-        a = _value_at(values, low)
-        b = a if high == low else _value_at(values, high)
-        row.append((a + (b - a) * (at - low)) * 1000.0)
+    row = [None if x is None else x * 1000.0 for x in exact_quantiles(log, seconds, qs)]
     names = [f"p{round(q * 100)}_ms" for q in qs]
     return log.sparkSession.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.windows import by_ticker
 from ..operators import bars as B
 from ..operators.features import DEFAULT_BUILDERS, compute_features
+from ..session import scratch
 from ..sources.adapters import bars_from_orders
 from . import sqltext as S
 from .present import shown
@@ -585,7 +586,7 @@ _PRED_SQL = _pooled_sql(POOLED_X) + f""", sc AS (SELECT feat."Ticker", feat."Dat
 
 def _stored_run(spark, sf_dir, x: str = POOLED_X, log=None):
     """Train the pooled one-input model, save it and log the run."""
-    log = log or ST.RunLog(spark, _scratch(spark, "runs"))
+    log = log or ST.RunLog(spark, scratch(spark, "runs"))
     s = TR.train(bars(spark, sf_dir), "linear_regression", [x], test_size=TEST_SIZE, runlog=log, run_name=f"linear_{x}")
     return log, s
 
@@ -707,7 +708,7 @@ STORE_LAYOUT = {"buckets": 4, "period": "year"}
 
 
 def _bar_store(spark):
-    return ST.BarStore(spark, _scratch(spark, "bars"), **STORE_LAYOUT)
+    return ST.BarStore(spark, scratch(spark, "bars"), **STORE_LAYOUT)
 
 
 _UPSERT_SQL = _EXISTING_NEW_SQL + f"""SELECT {BAR_COLS_SQL} FROM (
@@ -806,7 +807,7 @@ STORE_NAMES = FE.DEFAULT_FEATURES
 def _feature_store(spark, sf_dir):
     """The default features of all tickers, set into a new store."""
     f = _shown_all(compute_features(bars(spark, sf_dir), STORE_NAMES), STORE_NAMES)
-    store = ST.FeatureStore(spark, _scratch(spark, "features"), ttl_seconds=None, **STORE_LAYOUT)
+    store = ST.FeatureStore(spark, scratch(spark, "features"), ttl_seconds=None, **STORE_LAYOUT)
     store.set(f)
     return store
 
@@ -1065,13 +1066,6 @@ def train_summary(spark, sf_dir):
     return spark.createDataFrame([row], _SUMMARY_SCHEMA)
 
 
-def _scratch(spark, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory of the session."""
-    import uuid
-    from ..session import ensure_checkpoint_dir
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("runs_append", _pooled_sql(POOLED_X) + f"""SELECT 'linear_{POOLED_X}' AS run_name, 'default' AS experiment,
   ['{POOLED_X}'] AS features, CAST({_metric_sql("train", "n")} AS VARCHAR) AS n_train_samples, true AS has_model,
   round({_metric_sql("train", "r2")}, 6) AS train_r2, round({_metric_sql("test", "r2")}, 6) AS test_r2""")
@@ -1090,7 +1084,7 @@ def ingest_stream(spark, sf_dir):
     """Two landings (a table and an overlapping corrected batch) ingested by
     the streaming job; the stored table equals the batch upsert (bars_upsert)."""
     from ..streaming.ingest_stream import run_available
-    root = _scratch(spark, "ingest")
+    root = scratch(spark, "ingest")
     existing, new = _existing_new(spark, sf_dir)
     store = ST.BarStore(spark, f"{root}/bars", **STORE_LAYOUT)
     for part, landed in (("batch=0001", existing), ("batch=0002", new)):

@@ -1,8 +1,9 @@
 """End-to-end training and prediction (T7, P1, P5) over the DataFrame operators.
 
-The training set, split, scoring and metrics are one lazy plan each; the fit
-is pyspark.ml (many jobs, distributed). Only the metric rows (two per run)
-and the run summary come back to the driver.
+The prepared, split training frame is evaluated once, into files of the shared
+folder: its counts say whether there is anything to fit, and fit, scoring and
+metrics start from it, so the bars are aggregated once per run. Only counts, the
+metric rows (two per run) and the run summary come back to the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..operators import features as FE
 from ..operators import metrics as M
 from ..operators import models as MO
 from ..operators import scoring as SC
+from ..session import written
 from ..sources.store import RunLog
 
 # Names of the run parameters and metrics that readers of a run rely on.
@@ -33,16 +35,29 @@ def fit_partitions(bars: DataFrame, model_type: str, partitions: int | None) ->
     return partitions or int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def training_frame(bars: DataFrame, feature_names: list[str], target: str = "returns", lookback: int = 1,
+                   test_size: float = 0.2, start: str | None = None, end: str | None = None,
+                   tickers: Iterable[str] | None = None) -> D.TrainingSet:
+    """The prepared rows with their split, evaluated once."""
+    ts = D.prepare(bars, feature_names, target, lookback, start, end, tickers)
+    return D.TrainingSet(written(D.split(ts.frame, test_size), "training"), ts.feature_cols, ts.target)
+
+
+def fitted(ts: D.TrainingSet, model_type: str, model_params: dict | None = None, partitions: int | None = None):
+    """(model, scored rows of both splits) of a training frame. No row is an error."""
+    if ts.frame.isEmpty():
+        raise ValueError("empty training set: no row has all features and the target (see dataset.dropped_features)")
+    model = MO.fit(ts.frame.where(F.col("split") == "train"), model_type, ts.feature_cols,
+                   partitions=fit_partitions(ts.frame, model_type, partitions), **(model_params or {}))
+    return model, MO.score(model, ts.frame, ts.feature_cols)
+
+
 def scored_splits(bars: DataFrame, model_type: str, feature_names: list[str], model_params: dict | None = None,
                   target: str = "returns", lookback: int = 1, test_size: float = 0.2,
                   start: str | None = None, end: str | None = None, tickers: Iterable[str] | None = None,
                   partitions: int | None = None):
-    ts = D.prepare(bars, feature_names, target, lookback, start, end, tickers)
-    df = D.split(ts.frame, test_size)
-    model = MO.fit(df.where(F.col("split") == "train"), model_type, ts.feature_cols,
-                   partitions=fit_partitions(bars, model_type, partitions), **(model_params or {}))
-    scored = MO.score(model, df, ts.feature_cols)
-    return ts, model, scored
+    ts = training_frame(bars, feature_names, target, lookback, test_size, start, end, tickers)
+    return ts, *fitted(ts, model_type, model_params, partitions)
 
 
 def train(bars: DataFrame, model_type: str, feature_names: list[str], model_params: dict | None = None,
@@ -53,9 +68,6 @@ def train(bars: DataFrame, model_type: str, feature_names: list[str], model_para
 
     An empty training set raises ``ValueError`` before anything is fitted.
     """
-    probe = D.prepare(bars, feature_names, target, lookback, start, end, tickers)
-    if probe.frame.isEmpty():
-        raise ValueError("empty training set: no row has all features and the target (see dataset.dropped_features)")
     ts, model, scored = scored_splits(bars, model_type, feature_names, model_params, target, lookback,
                                       test_size, start, end, tickers, partitions)
     by_split = {r["split"]: r.asDict() for r in M.regression_metrics(scored, by=["split"]).collect()}

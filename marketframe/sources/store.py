@@ -67,10 +67,13 @@ class VersionedTable:
                 .withColumn("period", F.date_format("Date", PERIODS[layout["period"]])))
 
     def _buckets_of(self, tickers: Iterable[str], layout: dict) -> set[int]:
-        """Buckets of the tickers a caller names."""
-        named = self.spark.createDataFrame([(t,) for t in tickers], "Ticker string")
-        named = named.select(F.pmod(F.xxhash64("Ticker"), F.lit(layout["buckets"])).cast("int").alias("b")).distinct()
-        return {r.b for r in named.collect()}
+        """Buckets of the tickers a caller names: literals that the optimizer folds,
+        so no job runs."""
+        named = list(dict.fromkeys(tickers))
+        if not named:
+            return set()
+        bucket = [F.pmod(F.xxhash64(F.lit(t)), F.lit(layout["buckets"])).cast("int") for t in named]
+        return set(self.spark.sql("SELECT 1").select(F.array(*bucket).alias("b")).first()["b"])
 
     def _read_folders(self, folders: dict[str, str]) -> DataFrame:
         if not folders:
@@ -100,8 +103,12 @@ class VersionedTable:
         """Publish ``rows`` as the whole content of the touched folders."""
         layout, version = manifest["layout"], f"{number + 1:010d}-{uuid.uuid4().hex[:8]}"
         target = f"{self.path}/data/{version}"
-        # one task per folder; files sorted by key so that statistics prune tickers and dates
-        (self._placed(rows, layout).repartition("bucket", "period").sortWithinPartitions("bucket", "period", *self.key)
+        # as many files a folder as keep every task of the session busy, dealt by ticker
+        # and sorted by key, so that statistics prune tickers and dates
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        files_each = max(1, tasks // max(1, len(set(touched))))
+        deal = F.pmod(F.xxhash64("Ticker", F.lit("file")), F.lit(files_each))
+        (self._placed(rows, layout).repartition(tasks, "bucket", "period", deal).sortWithinPartitions("bucket", "period", *self.key)
          .write.partitionBy("bucket", "period").parquet(target))
         buckets = [n for n in files.names(self.spark, target) if n.startswith("bucket=")]
         written = {f"{b}/{p}" for b in buckets for p in files.names(self.spark, f"{target}/{b}") if p.startswith("period=")}
@@ -203,13 +210,14 @@ FEATURE_ROW = T.StructType([
 def to_long(features: DataFrame, computed_at: dt.datetime | None = None) -> DataFrame:
     """Wide feature frame -> long rows (Ticker, Date, feature, value, computed_at)."""
     names = [c for c in features.columns if c not in ("Ticker", "Date")]
-    long = features.select("Ticker", "Date", *[F.col(c).cast("double") for c in names]) \
-        .unpivot(["Ticker", "Date"], names, "feature", "value")
     ts = F.lit(computed_at) if computed_at is not None else F.current_timestamp()
     # latest bar the features were computed from (per ticker): lets a reader
-    # see that bars were upserted after the features were stored
+    # see that bars were upserted after the features were stored. Taken on the wide
+    # rows, which are partitioned by ticker already where features come from windows
     src_max = F.max("Date").over(Window.partitionBy("Ticker"))
-    return long.withColumn("computed_at", ts.cast("timestamp")).withColumn("source_max_date", src_max)
+    wide = features.select("Ticker", "Date", src_max.alias("source_max_date"), *[F.col(c).cast("double").alias(c) for c in names])
+    long = wide.unpivot(["Ticker", "Date", "source_max_date"], names, "feature", "value")
+    return long.select("Ticker", "Date", "feature", "value", ts.cast("timestamp").alias("computed_at"), "source_max_date")
 
 
 def to_wide(long: DataFrame, names: Iterable[str]) -> DataFrame:

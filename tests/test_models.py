@@ -178,3 +178,30 @@ def test_fit_layout_follows_the_session(spark):
     assert TR.fit_partitions(b, "random_forest", None) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert TR.fit_partitions(b, "random_forest", 3) == 3
     assert TR.fit_partitions(b, "linear_regression", 3) is None
+
+
+def test_exact_quantiles_read_the_log_twice(spark, tmp):
+    """Ties, heavy values and the extremes; every query execution over the log is one read."""
+    from marketframe.operators import metrics as MET
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.exponential(size=3000), np.full(1500, 0.25), [5.0, 5.0]])
+    spark.createDataFrame([(float(v),) for v in x] + [(None,)], "latency_s double").write.parquet(f"{tmp}/log")
+    log = spark.read.parquet(f"{tmp}/log")
+    qs = (0.0, 0.5, 0.95, 0.999, 1.0)
+    jobs = []
+    for name in ("agg", "where"):
+        original = getattr(type(log), name)
+
+        def spy(self, *a, _f=original, _n=name, **k):
+            jobs.append(_n) if self is log else None
+            return _f(self, *a, **k)
+        setattr(type(log), name, spy)
+        try:
+            got = MET.exact_quantiles(log, "latency_s", qs)
+        finally:
+            setattr(type(log), name, original)
+        np.testing.assert_allclose(got, np.quantile(x, qs), rtol=1e-12)
+    assert sorted(jobs) == ["agg", "where"]  # the sketch and the counting pass
+    assert MET.exact_quantiles(log.where("false"), "latency_s", qs) == [None] * len(qs)
+    few = spark.createDataFrame([(1.0,), (3.0,)], "latency_s double")
+    assert MET.exact_quantiles(few, "latency_s", (0.5, 0.25)) == [2.0, 1.5]

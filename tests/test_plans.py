@@ -58,13 +58,26 @@ def test_drift_is_one_feature_plan(spark):
 
 @pytest.mark.parametrize("name", ["drift_report", "drift_summary", "drift_skipped", "ingest_rejected", "features_brands"])
 def test_raw_ticks_are_read_and_hash_aggregated_once(spark, name):
-    """One scan of the ticks (and one of the parts where brands are tickers)."""
+    """One scan of the ticks (and one of the parts where brands are tickers, or of
+    nothing but the tickers where all of them are listed)."""
     txt = q(spark, name)
-    assert len(re.findall(r"FileScan parquet", txt)) == (2 if name in ("ingest_rejected", "features_brands") else 1)
+    listing = name in ("drift_summary", "drift_skipped")
+    assert len(re.findall(r"FileScan parquet", txt)) == (2 if listing or name in ("ingest_rejected", "features_brands") else 1)
+    if listing:
+        schemas = re.findall(r"ReadSchema: struct<([^>]*)>", txt)
+        assert any("date" not in x and "price" not in x for x in schemas)
     assert "SortAggregate" not in txt.split("Generate")[-1]
     assert "SinglePartition" not in txt
 
 
+def test_drift_windows_see_only_the_two_periods(spark):
+    """The date bounds stand between the scan and the first exchange."""
+    txt = q(spark, "drift_report")
+    scan = txt.index("FileScan parquet")
+    first_exchange = txt.rindex("Exchange hashpartitioning", 0, scan)
+    assert re.search(r"Filter [^\n]*1997-01-01|Filter [^\n]*>= 9862", txt[first_exchange:scan])
+
+
 def test_ingest_is_one_batch_pass(spark):
     txt = q(spark, "ingest_accepted")
     assert len(re.findall(r"FileScan parquet", txt)) == 2 and len(exchanges(txt)) <= 4
