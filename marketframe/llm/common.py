@@ -151,8 +151,8 @@ def _chunks(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span data[start:end] (spans not empty).
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of every span data[start:end] (spans not empty); another one for every salt.
 
     Eight bytes a step; every step mixes state and bytes through multiplications
     and shifts, so no step is linear and complementary patterns do not cancel.
@@ -163,7 +163,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     size = end - start
     at8 = _chunks(data)
     v = at8[start] & _MASKS[np.minimum(size, 8)]
-    h = _mix(v * _ODD + size.astype(np.uint64) * _KEY)
+    salt8 = _mix(np.array([salt], np.uint64))  # 0 for salt 0
+    h = _mix((v ^ salt8) * _ODD + size.astype(np.uint64) * _KEY)
     todo = np.flatnonzero((size > 8) & (size < LONG_SPAN))
     k = 8
     while len(todo):
@@ -173,7 +174,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         todo = todo[rest > 8]
         k += 8
     for i in np.flatnonzero(size >= LONG_SPAN).tolist():
-        h[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8, key=salt.to_bytes(8, "little")).digest(), "little")
     return _mix(h)
 
 

@@ -14,9 +14,10 @@ word are frequent.
    are each frequent or were not counted either. A frequent run has only
    frequent shorter runs, so each of them passes this test and the run itself is
    counted: the set is closed after this pass.
-4. Texts. A last pass counts the frequent phrases by their texts. The passes
-   before it count 64-bit hashes; two phrases with one hash could only make a
-   hash frequent that is not, never lose one, and this pass tells them apart.
+4. Texts. Phrases are counted and scored as the 64-bit hashes of their words;
+one more pass looks up the texts of the words in the best phrases. Words
+carry a second hash where single words are counted: if two words share the
+first one, the whole is done again with another salt.
 
 Tasks know the phrases of a set through a filter of 2 ** FILTER_BITS bits, whatever
 the size of the set: what it lets through by chance is counted in vain, no
@@ -39,15 +40,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import LOWER, Texts, byte_class, chained, distinct_spans, mix, runs, span_hashes, stored, table, text_blocks
+from marketframe.llm.common import LOWER, Texts, byte_class, chained, mix, runs, span_hashes, stored, table, text_blocks
 
 MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 SAMPLE = 8  # one document in so many proposes phrases
-SLACK = 0.3  # share of the threshold's expected count that the sample asks for
+SLACK = 0.5  # share of the threshold's expected count that the sample asks for
 FILTER_BITS = 26
-HELD = 1 << 20  # phrases that a task holds before it merges or emits them
+HELD = 3 << 18  # phrases that a task holds before it merges or emits them
 UNKNOWN = "und"
 
 _SEPARATOR = byte_class(*b".,;:!?", range(0x0A, 0x0E))
@@ -62,9 +63,21 @@ class PhraseFilter:
 
     @classmethod
     def of(cls, phrases: DataFrame, bits: int = FILTER_BITS) -> "PhraseFilter":
-        """From a column ``h``; the driver gets at most 2 ** (bits - 6) numbers."""
-        mask = (1 << bits) - 1
-        rows = (phrases.select(F.explode(F.array(F.expr(f"h & {mask}L"), F.expr(f"shiftrightunsigned(h, 32) & {mask}L"))).alias("p"))
+        """From rows (k, w1, ..., w5); the driver gets at most 2 ** (bits - 6) numbers."""
+        mask = np.uint64((1 << bits) - 1)
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                k = b.column(0).to_numpy()
+                w = [b.column(1 + j).to_numpy().view(np.uint64) for j in range(WIDTH)]
+                h = w[0].copy()
+                for j in range(1, WIDTH):
+                    at = np.flatnonzero(k > j)
+                    h[at] = chained(h[at], w[j][at])
+                p = np.concatenate([h & mask, h >> np.uint64(32) & mask]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(p)], names=["p"])
+
+        rows = (phrases.select("k", *WORDS).mapInArrow(places, "p long")
                 .groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow())
         words = np.zeros(1 << bits - 6, np.uint64)
         words[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
@@ -87,14 +100,17 @@ class PhraseFilter:
 class Segments:
     """Words of a block, their hashes by language, and which runs stay in a piece."""
 
-    def __init__(self, block: Texts, seeds: np.ndarray):
+    def __init__(self, block: Texts, seeds: np.ndarray, salt: int = 0):
         self.data = LOWER[block.data]
         self.start, self.end, self.owner = runs(block, _WORD)
         n = len(self.start)
         piece = np.cumsum(_SEPARATOR[block.data])[self.start] if n else self.start
         self.joined = np.zeros(n, bool)  # with the next word
         self.joined[:-1] = (piece[1:] == piece[:-1]) & (self.owner[1:] == self.owner[:-1])
-        self.h1 = mix(span_hashes(self.data, self.start, self.end) ^ seeds[self.owner])
+        self.h1 = self.hashes(seeds, salt)
+
+    def hashes(self, seeds: np.ndarray, salt: int) -> np.ndarray:
+        return mix(span_hashes(self.data, self.start, self.end, salt) ^ seeds[self.owner])
 
     def walk(self, longest: int):
         """Grow runs a word at a time: yields (length, positions, hashes) of the
@@ -115,18 +131,18 @@ class Segments:
 
 
 class Tally:
-    """Sums of counts by (length, hash) in bounded memory."""
+    """Sums of counts by run in bounded memory: per length, rows (hash of the
+    run, words, count). The hash only brings equal runs together; words decide."""
 
     def __init__(self, limit: int = HELD):
         self.parts: dict[int, list] = {}
         self.size, self.limit = 0, limit
 
-    def add(self, k: int, h: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def add(self, k: int, h: np.ndarray, words: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
         if not len(h):
             return
-        h, c = np.unique(h, return_counts=True)
-        self.parts.setdefault(k, []).append((h, c))
-        self.size += len(h)
+        self.parts.setdefault(k, []).append(self._summed(h, words, None))
+        self.size += len(self.parts[k][-1][0])
         if self.size > self.limit:
             self.size = 0
             for k in self.parts:
@@ -135,52 +151,72 @@ class Tally:
             if 2 * self.size > self.limit:
                 yield from self.rest()
 
-    def _merged(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        h, c = (np.concatenate(x) for x in zip(*self.parts[k]))
+    @staticmethod
+    def _summed(h: np.ndarray, words: list[np.ndarray], n: np.ndarray | None) -> tuple:
         order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        return h[first], np.add.reduceat(c, first)
-
-    def rest(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        h, words = h[order], [w[order] for w in words]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        for w in words:  # one hash, other words: a row of its own
+            new[1:] |= w[1:] != w[:-1]
+        first = np.flatnonzero(new)
+        total = np.diff(np.append(first, len(h))) if n is None else np.add.reduceat(n[order], first)
+        return h[first], [w[first] for w in words], total
+
+    def _merged(self, k: int) -> tuple:
+        parts = self.parts[k]
+        if len(parts) == 1:
+            return parts[0]
+        return self._summed(np.concatenate([p[0] for p in parts]),
+                            [np.concatenate(w) for w in zip(*(p[1] for p in parts))], np.concatenate([p[2] for p in parts]))
+
+    def rest(self) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
         for k in list(self.parts):
-            yield k, *self._merged(k)
+            yield k, *self._merged(k)[1:]
         self.parts, self.size = {}, 0
 
 
+def _seeds(names: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
+
+
 def _languages(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, code of each text, seed of each text's hashes)."""
     coded = column.fill_null(UNKNOWN).dictionary_encode()
     names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in names], np.uint64)
-    return names, codes, seeds[codes]
+    return names, codes, _seeds(names)[codes]
 
 
-COUNTS = "lang string, k int, h long, n long"
+WIDTH = 5  # words of a phrase at most
+WORDS = [f"w{j + 1}" for j in range(WIDTH)]
+COUNTS = "lang string, k int, " + ", ".join(f"{w} long" for w in WORDS) + ", n long"
 
 
-def _rows(lang, k, h, n) -> pa.RecordBatch:
+def _rows(lang: list | None, k: int, words: list[np.ndarray], n) -> pa.RecordBatch:
+    """Rows of one length; what a phrase has no word for is 0."""
     size = len(n)
+    words = [np.asarray(w, np.uint64).view(np.int64) for w in words] + [np.zeros(size, np.int64)] * (WIDTH - len(words))
     return pa.RecordBatch.from_arrays(
         [pa.array(lang, pa.string()) if lang else pa.nulls(size, pa.string()), pa.array(np.full(size, k, np.int32)),
-         pa.array(h.view(np.int64)) if h is not None else pa.nulls(size, pa.int64()), pa.array(np.asarray(n, np.int64))],
-        names=["lang", "k", "h", "n"])
+         *(pa.array(w) for w in words), pa.array(np.asarray(n, np.int64))], names=["lang", "k", *WORDS, "n"])
 
 
 def run_counts(docs: DataFrame, shortest: int, longest: int, known: list[PhraseFilter], depth: int,
-               expand: bool = False) -> DataFrame:
-    """Counts (k, h, n) of runs of ``shortest`` to ``longest`` words whose two
-    parts are in the last filter of ``known``; parts of more than ``depth``
+               expand: bool = False, salt: int = 0) -> DataFrame:
+    """Counts (k, w1, ..., n) of runs of ``shortest`` to ``longest`` words whose
+    two parts are in the last filter of ``known``; parts of more than ``depth``
     words are in it. With ``expand``, only runs that no earlier filter of
-    ``known`` let be counted; such runs count as known themselves. Rows with k = 0
-    give the number of words per language (from passes over single words)."""
+    ``known`` let be counted; such runs count as known themselves. Single words
+    carry their second hash as w2 and the seed of their language as w3. Rows with
+    k = 0 give the number of words per language and its seed as w1 (from passes
+    over single words)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally, total = Tally(), {}
         for batch in batches:
             names, codes, seeds = _languages(batch.column(1))
             for block in text_blocks(batch.column(0)):
-                s = Segments(block, seeds[block.first:block.first + len(block)])
+                own = seeds[block.first:block.first + len(block)]
+                s = Segments(block, own, salt)
                 if shortest == 1 and not expand:
                     per = np.bincount(codes[block.first + s.owner], minlength=len(names))
                     for name, c in zip(names, per.tolist()):
@@ -192,12 +228,15 @@ def run_counts(docs: DataFrame, shortest: int, longest: int, known: list[PhraseF
                 k, at, h = next(walk)
                 while True:
                     known_run = known[-1].has(h) if k <= depth else np.ones(len(h), bool)
-                    fresh = np.ones(len(h), bool)
+                    fresh = slice(None)
                     if expand:
                         fresh = ~np.isin(at, before[1], assume_unique=True)
                         known_run |= fresh
                     if k >= shortest:
-                        for done in tally.add(k, h[fresh]):
+                        new = at[fresh]
+                        words = ([s.h1, s.hashes(own, salt + SECOND), own[s.owner]] if k == 1
+                                 else [s.h1[new + j] for j in range(k)])
+                        for done in tally.add(k, h[fresh], words):
                             yield _rows(None, *done)
                     if k == longest:
                         break
@@ -207,74 +246,51 @@ def run_counts(docs: DataFrame, shortest: int, longest: int, known: list[PhraseF
         for done in tally.rest():
             yield _rows(None, *done)
         if total:
-            yield _rows(list(total), 0, None, list(total.values()))
+            yield _rows(list(total), 0, [_seeds(list(total))], list(total.values()))
 
     rows = docs.select("text", "lang").mapInArrow(count, COUNTS)
-    return rows.groupBy("lang", "k", "h").agg(F.sum("n").alias("n"))
+    return rows.groupBy("lang", "k", *WORDS).agg(F.sum("n").alias("n"))
 
 
-TEXTS = "lang string, k int, phrase string, f long"
+SECOND = 1 << 32  # between the salts of a word's two hashes
 
 
-def phrase_counts(docs: DataFrame, longest: int, wanted: PhraseFilter) -> DataFrame:
-    """(lang, k, phrase, f) by text for the phrases of a filter."""
+def word_texts(docs: DataFrame, wanted: PhraseFilter, salt: int) -> DataFrame:
+    """(w, lang, word) of the words in a filter."""
 
-    def emit(held: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in held], pa.string()), pa.array([x[1] for x in held], pa.int32()),
-             pa.array([x[2].decode() for x in held], pa.string()), pa.array(list(held.values()), pa.int64())],
-            names=["lang", "k", "phrase", "f"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
             names, codes, seeds = _languages(batch.column(1))
             for block in text_blocks(batch.column(0)):
-                s = Segments(block, seeds[block.first:block.first + len(block)])
-                code = codes[block.first + s.owner]
-                _, word = distinct_spans(s.data, s.start, s.end)
+                s = Segments(block, seeds[block.first:block.first + len(block)], salt)
+                at = np.flatnonzero(wanted.has(s.h1))
+                at = at[np.unique(s.h1[at], return_index=True)[1]]
                 view = s.data.tobytes()
-                walk = s.walk(longest)
-                k, at, h = next(walk)
-                while True:
-                    kept = wanted.has(h)
-                    for i, c in zip(*_grouped(at[kept], h[kept], word, code, k)):
-                        text = b" ".join(view[a:b] for a, b in zip(s.start[i:i + k].tolist(), s.end[i:i + k].tolist()))
-                        key = (names[code[i]], k, text)
-                        held[key] = held.get(key, 0) + c
-                    if k == longest:
-                        break
-                    k, at, h = walk.send(kept)
+                for i, w in zip(at.tolist(), s.h1[at].view(np.int64).tolist()):
+                    if w not in held:
+                        held[w] = (names[codes[block.first + s.owner[i]]], view[s.start[i]:s.end[i]].decode())
                 if len(held) > HELD // 4:
-                    yield emit(held)
+                    yield _words_found(held)
                     held = {}
         if held:
-            yield emit(held)
+            yield _words_found(held)
 
-    rows = docs.select("text", "lang").mapInArrow(count, TEXTS)
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("f").alias("f"))
+    return docs.select("text", "lang").mapInArrow(look, "w long, lang string, word string").distinct()
 
 
-def _grouped(at: np.ndarray, h: np.ndarray, word: np.ndarray, code: np.ndarray, k: int) -> tuple[list[int], list[int]]:
-    """(one position, count) of each distinct run; words decide, not hashes."""
-    _, first, inverse, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-    lead = at[first]
-    parts = [word[at + j] for j in range(k)] + [code[at]]
-    same = code[at] == code[lead][inverse]
-    for j in range(k):
-        same &= parts[j] == word[lead + j][inverse]
-    if not same.all():
-        _, first, n = np.unique(np.stack(parts, axis=1), axis=0, return_index=True, return_counts=True)
-        lead = at[first]
-    return lead.tolist(), n.tolist()
+def _words_found(held: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(held), pa.int64()), pa.array([x[0] for x in held.values()], pa.string()),
+         pa.array([x[1] for x in held.values()], pa.string())], names=["w", "lang", "word"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
-def proposals(docs: DataFrame, min_count: int, longest: int, sample: int, slack: float) -> DataFrame:
-    """(k, h) of the phrases that the sample finds frequent, shorter runs first."""
+def proposals(docs: DataFrame, min_count: int, longest: int, sample: int, slack: float, salt: int = 0) -> DataFrame:
+    """(k, w1, ...) of the phrases that the sample finds frequent, shorter runs first."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     part = stored(rows.where(F.expr(f"pmod(xxhash64(doc_id, text), {sample}) = 0")).select("text", "lang"), "phrase-sample")
     least = max(1, int(slack * min_count / sample))
@@ -283,11 +299,16 @@ def proposals(docs: DataFrame, min_count: int, longest: int, sample: int, slack:
         if shortest > longest:
             break
         known = [PhraseFilter.of(_union(found))] if found else []
-        counts = run_counts(part, shortest, min(last, longest), known, shortest - 1)
-        found.append(stored(counts.where(f"k > 0 and n >= {least}").select("k", "h"), "proposed"))
+        counts = run_counts(part, shortest, min(last, longest), known, shortest - 1, salt=salt)
+        found.append(stored(_phrases(counts.where(f"k > 0 and n >= {least}")).drop("n"), "proposed"))
     return _union(found)
 
 
+def _phrases(counts: DataFrame) -> DataFrame:
+    """(k, w1, ...); what a single word carries besides is no part of the phrase."""
+    return counts.select("k", *[F.when(F.lit(j == 0) | (F.col("k") > 1), F.col(w)).otherwise(0).alias(w) for j, w in enumerate(WORDS)], *(["n"] if "n" in counts.columns else []))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
@@ -296,50 +317,71 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, sample: int = SAMPLE,
-         slack: float = SLACK) -> tuple[DataFrame, DataFrame]:
-    """((lang, k, phrase, f) of every frequent phrase of 1 to ``longest`` words,
-    (lang, n) words per language); all counts exact."""
-    proposed = proposals(docs, min_count, longest, sample, slack)
+         slack: float = SLACK, salt: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """((k, w1, ..., f) of every frequent phrase of 1 to ``longest`` words, (first,
+    lang, n) the language of every frequent word and its number of words, the
+    salt of the word hashes); all counts exact."""
+    if not 1 <= longest <= WIDTH:
+        raise ValueError(f"phrases have 1 to {WIDTH} words, not {longest}")
+    proposed = proposals(docs, min_count, longest, sample, slack, salt)
     texts = _texts(docs)
     guess = PhraseFilter.of(proposed)
-    counts = stored(run_counts(texts, 1, longest, [guess], longest).where(f"k = 0 or n >= {min_count}"), "phrase-counts")
-    frequent = counts.where("k > 0").select("k", "h")
-    failures = frequent.where(f"k < {longest}").join(proposed, ["k", "h"], "left_anti")
+    every = stored(run_counts(texts, 1, longest, [guess], longest, salt=salt), "run-counts")
+    double = every.where("k = 1").groupBy("w1").agg(F.count(F.lit(1)).alias("words")).where("words > 1")
+    if not double.isEmpty():  # two words with one hash
+        return mine(docs, min_count, longest, sample, slack, salt + 1)
+    counts = stored(_phrases(every.where(f"k > 0 and n >= {min_count}")).withColumnRenamed("n", "f"), "phrases")
+    failures = counts.where(f"k < {longest}").join(proposed, ["k", *WORDS], "left_anti")
     if not failures.isEmpty():
-        more = run_counts(texts, 2, longest, [guess, PhraseFilter.of(frequent)], longest, expand=True)
-        frequent = frequent.union(stored(more.where(f"n >= {min_count}").select("k", "h"), "phrase-expansion"))
-    found = stored(phrase_counts(texts, longest, PhraseFilter.of(frequent)).where(f"f >= {min_count}"), "phrases")
-    return found, counts.where("k = 0").select("lang", "n")
+        more = run_counts(texts, 2, longest, [guess, PhraseFilter.of(counts)], longest, expand=True, salt=salt)
+        more = more.where(f"n >= {min_count}").select("k", *WORDS, F.col("n").alias("f"))
+        counts = counts.union(stored(more, "phrase-expansion"))
+    totals = every.where("k = 0").select("lang", "n", F.col("w1").alias("seed"))
+    firsts = every.where(f"k = 1 and n >= {min_count}").select(F.col("w1").alias("first"), F.col("w3").alias("seed"))
+    return counts, firsts.join(totals, "seed").select("first", "lang", "n"), salt
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP,
                  sample: int = SAMPLE, slack: float = SLACK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the best phrases per language."""
-    found, totals = mine(docs, min_count, longest, sample, slack)
+    found, firsts, salt = mine(docs, min_count, longest, sample, slack)
+    found = found.select("k", F.array(*WORDS).alias("w"), "f")
+    part = lambda lo, size: F.slice("w", lo, size)
+    pad = lambda p, size: F.concat(p, F.array_repeat(F.lit(0).cast("long"), WIDTH - size))
     phrase = found.where("k > 1")
-    words = F.split("phrase", " ")
     # a longer phrase that is as frequent has one part of one word less that is as frequent, too
-    part = (phrase.where("k > 2").select("lang", "f", F.explode(F.array(
-        F.array_join(F.slice(words, F.lit(1), F.col("k") - 1), " "), F.array_join(F.slice(words, F.lit(2), F.col("k") - 1), " "))).alias("phrase"))
-        .groupBy("lang", "phrase").agg(F.max("f").alias("most")))
-    able = (phrase.join(part, ["lang", "phrase"], "left").where("most is null or most < f")
-            .select("lang", "k", "phrase", F.col("f").alias("a")))
-    cuts = (able.withColumn("w", words).withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
-            .select("lang", "phrase", "a", "cut", F.array_join(F.slice("w", F.lit(1), F.col("cut")), " ").alias("head"),
-                    F.array_join(F.slice("w", F.col("cut") + 1, F.col("k") - F.col("cut")), " ").alias("tail")))
-    cuts = (cuts.join(found.select("lang", F.col("phrase").alias("head"), F.col("f").alias("l")), ["lang", "head"])
-            .join(found.select("lang", F.col("phrase").alias("tail"), F.col("f").alias("r")), ["lang", "tail"])
-            .join(totals, "lang"))
+    inner = (phrase.where("k > 2").select("f", F.explode(F.array(
+        pad(part(F.lit(1), F.col("k") - 1), F.col("k") - 1), pad(part(F.lit(2), F.col("k") - 1), F.col("k") - 1))).alias("w"))
+        .groupBy("w").agg(F.max("f").alias("most")))
+    able = phrase.join(inner, "w", "left").where("most is null or most < f").select("k", "w", F.col("f").alias("a"))
+    cuts = (able.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
+            .select("k", "w", "a", "cut", pad(part(F.lit(1), F.col("cut")), F.col("cut")).alias("head"),
+                    pad(part(F.col("cut") + 1, F.col("k") - F.col("cut")), F.col("k") - F.col("cut")).alias("tail")))
+    cuts = (cuts.join(found.select(F.col("w").alias("head"), F.col("f").alias("l")), "head")
+            .join(found.select(F.col("w").alias("tail"), F.col("f").alias("r")), "tail")
+            .join(firsts, F.col("w")[0] == F.col("first")))  # a word's hash goes with its language
     wide = "cast({} as decimal(19, 0))"
     score = F.expr(f"(1000 * {wide.format('a')} * {wide.format('n')}) div ({wide.format('l')} * {wide.format('r')})")
-    best = (cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n")
+    best = (cuts.withColumn("score", score).groupBy("lang", "k", "w", "a", "n")
             .agg(F.min(F.struct("score", "cut", "l", "r")).alias("x"))
-            .select("lang", "phrase", "a", "x.l", "x.r", "n", "x.score"))
+            .select("lang", "k", "w", "a", "x.l", "x.r", "n", "x.score"))
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    first = stored(best.withColumn("place", F.rank().over(order)).where(f"place <= {top}"), "best-phrases")  # with what ties the last
+    # texts of their words, put together by place
+    each = first.select("w", "k", F.posexplode("w").alias("at", "one")).where("at < k")
+    words = word_texts(_texts(docs), PhraseFilter.of(each.select(F.lit(1).alias("k"), *_single("one")).distinct()), salt)
+    spelled = (each.join(words.select(F.col("w").alias("one"), "word"), "one").groupBy("w")
+               .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (best.withColumn("rank", F.row_number().over(order).cast("long")).where(f"rank <= {top}")
+    return (first.join(spelled, "w").withColumn("rank", F.row_number().over(order).cast("long")).where(f"rank <= {top}")
             .select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
 
 
+def _single(word: str) -> list:
+    """Columns w1, ... of a phrase of one word."""
+    return [F.expr(word).alias("w1")] + [F.lit(0).cast("long").alias(w) for w in WORDS[1:]]
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 

@@ -5,8 +5,10 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketframe.llm import phrases
+from marketframe.llm.common import chained, span_hashes
 
 FEW = "doc_id long, text string, lang string"
 
@@ -79,19 +81,53 @@ def test_products_beyond_64_bits(spark):
 
 
 def test_equal_hashes_are_told_apart_by_words():
-    word, code = np.array([1, 2, 1, 3, 1, 2]), np.array([0, 0, 0, 0, 1, 1])
-    at = np.array([0, 2, 4])
-    lead, n = phrases._grouped(at, np.zeros(3, np.uint64), word, code, 2)
-    assert sorted(zip(lead, n)) == [(0, 1), (2, 1), (4, 1)]
+    tally = phrases.Tally()
+    zero, a, b = np.zeros(4, np.uint64), np.array([1, 2, 1, 1], np.uint64), np.array([5, 5, 5, 6], np.uint64)
+    assert list(tally.add(2, zero, [a, b])) == []
+    [(k, words, n)] = tally.rest()
+    total = Counter()
+    for x, y, c in zip(*map(np.ndarray.tolist, words), n.tolist()):
+        total[x, y] += c
+    assert k == 2 and total == {(1, 5): 2, (2, 5): 1, (1, 6): 1}
+
+
+def test_two_words_with_one_hash_start_again_with_another_salt(spark, monkeypatch):
+    rows = corpus(7, 60)
+    df = spark.createDataFrame(rows, FEW)
+    plain, salts = phrases.run_counts, []
+
+    def clash(docs, *a, **k):
+        salts.append(k["salt"])
+        out = plain(docs, *a, **k)
+        same = out.where("k = 1").orderBy("w1").limit(1).withColumn("w2", F.col("w2") + 1 - 2 * F.signum("w2").cast("long"))
+        return out.union(same) if k["salt"] == 0 else out
+
+    monkeypatch.setattr(phrases, "run_counts", clash)
+    assert got(df, min_count=8) == expected(rows, 8) and set(salts) == {0, 1}
+
+
+def test_salts_give_other_hashes():
+    raw = np.frombuffer(b"word" + b"longer-than-eight" + b"x" * 2000, np.uint8)
+    start, end = np.array([0, 4, 21]), np.array([4, 21, 2021])
+    assert len({int(h) for salt in (0, 1, 2) for h in span_hashes(raw, start, end, salt)}) == 9
 
 
 def test_filter_never_misses(spark):
     rng = np.random.default_rng(1)
-    h = rng.integers(-2**63, 2**63 - 1, 5000)
-    df = spark.createDataFrame([(int(x),) for x in h], "h long")
+    words = [[int(x) for x in rng.integers(-2**63, 2**63 - 1, 5)] for _ in range(3000)]
+    rows = [(1 + i % 5, *w[:1 + i % 5], *[0] * (4 - i % 5)) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "k int, w1 long, w2 long, w3 long, w4 long, w5 long")
+    w = np.array([r[1:] for r in rows], np.int64).view(np.uint64)
+    h = []
+    for i, r in enumerate(rows):
+        x = w[i, :1]
+        for j in range(1, r[0]):
+            x = chained(x, w[i, j:j + 1])
+        h.append(x[0])
+    h = np.array(h, np.uint64)
     for bits in (8, 16, 26):
         f = phrases.PhraseFilter.of(df, bits)
-        assert f.has(h.view(np.uint64)).all()
+        assert f.has(h).all()
     assert f.has(rng.integers(0, 2**63, 100_000).astype(np.uint64)).mean() < 0.01
 
 
@@ -102,8 +138,8 @@ def test_tally_in_small_memory():
     for _ in range(40):
         h = rng.integers(0, 200, 30).astype(np.uint64)
         want.update(h.tolist())
-        for k, x, c in tally.add(1, h):
+        for k, (x,), c in tally.add(1, h, [h]):
             total.update(dict(zip(x.tolist(), c.tolist())))
-    for k, x, c in tally.rest():
+    for k, (x,), c in tally.rest():
         total.update(dict(zip(x.tolist(), c.tolist())))
     assert total == want
