@@ -1119,3 +1119,72 @@ def latency_percentile(spark, sf_dir):
     """A7 on raw values: exact percentiles (linear interpolation) of request latency, in ms."""
     p = MET.percentile_latency(request_log(spark, sf_dir))
     return p.select(*[F.round(c, 6).alias(c) for c in p.columns])
+
+
+# ---- M4, X6: leaf-wise boosting and the validation rows --------------------------------------------------
+
+STUMP_X = ["high_low_ratio", "close_open_ratio"]
+STUMP = {"num_leaves": 2, "n_estimators": 3, "learning_rate": 0.5, "max_bin": 16, "binning": "width", "min_data_in_leaf": 20}
+
+
+def _split_sql(names: list[str]) -> str:
+    known = " AND ".join(f"{n} IS NOT NULL" for n in names)
+    return (_feat_prefix(names) + f""",
+tr0 AS (SELECT *, "Close" / NULLIF(lag("Close") OVER ({_WT}), 0) - 1 AS returns FROM feat),
+tr1 AS (SELECT * FROM (SELECT *, lead(returns, 1) OVER ({_WT}) AS target FROM tr0)
+        WHERE {known} AND returns IS NOT NULL AND target IS NOT NULL AND "Close" IS NOT NULL),
+tr AS (SELECT *, CASE WHEN row_number() OVER ({_WT}) <= floor(count(*) OVER (PARTITION BY "Ticker") * CAST(1 - {TEST_SIZE} AS DOUBLE))
+       THEN 'train' ELSE 'test' END AS split FROM tr1)
+""").replace("\n,\ntr0", ",\ntr0")
+
+
+def _stumps_sql() -> str:
+    """Round by round: sums per bin, running sums, the best cut, the new value."""
+    bins, step, least = STUMP["max_bin"], STUMP["learning_rate"], STUMP["min_data_in_leaf"]
+    rng = ", ".join(f"min({x}) AS lo{i}, max({x}) AS hi{i}" for i, x in enumerate(STUMP_X))
+    cut = ", ".join(f"(SELECT count(*) FROM range(1, {bins}) t(k) WHERE lo{i} + (hi{i} - lo{i}) * k / {bins} < {x}) AS b{i}"
+                    for i, x in enumerate(STUMP_X))
+    sql = _split_sql(STUMP_X).rstrip("\n") + f""",
+rg AS (SELECT {rng} FROM tr WHERE split = 'train'),
+r0 AS (SELECT "Ticker", "Date", split, target, {cut}, (SELECT avg(target) FROM tr WHERE split = 'train') AS f FROM tr, rg)"""
+    for m in range(STUMP["n_estimators"]):
+        each = " UNION ALL ".join(f"SELECT {i} AS input, b{i} AS bin, sum(target - f) AS g, count(*) AS n FROM r{m} WHERE split = 'train' GROUP BY b{i}"
+                                  for i in range(len(STUMP_X)))
+        pick = " ".join(f"WHEN c.input = {i} THEN b{i}" for i in range(len(STUMP_X)))
+        sql += f""",
+h{m} AS ({each}),
+p{m} AS (SELECT input, bin, sum(g) OVER (PARTITION BY input ORDER BY bin) AS gl, sum(n) OVER (PARTITION BY input ORDER BY bin) AS nl,
+       sum(g) OVER (PARTITION BY input) AS g, sum(n) OVER (PARTITION BY input) AS n FROM h{m}),
+c{m} AS (SELECT * FROM p{m} WHERE nl >= {least} AND n - nl >= {least}
+       ORDER BY gl * gl / nl + (g - gl) * (g - gl) / (n - nl) - g * g / n DESC, input, bin LIMIT 1),
+r{m + 1} AS (SELECT r."Ticker", r."Date", split, target, {", ".join(f"b{i}" for i in range(len(STUMP_X)))},
+       f + {step} * CASE WHEN (CASE {pick} END) <= c.bin THEN c.gl / c.nl ELSE (c.g - c.gl) / (c.n - c.nl) END AS f FROM r{m} r, c{m} c)"""
+    return sql + f'\nSELECT "Ticker", "Date", split, round(f, 8) AS prediction FROM r{STUMP["n_estimators"]}'
+
+
+@query("boosted_stumps", _stumps_sql())
+def boosted_stumps(spark, sf_dir):
+    """M4: three rounds of the leaf-wise learner with two leaves, two inputs, pooled over tickers."""
+    _, _, scored = TR.scored_splits(bars(spark, sf_dir), "lightgbm", STUMP_X, STUMP, test_size=TEST_SIZE)
+    return scored.select("Ticker", "Date", "split", F.round("prediction", 8).alias("prediction"))
+
+
+@query("leafwise_metrics")
+def leafwise_metrics(spark, sf_dir):
+    """M4: leaf-wise boosted trees (12 rounds, 15 leaves, step 0.1), stopped by patience."""
+    params = {"n_estimators": 12, "num_leaves": 15, "validation_fraction": 0.1, "early_stopping_rounds": 3}
+    _, _, scored = TR.scored_splits(bars(spark, sf_dir), "lightgbm", POOLED_NAMES, params)
+    m = MET.regression_metrics(scored, by=["split"])
+    return m.select(F.lit("lightgbm").alias("model_type"), "split", "n", *[F.round(c, 6).alias(c) for c in ("mae", "mse", "rmse", "r2")])
+
+
+VALIDATION = 0.1
+
+
+@query("validation_split", _split_sql([OLS_X]).rstrip("\n") + f"""
+SELECT "Ticker", "Date", row_number() OVER ({_WT}) > floor(count(*) OVER (PARTITION BY "Ticker") * CAST(1 - {VALIDATION} AS DOUBLE)) AS is_validation
+FROM tr WHERE split = 'train'""")
+def validation_split(spark, sf_dir):
+    """Which training rows only measure: the last ones of each ticker."""
+    df, _ = _ols_frame(spark, sf_dir)
+    return MOD.mark_validation(df.where(F.col("split") == "train"), VALIDATION).select("Ticker", "Date", "is_validation")

@@ -112,8 +112,8 @@ def predict_latest(bars: DataFrame, runlog: RunLog, run_id: str, n: int = 1,
 
 # Keys of a job file. Switches of a service are known and have no effect here.
 CONFIG_KEYS = ("model_type", "features", "model_params", "target", "lookback_days", "test_size",
-               "start_date", "end_date", "tickers", "run_name", "validation_fraction", "validation_split")
-SERVICE_KEYS = ("use_cache", "registry", "verbose", "early_stopping_rounds")
+               "start_date", "end_date", "tickers", "run_name", "validation_fraction", "validation_split", "early_stopping_rounds")
+SERVICE_KEYS = ("use_cache", "registry", "verbose")
 ALIASES = {"feature_names": "features", "type": "model_type",
            "params": "model_params", "ticker": "tickers"}
 SECTIONS = ("model", "data", "training")
@@ -142,8 +142,8 @@ def train_from_config(bars: DataFrame, config: dict, runlog: RunLog | None = Non
     """Run :func:`train` from a mapping (e.g. a parsed YAML/JSON job file).
 
     ``validation_fraction`` asks for early stopping and is an error for models
-    that cannot stop early; the ``validation_split`` of a training section
-    applies to boosted trees only.
+    that cannot stop early; the ``validation_split`` and ``early_stopping_rounds``
+    of a training section apply to boosted trees only.
     """
     job = flatten_config(config)
     if not job.get("model_type") or not job.get("features"):
@@ -154,6 +154,8 @@ def train_from_config(bars: DataFrame, config: dict, runlog: RunLog | None = Non
         share = job.get("validation_split")
     if share:
         params["validation_fraction"] = share
+        if job.get("early_stopping_rounds"):
+            params["early_stopping_rounds"] = int(job["early_stopping_rounds"])
     settings = {"target": "target", "start": "start_date", "end": "end_date", "tickers": "tickers", "run_name": "run_name"}
     chosen = {arg: job[key] for arg, key in settings.items() if job.get(key) is not None}
     return train(bars, job["model_type"], list(job["features"]), params, lookback=int(job.get("lookback_days", 1)),
