@@ -1,18 +1,26 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-1. Every distinct n-gram of an item is a seed, so any run of GRAM unchanged
-   words holds one, wherever the edits are and however often it was copied.
-2. Documents emit the passages around their seed hits (as many words to both
-   sides as the longest item can need: a score of 0.5 leaves room for at most as
-   many gaps as the item has words), Spark joins them with the
-   items on the seed.
-3. Each passage and item pair is aligned locally on words (match +2, mismatch
-   -1, gap -1). score = best / (2 * words of the item); pairs of a score of
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+1. The n-grams of the items are seeds. Documents emit the passages around their
+   seed hits: as many words to both sides as the longest item of the hit's
+   length class can need (a score of 0.5 leaves room for at most as many gaps as
+   the item has words).
+2. Passages and items are joined on seeds, rarest first: seeds are ordered by
+   the passages that hold them, and each passage and item meet once, at the
+   rarest seed that they share.
+3. A frequent seed alone says little. An alignment of score ``THRESHOLD`` t matches
+   at least t of the item's words (score = 2 * matches - edits of 2 * words), so
+   a pair whose passage holds fewer of the item's words, repeats counted, is not
+   aligned: the bound is exact and loses nothing. Pairs that meet at a
+   seed of at most ``RARE`` passages are aligned at once.
+4. Each remaining pair is aligned locally on words (match +2, mismatch -1, gap
+   -1). score = best / (2 * words of the item); pairs of a score of
    ``THRESHOLD`` or more are contaminated.
 
-Tasks test n-grams against a Bloom filter of fixed size before they emit them;
-the join decides. The filter is built by a bit-or aggregate: at most
-BLOOM_BITS / 64 rows reach the driver whatever the benchmark holds.
+Every n-gram of an item is a seed, since a copy may keep any one of them only;
+rarity decides the order and the test, never whether a pair is seen. Tasks test
+n-grams against Bloom filters of fixed size, one per length class, before they
+emit them; the join decides. The filters are built by a bit-or aggregate: at
+most BLOOM_BITS / 64 rows a class reach the driver whatever the benchmark holds.
 
 Defined cases: words fold A-Z; items without words match nothing; items of
 fewer than GRAM words match only texts that consist of the same words; null and
@@ -23,6 +31,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,27 +39,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import LOWER, Texts, ngrams, stored, table, text_blocks, words
+from marketframe.llm.common import LOWER, Cache, Texts, free_names, ngrams, stored, table, text_blocks, words
 
 GRAM = 3
 THRESHOLD = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOOM_BITS = 1 << 23
+SECOND = 23  # bits of a hash below the second place
+RARE = 20  # passages up to which a seed is rare
 
 
-def bloom(grams: DataFrame) -> np.ndarray:
-    """Bit set of the ``h`` column, one byte per bit."""
-    at = F.pmod("h", F.lit(BLOOM_BITS))
-    cells = grams.select(F.floor(at / 64).alias("w"), (at % 64).cast("int").alias("b")).groupBy("w").agg(
-        F.expr("bit_or(shiftleft(1L, b))").alias("bits")).collect()
-    packed = np.zeros(BLOOM_BITS // 64, "<i8")
+def length_class(n):
+    """Number of binary digits of an item's words: its reach is below 2 ** class."""
+    return F.length(F.bin(n))
+
+
+def blooms(grams: DataFrame) -> dict[int, np.ndarray]:
+    """Bit set of the ``h`` column, two bits each, per length class of the items."""
+    both = F.array(*[F.expr(f"shiftrightunsigned(h, {k}) & {BLOOM_BITS - 1}L") for k in (0, SECOND)])
+    cells = (grams.select(length_class(F.col("n")).alias("size"), F.explode(both).alias("at"))
+             .select("size", F.expr("shiftright(at, 6)").alias("w"), F.expr("cast(at & 63 as int)").alias("b")).groupBy("size", "w").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits")).collect())
+    out: dict[int, np.ndarray] = {}
     for c in cells:
-        packed[c["w"]] = c["bits"]
-    return np.unpackbits(packed.view(np.uint8), bitorder="little")
+        out.setdefault(c["size"], np.zeros(BLOOM_BITS // 64, np.int64))[c["w"]] = c["bits"]
+    return out
 
 
-def _hits(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(bits[h.view(np.int64) % BLOOM_BITS])
+def _hits(h: np.ndarray, bits: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of possible seeds, the reach that the longest class asks for)."""
+    mask = np.uint64(BLOOM_BITS - 1)
+    one, two = (h & mask).view(np.int64), (h >> np.uint64(SECOND) & mask).view(np.int64)
+    reach = np.zeros(len(h), np.int64)
+    for size in sorted(bits):
+        maybe = np.flatnonzero((bits[size][one >> 6] >> (one & 63)) & 1)
+        at = two[maybe]
+        reach[maybe[(bits[size][at >> 6] >> (at & 63)) & 1 != 0]] = 2 * ((1 << size) - 1)
+    hits = np.flatnonzero(reach)
+    return hits, reach[hits]
 
 
 def item_grams(items: DataFrame) -> DataFrame:
@@ -70,7 +95,7 @@ def item_grams(items: DataFrame) -> DataFrame:
     return items.select("item", "text").mapInArrow(cut, "item long, at int, h long, n int")
 
 
-def passages(docs: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
+def passages(docs: DataFrame, bits: dict[int, np.ndarray]) -> DataFrame:
     """(doc_id, text_hash, first, text, seeds): passages of a document around
     possible seed hits; hits of overlapping passages share one. ``first`` is a
     word index, ``text_hash`` that of the whole text."""
@@ -82,7 +107,7 @@ def passages(docs: DataFrame, bits: np.ndarray, reach: int) -> DataFrame:
                 h, own, lo, _ = ngrams(block, GRAM)
                 start, end, owner = words(block)
                 folded = LOWER[block.data].tobytes()
-                at = _hits(h, bits)
+                at, reach = _hits(h, bits)
                 word = np.searchsorted(start, lo[at])
                 low = np.maximum(word - reach, np.searchsorted(owner, own[at]))
                 high = np.minimum(word + GRAM + reach, np.searchsorted(owner, own[at], side="right"))
@@ -136,6 +161,12 @@ def align(a: list, b: list) -> tuple[int, int, int]:
     return best
 
 
+def shared_words(a: list, b: list) -> int:
+    """Words that a and b have in common, repeats counted: no alignment matches more."""
+    left = Counter(a)
+    return sum(min(n, left[w]) for w, n in Counter(w for w in b if w in left).items())
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, item_id, score, first_word, end_word): the best
     alignment of each document and item that reaches the threshold."""
@@ -145,20 +176,33 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
              .where("text is not null").distinct().withColumn("item", F.xxhash64("text")))
     texts = items.select("item", "text").dropDuplicates(["item"])
     seeds = stored(item_grams(texts).select("item", "h", "n").distinct(), "seeds")
-    reach = seeds.agg(F.max("n")).first()[0] or 0
-    near = passages(docs, bloom(seeds), 2 * int(reach))
-    near = stored(near, "passages").withColumn("p", F.xxhash64("doc_id", "text_hash", "first"))
-    pairs = (near.select("p", F.explode("seeds").alias("h")).join(seeds.select("h", "item"), "h").select("p", "item").distinct())
+    near = stored(passages(docs, blooms(seeds)), "passages").withColumn("p", F.xxhash64("doc_id", "text_hash", "first"))
+    hits = near.select("p", F.explode("seeds").alias("h")).join(seeds.select("h").distinct(), "h", "left_semi")
+    often = hits.groupBy("h").agg(F.count(F.lit(1)).alias("held"))
+    # a passage and an item meet once, at the rarest seed that they share
+    pairs = (hits.join(seeds.join(often, "h").select("h", "item", "held"), "h").groupBy("p", "item").agg(F.min("held").alias("held")))
     both = (pairs.join(near.select("p", "doc_id", "text_hash", "first", F.col("text").alias("passage")).dropDuplicates(["p"]), "p")
             .join(texts.withColumnRenamed("text", "item_text"), "item")
-            .select("doc_id", "item", "first", "passage", "item_text", "text_hash"))
+            .select("doc_id", "item", "first", "passage", "item_text", "text_hash", "held"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Cache(2_000)
+
+        def split(item: str) -> list:
+            got = cache.get(item)
+            if got is None:
+                got = _words(item)
+                cache.put(item, got)
+            return got
+
         for b in batches:
             out = []
-            for passage, item in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                a = _words(item)
-                best, lo, hi = align(a, _words(passage))
+            for passage, item, held in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(6).to_pylist()):
+                a, w = split(item), _words(passage)
+                if held > RARE and shared_words(a, w) < threshold * len(a):
+                    out.append((0.0, 0, 0))
+                    continue
+                best, lo, hi = align(a, w)
                 out.append((best / (MATCH * len(a)) if a else 0.0, lo, hi))
             first = b.column(2).to_numpy()
             s, lo, hi = (np.array([o[k] for o in out]) for k in range(3)) if out else (np.zeros(0),) * 3
@@ -176,9 +220,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without a contaminated pair, all columns kept."""
-    bad = stored(contaminated(docs, items, threshold).select(F.col("text_hash").alias("_hash")).distinct(), "contaminated")
+    [h] = free_names(docs, "hash")
+    bad = stored(contaminated(docs, items, threshold).select(F.col("text_hash").alias(h)).distinct(), "contaminated")
     hashed = F.xxhash64(F.col("text").cast("string"))
-    return docs.join(bad, hashed == F.col("_hash"), "left_anti")
+    return docs.join(bad, hashed == F.col(h), "left_anti")
 
 
 def _words(text: str) -> list[bytes]:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import distinct_by_owner, mix, ngrams, parallelism, stored, table, text_blocks
+from marketframe.llm.common import distinct_by_owner, free_names, mix, ngrams, parallelism, stored, table, text_blocks
 from marketframe.llm.components import components
 
 WORDS = 5
@@ -153,8 +153,8 @@ _FACTS = pa.schema([("kind", pa.int32())] + [(k, pa.int64()) for k in ("sig", "d
 def _part_facts(group: pa.Table) -> pa.Table:
     """Of one part: its documents (kind 0), and per class how many of its
     shingles of this part some other class has too (kind 1)."""
-    h, who, common, names, counts, meta = [], [], [], [], [], []
-    for row in group.to_pylist():
+    h, who, common, names, counts, meta, block = [], [], [], [], [], [], []
+    for at, row in enumerate(group.to_pylist()):
         docs = np.frombuffer(row["docs"], "<i8")
         local = np.frombuffer(row["local"], "<u4")
         names.append(docs[local > 0])
@@ -162,21 +162,29 @@ def _part_facts(group: pa.Table) -> pa.Table:
         one = _unplanes(row["single"])
         h.append(one)
         who.append(docs[np.frombuffer(row["owner"], "<u2" if len(docs) <= 65536 else "<u4")])
+        block.append(np.full(len(one), at, np.int32))
         common.append(np.unique(_unplanes(row["common"])))
         meta.append(np.frombuffer(row["meta"], "<i8").reshape(5, -1))
-    h, who, common = np.concatenate(h), np.concatenate(who), np.concatenate(common)
+    h, who, common, block = np.concatenate(h), np.concatenate(who), np.concatenate(common), np.concatenate(block)
     meta = np.concatenate(meta, axis=1)
-    order = np.lexsort((who, h))
-    h, who = h[order], who[order]
+    order = np.lexsort((block, who, h))
+    h, who, block = h[order], who[order], block[order]
     if len(h):
-        same = np.concatenate([[False], (h[1:] == h[:-1]) & (who[1:] == who[:-1])])
-        h, who = h[~same], who[~same]
+        # shingles of a class that agree in the bits left are as many as in one block;
+        # the same class in another block is the same again
+        pair = np.concatenate([[True], (h[1:] != h[:-1]) | (who[1:] != who[:-1])])
+        new = pair.copy()
+        new[1:] |= block[1:] != block[:-1]
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(h)))
+        times = np.maximum.reduceat(size, np.flatnonzero(pair[first]))
+        h, who = h[pair], who[pair]
         new = np.concatenate([[True], h[1:] != h[:-1]])
         run = np.cumsum(new) - 1
         shared = (np.bincount(run)[run] > 1) | np.isin(h, common)
-        name, count = np.unique(who[shared], return_counts=True)
+        name, at = np.unique(who[shared], return_inverse=True)
         names.append(name)
-        counts.append(count)
+        counts.append(np.bincount(at, weights=times[shared], minlength=len(name)).astype(np.int64))
     names, counts = np.concatenate(names).astype(np.int64), np.concatenate(counts).astype(np.int64)
     k, m = len(names), meta.shape[1]
     nulls = np.ones(k, bool)
@@ -322,15 +330,16 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     rows = jaccard_components(docs, words, percent).where("n_shingles > 0")
     named = stored(rows.groupBy(F.col("comp").alias("group"), "doc_id", "text_hash").agg(F.count("*").alias("rows")), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    i, th, stays, mine = free_names(docs, "id", "th", "stays", "own_hash")
     fate = (named.join(named.groupBy("group").agg(first), "group")
-            .withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
-            .where("not stays or rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), "stays"))
+            .withColumn("here", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash")))
+            .where("not here or rows > 1").select(F.col("doc_id").alias(i), F.col("text_hash").alias(th), F.col("here").alias(stays)))
     fate = stored(fate, "fate")
-    keyed = docs.withColumn("_text", F.xxhash64(F.col("text").cast("string")))
-    joined = keyed.join(fate, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_th")), "left")
+    keyed = docs.withColumn(mine, F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(fate, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(mine) == F.col(th)), "left")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    once = joined.where("stays is null").select(*names)
-    repeated = joined.where("stays").dropDuplicates(["_id", "_th"]).select(*names)
+    once = joined.where(F.col(stays).isNull()).select(*names)
+    repeated = joined.where(F.col(stays)).dropDuplicates([i, th]).select(*names)
     return once.union(repeated)
 
 

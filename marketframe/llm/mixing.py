@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import stored, table, text_blocks, words
+from marketframe.llm.common import free_names, stored, table, text_blocks, words
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -175,19 +175,21 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def select_rows(docs: DataFrame) -> DataFrame:
     """The documents of the mix: every row as often as it is taken, all columns kept."""
-    plan = (mix(docs).where("size > 0").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"),
-                                                (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-            .groupBy("_id", "_hash").agg(F.sum("_times").alias("_times"), F.count("*").alias("_rows")).where("_times > 0"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(SEED)))
+    i, h, t, r, nth, n, copy = free_names(docs, "id", "hash", "times", "rows", "nth", "n", "copy")
+    mine = free_names(docs, "own_hash")[0]
+    plan = (mix(docs).where("size > 0").select(F.col("doc_id").alias(i), F.col("hash").alias(h),
+                                                (F.col("taken") / F.col("size")).cast("int").alias(t))
+            .groupBy(i, h).agg(F.sum(t).alias(t), F.count("*").alias(r)).where(F.col(t) > 0))
+    keyed = docs.withColumn(mine, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(SEED)))
     plan = stored(plan, "mix")
-    joined = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["_id"]) & (keyed["_hash"] == plan["_hash"]))
+    joined = keyed.join(plan, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.col(mine) == F.col(h)))
     # rows that repeat entirely share their times; the first ones take one more
-    same = Window.partitionBy(keyed["doc_id"], plan["_hash"]).orderBy(F.lit(0))
-    repeated = joined.where("_rows > 1").withColumn("_nth", F.row_number().over(same))
-    once = joined.where("_rows = 1").withColumn("_nth", F.lit(1))
-    times = F.floor(F.col("_times") / F.col("_rows")) + (F.col("_nth") <= F.col("_times") % F.col("_rows")).cast("long")
-    return (once.union(repeated).withColumn("_n", times.cast("int")).where("_n > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    same = Window.partitionBy(i, h).orderBy(F.lit(0))
+    repeated = joined.where(F.col(r) > 1).withColumn(nth, F.row_number().over(same))
+    once = joined.where(F.col(r) == 1).withColumn(nth, F.lit(1))
+    times = F.floor(F.col(t) / F.col(r)) + (F.col(nth) <= F.col(t) % F.col(r)).cast("long")
+    return (once.union(repeated).withColumn(n, times.cast("int")).where(F.col(n) > 0)
+            .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,50 @@ def test_regular_edits_next_to_an_exact_copy(spark):
         spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     scores = {(d, i): D.align(D._words(a), D._words(t))[0] / (D.MATCH * len(D._words(a))) for d, t in docs for i, a in items}
     assert got == {pair: s for pair, s in scores.items() if s >= D.THRESHOLD} and len(got) == 64
+
+
+def test_no_alignment_matches_more_than_the_shared_words():
+    """The bound before the alignment: score <= shared words / words of the item."""
+    rng = random.Random(4)
+    for _ in range(400):
+        a = [rng.choice("abcdef") for _ in range(rng.randrange(1, 14))]
+        b = [rng.choice("abcdefgh") for _ in range(rng.randrange(0, 25))]
+        assert D.align(a, b)[0] <= D.MATCH * D.shared_words(a, b)
+
+
+def test_long_items_do_not_widen_the_passages_of_short_ones(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    short, long = " ".join(word() for _ in range(12)), " ".join(word() for _ in range(4000))
+    text = [word() for _ in range(60_000)]
+    text[30_000:30_000] = short.split()
+    docs = [(1, " ".join(text)), (2, " ".join(text[:500] + long.split()[:2600] + text[500:900]))]
+    items = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "xxhash64(text) text_hash")
+    seeds = D.item_grams(items.withColumnRenamed("item_id", "item"))
+    size = {r.doc_id: len(r.text.split()) for r in D.passages(df, D.blooms(seeds)).collect()}
+    assert size[1] < 200 and size[2] == 500 + 2600 + 400
+    got = {(r.doc_id, r.item_id, r.score) for r in D.contaminated(df.drop("text_hash"), items).collect()}
+    assert got == {(1, 1, 1.0), (2, 2, 0.65)}
+
+
+def test_frequent_seeds_meet_many_items_and_lose_none(spark):
+    """One line is part of every item and of every document."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    line = [word() for _ in range(5)]
+    items = [(i, " ".join([word() for _ in range(6)] + line + [word() for _ in range(6)])) for i in range(15)]
+    docs = []
+    for k in range(90):
+        own = items[k % 15][1].split() if k % 9 == 0 else line
+        docs.append((k, " ".join([word() for _ in range(20)] + own + [word() for _ in range(20)])))
+    got = {(r.doc_id, r.item_id): r.score for r in D.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    scores = {(d, i): D.align(D._words(a), D._words(t))[0] / (D.MATCH * len(D._words(a))) for d, t in docs for i, a in items}
+    assert got == {p: s for p, s in scores.items() if s >= D.THRESHOLD} and len(got) == 10
+
+
+def test_extra_columns_with_the_names_of_helpers(spark):
+    df = spark.createDataFrame([(1, "a b c d e", 5, 6), (2, "other words", 5, 6)], "doc_id long, text string, _hash long, HASH long")
+    bench = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
+    assert [tuple(r) for r in D.clean(df, bench).collect()] == [(2, "other words", 5, 6)]

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
+from marketframe.llm import jaccard_join as J
 from marketframe.llm.jaccard_join import jaccard_components, one_of_each, op10_jaccard_join
 
 SCHEMA = "doc_id long, text string, sig string, n string, comp int"
@@ -65,3 +68,22 @@ def test_one_of_each_with_repeated_and_null_ids(spark):
     assert len(copies) == 1
     rest = sorted(((d, t) for d, t in left if not t.startswith("n0 ")), key=str)
     assert rest == sorted([rows[0], rows[1], rows[5], rows[6]], key=str)
+
+
+def test_extra_columns_with_the_names_of_helpers(spark):
+    names = ["_id", "_text", "stays", "_th", "ID", "th", "own_hash", "n", "shard"]
+    rows = [(1, "a b c d e f g", *[f"x{k}" for k in range(9)]), (2, "a b c d e f g", *[f"y{k}" for k in range(9)]), (3, "q r s t u v w", *[f"z{k}" for k in range(9)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = J.one_of_each(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
+def test_shingles_that_agree_in_32_bits_all_count():
+    """Two classes share three shingles, two of them alike in the low bits."""
+    def row(doc, low):
+        low = np.sort(np.array(low, np.uint32))
+        return {"part": 0, "docs": np.array([doc], "<i8").tobytes(), "local": np.zeros(1, "<u4").tobytes(), "single": J._planes(low),
+                "owner": np.zeros(len(low), "<u2").tobytes(), "common": b"", "meta": np.zeros((5, 0), "<i8").tobytes()}
+    group = pa.Table.from_pylist([row(1, [7, 7, 9]), row(2, [7, 7, 9, 11]), row(1, [7, 7, 9])], schema=J._PACKED)
+    facts = {r["sig"]: r["shared"] for r in J._part_facts(group).to_pylist() if r["kind"] == 1}
+    assert facts == {1: 3, 2: 3}

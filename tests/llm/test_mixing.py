@@ -108,3 +108,14 @@ def test_fit_rest_is_a_subset_and_close():
             best = min(abs(s - rest) for s in reach)
             assert abs(int((lengths * take).sum()) - rest) <= max(best, int(lengths.min()))
         assert abs(int((lengths * take).sum()) - rest) <= lengths.max()
+
+
+def test_extra_columns_with_the_names_of_helpers(spark):
+    from marketframe.llm import mixing
+    names = ["_id", "_hash", "_times", "ID", "hash", "times", "rows", "nth", "n", "copy", "own_hash"]
+    rows = [(k, "some words here", "s", *[f"{n}{k}" for n in names]) for k in (1, 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    out = mixing.select_rows(df)
+    taken = sum(r.taken for r in mixing.mix(df).collect())
+    assert out.columns == df.columns and 3 * out.count() == taken > 0
+    assert {tuple(r) for r in out.collect()} <= set(rows)
