@@ -42,13 +42,15 @@ class Ctx:
         return self._m(("col", name), lambda: F.col(name))
 
     inline_index: bool = False                          # row index as a window expression
+    resumed: bool = False                               # the frame goes on from stored state (see operators.features)
 
     @property
     def i(self) -> Column:
         """0-based row position. Inline (a row_number window of the same spec as
         the other windows) in the first projection, the ``_i`` column after it."""
         if self.inline_index:
-            return self._m(("rn",), lambda: F.row_number().over(self.w()) - 1)
+            base = F.col("_base") if self.resumed else F.lit(0)
+            return self._m(("rn",), lambda: F.row_number().over(self.w()) - 1 + base)
         return self.c(self.index)
 
     # --- windows -----------------------------------------------------------
@@ -73,6 +75,8 @@ class Ctx:
     def recur(self, key: str, u: Column, q: float, after: int = 0) -> Column:
         """Column of y = u + q*y_prev. ``after`` is the level of u's inputs."""
         out = f"_r_{key}"
+        if self.resumed:  # rows before the first new one are in the stored value
+            u = F.when(F.col("_live"), u).otherwise(F.lit(0.0))
         if out not in self.recurrences:
             self.recurrences[out] = (after + 1, Recurrence(out, u, q))
         lvl = self.recurrences[out][0]

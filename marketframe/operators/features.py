@@ -155,7 +155,7 @@ def group(name: str) -> list[str]:
 def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None, *,
                      registry: FeatureRegistry | None = None, keep: Iterable[str] = (),
                      on_error: str = "skip", block: int | None = None,
-                     by: Iterable[str] = ("Ticker",), shared_order: bool = False) -> DataFrame:
+                     by: Iterable[str] = ("Ticker",), shared_order: bool = False, state: bool = False) -> DataFrame:
     """Date, Ticker (+ ``keep``) and one column per feature, all tickers, one plan.
 
     Unknown names are skipped with a warning; a builder that fails (or whose
@@ -169,6 +169,12 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
     with in-memory partitions it was ~15% slower than date order (the extra
     sorts are cheaper than two-key window ordering there), so it is meant for
     partitions large enough to spill, where each avoided sort is a disk pass.
+
+    ``state=True`` adds the row index ``_i`` and the value of every recurrence:
+    with the bars behind them, all that later rows depend on. A frame that holds
+    ``RESUME`` columns goes on from such values: its rows start at index
+    ``_base``, those not ``_live`` are only there for trailing windows, and
+    ``_seeds`` holds the recurrences' values at row ``_seed_i``.
     """
     require_columns(bars, OHLCV_COLUMNS)
     require_columns(bars, ("Date", "Ticker"))
@@ -178,28 +184,31 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
     if by[0] != "Ticker":
         raise ValueError("series key must start with Ticker")
     keep = [c for c in dict.fromkeys((*by[1:], *keep)) if c not in ("Date", "Ticker")]
+    resumed = set(RESUME) <= set(bars.columns)
 
-    ctx, plain, recursive, series = _build(reg, names, ("Date",), on_error, warn=True, by=by)
+    ctx, plain, recursive, series = _build(reg, names, ("Date",), on_error, warn=True, by=by, resumed=resumed)
     qs = [r.q for _, r in ctx.recurrences.values()]
     blocked = common_block(qs, block) if shared_order else None
     if blocked is not None:
         # one block size fits every recurrence: order all windows by (block, row)
         # so that the plain windows, both scan passes and the seeds share one sort
-        ctx, plain, recursive, series = _build(reg, names, ("_blk", "_i"), on_error, warn=False, by=by)
+        ctx, plain, recursive, series = _build(reg, names, ("_blk", "_i"), on_error, warn=False, by=by, resumed=resumed)
 
     if series and len(by) > 1:
         raise ValueError("per-ticker pandas features need by=('Ticker',)")
-    src = bars.select(*[c for c in dict.fromkeys((*BAR_COLUMNS, *keep)) if c in bars.columns])
+    if (state or resumed) and series:
+        raise ValueError("per-ticker pandas features have no state to go on from")
+    src = bars.select(*[c for c in dict.fromkeys((*BAR_COLUMNS, *keep, *(RESUME if resumed else ()))) if c in bars.columns])
     # tier-3 functions see the bars: carry the bar columns through the window plan
     carry = list(dict.fromkeys((*keep, *([c for c in OHLCV_COLUMNS] if series else ()))))
     try:
-        df = _assemble(src, ctx, plain, recursive, carry, block, blocked, by)
+        df = _assemble(src, ctx, plain, recursive, carry, block, blocked, by, state)
         df.schema  # analysis only, no job
     except AnalysisException:
         if on_error == "raise":
             raise
         plain, recursive = _drop_failing(src, ctx, plain, recursive, carry, block, blocked, by)
-        df = _assemble(src, ctx, plain, recursive, carry, block, blocked, by)
+        df = _assemble(src, ctx, plain, recursive, carry, block, blocked, by, state)
     if series:
         df = _apply_series(df, series)
     carried = set(carry) - set(keep)
@@ -208,14 +217,24 @@ def compute_features(bars: DataFrame, feature_names: Iterable[str] | None = None
     return df.select("Date", "Ticker", *keep, *order)
 
 
-def _build(reg, names, order, on_error, warn, by=("Ticker",)):
+# columns of a frame that goes on from stored state
+RESUME = ("_base", "_live", "_seed_i", "_seeds")
+
+
+def state_columns(names: Iterable[str], registry: FeatureRegistry | None = None) -> list[str]:
+    """Names of the recurrences that the features need."""
+    ctx = _build(registry or get_registry(), list(names), ("Date",), "raise", warn=False)[0]
+    return list(ctx.recurrences)
+
+
+def _build(reg, names, order, on_error, warn, by=("Ticker",), resumed=False):
     """Call the builders of ``names`` against a fresh context.
 
     Plain (non-recursive) features are built with the row index inline so
     they share the first projection with it; recursive ones refer to ``_i``.
     """
-    ctx = Ctx(order=order, part=tuple(by))
-    ictx = Ctx(order=order, part=tuple(by), inline_index=True) if order == ("Date",) else ctx
+    ctx = Ctx(order=order, part=tuple(by), resumed=resumed)
+    ictx = Ctx(order=order, part=tuple(by), inline_index=True, resumed=resumed) if order == ("Date",) else ctx
     plain: dict[str, Column] = {}
     recursive: dict[str, Column] = {}
     series: dict[str, SeriesFeature] = {}
@@ -252,16 +271,17 @@ def _build(reg, names, order, on_error, warn, by=("Ticker",)):
     return ctx, plain, recursive, series
 
 
-def _assemble(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker",)) -> DataFrame:
+def _assemble(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker",), state=False) -> DataFrame:
+    index = row_index(tuple(by)) + (F.col("_base") if ctx.resumed else F.lit(0))
     if blocked is not None or not plain:
-        df = src.select("*", row_index(tuple(by)).alias("_i"))
+        df = src.select("*", index.alias("_i"))
         if blocked is not None:
             df = df.withColumn("_blk", F.floor(F.col("_i") / F.lit(blocked)).cast("long"))
         df = df.select("*", *[c.alias(n) for n, c in plain.items()])
     else:
         # plain features were built with an inline row index: one projection
         # computes the index and every plain window of the same spec
-        df = src.select("*", row_index(tuple(by)).alias("_i"), *[c.alias(n) for n, c in plain.items()])
+        df = src.select("*", index.alias("_i"), *[c.alias(n) for n, c in plain.items()])
     levels = sorted({lvl for lvl, _ in ctx.recurrences.values()}) if recursive else []
     for lvl in levels:
         recs = [r for lv, r in ctx.recurrences.values() if lv == lvl]
@@ -269,8 +289,13 @@ def _assemble(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker
             df = linear_scan(df, recs, block=blocked, blk_col="_blk", part=tuple(by))
         else:
             df = linear_scan(df, recs, block=block, part=tuple(by))
+        if ctx.resumed:  # what the stored value has become by this row
+            since = F.col("_i") - F.col("_seed_i")
+            df = df.withColumns({r.out: F.col(r.out) + F.when(since >= 0, F.pow(F.lit(r.q), since) * F.coalesce(F.col("_seeds")[r.out], F.lit(0.0)))
+                                .otherwise(F.lit(0.0)) for r in recs})
+    known = ["_i", *ctx.recurrences] if state else []
     return df.select("Date", "Ticker", *keep, *plain.keys(),
-                     *[c.alias(n) for n, c in recursive.items()])
+                     *[c.alias(n) for n, c in recursive.items()], *known)
 
 
 def _drop_failing(src, ctx, plain, recursive, keep, block, blocked=None, by=("Ticker",)):

@@ -1188,3 +1188,33 @@ def validation_split(spark, sf_dir):
     """Which training rows only measure: the last ones of each ticker."""
     df, _ = _ols_frame(spark, sf_dir)
     return MOD.mark_validation(df.where(F.col("split") == "train"), VALIDATION).select("Ticker", "Date", "is_validation")
+
+
+# ---- S8/S10 on the store, features batch by batch --------------------------------------------------------
+
+STORE_LATEST = 3
+
+
+@query("store_latest_bars", WITH_BARS + f"""SELECT {BAR_COLS_SQL} FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Ticker" ORDER BY "Date" DESC) AS rk FROM bars) WHERE rk <= {STORE_LATEST}""")
+def store_latest_bars(spark, sf_dir):
+    """The last bars of every stored ticker, read from the newest period back."""
+    store = _bar_store(spark)
+    store.upsert(bars(spark, sf_dir))
+    return _bar_cols_spark(store.latest_bars(STORE_LATEST))
+
+
+STATE_CUT, STATE_FIXED = "1998-06-30", "1998-03-10"
+
+
+@query("features_incremental", _features_oracle(FE.DEFAULT_FEATURES))
+def features_incremental(spark, sf_dir):
+    """The default features after two batches, of which the second corrects a
+    day of the first; each batch goes on from the stored indicator state."""
+    from .incremental import IncrementalFeatures
+    b = bars(spark, sf_dir)
+    fixed, cut = F.col("Date") == F.to_date(F.lit(STATE_FIXED)), F.to_date(F.lit(STATE_CUT))
+    kept = IncrementalFeatures(spark, scratch(spark, "incremental"), FE.DEFAULT_FEATURES, **STORE_LAYOUT)
+    kept.ingest(b.where(F.col("Date") <= cut).withColumn("Close", F.when(fixed, F.col("Close") * 3).otherwise(F.col("Close"))))
+    kept.ingest(b.where((F.col("Date") > cut) | fixed))
+    return _shown_all(kept.features.read().select("Date", "Ticker", *FE.DEFAULT_FEATURES), FE.DEFAULT_FEATURES)

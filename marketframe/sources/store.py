@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 
 from ..operators import bars as B
 from ..schema import BAR_COLUMNS, OHLCV, conform, require_columns
+from ..session import written
 from . import files
 from .readers import date_range
 
@@ -99,6 +100,41 @@ class VersionedTable:
             df = df.where(F.col("Ticker").isin(tickers))
         return date_range(df, start, end)
 
+    def newest(self, n: int, wanted: DataFrame) -> DataFrame:
+        """The last ``n`` rows of every wanted ticker before its day ``before``
+        (null: of all days), found from the newest period back.
+
+        ``wanted`` is (Ticker, before). Each step reads twice as many periods as
+        the one before and asks only for the tickers that still lack rows, so
+        tickers that trade every day cost the newest folders, and one that
+        stopped years ago is found further back. Reading ends when nobody lacks
+        rows or no folder is left.
+        """
+        _, manifest = self._latest()
+        by_period: dict[str, dict[str, str]] = {}
+        for folder, version in manifest["folders"].items():
+            by_period.setdefault(folder.split("period=")[1], {})[folder] = version
+        periods, size, found = sorted(by_period, reverse=True), 1, None
+        open_ = written(wanted.select("Ticker", F.col("before").cast("date").alias("before"), F.lit(n).cast("long").alias("need")), "wanted")
+        if open_.where("before is null").isEmpty():  # later periods hold nothing that is asked for
+            top = open_.agg(F.date_format(F.max("before"), PERIODS[manifest["layout"]["period"]]).alias("p")).first()["p"]
+            periods = [p for p in periods if top is not None and p <= top]
+        newest_first = Window.partitionBy("Ticker").orderBy(F.col("Date").desc())
+        while periods:
+            part, periods = periods[:size], periods[size:]
+            size *= 2
+            rows = self._read_folders({f: v for p in part for f, v in by_period[p].items()})
+            rows = (rows.join(open_, "Ticker").where("before is null or Date < before")
+                    .withColumn("_rk", F.row_number().over(newest_first)).where("_rk <= need").select(*self.schema.names))
+            rows = written(rows, "newest")
+            found = rows if found is None else found.unionByName(rows)
+            got = rows.groupBy("Ticker").agg(F.count(F.lit(1)).alias("got"))
+            left = open_.join(got, "Ticker", "left").select("Ticker", "before", (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"))
+            open_ = written(left.where("need > 0"), "wanted")
+            if open_.isEmpty():
+                break
+        return self.spark.createDataFrame([], self.schema) if found is None else found
+
     def _rewrite(self, number: int, manifest: dict, rows: DataFrame, touched: Iterable[str]) -> None:
         """Publish ``rows`` as the whole content of the touched folders."""
         layout, version = manifest["layout"], f"{number + 1:010d}-{uuid.uuid4().hex[:8]}"
@@ -185,14 +221,24 @@ class BarStore:
     def scan(self, tickers=None, start=None, end=None) -> DataFrame:
         return self.table.read(tickers, start, end).select(*BAR_COLUMNS).orderBy("Ticker", "Date")
 
-    def latest_date(self) -> DataFrame:
-        return B.latest_date(self.read())
+    def _wanted(self, tickers: Iterable[str] | None) -> DataFrame:
+        """(Ticker, before = null): the named tickers, else all (their column alone is read)."""
+        if tickers is None:
+            named = self.tickers()
+        else:
+            named = self.spark.createDataFrame([(t,) for t in dict.fromkeys([tickers] if isinstance(tickers, str) else tickers)], "Ticker string")
+        return named.select("Ticker", F.lit(None).cast("date").alias("before"))
+
+    def latest_date(self, tickers: Iterable[str] | None = None) -> DataFrame:
+        """Of the named tickers (read from the newest period back) or of all."""
+        return B.latest_date(self.read() if tickers is None else self.table.newest(1, self._wanted(tickers)))
 
     def tickers(self) -> DataFrame:
         return B.tickers(self.read())
 
-    def latest_bars(self, n: int = 1) -> DataFrame:
-        return B.latest_bars(self.read(), n)
+    def latest_bars(self, n: int = 1, tickers: Iterable[str] | None = None) -> DataFrame:
+        """The last n bars of the named tickers or of all, from the newest period back."""
+        return self.table.newest(n, self._wanted(tickers)).select(*BAR_COLUMNS)
 
 
 # ---- feature store -----------------------------------------------------------------------------
