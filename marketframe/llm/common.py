@@ -8,9 +8,11 @@ character, so bytes and code points give the same words).
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from marketframe.session import ensure_checkpoint_dir
 
 # Texts are processed in blocks of about this many bytes (one text at least),
 # so that temporary arrays stay small whatever the Arrow batch holds.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,29 @@ def filesystem(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers serve many tasks, and
+    what allocators keep of one task's arrays adds up next to the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(work: Callable) -> Callable:
+    """A function over Arrow batches that releases memory when its task ends."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
 class Texts:
     """A block of consecutive texts: one byte buffer and n + 1 offsets into it."""
 

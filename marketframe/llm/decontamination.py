@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import LOWER, Cache, Texts, free_names, ngrams, stored, table, text_blocks, words
+from marketframe.llm.common import Cache, LOWER, Texts, free_names, ngrams, stored, table, text_blocks, tidy, words
 
 GRAM = 3
 THRESHOLD = 0.5
@@ -92,7 +92,7 @@ def item_grams(items: DataFrame) -> DataFrame:
                     [ids.take(pa.array(own + block.first)), pa.array(np.arange(len(own)) - first[own], pa.int32()),
                      pa.array(h.view(np.int64)), pa.array(n[own], pa.int32())], names=["item", "at", "h", "n"])
 
-    return items.select("item", "text").mapInArrow(cut, "item long, at int, h long, n int")
+    return items.select("item", "text").mapInArrow(tidy(cut), "item long, at int, h long, n int")
 
 
 def passages(docs: DataFrame, bits: dict[int, np.ndarray]) -> DataFrame:
@@ -128,7 +128,7 @@ def passages(docs: DataFrame, bits: dict[int, np.ndarray]) -> DataFrame:
                      pa.array(out["text"], pa.binary()).cast(pa.string()), pa.array(out["seeds"], pa.list_(pa.int64()))],
                     names=["doc_id", "text_hash", "first", "text", "seeds"])
 
-    return docs.mapInArrow(cut, "doc_id long, text_hash long, first long, text string, seeds array<long>")
+    return docs.mapInArrow(tidy(cut), "doc_id long, text_hash long, first long, text string, seeds array<long>")
 
 
 def align(a: list, b: list) -> tuple[int, int, int]:
@@ -212,7 +212,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 names=["doc_id", "item", "score", "first_word", "end_word", "text_hash"])
 
     schema = "doc_id long, item long, score double, first_word long, end_word long, text_hash long"
-    hits = both.mapInArrow(score, schema).where(F.col("score") >= threshold)
+    hits = both.mapInArrow(tidy(score), schema).where(F.col("score") >= threshold)
     best = hits.groupBy("doc_id", "text_hash", "item").agg(F.max_by(F.struct("score", "first_word", "end_word"),
                                                        F.struct("score", -F.col("first_word"))).alias("b"))
     return best.join(items.select("item", "item_id").distinct(), "item").select("doc_id", "text_hash", "item_id", "b.*")

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import LOWER, Texts, byte_class, parallelism, runs, stored, table, text_blocks
+from marketframe.llm.common import LOWER, Texts, byte_class, parallelism, runs, stored, table, text_blocks, tidy
 
 BUCKETS = 10_000
 MIN_WORDS = 20
@@ -111,7 +111,7 @@ def feature_counts(docs: DataFrame, longest: int = 1, buckets: int = BUCKETS) ->
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
-    rows = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "bucket long, n long")
+    rows = (docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(count), "bucket long, n long")
             .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
     total = np.zeros(buckets, np.int64)
     for r in rows:
@@ -163,7 +163,7 @@ def scored(docs: DataFrame, gain: np.ndarray, longest: int = 1, seed: int = SEED
                 names=["block", "at", "doc_id", "n_words", "n_features", "weight", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(score, SCORED)
+                       F.col("text").cast("string").alias("text")).mapInArrow(tidy(score), SCORED)
 
 
 def digits(keys: list[tuple[str, int]], width: int = DIGIT_BITS) -> list[tuple[str, int]]:

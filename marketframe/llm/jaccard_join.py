@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import distinct_by_owner, free_names, mix, ngrams, parallelism, stored, table, text_blocks
+from marketframe.llm.common import distinct_by_owner, free_names, mix, ngrams, parallelism, stored, table, text_blocks, tidy
 from marketframe.llm.components import components
 
 WORDS = 5
@@ -143,7 +143,7 @@ def packed_shingles(docs: DataFrame, parts: int, words: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(pack, PACKED)
+    return docs.mapInArrow(tidy(pack), PACKED)
 
 
 FACTS = "kind int, sig long, doc_id long, n long, shared long, text_hash long"
@@ -209,7 +209,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
                     [pa.array(sig), pa.array(n), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))],
                     names=["sig", "n", "tokens"])
 
-    return docs.select("text").mapInArrow(cut, "sig long, n long, tokens array<long>")
+    return docs.select("text").mapInArrow(tidy(cut), "sig long, n long, tokens array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import Texts, table, text_blocks
+from marketframe.llm.common import Texts, table, text_blocks, tidy
 
 WINDOW = 64
 HIDDEN = 8
@@ -204,7 +204,7 @@ def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> list[
                 parts += [raw[s:s + WINDOW] for s in spots]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
 
-    rows = some.select("lang", "text").mapInArrow(cut, "lang string, part binary").collect()
+    rows = some.select("lang", "text").mapInArrow(tidy(cut), "lang string, part binary").collect()
     return sorted((r["lang"], bytes(r["part"])) for r in rows)
 
 
@@ -243,7 +243,7 @@ def predicted(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(np.clip(scores, 0, 1))],
                                              names=["doc_id", "lang_pred", "score"])
 
-    out = docs.select("doc_id", letters.alias("ok"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    out = docs.select("doc_id", letters.alias("ok"), "text").mapInArrow(tidy(predict), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import free_names, stored, table, text_blocks, words
+from marketframe.llm.common import free_names, stored, table, text_blocks, tidy, words
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -54,7 +54,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     src = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source").cast("string")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), src.alias("src"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("hash", F.xxhash64("doc_id", "text", F.lit(SEED)))
-    return rows.mapInArrow(count, "doc_id long, src string, size long, hash long")
+    return rows.mapInArrow(tidy(count), "doc_id long, src string, size long, hash long")
 
 
 def targets(by_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:

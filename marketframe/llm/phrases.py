@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import LOWER, Texts, byte_class, chained, mix, runs, span_hashes, stored, table, text_blocks
+from marketframe.llm.common import LOWER, Texts, byte_class, chained, mix, runs, span_hashes, stored, table, text_blocks, tidy
 
 MIN_COUNT = 100
 LONGEST = 5
@@ -77,7 +77,7 @@ class PhraseFilter:
                 p = np.concatenate([h & mask, h >> np.uint64(32) & mask]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(p)], names=["p"])
 
-        rows = (phrases.select("k", *WORDS).mapInArrow(places, "p long")
+        rows = (phrases.select("k", *WORDS).mapInArrow(tidy(places), "p long")
                 .groupBy(F.expr("shiftright(p, 6)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("b")).toArrow())
         words = np.zeros(1 << bits - 6, np.uint64)
         words[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
@@ -248,7 +248,7 @@ def run_counts(docs: DataFrame, shortest: int, longest: int, known: list[PhraseF
         if total:
             yield _rows(list(total), 0, [_seeds(list(total))], list(total.values()))
 
-    rows = docs.select("text", "lang").mapInArrow(count, COUNTS)
+    rows = docs.select("text", "lang").mapInArrow(tidy(count), COUNTS)
     return rows.groupBy("lang", "k", *WORDS).agg(F.sum("n").alias("n"))
 
 
@@ -276,7 +276,7 @@ def word_texts(docs: DataFrame, wanted: PhraseFilter, salt: int) -> DataFrame:
         if held:
             yield _words_found(held)
 
-    return docs.select("text", "lang").mapInArrow(look, "w long, lang string, word string").distinct()
+    return docs.select("text", "lang").mapInArrow(tidy(look), "w long, lang string, word string").distinct()
 
 
 def _words_found(held: dict) -> pa.RecordBatch:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import SOLID, Texts, byte_class, distinct_spans, table, text_blocks, words
+from marketframe.llm.common import SOLID, Texts, byte_class, distinct_spans, table, text_blocks, tidy, words
 
 MIN_WORDS = 20
 WINDOW = 8  # words of the base rule's windows
@@ -229,7 +229,7 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, window: int = WINDOW, r
                 names=["doc_id", *_MEASURES[:5], "base_failed", "kept", *_MEASURES[5:]])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.col("text").cast("string").alias("text")).mapInArrow(judge, SCHEMA)
+                       F.col("text").cast("string").alias("text")).mapInArrow(tidy(judge), SCHEMA)
 
 
 def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from marketframe.llm.common import Cache, Texts, distinct_spans, table, text_blocks, words
+from marketframe.llm.common import Cache, Texts, distinct_spans, table, text_blocks, tidy, words
 
 VOCABULARY = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
@@ -168,7 +168,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, limit: int = TOKEN_LIMIT
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(size)), pa.array(n), pa.array(n > limit)],
                                              names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(count, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(tidy(count), SCHEMA)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

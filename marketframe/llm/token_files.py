@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from marketframe.llm.common import Cache, Texts, distinct_spans, filesystem, parallelism, shared_dir, table, text_blocks, words
+from marketframe.llm.common import Cache, Texts, distinct_spans, filesystem, parallelism, shared_dir, table, text_blocks, tidy, words
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -170,7 +170,7 @@ def write(docs: DataFrame, folder: str, vocabulary_path: str, end_id: int = END_
                 schema=pa.schema([("part", pa.int32()), ("name", pa.string()), ("docs", pa.int64()),
                                   ("null_ids", pa.int64()), ("tokens", pa.int64())]))
 
-    parts = sorted((r.asDict() for r in rows.mapInArrow(save, PART).collect()), key=lambda r: r["part"])
+    parts = sorted((r.asDict() for r in rows.mapInArrow(tidy(save), PART).collect()), key=lambda r: r["part"])
     base = 0
     for p in parts:
         p["base"] = base
@@ -228,7 +228,7 @@ def digest(spark: SparkSession, manifest: dict) -> DataFrame:
                          pa.array(at[:-1] + part["base"]), pa.array(np.diff(at)), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return listed.mapInArrow(read, DIGEST)
+    return listed.mapInArrow(tidy(read), DIGEST)
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

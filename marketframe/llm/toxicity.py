@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import Cache, Texts, distinct_spans, stored, table, text_blocks, words
+from marketframe.llm.common import Cache, Texts, distinct_spans, stored, table, text_blocks, tidy, words
 
 FIT_ROWS = 20_000
 MIN_DOCS = 5          # toxic documents that a lexicon term needs at least,
@@ -346,9 +346,9 @@ def learn_lexicon(rows: DataFrame) -> dict[str, tuple[int, float]]:
     if not n_pos or not n_neg:
         return {}
     least = max(MIN_DOCS, math.ceil(MIN_SHARE * n_pos))
-    bad = rows.where("toxic > 0").select("text", "toxic").mapInArrow(_count_terms(None), schema)
+    bad = rows.where("toxic > 0").select("text", "toxic").mapInArrow(tidy(_count_terms(None)), schema)
     pos = {r["term"]: r["pos"] for r in bad.groupBy("term").agg(F.sum("pos").alias("pos")).where(F.col("pos") >= least).collect()}
-    good = rows.where("toxic <= 0").select("text", "toxic").mapInArrow(_count_terms(set(pos)), schema)
+    good = rows.where("toxic <= 0").select("text", "toxic").mapInArrow(tidy(_count_terms(set(pos))), schema)
     neg = {r["term"]: r["neg"] for r in good.groupBy("term").agg(F.sum("neg").alias("neg")).collect()}
     lexicon: dict[str, tuple[int, float]] = {}
     for term, a in sorted(pos.items(), key=lambda x: x[0].startswith(NEAR)):  # insults first
@@ -396,7 +396,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, tuple[int, floa
     # rows of the smallest hashes, about FIT_ROWS; rows that repeat are one slot vector with a count
     share = min(1.0, FIT_ROWS / max(1, rows.count()))
     sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
-    some = (sample.select("toxic", "text").mapInArrow(slots, "toxic int, slots array<double>")
+    some = (sample.select("toxic", "text").mapInArrow(tidy(slots), "toxic int, slots array<double>")
             .groupBy("toxic", "slots").agg(F.count("*").alias("times")).collect())
     some = sorted(some, key=lambda r: (r["toxic"], r["slots"]))
     x = features(np.array([r["slots"] for r in some]).reshape(-1, SLOTS + 1))
@@ -416,7 +416,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 names=["doc_id", "score", "plain", "aimed", "negated", "reported", "threat"])
 
     schema = "doc_id long, score double, plain double, aimed double, negated double, reported double, threat double"
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(score), schema)
             .select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                     "plain", "aimed", "negated", "reported", "threat"))
 
@@ -431,7 +431,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(_probability(_slots(grammar, b.column(at)), weights) < 0.5))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
