@@ -1218,3 +1218,37 @@ def features_incremental(spark, sf_dir):
     kept.ingest(b.where(F.col("Date") <= cut).withColumn("Close", F.when(fixed, F.col("Close") * 3).otherwise(F.col("Close"))))
     kept.ingest(b.where((F.col("Date") > cut) | fixed))
     return _shown_all(kept.features.read().select("Date", "Ticker", *FE.DEFAULT_FEATURES), FE.DEFAULT_FEATURES)
+
+
+# ---- D1-D6 from stored daily profiles ---------------------------------------------------------------------
+
+from ..operators import profiles as PR  # noqa: E402
+
+
+def _profiles_sql() -> str:
+    cols = ", ".join(DRIFT_NAMES)
+
+    def stats(p, rng):
+        f = f"FILTER (WHERE \"Date\" BETWEEN DATE '{rng[0]}' AND DATE '{rng[1]}')"
+        return f"count(value) {f} AS {p}_n, avg(value) {f} AS {p}_mean, stddev_samp(value) {f} AS {p}_std"
+    eps = DR.EPS
+    return (_feat_prefix(DRIFT_NAMES, keep=()) + f""",
+long AS (SELECT "Ticker", "Date", feature, value FROM (UNPIVOT (SELECT "Ticker", "Date", {cols} FROM feat) ON {cols} INTO NAME feature VALUE value)),
+prof AS (SELECT "Ticker", feature, {stats("ref", REF)}, {stats("cur", CUR)} FROM long GROUP BY 1, 2)
+SELECT "Ticker", feature, ref_n, cur_n,
+  round(CASE WHEN abs(ref_mean) > {eps} THEN abs((cur_mean - ref_mean) / ref_mean) ELSE abs(cur_mean - ref_mean) END, 6) AS mean_shift,
+  round(CASE WHEN ref_std > {eps} THEN abs((cur_std - ref_std) / ref_std) ELSE abs(cur_std - ref_std) END, 6) AS std_shift,
+  {_scaled_sql("ref_mean")} AS reference_mean, {_scaled_sql("cur_mean")} AS current_mean,
+  {_scaled_sql("ref_std")} AS reference_std, {_scaled_sql("cur_std")} AS current_std
+FROM prof WHERE ref_n > 0 AND cur_n > 0""").replace("\n,\nlong AS", ",\nlong AS")
+
+
+@query("drift_from_profiles", _profiles_sql())
+def drift_from_profiles(spark, sf_dir):
+    """Two periods compared from the stored daily profiles of all features (indicators on
+    the whole history); quartiles come from sketches and are compared in the tests."""
+    table = ST.VersionedTable(spark, scratch(spark, "profiles"), PR.PROFILE, ("Ticker", "Date", "feature"), **STORE_LAYOUT)
+    table.upsert(PR.daily_profiles(compute_features(bars(spark, sf_dir), DRIFT_NAMES), DRIFT_NAMES))
+    rep = PR.compare(table.read(start=REF[0], end=CUR[1]), REF, CUR, THRESHOLD)
+    return rep.select("Ticker", "feature", "ref_n", "cur_n", *[F.round(c, 6).alias(c) for c in ("mean_shift", "std_shift")],
+                      *[_scaled(F.col(c)).alias(c) for c in ("reference_mean", "current_mean", "reference_std", "current_std")])

@@ -14,7 +14,7 @@ from marketframe.plans import catalog
 # queries that run fits or store writes when they are built
 EAGER = {"forest_metrics", "gbt_metrics", "train_summary", "runs_append", "runs_compare", "ingest_stream", "predict_linear",
          "predict_latest", "bars_upsert", "feature_store_put", "feature_store_get", "feature_store_delete", "latency_percentile",
-         "boosted_stumps", "leafwise_metrics", "store_latest_bars", "features_incremental"}
+         "boosted_stumps", "leafwise_metrics", "store_latest_bars", "features_incremental", "drift_from_profiles"}
 
 
 def plan(df) -> str:
