@@ -53,8 +53,11 @@ def shards(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
                 .where(f"total <= {limit} or lo = hi").select("depth", "prefix", "total"))
         fit = (levels.select("cell", "depth", prefix.alias("prefix")).join(sums, ["depth", "prefix"])
                .groupBy("cell").agg(F.min(F.struct("depth", "prefix", "total")).alias("b")))
-        placed = stored(waiting.join(cells.select("cell").join(fit, "cell", "left"),
-                                     F.substring("key", 1, top) == F.col("cell"))
+        # the first round has 2 ** STEP cells at most, whatever the documents are: these, never
+        # the documents' keys, are the broadcast side; later rounds have as many a full bucket
+        found = cells.select("cell").join(fit, "cell", "left")
+        found = F.broadcast(found) if base == 0 else found.hint("merge")
+        placed = stored(waiting.join(found, F.substring("key", 1, top) == F.col("cell"))
                         .select("doc_id", "n_bytes", "key", F.col("b.prefix").alias("shard"), F.col("b.depth").alias("depth"),
                                 F.col("b.total").alias("total")), "placed")
         ready = placed.where("shard is not null")

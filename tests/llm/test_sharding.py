@@ -42,3 +42,19 @@ def test_edges(spark):
 
 def test_empty_table(spark):
     assert sharding.shards(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_documents_are_never_the_broadcast_side(spark, monkeypatch):
+    plans = []
+    plain = sharding.stored
+
+    def spy(df, kind):
+        if kind == "placed":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, kind)
+
+    monkeypatch.setattr(sharding, "stored", spy)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sharding.shards(docs, 2_000)
+    assert "BroadcastHashJoin" in plans[0] and "BuildLeft" not in plans[0]
+    assert len(plans) > 1 and all("SortMergeJoin [substring(key" in p for p in plans[1:])
