@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +49,14 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_finished(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of steps that nothing refers to
+    any more: it acts when the driver collects garbage, which a loop of small
+    plans over large shuffles seldom makes it do."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_names(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like the wanted ones that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}
