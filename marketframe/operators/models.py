@@ -4,25 +4,24 @@ Two ways to fit:
 
 * pooled: one ``pyspark.ml`` Pipeline (VectorAssembler + estimator) over the
   rows of all selected tickers - MLlib distributes the fit;
-* per ticker, linear only: normal equations as ONE grouped aggregation
-  (means and co-variances of x and y per ticker, merged map-side), then a
-  p x p solve per ticker on the aggregated rows (tiny; one row per ticker).
+* per ticker, linear only: with one or two inputs ONE grouped aggregation
+  (means and co-variances of x and y per ticker, merged map-side) and a closed
+  form; with more, triangular factors per partition that merge per ticker.
   No per-ticker driver loop, no per-ticker model objects.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .boosting import LeafwiseRegressor, patient_rounds
 
@@ -180,56 +179,88 @@ def score(model: PipelineModel, df: DataFrame, feature_cols: list[str]) -> DataF
 
 # ---- per-ticker OLS by normal equations -------------------------------------------------------
 
-def ols_stats(df: DataFrame, feature_cols: list[str], label: str = "target", by: str = "Ticker") -> DataFrame:
-    """One row per ticker: n, means, and population (co)variances of x and y.
+HELD_FACTORS = 4096  # tickers whose factors a task holds before it emits them
 
-    ``covar_pop`` / ``avg`` are Spark's streaming, mergeable moments (partial
-    aggregation map-side), numerically stable without a second centring pass.
-    """
-    xs = [F.col(c).cast("double") for c in feature_cols]
-    y = F.col(label).cast("double")
+
+def ols_factors(df: DataFrame, feature_cols: list[str], label: str = "target", by: str = "Ticker") -> DataFrame:
+    """(by, n, r) per partition and ticker: the triangular factor of its rows
+    [1, inputs, label]. Factors of parts, stacked and factored again, give that of
+    all rows, so partitions of any size and order merge (tall-skinny QR), and
+    nothing is squared: the digits that a condition number costs are lost
+    once, not twice as in normal equations."""
+    p = len(feature_cols)
+    xs, y = [F.col(c).cast("double") for c in feature_cols], F.col(label).cast("double")
     ok = y.isNotNull()
     for x in xs:
         ok = ok & x.isNotNull()
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("my")]
-    aggs += [F.avg(x).alias(f"mx_{i}") for i, x in enumerate(xs)]
-    aggs += [F.covar_pop(xs[i], xs[j]).alias(f"cxx_{i}_{j}") for i in range(len(xs)) for j in range(i, len(xs))]
-    aggs += [F.covar_pop(x, y).alias(f"cxy_{i}") for i, x in enumerate(xs)]
-    return df.where(ok).groupBy(by).agg(*aggs)
+    rows = df.where(ok).select(F.col(by).alias("key"), *[x.alias(f"x{i}") for i, x in enumerate(xs)], y.alias("y"))
+
+    def factor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def emit() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), pa.array([n for n, _ in held.values()], pa.int64()),
+                 pa.array([r.ravel() for _, r in held.values()], pa.list_(pa.float64()))], names=[by, "n", "r"])
+            held.clear()
+            return out
+
+        for b in batches:
+            coded = b.column(0).dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_pandas().to_numpy()
+            m = np.column_stack([np.ones(b.num_rows), *(b.column(1 + i).to_numpy(zero_copy_only=False) for i in range(p + 1))])
+            code = np.where(np.isnan(code), len(names), code).astype(int) if b.column(0).null_count else code
+            order = np.argsort(code, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(code[order])) + 1):
+                if not len(at):
+                    continue
+                name = names[code[at[0]]] if code[at[0]] < len(names) else None
+                n, r = held.get(name, (0, np.zeros((0, p + 2))))
+                held[name] = (n + len(at), _triangle(np.vstack([r, m[at]])))
+            if len(held) > HELD_FACTORS:
+                yield emit()
+        if held:
+            yield emit()
+
+    return rows.mapInArrow(factor, f"`{by}` string, n long, r array<double>")
+
+
+def _triangle(m: np.ndarray) -> np.ndarray:
+    """Square upper triangular factor (rows of zeros where m has fewer rows)."""
+    r = np.linalg.qr(m, mode="r")
+    return np.vstack([r, np.zeros((m.shape[1] - len(r), m.shape[1]))])
+
+
+RANK_CUT = 1e-13  # smallest share of the largest singular value (inputs scaled to one length) that counts
 
 
-def ols_solve(stats: DataFrame, p: int, by: str = "Ticker") -> DataFrame:
+def ols_solve(factors: DataFrame, p: int, by: str = "Ticker") -> DataFrame:
     """Coefficients per ticker: intercept + one slope per feature.
 
-    Solves the centred normal equations cov(x) b = cov(x, y); a singular
-    system (collinear features, constant input) falls back to the
-    pseudo-inverse. Runs on the aggregated rows only (one per ticker).
+    The factor of all rows without its first row and column is that of the
+    centred inputs and label. A system without full rank (collinear features,
+    constant input) takes the solution of least length. Runs on the factors
+    only: a few small matrices per ticker.
     """
-    schema = T.StructType([T.StructField(by, T.StringType()), T.StructField("n", T.LongType()),
-                           T.StructField("intercept", T.DoubleType())]
-                          + [T.StructField(f"coef_{i}", T.DoubleType()) for i in range(p)])
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            d = r._asdict()
-            mx = np.array([d[f"mx_{i}"] for i in range(p)], dtype=float)
-            cxx = np.zeros((p, p))
-            for i in range(p):
-                for j in range(i, p):
-                    cxx[i, j] = cxx[j, i] = d[f"cxx_{i}_{j}"]
-            cxy = np.array([d[f"cxy_{i}"] for i in range(p)], dtype=float)
-            # inputs of very different size are solved on their correlations
-            dev = np.sqrt(np.diag(cxx))
-            corr = cxx / np.outer(dev, dev) if (dev > 0).all() else None
-            if corr is not None and np.linalg.cond(corr) < 1e12:
-                beta = np.linalg.solve(corr, cxy / dev) / dev
-            else:
-                beta = np.linalg.pinv(cxx) @ cxy
-            rows.append([d[by], int(d["n"]), float(d["my"] - mx @ beta), *map(float, beta)])
-        return pd.DataFrame(rows, columns=[f.name for f in schema.fields])
-
-    return stats.groupBy(by).applyInPandas(solve, schema)
+    schema = f"`{by}` string, n long, intercept double, " + ", ".join(f"coef_{i} double" for i in range(p))
+
+    def solve(group: pa.Table) -> pa.Table:
+        r = _triangle(np.concatenate([np.array(x).reshape(-1, p + 2) for x in group["r"].to_pylist()]))
+        inner, right = r[1:-1, 1:-1], r[1:-1, -1]
+        size = np.linalg.norm(inner, axis=0)
+        known = size > 0
+        unit = np.where(known, size, 1.0)
+        s = np.linalg.svd(inner / unit, compute_uv=False)
+        if known.all() and s[-1] > RANK_CUT * s[0]:
+            beta = np.linalg.solve(inner / unit, right) / unit
+        else:
+            beta = np.linalg.pinv(inner, rcond=RANK_CUT) @ right
+        intercept = (r[0, -1] - r[0, 1:-1] @ beta) / r[0, 0]
+        n = sum(group["n"].to_pylist())
+        return pa.table([pa.array(group[by].to_pylist()[:1], pa.string()), pa.array([n], pa.int64()), pa.array([float(intercept)]),
+                         *(pa.array([float(x)]) for x in beta)], names=[by, "n", "intercept", *(f"coef_{i}" for i in range(p))])
+
+    return factors.groupBy(by).applyInArrow(solve, schema)
 
 
 PINV_RCOND = 1e-15   # fixed value: relative cut-off of the pseudo-inverse (numpy's default)
@@ -275,13 +306,13 @@ def _moment_exprs(xs, y, agg_over=None):
 def ols_fit(df: DataFrame, feature_cols: list[str], label: str = "target", by: str = "Ticker") -> DataFrame:
     """M1 per ticker: (Ticker, n, intercept, coef_0..coef_p-1).
 
-    One grouped aggregation of moments (partial aggregation map-side); up to
-    two features the solve is a column expression, beyond it a p x p numpy
-    solve on the one-row-per-ticker result.
+    Up to two features one grouped aggregation of moments (partial aggregation
+    map-side) and a solve that is a column expression; beyond it triangular
+    factors per partition, merged per ticker.
     """
     p = len(feature_cols)
     if p > 2:
-        return ols_solve(ols_stats(df, feature_cols, label, by), p, by)
+        return ols_solve(ols_factors(df, feature_cols, label, by), p, by)
     xs = [F.col(c).cast("double") for c in feature_cols]
     y = F.col(label).cast("double")
     ok = y.isNotNull()

@@ -1252,3 +1252,31 @@ def drift_from_profiles(spark, sf_dir):
     rep = PR.compare(table.read(start=REF[0], end=CUR[1]), REF, CUR, THRESHOLD)
     return rep.select("Ticker", "feature", "ref_n", "cur_n", *[F.round(c, 6).alias(c) for c in ("mean_shift", "std_shift")],
                       *[_scaled(F.col(c)).alias(c) for c in ("reference_mean", "current_mean", "reference_std", "current_std")])
+
+
+# ---- J1 on co-located tables, S1 as a data source ----------------------------------------------------------
+
+@query("train_join_bucketed", ORACLE["train_join_close"])
+def train_join_bucketed(spark, sf_dir):
+    """Features joined to Close between two tables bucketed by ticker: no exchange."""
+    import uuid
+    from ..sources.bucketed import save_bucketed
+    tag, root = uuid.uuid4().hex, scratch(spark, "bucketed")
+    bs = save_bucketed(bars(spark, sf_dir), f"bars_{tag}", f"{root}/bars", buckets=4)
+    feats = save_bucketed(compute_features(bs, ["sma_20"]), f"features_{tag}", f"{root}/features", buckets=4)
+    j = DS.join_price(feats, bs.hint("merge"), "Close")  # bucket by bucket, also where one side would be small enough to broadcast
+    return _shown_all(j, ["sma_20"], extra=(F.round(F.col("Close") / 100.0, 2).alias("Close"),))
+
+
+@query("bars_datasource", WITH_BARS + f"""SELECT {BAR_COLS_SQL} FROM bars
+WHERE "Ticker" IN ({", ".join(f"'{t}'" for t in SCAN_TICKERS)}) AND "Date" BETWEEN DATE '{SCAN_START}' AND DATE '{SCAN_END}'""")
+def bars_datasource(spark, sf_dir):
+    """Landed vendor files read by the data source, ticker and dates pushed to it."""
+    from ..sources import landed
+    root = scratch(spark, "landed")
+    b = bars(spark, sf_dir)
+    b.withColumn("Date", F.col("Date").cast("timestamp_ntz")).write.partitionBy("Ticker").parquet(root)
+    landed.register(spark)
+    df = spark.read.format(landed.NAME).load(root)
+    between = F.col("Date").between(F.to_date(F.lit(SCAN_START)), F.to_date(F.lit(SCAN_END)))
+    return _bar_cols_spark(df.where(F.col("Ticker").isin(*SCAN_TICKERS) & between))

@@ -205,3 +205,28 @@ def test_exact_quantiles_read_the_log_twice(spark, tmp):
     assert MET.exact_quantiles(log.where("false"), "latency_s", qs) == [None] * len(qs)
     few = spark.createDataFrame([(1.0,), (3.0,)], "latency_s double")
     assert MET.exact_quantiles(few, "latency_s", (0.5, 0.25)) == [2.0, 1.5]
+
+
+def test_nearly_collinear_inputs_keep_their_digits(spark):
+    """Condition number 1e8: factors against numpy, in many small partitions."""
+    rng = np.random.default_rng(11)
+    rows, want = [], {}
+    for t in ("A", "B"):
+        x = rng.normal(size=(400, 3))
+        x[:, 2] = x[:, 0] + 1e-8 * rng.normal(size=400)
+        y = 1.5 + x @ np.array([2.0, -1.0, 3.0]) + 1e-12 * rng.normal(size=400)
+        assert 1e7 < np.linalg.cond(x - x.mean(0)) < 1e9
+        want[t] = np.linalg.lstsq(np.column_stack([np.ones(400), x]), y, rcond=None)[0]
+        rows += [(t, *map(float, v), float(z)) for v, z in zip(x, y)]
+    df = spark.createDataFrame(rows, "Ticker string, a double, b double, c double, target double").repartition(13)
+    for r in MO.ols_fit(df, ["a", "b", "c"]).collect():
+        np.testing.assert_allclose([r.intercept, r.coef_0, r.coef_1, r.coef_2], want[r.Ticker], rtol=1e-5)
+        assert r.n == 400
+
+
+def test_few_rows_and_null_tickers_in_the_factors(spark):
+    rows = [("A", 1.0, 2.0, 3.0, 4.0), (None, 1.0, 0.0, 0.0, 1.0), (None, 0.0, 1.0, 0.0, 2.0), (None, 0.0, 0.0, 1.0, 3.0), (None, 0.0, 0.0, 0.0, 0.0), ("B", None, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "Ticker string, a double, b double, c double, target double").repartition(3)
+    got = {r.Ticker: r for r in MO.ols_fit(df, ["a", "b", "c"]).collect()}
+    assert set(got) == {"A", None} and got["A"].intercept == pytest.approx(4.0) and got["A"].coef_0 == 0
+    np.testing.assert_allclose([got[None][f"coef_{i}"] for i in range(3)] + [got[None].intercept], [1, 2, 3, 0], atol=1e-12)

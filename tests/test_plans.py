@@ -14,7 +14,8 @@ from marketframe.plans import catalog
 # queries that run fits or store writes when they are built
 EAGER = {"forest_metrics", "gbt_metrics", "train_summary", "runs_append", "runs_compare", "ingest_stream", "predict_linear",
          "predict_latest", "bars_upsert", "feature_store_put", "feature_store_get", "feature_store_delete", "latency_percentile",
-         "boosted_stumps", "leafwise_metrics", "store_latest_bars", "features_incremental", "drift_from_profiles"}
+         "boosted_stumps", "leafwise_metrics", "store_latest_bars", "features_incremental", "drift_from_profiles",
+         "train_join_bucketed", "bars_datasource"}
 
 
 def plan(df) -> str:
@@ -97,3 +98,8 @@ def test_no_cross_joins_anywhere(spark):
             continue
         txt = q(spark, name)
         assert "CartesianProduct" not in txt and "BroadcastNestedLoopJoin" not in txt, name
+
+
+def test_bucketed_join_has_no_exchange(spark):
+    txt = q(spark, "train_join_bucketed")
+    assert "Exchange" not in txt and "SortMergeJoin" in txt and txt.count("Bucketed: true") == 2
