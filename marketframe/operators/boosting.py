@@ -32,7 +32,7 @@ from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasPredictionCol, HasStepSize
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,11 +42,9 @@ from ..session import written
 KEPT = 10  # rounds after which the rows are written again
 
 
-class _Settings(HasFeaturesCol, HasLabelCol, HasPredictionCol):
-    numRounds = Param(Params._dummy(), "numRounds", "trees at most", TypeConverters.toInt)
+class _Settings(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasStepSize):
     numLeaves = Param(Params._dummy(), "numLeaves", "leaves of a tree at most", TypeConverters.toInt)
     maxDepth = Param(Params._dummy(), "maxDepth", "depth of a tree at most", TypeConverters.toInt)
-    stepSize = Param(Params._dummy(), "stepSize", "share of a leaf's value that counts", TypeConverters.toFloat)
     maxBins = Param(Params._dummy(), "maxBins", "bins of an input at most", TypeConverters.toInt)
     minRows = Param(Params._dummy(), "minRows", "rows of a leaf at least", TypeConverters.toInt)
     ridge = Param(Params._dummy(), "ridge", "added to a leaf's rows in its value", TypeConverters.toFloat)
@@ -56,9 +54,12 @@ class _Settings(HasFeaturesCol, HasLabelCol, HasPredictionCol):
 
     def __init__(self, *args):
         super().__init__(*args)
-        self._setDefault(numRounds=100, numLeaves=31, maxDepth=6, stepSize=0.1, maxBins=64, minRows=20, ridge=0.0,
+        self._setDefault(maxIter=100, numLeaves=31, maxDepth=6, stepSize=0.1, maxBins=64, minRows=20, ridge=0.0,
                          binning="quantile", validationCol="", patience=0)
 
+    def getMaxDepth(self) -> int:
+        return self.getOrDefault(self.maxDepth)
+
 
 def bin_edges(df: DataFrame, inputs: list[str], bins: int, binning: str) -> list[list[float]]:
     """Upper bounds of all bins but the last, ascending; one aggregate for all inputs."""
@@ -217,7 +218,7 @@ class LeafwiseRegressor(Estimator, _Settings, DefaultParamsReadable, DefaultPara
         mean = float(total["s"]) / total["n"] * unit
         rows = rows.withColumn("f", F.lit(mean))
         trees, errors, best = [], [], 0
-        for k in range(get("numRounds")):
+        for k in range(get("maxIter")):
             if k and k % KEPT == 0:
                 rows = written(rows, "boost")
             gradient = (F.col("y") - F.col("f")) / F.lit(unit)

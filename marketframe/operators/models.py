@@ -59,7 +59,7 @@ def _forest(**kw) -> RandomForestRegressor:
 def _leafwise(**kw) -> LeafwiseRegressor:
     p = {**DEFAULTS["lightgbm"], **kw}
     p.pop("random_state")  # nothing is drawn
-    return LeafwiseRegressor(numRounds=int(p.pop("n_estimators")), maxDepth=int(p.pop("max_depth")),
+    return LeafwiseRegressor(maxIter=int(p.pop("n_estimators")), maxDepth=int(p.pop("max_depth")),
                              stepSize=float(p.pop("learning_rate")), **{LEAFWISE_NAMES.get(k, k): v for k, v in p.items()})
 
 

@@ -73,7 +73,7 @@ def test_trees_equal_a_plain_best_first_learner(spark, leaves, depth):
     x = rng.normal(size=(400, 3))
     y = np.where(x[:, 0] > 0.3, 2.0, -1.0) * np.abs(x[:, 1]) + 0.3 * rng.normal(size=400)
     df = frame(spark, x, y)
-    est = B.LeafwiseRegressor(numRounds=3, numLeaves=leaves, maxDepth=depth, stepSize=0.4, maxBins=8, minRows=15, binning="width")
+    est = B.LeafwiseRegressor(maxIter=3, numLeaves=leaves, maxDepth=depth, stepSize=0.4, maxBins=8, minRows=15, binning="width")
     model = est.setLabelCol("target").fit(df)
     want = plain(x, y, 3, leaves, depth, 0.4, 15, model.parts["edges"])
     np.testing.assert_allclose(predicted(model, df), want, rtol=1e-9, atol=1e-9)
@@ -83,7 +83,7 @@ def test_row_order_and_partitions_do_not_matter(spark):
     rng = np.random.default_rng(3)
     x, y = rng.normal(size=(300, 2)), rng.normal(size=300) * 1e6
     df = frame(spark, x, y)
-    est = B.LeafwiseRegressor(numRounds=2, numLeaves=6, minRows=10).setLabelCol("target")
+    est = B.LeafwiseRegressor(maxIter=2, numLeaves=6, minRows=10).setLabelCol("target")
     assert est.fit(df).parts == est.fit(df.repartition(7, "id").sortWithinPartitions(F.desc("id"))).parts
 
 
@@ -91,7 +91,7 @@ def test_missing_values_go_left_and_models_are_stored(spark, tmp):
     x = np.array([[np.nan if i % 5 == 0 else float(i), 1.0] for i in range(100)])
     y = np.array([0.0 if i % 5 == 0 or i < 50 else 1.0 for i in range(100)])
     df = frame(spark, x, y)
-    model = B.LeafwiseRegressor(numRounds=1, numLeaves=2, stepSize=1.0, maxBins=100).setLabelCol("target").fit(df)
+    model = B.LeafwiseRegressor(maxIter=1, numLeaves=2, stepSize=1.0, maxBins=100).setLabelCol("target").fit(df)
     np.testing.assert_allclose(predicted(model, df), y, atol=0.02)
     PipelineModel([model]).write().overwrite().save(f"{tmp}/m")
     again = PipelineModel.load(f"{tmp}/m")
@@ -101,7 +101,7 @@ def test_missing_values_go_left_and_models_are_stored(spark, tmp):
 def test_degenerate_inputs(spark):
     x, y = np.ones((30, 1)), np.arange(30.0)
     df = frame(spark, x, y)
-    model = B.LeafwiseRegressor(numRounds=2, numLeaves=4).setLabelCol("target").fit(df)
+    model = B.LeafwiseRegressor(maxIter=2, numLeaves=4).setLabelCol("target").fit(df)
     np.testing.assert_allclose(predicted(model, df), 14.5)
     with pytest.raises(ValueError, match="no rows"):
         B.LeafwiseRegressor().setLabelCol("target").fit(df.where("false"))
@@ -115,7 +115,7 @@ def test_patience_keeps_the_best_round(spark):
     flag = [bool(i % 4 == 0) for i in range(300)]
     y[::4] = 0.35 * y[::4]
     df = frame(spark, x, y, is_validation=flag)
-    est = B.LeafwiseRegressor(numRounds=25, numLeaves=4, stepSize=0.3, validationCol="is_validation", patience=3).setLabelCol("target")
+    est = B.LeafwiseRegressor(maxIter=25, numLeaves=4, stepSize=0.3, validationCol="is_validation", patience=3).setLabelCol("target")
     model = est.fit(df)
     errors = model.parts["errors"]
     assert model.rounds == int(np.argmin(errors)) + 1 and len(errors) == model.rounds + 3 < 25

@@ -38,7 +38,7 @@ def test_price_target_is_forward_return(spark):
     assert f["target"].iloc[7:].isna().all()
 
 
-def test_model_registry_and_params():
+def test_model_registry_and_params(spark):
     with pytest.raises(ValueError, match="Unknown model type"):
         MO.MODELS.create("svm")
     rf = MO.MODELS.create("random_forest", learning_rate=0.3, n_estimators=7)
