@@ -32,60 +32,102 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from marketframe.llm.common import Cache, Texts, distinct_spans, filesystem, parallelism, shared_dir, table, text_blocks, tidy, words
+from marketframe.llm.common import LOWER, Cache, Texts, distinct_spans, filesystem, parallelism, shared_dir, table, text_blocks, tidy, words
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
+_LETTER, _DIGIT, _SYMBOL = 1, 2, 3
+_KIND = np.zeros(256, np.uint8)  # of printable ASCII bytes
+_KIND[0x21:0x7F] = _SYMBOL
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+
+
+def pieces(block: Texts, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, text index) of the words of a block, cut where the vocabulary
+    cuts in any case: behind a letter (a-z, or Latin-1 behind 0xC3), a digit or a
+    symbol, before an ASCII byte of another kind or another digit. An ASCII
+    character never composes with what stands before it, and no match of the split
+    holds two kinds but those that begin with an apostrophe: none is cut behind one."""
+    start, end, owner = words(block)
+    if not len(start):
+        return start, end, owner
+    kind = _KIND[data]
+    latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+    kind[latin[(data[latin] != 0x97) & (data[latin] != 0xB7)]] = _LETTER
+    left, right = kind[:-1], kind[1:]
+    cut = np.flatnonzero((left > 0) & (right > 0) & ((left != right) | (right == _DIGIT)) & (data[:-1] != 0x27)) + 1
+    edge = np.zeros(len(data) + 1, bool)
+    edge[cut] = edge[start] = True
+    first = np.flatnonzero(edge)
+    edge[start] = False
+    edge[cut] = edge[end] = True
+    return first, np.flatnonzero(edge), np.searchsorted(block.offsets, first, side="right") - 1
+
 
 class WordEncoder:
-    """Ids of whole texts from the tokenizers library, word by word.
+    """Ids of whole texts from the tokenizers library, piece by piece.
 
-    The vocabulary drops white space and no piece spans it, so a text's ids
-    are those of its words in order. Words are grouped per block by their bytes, each
-    distinct word is encoded by the library once and kept in a bounded cache.
+    The vocabulary drops white space, cuts words into pieces and merges inside a
+    piece only, so a text's ids are those of its pieces in order. Pieces are
+    grouped per block by their bytes; the distinct ones that a bounded cache does not
+    have are encoded by the library together. Pieces of small letters that
+    no rule of the vocabulary changes or cuts need its model and byte alphabet only.
     Texts holding the start of a special string are encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.library = Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.plain = re.compile(rb"[a-z]+").fullmatch
-        self.cache = Cache()
+        self.letters = Tokenizer(self.library.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+        self.cache = Cache(200_000)
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 65536 else np.dtype("<u4")
 
     def _library(self, text: bytes) -> bytes:
         return np.array(self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def word(self, raw: bytes) -> bytes:
-        """Ids of one word. Lower-casing A-Z first only merges cache keys; a
-        closing single '.' or ',' after letters is a piece of its own."""
-        low = raw.lower()
-        got = self.cache.get(low)
-        if got is None:
-            if self.plain(low):
-                got = np.array([t.id for t in self.model.tokenize(low.decode("ascii"))], self.dtype).tobytes()
-            elif len(low) > 1 and low[-1:] in b".," and low[:-1].decode("utf-8").isalpha():
-                got = self.word(low[:-1]) + self.word(low[-1:])
-            else:
-                got = self._library(low)
-            if len(low) <= 64:
-                self.cache.put(low, got)
-        return got
+    def _together(self, some: list[bytes], plain: bool) -> list[bytes]:
+        """Ids of each of some pieces."""
+        if plain:
+            found = self.letters.encode(b" ".join(some).decode("utf-8"), add_special_tokens=False)
+        else:
+            found = self.library.encode([x.decode("utf-8") for x in some], is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, self.dtype).tobytes()
+        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))) * self.dtype.itemsize
+        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def coded(self, some: list[bytes]) -> list[bytes]:
+        """Ids of each of some distinct pieces."""
+        young = self.cache.young.get
+        out = [young(x) or self.cache.get(x) for x in some]
+        missing = [i for i, x in enumerate(out) if x is None]
+        plain = [i for i in missing if self.plain(some[i])]
+        held = set(plain)
+        for which, rest in ((plain, False), ([i for i in missing if i not in held], True)):
+            if not which:
+                continue
+            for i, ids in zip(which, self._together([some[i] for i in which], not rest)):
+                out[i] = ids
+                if len(some[i]) <= 64:
+                    self.cache.put(some[i], ids)
+        return out
 
     def block(self, block: Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
-        start, end, owner = words(block)
-        data = block.data
+        data = LOWER[block.data]  # merges pieces: the vocabulary lower-cases
+        start, end, owner = pieces(block, data)
         marks = np.flatnonzero(data[:-1] == 0x3C) if len(data) > 1 else np.zeros(0, np.int64)
         odd = marks[data[marks + 1] == 0x7C] if len(marks) else marks
         whole = set((np.searchsorted(block.offsets, odd, side="right") - 1).tolist())
         first, inverse = distinct_spans(data, start, end)
         view = data.tobytes()
-        coded = [self.word(view[s:e]) for s, e in zip(start[first].tolist(), end[first].tolist())]
+        coded = self.coded([view[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())])
         flat = np.frombuffer(b"".join(coded), self.dtype)
         size = np.array([len(c) // self.dtype.itemsize for c in coded], np.int64)
         base = np.cumsum(size) - size
@@ -94,15 +136,15 @@ class WordEncoder:
         ids = flat[np.arange(int(n.sum())) - np.repeat(out - base[inverse], n)] if len(n) else flat
         counts = np.bincount(owner, weights=n, minlength=len(block)).astype(np.int64)
         if whole:
-            pieces, at = [], np.concatenate([[0], np.cumsum(counts)])
+            texts, at = [], np.concatenate([[0], np.cumsum(counts)])
             for i in range(len(block)):
                 if i in whole:
                     piece = np.frombuffer(self._library(block.raw(i)), self.dtype)
                     counts[i] = len(piece)
                 else:
                     piece = ids[at[i]:at[i + 1]]
-                pieces.append(piece)
-            ids = np.concatenate(pieces) if pieces else ids
+                texts.append(piece)
+            ids = np.concatenate(texts) if texts else ids
         return ids, counts
 
 

@@ -3,12 +3,13 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from marketframe.llm import token_counts, token_files
-from marketframe.llm.common import shared_dir
+from marketframe.llm.common import shared_dir, text_blocks
 
 SF = "/root/testdata/sf0.01"
 ODD = [None, "", " \n\t ", "plain words, and more.", "don't DON'T I'll he's it's 's", "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>",
@@ -86,3 +87,35 @@ def test_merge_order_is_lowest_rank_leftmost_first():
     library = Tokenizer.from_file(public_tokenizers.path(token_counts.VOCABULARY))
     for piece in ("aaaaaaa", "thethethe", "abababab", "zzzzzzzzzzzzz", "ationationa"):
         assert counter.merge_count(piece.encode()) == len(library.encode(piece).ids)
+
+
+CUT = ["x≠y a.̸ ≮b", "don't''s x's 're5 '5s a''ll", "é.à5,ñ!! ×a÷b ß9 ÉÀ,É", "12a3.5,b", "é. e.́ 5́a", "a\x1f.b \x0b.,", "Σ.ς, ǅ5", "日本.語5", "<b|c |<"]
+
+
+def test_pieces_hold_the_ids_of_whole_texts():
+    coder = token_files.WordEncoder(public_tokenizers.path(token_files.VOCABULARY))
+    texts = CUT + ["".join(c) for c in zip(*[iter("".join(CUT) * 3)] * 7)]
+    [block] = text_blocks(pa.array(texts))
+    ids, counts = coder.block(block)
+    ends = np.cumsum(counts)
+    for text, piece in zip(texts, np.split(ids, ends[:-1])):
+        assert piece.tolist() == coder.library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_new_words_of_a_block_are_encoded_together():
+    class Counted:
+        calls = 0
+
+        def __init__(self, of):
+            self.of = of
+
+        def encode(self, *args, **named):
+            Counted.calls += 1
+            return self.of.encode(*args, **named)
+
+    coder = token_files.WordEncoder(public_tokenizers.path(token_files.VOCABULARY))
+    library, coder.library = coder.library, Counted(coder.library)
+    text = " ".join(f"œu{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600))
+    [block] = text_blocks(pa.array([text]))
+    assert coder.block(block)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert Counted.calls <= 2
