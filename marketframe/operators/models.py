@@ -113,7 +113,8 @@ def deterministic_input(df: DataFrame, partitions: int) -> DataFrame:
     """Tree fits repeat bit for bit only on a fixed row layout: hash-partition
     on (Ticker, Date) with a fixed count and sort inside partitions. The count
     is part of the model's parameters (the forest bootstraps per partition)."""
-    return df.repartition(partitions, "Ticker", "Date").sortWithinPartitions("Ticker", "Date")
+    keys = ("Ticker", "Date") if partitions > 1 else ()
+    return df.repartition(partitions, *keys).sortWithinPartitions("Ticker", "Date")
 
 
 def mark_validation(train: DataFrame, fraction: float, col: str = "is_validation") -> DataFrame:

@@ -35,6 +35,20 @@ def fit_partitions(bars: DataFrame, model_type: str, partitions: int | None) ->
     return partitions or int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+ROWS_A_TASK = 20_000  # training rows that a task of a boosted fit takes at least, where there are so many
+
+
+def fit_layout(ts: D.TrainingSet, model_type: str, partitions: int | None) -> int | None:
+    """Partitions of the rows of a fit. Boosting runs a few hundred small jobs one
+    after another, each with a task per partition, and draws nothing by partition:
+    its rows are dealt by their number, up to the session's parallelism."""
+    most = fit_partitions(ts.frame, model_type, partitions)
+    if model_type != "xgboost" or partitions:
+        return most
+    rows = ts.frame.where("split = 'train'").count()
+    return max(1, min(most, -(-rows // ROWS_A_TASK)))
+
+
 def training_frame(bars: DataFrame, feature_names: list[str], target: str = "returns", lookback: int = 1,
                    test_size: float = 0.2, start: str | None = None, end: str | None = None,
                    tickers: Iterable[str] | None = None) -> D.TrainingSet:
@@ -48,7 +62,7 @@ def fitted(ts: D.TrainingSet, model_type: str, model_params: dict | None = None,
     if ts.frame.isEmpty():
         raise ValueError("empty training set: no row has all features and the target (see dataset.dropped_features)")
     model = MO.fit(ts.frame.where(F.col("split") == "train"), model_type, ts.feature_cols,
-                   partitions=fit_partitions(ts.frame, model_type, partitions), **(model_params or {}))
+                   partitions=fit_layout(ts, model_type, partitions), **(model_params or {}))
     return model, MO.score(model, ts.frame, ts.feature_cols)
 
 
@@ -78,7 +92,7 @@ def train(bars: DataFrame, model_type: str, feature_names: list[str], model_para
     name = run_name or f"{label}_{model_type}_{target}"
     counts = [int(by_split.get(part, nothing)["n"]) for part in ("train", "test")]
     params = dict(zip(RUN_PARAMS, (label, model_type, target, lookback, test_size, len(ts.feature_cols), *counts)))
-    params["fit_partitions"] = fit_partitions(bars, model_type, partitions)
+    params["fit_partitions"] = fit_layout(ts, model_type, partitions)
     params.update(model_params or {})
     run_id = None
     if runlog is not None:

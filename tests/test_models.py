@@ -230,3 +230,16 @@ def test_few_rows_and_null_tickers_in_the_factors(spark):
     got = {r.Ticker: r for r in MO.ols_fit(df, ["a", "b", "c"]).collect()}
     assert set(got) == {"A", None} and got["A"].intercept == pytest.approx(4.0) and got["A"].coef_0 == 0
     np.testing.assert_allclose([got[None][f"coef_{i}"] for i in range(3)] + [got[None].intercept], [1, 2, 3, 0], atol=1e-12)
+
+
+def test_boosted_fit_deals_rows_by_their_number(spark, monkeypatch):
+    """A few rows are one task a job; the forest, which draws by partition, keeps its layout."""
+    b, few = ramp(spark, 120), {"n_estimators": 2, "max_depth": 2}
+    parts = {m: TR.train(b, m, ["sma_20", "rsi_14"], few)["params"]["fit_partitions"] for m in ("xgboost", "random_forest")}
+    assert parts == {"xgboost": 1, "random_forest": int(spark.conf.get("spark.sql.shuffle.partitions"))}
+    assert TR.train(b, "xgboost", ["sma_20"], few, partitions=3)["params"]["fit_partitions"] == 3
+    monkeypatch.setattr(TR, "ROWS_A_TASK", 50)
+    ts = TR.training_frame(b, ["sma_20", "rsi_14"])
+    assert TR.fit_layout(ts, "xgboost", None) == 2  # 80 training rows
+    monkeypatch.setattr(TR, "ROWS_A_TASK", 1)
+    assert TR.fit_layout(ts, "xgboost", None) == TR.fit_partitions(ts.frame, "xgboost", None)
