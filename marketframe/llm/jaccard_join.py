@@ -48,7 +48,7 @@ from marketframe.llm.components import components
 WORDS = 5
 PERCENT = 75
 # Shingles gathered per task before a set of packed rows leaves it.
-FLUSH = 1_000_000
+FLUSH = 400_000
 
 
 def need(n, percent: int = PERCENT):
@@ -80,9 +80,9 @@ def _packed(sig, ids, valid, n, rid, h, own, parts: int) -> Iterator[dict]:
     """One row per part of the hash space, from a block of distinct classes and
     all documents. Shingles that several classes of the block have travel once
     (``common``), with a count per class; the others with their class."""
-    high = (h >> np.uint64(32)).astype(np.int64) * parts >> 32
-    order = np.lexsort((h, high))
-    h, own, high = h[order], own[order], high[order]
+    order = np.argsort(h, kind="stable")
+    h, own = h[order], own[order]
+    high = (h >> np.uint64(32)).astype(np.int64) * parts >> 32  # ascends with h
     new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
     run = np.cumsum(new) - 1
     several = np.bincount(run, minlength=1)[run] > 1 if len(h) else new
@@ -119,11 +119,13 @@ def packed_shingles(docs: DataFrame, parts: int, words: int) -> DataFrame:
             sig, ids, valid, n, rid, h = (np.concatenate([x[k] for x in held]) for k in range(6))
             shift = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
             own = np.concatenate([x[6] + s for x, s in zip(held, shift)])
+            held.clear()
             _, first = np.unique(sig, return_index=True)  # one document of each class
             leader = np.zeros(len(sig), bool)
             leader[first] = True
             keep = leader[own]
-            rows = list(_packed(sig, ids, valid, n, rid, h[keep], own[keep], parts))
+            h, own = h[keep], own[keep]
+            rows = list(_packed(sig, ids, valid, n, rid, h, own, parts))
             return pa.RecordBatch.from_pylist(rows, schema=_PACKED)
 
         for batch in batches:
@@ -137,7 +139,7 @@ def packed_shingles(docs: DataFrame, parts: int, words: int) -> DataFrame:
                 at = slice(block.first, block.first + len(block))
                 if held and (size + len(h) > FLUSH or count + len(block) > 60_000):
                     yield flush()
-                    held, size, count = [], 0, 0
+                    size = count = 0
                 held.append((sig, ids[at], valid[at], n, rid[at], h, own))
                 size, count = size + len(h), count + len(block)
         if held:

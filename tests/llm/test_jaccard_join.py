@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from marketframe.llm import jaccard_join as J
@@ -87,3 +88,17 @@ def test_shingles_that_agree_in_32_bits_all_count():
     group = pa.Table.from_pylist([row(1, [7, 7, 9]), row(2, [7, 7, 9, 11]), row(1, [7, 7, 9])], schema=J._PACKED)
     facts = {r["sig"]: r["shared"] for r in J._part_facts(group).to_pylist() if r["kind"] == 1}
     assert facts == {1: 3, 2: 3}
+
+
+def test_packed_shingles_leave_in_small_sets(spark):
+    """A task holds few batches and shingles at a time, since executors share memory with their workers."""
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.concat_ws("x", F.col("id"), i)))
+    docs = spark.range(0, 1000, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([{"size": b.nbytes}])
+
+    assert max(r["size"] for r in docs.mapInArrow(sizes, "size long").collect()) < 5 << 20
+    packed = J.packed_shingles(docs, 2, J.WORDS).where("part = 0").select(F.length("single")).collect()
+    assert len(packed) >= 3 and sum(r[0] for r in packed) > 4 * 400_000
