@@ -71,7 +71,7 @@ class LandedReader(DataSourceReader):
         import pyarrow.dataset as ds
         from pyarrow import fs
         files, _ = self._files()
-        names = [i.path for i in files.get_file_info(fs.FileSelector(partition.path)) if i.path.endswith(".parquet")]
+        names = sorted(i.path for i in files.get_file_info(fs.FileSelector(partition.path)) if i.path.endswith(".parquet"))
         if not names:
             return
         data = ds.dataset(names, filesystem=files, format="parquet")
