@@ -48,7 +48,9 @@ TOP = 2000
 SAMPLE = 8  # one document in so many proposes phrases
 SLACK = 0.5  # share of the threshold's expected count that the sample asks for
 FILTER_BITS = 26
-HELD = 3 << 18  # phrases that a task holds before it merges or emits them
+HELD = 3 << 17  # phrases that a task holds before it merges or emits them
+BLOCK = 1 << 18  # bytes of text whose words a task lays out at a time
+EMITTED = 1 << 15  # phrases of a batch that a task emits: the JVM holds batches outside its heap
 UNKNOWN = "und"
 
 _SEPARATOR = byte_class(*b".,;:!?", range(0x0A, 0x0E))
@@ -145,7 +147,7 @@ class Tally:
         self.size += len(self.parts[k][-1][0])
         if self.size > self.limit:
             self.size = 0
-            for k in self.parts:
+            for k in list(self.parts):
                 self.parts[k] = [self._merged(k)]
                 self.size += len(self.parts[k][0][0])
             if 2 * self.size > self.limit:
@@ -154,25 +156,32 @@ class Tally:
     @staticmethod
     def _summed(h: np.ndarray, words: list[np.ndarray], n: np.ndarray | None) -> tuple:
         order = np.argsort(h, kind="stable")
-        h, words = h[order], [w[order] for w in words]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        for w in words:  # one hash, other words: a row of its own
-            new[1:] |= w[1:] != w[:-1]
+        new = np.zeros(len(h), bool)
+        new[0] = True
+        for x in (h, *words):  # one hash, other words: a row of its own
+            x = x[order]  # one column at a time, to hold little
+            new[1:] |= x[1:] != x[:-1]
         first = np.flatnonzero(new)
         total = np.diff(np.append(first, len(h))) if n is None else np.add.reduceat(n[order], first)
-        return h[first], [w[first] for w in words], total
+        at = order[first]
+        return h[at], [w[at] for w in words], total
 
     def _merged(self, k: int) -> tuple:
-        parts = self.parts[k]
+        """The sums of a length, which is taken out."""
+        parts = self.parts.pop(k)
         if len(parts) == 1:
             return parts[0]
-        return self._summed(np.concatenate([p[0] for p in parts]),
-                            [np.concatenate(w) for w in zip(*(p[1] for p in parts))], np.concatenate([p[2] for p in parts]))
+        h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+        words = [np.concatenate(w) for w in zip(*(p[1] for p in parts))]
+        del parts
+        return self._summed(h, words, n)
 
     def rest(self) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
         for k in list(self.parts):
-            yield k, *self._merged(k)[1:]
-        self.parts, self.size = {}, 0
+            _, words, n = self._merged(k)
+            for lo in range(0, len(n), EMITTED):
+                yield k, [w[lo:lo + EMITTED] for w in words], n[lo:lo + EMITTED]
+        self.size = 0
 
 
 def _seeds(names: list[str]) -> np.ndarray:
@@ -214,7 +223,7 @@ def run_counts(docs: DataFrame, shortest: int, longest: int, known: list[PhraseF
         tally, total = Tally(), {}
         for batch in batches:
             names, codes, seeds = _languages(batch.column(1))
-            for block in text_blocks(batch.column(0)):
+            for block in text_blocks(batch.column(0), BLOCK):
                 own = seeds[block.first:block.first + len(block)]
                 s = Segments(block, own, salt)
                 if shortest == 1 and not expand:
@@ -262,7 +271,7 @@ def word_texts(docs: DataFrame, wanted: PhraseFilter, salt: int) -> DataFrame:
         held: dict = {}
         for batch in batches:
             names, codes, seeds = _languages(batch.column(1))
-            for block in text_blocks(batch.column(0)):
+            for block in text_blocks(batch.column(0), BLOCK):
                 s = Segments(block, seeds[block.first:block.first + len(block)], salt)
                 at = np.flatnonzero(wanted.has(s.h1))
                 at = at[np.unique(s.h1[at], return_index=True)[1]]
@@ -270,7 +279,7 @@ def word_texts(docs: DataFrame, wanted: PhraseFilter, salt: int) -> DataFrame:
                 for i, w in zip(at.tolist(), s.h1[at].view(np.int64).tolist()):
                     if w not in held:
                         held[w] = (names[codes[block.first + s.owner[i]]], view[s.start[i]:s.end[i]].decode())
-                if len(held) > HELD // 4:
+                if len(held) > HELD // 2:
                     yield _words_found(held)
                     held = {}
         if held:
@@ -326,7 +335,8 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, sa
     proposed = proposals(docs, min_count, longest, sample, slack, salt)
     texts = _texts(docs)
     guess = PhraseFilter.of(proposed)
-    every = stored(run_counts(texts, 1, longest, [guess], longest, salt=salt), "run-counts")
+    # single words all stay: a rare one can share its hash, too
+    every = stored(run_counts(texts, 1, longest, [guess], longest, salt=salt).where(f"k < 2 or n >= {min_count}"), "run-counts")
     double = every.where("k = 1").groupBy("w1").agg(F.count(F.lit(1)).alias("words")).where("words > 1")
     if not double.isEmpty():  # two words with one hash
         return mine(docs, min_count, longest, sample, slack, salt + 1)

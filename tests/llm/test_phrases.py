@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import brute
@@ -143,3 +144,31 @@ def test_tally_in_small_memory():
     for k, (x,), c in tally.rest():
         total.update(dict(zip(x.tolist(), c.tolist())))
     assert total == want
+
+
+def test_tally_holds_little_and_emits_small_batches():
+    rng = np.random.default_rng(3)
+    blocks = [rng.integers(0, 2**63, (3, 50_000)).astype(np.uint64) for _ in range(24)]
+    tally, rows, most = phrases.Tally(), 0, 0
+    tracemalloc.start()
+    for h, a, b in blocks:
+        for k, _, n in tally.add(2, h, [a, b]):
+            rows, most = rows + len(n), max(most, len(n))
+    for k, _, n in tally.rest():
+        rows, most = rows + len(n), max(most, len(n))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 24 * 50_000 and most <= 1 << 15 and peak < 60 << 20
+
+
+def test_rare_runs_are_not_stored(spark, monkeypatch):
+    rows, kept, plain = corpus(8, 60), {}, phrases.stored
+
+    def store(df, kind):
+        kept[kind] = plain(df, kind)
+        return kept[kind]
+
+    monkeypatch.setattr(phrases, "stored", store)
+    assert got(spark.createDataFrame(rows, FEW), min_count=8) == expected(rows, 8)
+    assert kept["run-counts"].where("k > 1 and n < 8").isEmpty()
+    assert not kept["run-counts"].where("k = 1 and n < 8").isEmpty()
